@@ -129,6 +129,34 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
     return _result(parts, F.sum("pairs"), F.sum("ok"))
 
 
+def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,
+                unique_keep: str = "none") -> DataFrame:
+    """Uniqueness (J1/J2), missing keys (J3) and paid-not-decreasing (J4) from ONE grouping per
+    snapshot on the key: each snapshot is shuffled once (after map-side partial aggregation), and
+    the two per-key aggregates are already hash-partitioned on the key, so their full outer join
+    adds no exchange. One row out with the counts of all three checks.
+    """
+    def value(df: DataFrame) -> Column:
+        return _num(df, paid) if paid and paid in df.columns else F.lit(None).cast("double")
+
+    cur = (current.select(F.col(key).cast("string").alias("k"), value(current).alias("v"))
+                  .groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("cur_paid")))
+    n = F.col("n")
+    aggs = [F.sum("n").alias("u_total"), F.sum(F.when(n > 1, n).otherwise(0)).alias("u_failed"),
+            F.count("n").alias("u_groups")]
+    if previous is None:
+        return cur.agg(*aggs)
+    prev = (previous.select(F.col(key).cast("string").alias("k"), value(previous).alias("v"))
+                    .where(F.col("k").isNotNull())
+                    .groupBy("k").agg(F.sum("v").alias("prev_paid"), F.lit(True).alias("in_prev")))
+    both = cur.join(prev, "k", "full_outer")
+    in_cur = F.col("k").isNotNull() & n.isNotNull()
+    in_prev = F.coalesce(F.col("in_prev"), F.lit(False))
+    aggs += [F.count_if(in_prev).alias("m_total"), F.count_if(in_prev & in_cur).alias("m_passed"),
+             F.count_if(in_cur).alias("p_total"), F.count_if(in_cur & _paid_ok()).alias("p_passed")]
+    return both.agg(*aggs)
+
+
 def resolve_risk_key(risk: DataFrame, wanted: str) -> str | None:
     """The configured reference key, else the first fallback present, else None."""
     if wanted in risk.columns:

@@ -8,67 +8,78 @@ from pyspark.sql import functions as F
 from veracity.plans.spec import CheckSpec, Policy
 
 
-def _clamp_rate(rate: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(rate, F.lit(0.0))))
+def _d(x: float) -> str:
+    """A double literal in Spark SQL text."""
+    return f"CAST({float(x)!r} AS DOUBLE)"
 
 
+def _clamp_sql(rate: str) -> str:
+    return f"greatest({_d(0)}, least({_d(100)}, coalesce({rate}, {_d(0)})))"
+
+
+# The points rules are written once as Spark SQL text, so a whole suite's result rows are one
+# ``selectExpr`` (parsed JVM-side) rather than hundreds of Column calls from Python.
+
 # A5
-def points_strict(possible: Column, rate: Column) -> Column:
+def points_strict_sql(possible: str, rate: str) -> str:
     """> 95 % earns int(points), > 90 % earns int(points x 0.6), else 0."""
-    r = _clamp_rate(rate)
-    return (F.when(possible <= 0, 0.0)
-             .when(r > 95.0, F.floor(possible))
-             .when(r > 90.0, F.floor(possible * 0.6))
-             .otherwise(0.0).cast("double"))
+    r = _clamp_sql(rate)
+    return (f"CAST(CASE WHEN {possible} <= 0 THEN 0 WHEN {r} > {_d(95)} THEN floor({possible}) "
+            f"WHEN {r} > {_d(90)} THEN floor({possible} * {_d(0.6)}) ELSE 0 END AS DOUBLE)")
 
 
 # A3
-def points_tiered(possible: Column, rate: Column, high: float = 95.0, mid: float = 90.0,
-                  factor: float = 0.6) -> Column:
+def points_tiered_sql(possible: str, rate: str, high: float = 95.0, mid: float = 90.0, factor: float = 0.6) -> str:
     """>= high earns all; >= mid earns round-half-even(points x factor) clamped to [0, int(points)]."""
-    r = F.coalesce(rate, F.lit(0.0))
-    mid_pts = F.greatest(F.lit(0.0), F.least(F.floor(possible), F.rint(possible * factor)))
-    return (F.when(possible <= 0, 0.0)
-             .when(r >= high, possible)
-             .when(r >= mid, mid_pts)
-             .otherwise(0.0).cast("double"))
+    r = f"coalesce({rate}, {_d(0)})"
+    mid_pts = f"greatest({_d(0)}, least(CAST(floor({possible}) AS DOUBLE), rint({possible} * {_d(factor)})))"
+    return (f"CAST(CASE WHEN {possible} <= 0 THEN {_d(0)} WHEN {r} >= {_d(high)} THEN {possible} "
+            f"WHEN {r} >= {_d(mid)} THEN {mid_pts} ELSE {_d(0)} END AS DOUBLE)")
 
 
 # A4
-def points_linear(possible: Column, rate: Column) -> Column:
-    return F.when(possible <= 0, 0.0).otherwise(possible * (_clamp_rate(rate) / 100.0)).cast("double")
+def points_linear_sql(possible: str, rate: str) -> str:
+    return (f"CAST(CASE WHEN {possible} <= 0 THEN {_d(0)} "
+            f"ELSE {possible} * ({_clamp_sql(rate)} / {_d(100)}) END AS DOUBLE)")
 
 
 # A2
-def points_all_or_nothing(possible: Column, rate: Column, full_at: float = 100.0) -> Column:
-    return F.when(F.coalesce(rate, F.lit(0.0)) >= full_at, possible).otherwise(0.0).cast("double")
+def points_all_or_nothing_sql(possible: str, rate: str, full_at: float = 100.0) -> str:
+    return f"CAST(CASE WHEN coalesce({rate}, {_d(0)}) >= {_d(full_at)} THEN {possible} ELSE {_d(0)} END AS DOUBLE)"
 
 
 # A1
-def points_threshold(rate: Column, thresholds: tuple[tuple[float, float], ...]) -> Column:
+def points_threshold_sql(rate: str, thresholds: tuple[tuple[float, float], ...]) -> str:
     """Highest threshold first; the first one the rate reaches gives the points."""
-    expr = None
-    for t, pts in sorted(thresholds, key=lambda x: -x[0]):
-        cond = F.coalesce(rate, F.lit(0.0)) >= float(t)
-        expr = F.when(cond, float(pts)) if expr is None else expr.when(cond, float(pts))
-    return F.lit(0.0) if expr is None else expr.otherwise(0.0).cast("double")
+    whens = " ".join(f"WHEN coalesce({rate}, {_d(0)}) >= {_d(t)} THEN {_d(p)}"
+                     for t, p in sorted(thresholds, key=lambda x: -x[0]))
+    return f"CAST(CASE {whens} ELSE {_d(0)} END AS DOUBLE)" if whens else _d(0)
 
 
-def points_for(spec: CheckSpec, policy: Policy, possible: Column, rate: Column) -> Column:
+def points_sql(spec: CheckSpec, policy: Policy, possible: str, rate: str) -> str:
     rule = policy.points_rule
     if rule == "strict":
-        return points_strict(possible, rate)
+        return points_strict_sql(possible, rate)
     if rule == "tiered":
-        return points_tiered(possible, rate, spec.high_pass_rate, spec.mid_pass_rate, spec.mid_points_factor)
+        return points_tiered_sql(possible, rate, spec.high_pass_rate, spec.mid_pass_rate, spec.mid_points_factor)
     if rule == "linear":
-        return points_linear(possible, rate)
+        return points_linear_sql(possible, rate)
     if rule == "all_or_nothing":
-        return points_all_or_nothing(possible, rate, spec.full_at)
+        return points_all_or_nothing_sql(possible, rate, spec.full_at)
     if rule == "threshold":
-        return points_threshold(rate, spec.thresholds)
+        return points_threshold_sql(rate, spec.thresholds)
     raise ValueError(f"unknown points rule {rule!r}")
 
 
+def points_for(spec: CheckSpec, policy: Policy, possible: str, rate: str) -> Column:
+    """Points of a check as a Column over columns named ``possible`` and ``rate``."""
+    return F.expr(points_sql(spec, policy, f"`{possible}`", f"`{rate}`"))
+
+
+def pass_rate_sql(total: str, passed: str, empty_rate: float) -> str:
+    return f"CASE WHEN ({total}) > 0 THEN ({passed}) / ({total}) * {_d(100)} ELSE {_d(empty_rate)} END"
+
+
 # A9
 def status_band(score: Column, bands: tuple[float, float, float, float] = (95.0, 85.0, 75.0, 65.0)) -> Column:
     # Status labels, best first.
@@ -83,6 +94,7 @@ def check_status(earned: Column, possible: Column) -> Column:
 
 
 def pass_rate(total: Column, passed: Column, empty_rate: Column) -> Column:
+    """passed / total x 100, or the empty-scope rate when nothing is in scope."""
     return F.when(total > 0, passed / total * 100.0).otherwise(empty_rate).cast("double")
 
 

@@ -3,8 +3,11 @@
 * every row check becomes two ``count_if`` aggregates of a single shared
   ``agg`` over the current snapshot (one scan, no shuffle but a one-row
   partial/final aggregate);
-* every key check is its own aggregation/join branch over only the columns it
-  needs (column pruning reaches the parquet scan);
+* the claim-keyed checks (uniqueness, missing claims, paid not decreasing)
+  share ONE key profile: each snapshot is grouped once on the claim key and
+  the two per-key aggregates are joined without a further exchange;
+* every other key check is its own aggregation/join branch over only the
+  columns it needs (column pruning reaches the parquet scan);
 * skipped and absent-column checks are constant rows;
 * all branches meet in a ``union`` of one-row results, and scoring runs as
   Column expressions over that small frame.
@@ -89,21 +92,34 @@ def row_check(spec: CheckSpec, policy: Policy, cols: rc.Cols, closed_values: Seq
     return None
 
 
-def _result_struct(spec: CheckSpec, seq: int, policy: Policy, total: Column, passed: Column, failed: Column,
-                   rate: Column, skipped: bool = False, error: str | None = None,
-                   earned: Column | None = None) -> Column:
-    possible = F.lit(float(spec.points))
+def _q(text: str | None) -> str:
+    """A SQL string literal (or NULL)."""
+    if text is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _result_sql(spec: CheckSpec, seq: int, policy: Policy, total: str, passed: str, failed: str, rate: str,
+                skipped: bool = False, error: str | None = None, earned: str | None = None) -> str:
+    """One result row as a ``named_struct`` in SQL text: the JVM parses a whole suite's rows in one
+    ``selectExpr`` instead of Python building each expression through the gateway."""
+    possible = f"CAST({float(spec.points)!r} AS DOUBLE)"
+    rate = f"CAST({rate} AS DOUBLE)"
     if earned is None:
-        earned = scoring.points_for(spec, policy, possible, rate)
-    return F.struct(
-        F.lit(seq).alias("seq"), F.lit(spec.id).alias("check_id"), F.lit(spec.name).alias("check_name"),
-        F.lit(spec.type).alias("check_type"), F.lit(spec.category).alias("category"),
-        F.lit(spec.subcategory).alias("subcategory"), F.lit(spec.priority).alias("priority"),
-        F.lit(spec.field or ",".join(spec.fields)).alias("field"), possible.alias("points_possible"),
-        total.cast("long").alias("total"), passed.cast("long").alias("passed"), failed.cast("long").alias("failed"),
-        rate.cast("double").alias("pass_rate"), earned.cast("double").alias("points_earned"),
-        F.lit(skipped).alias("skipped"), F.lit(error).cast("string").alias("error"),
-    )
+        earned = scoring.points_sql(spec, policy, possible, rate)
+    fields = [("seq", str(seq)), ("check_id", _q(spec.id)), ("check_name", _q(spec.name)),
+              ("check_type", _q(spec.type)), ("category", _q(spec.category)),
+              ("subcategory", _q(spec.subcategory)), ("priority", _q(spec.priority)),
+              ("field", _q(spec.field or ",".join(spec.fields))), ("points_possible", possible),
+              ("total", f"CAST({total} AS BIGINT)"), ("passed", f"CAST({passed} AS BIGINT)"),
+              ("failed", f"CAST({failed} AS BIGINT)"), ("pass_rate", rate),
+              ("points_earned", f"CAST({earned} AS DOUBLE)"), ("skipped", "true" if skipped else "false"),
+              ("error", _q(error))]
+    return "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields) + ")"
+
+
+def _rows(df: DataFrame, structs: list[str]) -> DataFrame:
+    return df.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
 @dataclass
@@ -244,24 +260,28 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
     structs = []
     for seq, (spec, chk) in row_slots.items():
         if chk.missing:
-            total = F.col(f"t{seq}") if chk.missing_scope is not None else F.col("n")
-            structs.append(_result_struct(spec, seq, policy, total, F.lit(0), F.lit(0), F.lit(0.0),
-                                          error=f"column not found: {chk.missing}"))
+            total = f"t{seq}" if chk.missing_scope is not None else "n"
+            structs.append(_result_sql(spec, seq, policy, total, "0", "0", "0", error=f"column not found: {chk.missing}"))
             continue
-        total, passed = F.col(f"t{seq}"), F.col(f"p{seq}")
-        rate = scoring.pass_rate(total, passed, F.lit(float(chk.empty_rate)))
-        structs.append(_result_struct(spec, seq, policy, total, passed, total - passed, rate))
+        total, passed = f"t{seq}", f"p{seq}"
+        rate = scoring.pass_rate_sql(total, passed, chk.empty_rate)
+        structs.append(_result_sql(spec, seq, policy, total, passed, f"{total} - {passed}", rate))
     if structs:
-        parts.append(fused.select(F.inline(F.array(*structs))))
+        parts.append(_rows(fused, structs))
+
+    profiled = _profile_part(planned, row_slots, policy, current, previous)
+    if profiled is not None:
+        part, done = profiled
+        parts.append(part)
+    else:
+        done = set()
 
     for seq, spec in planned:
-        if seq in row_slots:
+        if seq in row_slots or seq in done:
             continue
         if spec.type not in KEY_TYPES:
-            c = spark.range(1).select(_result_struct(spec, seq, policy, F.lit(0), F.lit(0), F.lit(0), F.lit(0.0),
-                                                     error=f"Unknown check type: {spec.type}",
-                                                     earned=F.lit(0.0)).alias("r"))
-            parts.append(c.select("r.*"))
+            parts.append(_rows(spark.range(1), [_result_sql(spec, seq, policy, "0", "0", "0", "0",
+                                                            error=f"Unknown check type: {spec.type}", earned="0")]))
             continue
         needs_prev = spec.type in PREV_TYPES and previous is None
         needs_risk = spec.type in RISK_TYPES and risk is None
@@ -269,11 +289,8 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
             parts.append(_skipped(spark, spec, seq, policy, "previous snapshot" if needs_prev else "reference table"))
             continue
         res, empty_rate, error = _key_result(spec, policy, current, previous, risk, n_rows)
-        rate = scoring.pass_rate(F.col("total"), F.col("passed"), F.lit(float(empty_rate)))
-        if error:
-            rate = F.lit(0.0)
-        parts.append(res.select(_result_struct(spec, seq, policy, F.col("total"), F.col("passed"), F.col("failed"),
-                                               rate, error=error).alias("r")).select("r.*"))
+        rate = "0" if error else scoring.pass_rate_sql("total", "passed", empty_rate)
+        parts.append(_rows(res, [_result_sql(spec, seq, policy, "total", "passed", "failed", rate, error=error)]))
 
     checks = reduce(DataFrame.unionByName, parts)
     checks = checks.withColumn("status", scoring.check_status(F.col("points_earned"), F.col("points_possible")))
@@ -281,14 +298,54 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
                     {spec.id: chk for spec, chk in row_slots.values()})
 
 
+CLAIM_KEY, PAID = "claim_number", "total_paid"
+
+
+def _profile_part(planned, row_slots, policy: Policy, current: DataFrame,
+                  previous: DataFrame | None) -> tuple[DataFrame, set[int]] | None:
+    """Serve the claim-keyed checks (unique, missing, paid) from one key profile: one grouping
+    per snapshot on the claim key instead of one shuffle per check."""
+    if CLAIM_KEY not in current.columns:
+        return None
+    has_prev_key = previous is not None and CLAIM_KEY in previous.columns
+    has_paid = has_prev_key and PAID in current.columns and PAID in previous.columns
+    roles: dict[int, tuple[str, CheckSpec]] = {}
+    for seq, spec in planned:
+        if seq in row_slots:
+            continue
+        if spec.type == "unique" and (spec.field or CLAIM_KEY) == CLAIM_KEY:
+            roles[seq] = ("u", spec)
+        elif spec.type == "missing_claims_from_prev_month" and has_prev_key:
+            roles[seq] = ("m", spec)
+        elif spec.type == "total_paid_non_decreasing_vs_prev" and has_paid and policy.paid_rule == "left":
+            roles[seq] = ("p", spec)
+    if not roles:
+        return None
+    kinds = {r for r, _ in roles.values()}
+    prof = kc.key_profile(current, previous if kinds & {"m", "p"} else None, CLAIM_KEY,
+                          PAID if "p" in kinds else None, policy.unique_keep)
+    structs = []
+    for seq, (role, spec) in roles.items():
+        if role == "u":
+            total = "coalesce(u_total, 0)"
+            passed = f"{total} - coalesce(u_failed, 0)" if policy.unique_keep == "none" else "coalesce(u_groups, 0)"
+            empty = 0.0
+        elif role == "m":
+            total, passed, empty = "coalesce(m_total, 0)", "coalesce(m_passed, 0)", policy.empty_key_rate
+        else:
+            total, passed, empty = "coalesce(p_total, 0)", "coalesce(p_passed, 0)", policy.paid_empty_rate
+        rate = scoring.pass_rate_sql(total, passed, empty)
+        structs.append(_result_sql(spec, seq, policy, total, passed, f"{total} - ({passed})", rate))
+    return _rows(prof, structs), set(roles)
+
+
 def _skipped(spark, spec: CheckSpec, seq: int, policy: Policy, what: str) -> DataFrame:
     """A check that cannot run: full points (rate 100), zero points (rate 0) or a warning row."""
     if policy.skip_rule == "full":
-        r = _result_struct(spec, seq, policy, F.lit(0), F.lit(0), F.lit(0), F.lit(100.0), skipped=True,
-                           earned=F.lit(float(spec.points)))
+        r = _result_sql(spec, seq, policy, "0", "0", "0", "100", skipped=True, earned=repr(float(spec.points)))
     elif policy.skip_rule == "zero":
-        r = _result_struct(spec, seq, policy, F.lit(0), F.lit(0), F.lit(0), F.lit(0.0), skipped=True)
+        r = _result_sql(spec, seq, policy, "0", "0", "0", "0", skipped=True)
     else:
-        r = _result_struct(spec, seq, policy, F.lit(0), F.lit(0), F.lit(0), F.lit(0.0), skipped=True,
-                           error=f"{what} not available", earned=F.lit(0.0))
-    return spark.range(1).select(r.alias("r")).select("r.*")
+        r = _result_sql(spec, seq, policy, "0", "0", "0", "0", skipped=True, error=f"{what} not available",
+                        earned="0")
+    return _rows(spark.range(1), [r])
