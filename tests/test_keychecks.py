@@ -73,3 +73,27 @@ def test_loss_ratio_division_by_zero_fails(spark):
                                  "risk_policy_number string, gwp double")
     # P1 15/20 ok, P2 /0 fails, P3 all-null sum reads 0 -> ratio 0 ok
     assert counts(kc.loss_ratio(claims, risk)) == (3, 2, 1)
+
+
+def test_paid_rows_hot_key_is_exact(spark):
+    """One key holding most rows, many distinct values: bucketed counting equals brute force."""
+    import random
+    rnd = random.Random(7)
+    cur_rows = [("hot", float(rnd.randint(0, 500))) for _ in range(3000)] + \
+               [(f"k{i}", float(rnd.randint(0, 9))) for i in range(200)] + [(None, 3.0), ("hot", None)]
+    prev_rows = [("hot", float(rnd.randint(0, 500))) for _ in range(2000)] + \
+                [(f"k{i}", float(rnd.randint(0, 9))) for i in range(0, 200, 2)] + [(None, 2.0), (None, 4.0)]
+    schema = "claim_number string, total_paid double"
+    cur, prev = spark.createDataFrame(cur_rows, schema), spark.createDataFrame(prev_rows, schema)
+    total = passed = 0
+    from collections import defaultdict
+    by_key = defaultdict(list)
+    for k, v in prev_rows:
+        by_key[k].append(v)
+    for k, v in cur_rows:
+        for pv in by_key.get(k, []):
+            total += 1
+            passed += int(v is not None and pv is not None and v >= pv)
+    for b in (1, 4, 128):
+        assert counts(kc.paid_not_decreasing_rows(cur, prev, "claim_number", "total_paid", buckets=b)) == \
+            (total, passed, total - passed)

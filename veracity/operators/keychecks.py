@@ -101,13 +101,17 @@ def failing_paid_keys(current: DataFrame, previous: DataFrame, key: str, paid: s
 
 
 # J5
-def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str, paid: str) -> DataFrame:
+def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str, paid: str,
+                             buckets: int = 128) -> DataFrame:
     """Row-level pairs: every current row against every previous row of the same key (null keys
     match each other), pass when current paid >= previous paid; null paid fails.
 
     The pairs are never materialised. Both sides are first reduced to (key, paid) -> count; the
-    number of pairs per key is n_cur * n_prev, and the passing pairs are counted with a running
-    sum of previous counts ordered by paid within each key.
+    number of pairs per key is n_cur * n_prev, and the passing pairs are counted with running sums
+    of previous counts ordered by paid. A hot key is split: paid values fall into ordered buckets
+    cut at global quantiles (at most ``buckets`` boundaries reach the driver), running sums run
+    within (key, bucket), and each bucket adds the previous counts of the lower buckets of its key
+    (a window over at most ``buckets`` rows per key). Exact for any key distribution.
     """
     def reduce(df: DataFrame, side: str) -> DataFrame:
         return (df.select(F.col(key).cast("string").alias("k"), _num(df, paid).alias("v"))
@@ -123,8 +127,19 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
     both = (cur.withColumn("n_prev", F.lit(0)).unionByName(prev.withColumn("n_cur", F.lit(0)))
                .where(F.col("v").isNotNull())
                .groupBy("k", "v").agg(F.sum("n_cur").alias("n_cur"), F.sum("n_prev").alias("n_prev")))
-    w = Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ok = both.withColumn("prev_le", F.sum("n_prev").over(w)).select((F.col("n_cur") * F.col("prev_le")).alias("ok"))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(both.approxQuantile("v", probs, 0.001))) if probs else []
+    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda x: x < F.col("v"))) \
+        if cuts else F.lit(0)
+    both = both.withColumn("b", bucket)
+    below = (both.groupBy("k", "b").agg(F.sum("n_prev").alias("nb"))
+                 .withColumn("prev_below", F.coalesce(F.sum("nb").over(
+                     Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+                 .select(F.col("k").alias("bk"), F.col("b").alias("bb"), "prev_below"))
+    w = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ok = (both.withColumn("prev_le", F.sum("n_prev").over(w))
+              .join(below, F.col("k").eqNullSafe(F.col("bk")) & (F.col("b") == F.col("bb")))
+              .select((F.col("n_cur") * (F.col("prev_le") + F.col("prev_below"))).alias("ok")))
     parts = pairs.withColumn("ok", F.lit(0).cast("long")).unionByName(ok.withColumn("pairs", F.lit(0).cast("long")))
     return _result(parts, F.sum("pairs"), F.sum("ok"))
 
