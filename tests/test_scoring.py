@@ -86,3 +86,16 @@ def test_invariants_and_partition_independence(spark):
     a = run_suite(default_suite(), POLICIES["v5"], cur.repartition(1), prev.repartition(3)).checks
     b = run_suite(default_suite(), POLICIES["v5"], cur.repartition(7), prev.repartition(2)).checks
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
+def test_auto_disable_reasons():
+    from veracity.functions.text import parse_closed_values
+    from veracity.plans.spec import auto_disable
+    specs, why = auto_disable(default_suite(include_risk=True), {"policy_number", "claim_number", "total_paid"},
+                              previous_available=False, reference_available=False)
+    assert why["1.3"] == "Missing/unmapped columns: accident_date"
+    assert why["3.3"] == "Missing/unmapped columns: total_incurred, total_os"
+    assert why["6.1"].startswith("Previous bdx month not available")
+    assert why["8.1"] == "Risk database not selected"
+    assert {s.id for s in specs if s.enabled} == {"1.1", "1.2", "2.2"}
+    assert parse_closed_values(" Closed, ,C ,") == ["Closed", "C"]

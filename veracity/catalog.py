@@ -727,6 +727,32 @@ def q_premium_lookup(spark, sf):
                                               "referral_flag")
 
 
+def _auto_disabled_specs():
+    from veracity.plans.spec import auto_disable
+    mapped = set(CLAIM_COLS) - {"uw_date"} | {"risk_policy_number"}
+    return auto_disable(default_suite(include_risk=True), mapped, previous_available=False,
+                        reference_available=True)[0]
+
+
+def q_suite_auto_disabled(spark, sf):
+    """Canonical suite under the tiered policy, with uw_date unmapped and no previous snapshot:
+    checks 1.5, 5.2, 6.1 and 7.1 are disabled before planning; the rest run on the data."""
+    cur = _cur(spark, sf).drop("uw_date")
+    closed = TX.parse_closed_values("Closed, RE-CLOSED")
+    run = run_suite(_auto_disabled_specs(), POLICIES["v1"], cur, None, fx.risk_table(spark, sf), closed, AS_OF_YEAR)
+    return run.checks.select(*SUITE_COLS)
+
+
+def _auto_disabled_sql():
+    from dataclasses import replace
+    pol = replace(POLICIES["v1"], closed_values=("Closed", "RE-CLOSED"))
+    body = O.suite_sql(_auto_disabled_specs(), pol, "claims_cur", None, "risk", AS_OF_YEAR)
+    return O.with_fixtures(f"select {', '.join(SUITE_COLS)} from ({body})", "claims_cur", "risk")
+
+
+REGISTRY["suite_auto_disabled"] = (q_suite_auto_disabled, _auto_disabled_sql())
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

@@ -100,3 +100,8 @@ def points_text(earned: Column, possible: Column) -> Column:
 def quarter_label(ts: Column) -> Column:
     """Calendar quarter label ``YYYY_Qn``."""
     return F.concat(F.year(ts).cast("string"), F.lit("_Q"), F.quarter(ts).cast("string"))
+
+
+def parse_closed_values(text: str) -> list[str]:
+    """Comma-separated closed-status values, trimmed, blanks dropped."""
+    return [v.strip() for v in text.split(",") if v.strip()]

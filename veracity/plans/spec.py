@@ -170,3 +170,37 @@ SCORE_CATEGORIES_ROOT = ("completeness", "consistency", "reasonableness", "data_
 
 __all__ = ["CheckSpec", "Policy", "POLICIES", "default_suite", "suite_v2", "suite_root",
            "SCORE_CATEGORIES_V5", "SCORE_CATEGORIES_ROOT"]
+
+
+# which checks cannot run with the columns and inputs at hand, and why.
+_CHECK_FIELDS = {
+    "closed_os_zero": ("claim_status", "total_os"),
+    "loss_within_policy": ("accident_date", "policy_start_date"),        # end date falls back to start + 1 year
+    "incurred_equals_paid_plus_os": ("total_incurred", "total_paid", "total_os"),
+    "missing_claims_from_prev_month": ("claim_number",),
+    "total_paid_non_decreasing_vs_prev": ("claim_number", "total_paid"),
+    "risk_policy_match": ("policy_number", "risk_policy_number"),
+}
+_FIELD_TYPES = {"not_null", "not_null_not_year_1900", "non_negative", "unique", "valid_date"}
+
+
+def auto_disable(specs: list[CheckSpec], mapped: set[str], previous_available: bool,
+                 reference_available: bool) -> tuple[list[CheckSpec], dict[str, str]]:
+    """Disable checks whose inputs are missing; returns the new suite and {check_id: reason}."""
+    out, reasons = [], {}
+    for s in specs:
+        reason = None
+        if s.type in ("missing_claims_from_prev_month", "total_paid_non_decreasing_vs_prev") and not previous_available:
+            reason = "Previous bdx month not available (MoM comparisons skipped)"
+        elif s.type == "risk_policy_match" and not reference_available:
+            reason = "Risk database not selected"
+        else:
+            need = (s.field,) if s.type in _FIELD_TYPES and s.field else _CHECK_FIELDS.get(s.type, ())
+            missing = [f for f in need if f not in mapped]
+            if missing:
+                reason = f"Missing/unmapped columns: {', '.join(missing)}"
+        if reason and s.enabled:
+            reasons[s.id] = reason
+            s = replace(s, enabled=False)
+        out.append(s)
+    return out, reasons
