@@ -97,5 +97,5 @@ def test_auto_disable_reasons():
     assert why["3.3"] == "Missing/unmapped columns: total_incurred, total_os"
     assert why["6.1"].startswith("Previous bdx month not available")
     assert why["8.1"] == "Risk database not selected"
-    assert {s.id for s in specs if s.enabled} == {"1.1", "1.2", "2.2"}
+    assert {s.id for s in specs if s.enabled} == {"1.1", "1.2", "2.2", "4.1"}
     assert parse_closed_values(" Closed, ,C ,") == ["Closed", "C"]
