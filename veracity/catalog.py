@@ -566,8 +566,7 @@ def _dq_scores_sql(res: str) -> str:
 
 def q_dq_scores(spark, sf):
     run = v5_run(spark, sf)
-    total = _cur(spark, sf).agg(F.count(F.lit(1)).alias("n"))
-    row = rp.dq_scores_row(run, "2024_Q1", RUN_TS, total)
+    row = rp.dq_scores_row(run, "2024_Q1", RUN_TS, run.total_records())
     return row.drop("run_timestamp", "source_database", "source_table", "bdx_month")
 
 

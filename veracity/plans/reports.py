@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions.text import category_label, pass_rate_text, points_text
+from veracity.plans import scoring as sc
 from veracity.plans.spec import SCORE_CATEGORIES_V5
 from veracity.plans.suite import SuiteRun
 
@@ -30,11 +31,11 @@ def _dec(c: Column) -> Column:
 
 # A10 + A17 "Summary"
 def summary_table(run: SuiteRun, quarter_id: str, total_records: DataFrame) -> DataFrame:
-    s = run.score()
-    return s.join(total_records, how="inner").select(
-        F.lit(quarter_id).alias("quarter_id"), "overall_score", "status",
-        F.col("n").alias("total_records"), "total_checks", "passed_checks", "warning_checks", "failed_checks",
-        "critical_issues_count")
+    """One aggregate over the check rows plus the one-row record count (unioned in, not joined)."""
+    rows = run.checks.unionByName(total_records, allowMissingColumns=True)
+    s = sc.with_status(rows.agg(*sc.score_aggs(run.policy), F.max("n").alias("total_records")), run.policy)
+    return s.select(F.lit(quarter_id).alias("quarter_id"), "overall_score", "status", "total_records",
+                    "total_checks", "passed_checks", "warning_checks", "failed_checks", "critical_issues_count")
 
 
 # A17 "Category Scores"
@@ -93,24 +94,20 @@ def failed_records_all(run: SuiteRun) -> DataFrame:
 def dq_scores_row(run: SuiteRun, quarter_id: str, run_timestamp: str, total_records: DataFrame,
                   categories: Sequence[str] = SCORE_CATEGORIES_V5, source_database: str | None = None,
                   source_table: str | None = None, bdx_month: str | None = None) -> DataFrame:
-    """One row per run with the category scores pivoted into fixed columns."""
-    cats = run.categories()
-    pivot = []
-    for cat in categories:
-        k = _key_name(cat)
-        pivot.append(_dec(F.max(F.when(F.col("category") == cat, F.col("percentage")))).alias(f"{k}_score"))
-        pivot.append(F.max(F.when(F.col("category") == cat, F.col("points_earned"))).alias(f"{k}_points"))
-    wide = cats.agg(*pivot)
-    s = run.score()
-    return (s.join(wide, how="inner").join(total_records, how="inner").select(
+    """One row per run with the category scores pivoted into fixed columns: a single aggregate over
+    the check rows and the one-row record count."""
+    rows = run.checks.unionByName(total_records, allowMissingColumns=True)
+    wide = sc.with_status(rows.agg(*sc.score_aggs(run.policy), *sc.category_aggs(categories),
+                                   F.max("n").alias("total_records")), run.policy)
+    return wide.select(
         F.lit(quarter_id).alias("quarter_id"),
         F.lit(run_timestamp).cast("timestamp_ntz").alias("run_timestamp"),
         F.lit(source_database).cast("string").alias("source_database"),
         F.lit(source_table).cast("string").alias("source_table"),
         F.lit(bdx_month).cast("string").alias("bdx_month"),
-        F.col("n").alias("total_records"), _dec(F.col("overall_score")).alias("overall_score"), "status",
+        "total_records", _dec(F.col("overall_score")).alias("overall_score"), "status",
         *[c for cat in categories for c in (f"{_key_name(cat)}_score", f"{_key_name(cat)}_points")],
-        "total_checks", "passed_checks", "warning_checks", "failed_checks", "critical_issues_count"))
+        "total_checks", "passed_checks", "warning_checks", "failed_checks", "critical_issues_count")
 
 
 # S10
@@ -149,9 +146,11 @@ def existing_run(scores: DataFrame, quarter_id: str) -> DataFrame:
 
 # S13
 def results_json(run: SuiteRun) -> DataFrame:
-    """The run as one JSON document: score fields plus the list of check results."""
-    checks = run.checks.agg(F.sort_array(F.collect_list(F.struct(*run.checks.columns))).alias("checks"))
-    return run.score().join(checks, how="inner").select(F.to_json(F.struct("*")).alias("results_json"))
+    """The run as one JSON document: score fields plus the list of check results (one aggregate;
+    the list is bounded by the suite's size)."""
+    doc = run.checks.agg(*sc.score_aggs(run.policy),
+                         F.sort_array(F.collect_list(F.struct(*run.checks.columns))).alias("checks"))
+    return sc.with_status(doc, run.policy).select(F.to_json(F.struct("*")).alias("results_json"))
 
 
 # A19

@@ -112,10 +112,12 @@ def _is_risk(c: Column) -> Column:
     return c.isin("risk_policy_match")
 
 
-# A7 / A8 / A9 / A10 / A11 / A13
-def run_score(checks: DataFrame, policy: Policy) -> DataFrame:
-    """One row: overall score, status, summary counts, critical issues and the risk flag."""
+# A7 / A8 / A10 / A11 / A13
+def score_aggs(policy: Policy) -> list[Column]:
+    """Aggregates over check-result rows: overall score, summary counts, critical issues, risk flag.
+    Rows without a check_id (other one-row inputs unioned in) are ignored."""
     pe, pp = F.col("points_earned"), F.col("points_possible")
+    is_check = F.col("check_id").isNotNull()
     risk = _is_risk(F.col("check_type"))
     if policy.overall_rule == "sum":
         overall = F.coalesce(F.sum(pe), F.lit(0.0))
@@ -124,29 +126,51 @@ def run_score(checks: DataFrame, policy: Policy) -> DataFrame:
         possible = F.sum(F.when(~risk, pp))
         overall = F.when(possible > 0, earned / possible * 100.0).otherwise(0.0)
     if policy.summary_rule == "v5":
-        total = F.count(F.lit(1))
+        total = F.count_if(is_check)
         passed = F.count_if((pp > 0) & (pe == pp))
         failed = F.count_if((pp > 0) & (pe != pp) & (pe == 0))
         warn = F.count_if((pp > 0) & (pe != pp) & (pe != 0))
         critical = F.lit(0)
     elif policy.summary_rule == "root":
-        total = F.count(F.lit(1))
+        total = F.count_if(is_check)
         passed = F.count_if(pe == pp)
         warn = F.count_if((pe != pp) & (pe > 0))
         failed = F.count_if((pe != pp) & ~(pe > 0))
         critical = F.count_if((pe != pp) & ~(pe > 0) & (F.col("priority") == "critical"))
     else:
-        total = F.count_if(~risk)
+        total = F.count_if(is_check & ~risk)
         passed = F.count_if(~risk & (pe == pp))
         failed = F.count_if(~risk & (pe == 0))
         warn = total - passed - failed
         critical = F.lit(0)
     risk_ok = F.coalesce(F.max(F.when(risk, F.col("pass_rate") == 100.0)), F.lit(False))
-    out = checks.agg(overall.cast("double").alias("overall_score"),
-                     total.cast("long").alias("total_checks"), passed.cast("long").alias("passed_checks"),
-                     warn.cast("long").alias("warning_checks"), failed.cast("long").alias("failed_checks"),
-                     critical.cast("long").alias("critical_issues_count"), risk_ok.alias("risk_match_ok"))
-    return out.withColumn("status", status_band(F.col("overall_score"), policy.status_bands))
+    return [overall.cast("double").alias("overall_score"),
+            total.cast("long").alias("total_checks"), passed.cast("long").alias("passed_checks"),
+            warn.cast("long").alias("warning_checks"), failed.cast("long").alias("failed_checks"),
+            critical.cast("long").alias("critical_issues_count"), risk_ok.alias("risk_match_ok")]
+
+
+# A9
+def with_status(scores: DataFrame, policy: Policy) -> DataFrame:
+    return scores.withColumn("status", status_band(F.col("overall_score"), policy.status_bands))
+
+
+def run_score(checks: DataFrame, policy: Policy) -> DataFrame:
+    """One row: overall score, status, summary counts, critical issues and the risk flag."""
+    return with_status(checks.agg(*score_aggs(policy)), policy)
+
+
+def category_aggs(categories) -> list[Column]:
+    """Per-category percentage and earned points as fixed columns (a pivot with known values)."""
+    out = []
+    for cat in categories:
+        key = cat.lower().replace("-", "_").replace(" ", "_")
+        hit = F.col("category") == cat
+        earned, possible = F.sum(F.when(hit, F.col("points_earned"))), F.sum(F.when(hit, F.col("points_possible")))
+        pct = F.when(possible > 0, earned / possible * 100.0).when(possible.isNotNull(), 0.0)
+        out.append(pct.cast("decimal(5,2)").alias(f"{key}_score"))
+        out.append(earned.alias(f"{key}_points"))
+    return out
 
 
 def critical_issues(checks: DataFrame) -> DataFrame:

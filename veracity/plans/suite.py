@@ -133,6 +133,14 @@ class SuiteRun:
     previous: DataFrame | None
     risk: DataFrame | None
     row_checks: dict[str, rc.RowCheck]
+    fused: DataFrame | None = None
+
+    def total_records(self) -> DataFrame:
+        """One row ``n``: the current snapshot's row count, taken from the fused row-check aggregate
+        (the same subplan, so the scan is shared rather than repeated)."""
+        if self.fused is not None:
+            return self.fused.select("n")
+        return self.current.agg(F.count(F.lit(1)).alias("n"))
 
     def categories(self) -> DataFrame:
         return scoring.category_scores(self.checks)
@@ -295,7 +303,7 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
     checks = reduce(DataFrame.unionByName, parts)
     checks = checks.withColumn("status", scoring.check_status(F.col("points_earned"), F.col("points_possible")))
     return SuiteRun(checks.select(*RESULT_COLUMNS), policy, list(specs), current, previous, risk,
-                    {spec.id: chk for spec, chk in row_slots.values()})
+                    {spec.id: chk for spec, chk in row_slots.values()}, fused)
 
 
 CLAIM_KEY, PAID = "claim_number", "total_paid"

@@ -44,8 +44,8 @@ def validate_batch(batch: DataFrame, batch_id: int, *, history_path: str, result
             run = run_suite(list(specs), policy, cur.drop(snapshot_col),
                             prev.drop(snapshot_col) if prev is not None else None, risk, closed_values, as_of_year)
             label = str(v)
-            total = cur.agg(F.count(F.lit(1)).alias("n"))
-            scores = rp.dq_scores_row(run, label, stamp, total, bdx_month=label).withColumn("batch_id", F.lit(batch_id))
+            scores = rp.dq_scores_row(run, label, stamp, run.total_records(), bdx_month=label) \
+                .withColumn("batch_id", F.lit(batch_id))
             checks = rp.dq_check_results(run, label, stamp).withColumn("batch_id", F.lit(batch_id))
             rp.append(scores, os.path.join(results_path, "dq_scores"))
             rp.append(checks, os.path.join(results_path, "dq_check_results"))
