@@ -127,11 +127,12 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
     both = (cur.withColumn("n_prev", F.lit(0)).unionByName(prev.withColumn("n_cur", F.lit(0)))
                .where(F.col("v").isNotNull())
                .groupBy("k", "v").agg(F.sum("n_cur").alias("n_cur"), F.sum("n_prev").alias("n_prev")))
+    # bucket cuts from a one-column, shuffle-free sketch over the raw paid values (a tree aggregate)
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(both.approxQuantile("v", probs, 0.001))) if probs else []
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda x: x < F.col("v"))) \
-        if cuts else F.lit(0)
-    both = both.withColumn("b", bucket)
+    values = current.select(_num(current, paid).alias("v")).unionByName(
+        previous.select(_num(previous, paid).alias("v")))
+    cuts = sorted(set(values.approxQuantile("v", probs, 0.001))) if probs else []
+    both = both.withColumn("b", F.expr(_bucket_sql(cuts, "v")))
     below = (both.groupBy("k", "b").agg(F.sum("n_prev").alias("nb"))
                  .withColumn("prev_below", F.coalesce(F.sum("nb").over(
                      Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -144,6 +145,17 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
     return _result(parts, F.sum("pairs"), F.sum("ok"))
 
 
+def _bucket_sql(cuts: list[float], col: str) -> str:
+    """Number of cuts strictly below ``col`` as a balanced CASE tree: log2(len(cuts)) comparisons per
+    row, all inside whole-stage codegen (a higher-order ``filter`` over the cuts would be interpreted)."""
+    def node(lo: int, hi: int) -> str:
+        if lo == hi:
+            return str(lo)
+        mid = (lo + hi) // 2
+        return f"CASE WHEN {col} > CAST({cuts[mid]!r} AS DOUBLE) THEN {node(mid + 1, hi)} ELSE {node(lo, mid)} END"
+    return node(0, len(cuts))
+
+
 def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,
                 unique_keep: str = "none") -> DataFrame:
     """Uniqueness (J1/J2), missing keys (J3) and paid-not-decreasing (J4) from ONE grouping per
