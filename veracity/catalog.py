@@ -752,6 +752,63 @@ def _auto_disabled_sql():
 REGISTRY["suite_auto_disabled"] = (q_suite_auto_disabled, _auto_disabled_sql())
 
 
+# The nested declarative configuration of the fixed gross/net suite
+# (ids, names, check types, formulas, bounds, priorities, points and scoring maps).
+ROOT_DECLARED_CONFIG = {"validation_checks": {
+    "completeness": {"critical_fields": [
+        {"id": "1.1", "name": "Policy Number Complete", "field": "policy_number", "check_type": "not_null",
+         "priority": "critical", "points": 3, "scoring": {100: 3, "default": 0}},
+        {"id": "1.2", "name": "Claim Number Complete", "field": "claim_number", "check_type": "not_null",
+         "priority": "critical", "points": 3, "scoring": {100: 3, "default": 0}}]},
+    "consistency": {"financial": [
+        {"id": "2.1", "name": "Gross Incurred Formula", "check_type": "formula",
+         "formula": "gross_incurred = gross_paid + gross_estimate", "tolerance": 1, "priority": "critical",
+         "points": 3, "scoring": {98: 3, 95: 2, 90: 1, "default": 0}},
+        {"id": "2.3", "name": "Net <= Gross Relationship", "check_type": "comparison",
+         "comparisons": ["net_paid <= gross_paid", "net_incurred <= gross_incurred"], "priority": "critical",
+         "points": 3, "scoring": {99: 3, 97: 2, 95: 1, "default": 0}}]},
+    "reasonableness": {"value_ranges": [
+        {"id": "3.1", "name": "Non-Negative Financial Values", "check_type": "range",
+         "fields": ["gross_paid", "gross_incurred", "net_paid", "net_incurred"], "min_value": 0,
+         "priority": "critical", "points": 3, "scoring": {99.5: 3, 99: 2, 98: 1, "default": 0}},
+        {"id": "3.2", "name": "Accident Year Reasonable Range", "check_type": "range", "field": "accident_year",
+         "min_value": "current_year - 15", "max_value": "current_year", "priority": "high", "points": 2,
+         "scoring": {99.9: 2, 99: 1, "default": 0}}]},
+    "data_quality": {
+        "duplicates": [
+            {"id": "4.1", "name": "Unique Claim Numbers", "check_type": "duplicates", "field": "claim_number",
+             "priority": "critical", "points": 3, "scoring": {100: 3, 99: 2, 97: 1, "default": 0}}],
+        "format": [
+            {"id": "4.3", "name": "Valid Date Formats", "check_type": "date_format",
+             "fields": ["accident_date", "notification_date"], "priority": "high", "points": 2,
+             "scoring": {100: 2, 99: 1, "default": 0}}]},
+    "temporal_logic": {"date_sequence": [
+        {"id": "5.2", "name": "Accident Before Notification", "check_type": "date_comparison",
+         "comparison": "accident_date <= notification_date", "priority": "critical", "points": 3,
+         "scoring": {98: 3, 95: 2, 92: 1, "default": 0}},
+        {"id": "5.6", "name": "Accident Year Matches Date", "check_type": "custom",
+         "function": "check_ay_matches_date", "priority": "high", "points": 2,
+         "scoring": {99.9: 2, 99: 1, "default": 0}}]},
+}}
+
+_DECLARED_COLS = ["check_id", "category", "points_possible", "total", "passed", "failed", "pass_rate",
+                  "points_earned", "status"]
+
+
+def q_suite_root_declared(spark, sf):
+    """The fixed gross/net suite driven by its declarative configuration (formula, comparison and
+    range strings evaluated as Spark SQL predicates); same results as the hard-coded suite."""
+    from veracity.plans.config import specs_from_config
+    specs = specs_from_config(ROOT_DECLARED_CONFIG, AS_OF_YEAR)
+    run = run_suite(specs, POLICIES["root"], fx.claims_root(spark, sf), as_of_year=AS_OF_YEAR)
+    return run.checks.select(*_DECLARED_COLS)
+
+
+_decl_body = O.suite_sql(suite_root(AS_OF_YEAR), POLICIES["root"], "claims_root", None, None, AS_OF_YEAR)
+REGISTRY["suite_root_declared"] = (q_suite_root_declared, O.with_fixtures(
+    f"select {', '.join(_DECLARED_COLS)} from ({_decl_body})", "claims_root"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 

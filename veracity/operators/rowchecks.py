@@ -168,6 +168,34 @@ def year_in_range(cols: Cols, field: str, as_of_year: int, span: int = 15) -> Ro
     return RowCheck(F.lit(True), F.coalesce(y.between(as_of_year - span, as_of_year), F.lit(False)))
 
 
+def value_range(cols: Cols, field: str, low: float | None, high: float | None) -> RowCheck:
+    """low <= value <= high (either bound optional); null fails."""
+    if (m := _missing(cols, field)):
+        return m
+    x = cols.num(field)
+    ok = F.lit(True)
+    if low is not None:
+        ok = ok & (x >= float(low))
+    if high is not None:
+        ok = ok & (x <= float(high))
+    return RowCheck(F.lit(True), F.coalesce(ok, F.lit(False)))
+
+
+def values_in_range_all(cols: Cols, fields: Sequence[str], low: float | None, high: float | None) -> RowCheck:
+    """Every present field is null or within [low, high]; absent fields are skipped."""
+    ok = F.lit(True)
+    for f in fields:
+        if cols.has(f):
+            x = cols.num(f)
+            inside = F.lit(True)
+            if low is not None:
+                inside = inside & (x >= float(low))
+            if high is not None:
+                inside = inside & (x <= float(high))
+            ok = ok & (x.isNull() | inside)
+    return RowCheck(F.lit(True), ok)
+
+
 # K8
 def closed_os_zero(cols: Cols, status_field: str, os_field: str, closed_values: Sequence[object],
                    match: str = "word", os_null: str = "fail") -> RowCheck:

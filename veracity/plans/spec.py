@@ -32,6 +32,8 @@ class CheckSpec:
     scope: str | None = None
     risk_key: str | None = None
     as_of_year: int | None = None
+    bounds: tuple[float | None, float | None] = (None, None)   # 'range' checks
+    empty_rate: float = 0.0                                      # 'expression' checks with an empty scope
 
 
 @dataclass(frozen=True)

@@ -88,7 +88,15 @@ def row_check(spec: CheckSpec, policy: Policy, cols: rc.Cols, closed_values: Seq
     if t == "year_matches_date":
         return rc.year_matches_date(cols, *(spec.fields or ("accident_year", "accident_date")))
     if t == "expression":
-        return rc.expression(cols, spec.predicate, spec.scope)
+        if (gone := cols.absent(*spec.fields)):
+            return rc.RowCheck(F.lit(True), F.lit(False), missing=gone)
+        scope = spec.scope or (" and ".join(f"`{f}` is not null" for f in spec.fields) or None)
+        return rc.expression(cols, spec.predicate, scope, spec.empty_rate)
+    if t == "range":
+        lo, hi = spec.bounds
+        if spec.fields:
+            return rc.values_in_range_all(cols, spec.fields, lo, hi)
+        return rc.value_range(cols, spec.field, lo, hi)
     return None
 
 
@@ -187,7 +195,7 @@ def rc_types_with_rows() -> set[str]:
     return {"not_null", "not_null_not_year_1900", "non_negative", "non_negative_all", "valid_date",
             "valid_dates_all", "year_in_range", "closed_os_zero", "loss_within_policy",
             "incurred_equals_paid_plus_os", "gross_formula", "net_within_gross", "date_sequence",
-            "year_matches_date", "expression"}
+            "year_matches_date", "expression", "range"}
 
 
 def _key_result(spec: CheckSpec, policy: Policy, current: DataFrame, previous: DataFrame | None,
