@@ -809,6 +809,46 @@ REGISTRY["suite_root_declared"] = (q_suite_root_declared, O.with_fixtures(
     f"select {', '.join(_DECLARED_COLS)} from ({_decl_body})", "claims_root"))
 
 
+# ---- every snapshot in one job (A19 at scale) ---------------------------------------------------------
+
+def _history_checks(spark, sf):
+    from veracity.plans.history import run_suite_by_snapshot
+    return run_suite_by_snapshot(default_suite(include_risk=True), POLICIES["v5"], fx.claims_history(spark, sf),
+                                 "bdx_month", fx.risk_table(spark, sf), ["Closed"], AS_OF_YEAR)
+
+
+def _history_sql(select: str) -> str:
+    specs = default_suite(include_risk=True)
+    jan = O.suite_sql(specs, POLICIES["v5"], "claims_prev", None, "risk", AS_OF_YEAR)
+    feb = O.suite_sql(specs, POLICIES["v5"], "claims_cur", "claims_prev", "risk", AS_OF_YEAR)
+    runs = (f"select '1998-01-01 00:00:00' as snapshot, * from ({jan}) "
+            f"union all select '1998-02-01 00:00:00' as snapshot, * from ({feb})")
+    return O.with_fixtures(select.format(runs=runs), "claims_cur", "claims_prev", "risk")
+
+
+REGISTRY["suite_by_snapshot"] = (
+    lambda spark, sf: ts_text(_history_checks(spark, sf)).select("snapshot", *SUITE_COLS),
+    _history_sql("select snapshot, " + ", ".join(SUITE_COLS) + " from ({runs})"))
+
+
+def q_score_by_snapshot(spark, sf):
+    from veracity.plans.history import scores_by_snapshot
+    s = scores_by_snapshot(_history_checks(spark, sf), POLICIES["v5"])
+    return ts_text(s).select("snapshot", "overall_score", "status", "total_checks", "passed_checks",
+                             "previous_score", "score_change")
+
+
+REGISTRY["score_by_snapshot"] = (q_score_by_snapshot, _history_sql(
+    "select snapshot, overall_score, status, total_checks, passed_checks, "
+    "lag(overall_score) over (order by snapshot) as previous_score, "
+    "overall_score - lag(overall_score) over (order by snapshot) as score_change from ("
+    "select snapshot, sum(points_earned) as overall_score, count(*) as total_checks, "
+    "count(*) filter (where points_possible > 0 and points_earned = points_possible) as passed_checks, "
+    "case when sum(points_earned) >= 95 then 'EXCELLENT' when sum(points_earned) >= 85 then 'GOOD' "
+    "when sum(points_earned) >= 75 then 'FAIR' when sum(points_earned) >= 65 then 'POOR' else 'CRITICAL' end "
+    "as status from ({runs}) group by snapshot)"))
+
+
 def queries() -> dict[str, Query]:
     return {k: v[0] for k, v in REGISTRY.items()}
 
