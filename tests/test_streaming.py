@@ -32,3 +32,11 @@ def test_arrivals_validated_and_appended(spark):
     assert second.failed_records_json.startswith("[")
     assert rp.existing_run(scores, second.quarter_id).collect()[0].run_exists
     assert spark.read.parquet(hist).count() == claims.count()
+    # replaying the same micro-batch overwrites its own output instead of adding a copy
+    from veracity.streaming.arrivals import validate_batch
+    batch_id = scores.select("batch_id").first()[0]
+    replay = spark.read.parquet(hist).where(F.col("batch_id") == batch_id).drop("batch_id")
+    validate_batch(replay, batch_id, history_path=hist, results_path=res, specs=default_suite(),
+                   policy=POLICIES["v5"], closed_values=["Closed"], as_of_year=2002)
+    assert spark.read.parquet(res + "/dq_scores").count() == 2
+    assert spark.read.parquet(hist).count() == claims.count()

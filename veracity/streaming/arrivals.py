@@ -23,6 +23,13 @@ def _read_history(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _write_batch(df: DataFrame, path: str, partitions: list[str]) -> None:
+    """Idempotent per micro-batch: a replayed batch (after a failure) overwrites exactly the
+    partitions it wrote before, never appends a second copy."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+       .partitionBy(*partitions).parquet(path))
+
+
 def validate_batch(batch: DataFrame, batch_id: int, *, history_path: str, results_path: str,
                    specs: Sequence[CheckSpec], policy: Policy, snapshot_col: str = "bdx_month",
                    risk: DataFrame | None = None, closed_values: Sequence[str] | None = None,
@@ -35,6 +42,8 @@ def validate_batch(batch: DataFrame, batch_id: int, *, history_path: str, result
         values = [r[0] for r in batch.select(snapshot_col).where(F.col(snapshot_col).isNotNull())
                   .distinct().orderBy(snapshot_col).collect()]
         history = _read_history(spark, history_path)
+        if history is not None:
+            history = history.where(F.col("batch_id") != batch_id).drop("batch_id")   # a replay sees no copy of itself
         everything = batch if history is None else history.unionByName(batch, allowMissingColumns=True)
         stamp = run_timestamp or "1970-01-01 00:00:00"
         for v in values:
@@ -47,10 +56,11 @@ def validate_batch(batch: DataFrame, batch_id: int, *, history_path: str, result
             scores = rp.dq_scores_row(run, label, stamp, run.total_records(), bdx_month=label) \
                 .withColumn("batch_id", F.lit(batch_id))
             checks = rp.dq_check_results(run, label, stamp).withColumn("batch_id", F.lit(batch_id))
-            rp.append(scores, os.path.join(results_path, "dq_scores"))
-            rp.append(checks, os.path.join(results_path, "dq_check_results"))
-            rp.append(rp.dq_issues(checks), os.path.join(results_path, "dq_issues"))
-        batch.write.mode("append").partitionBy(snapshot_col).parquet(history_path)
+            _write_batch(scores, os.path.join(results_path, "dq_scores"), ["quarter_id", "batch_id"])
+            _write_batch(checks, os.path.join(results_path, "dq_check_results"), ["quarter_id", "batch_id"])
+            _write_batch(rp.dq_issues(checks).withColumn("batch_id", F.lit(batch_id)),
+                         os.path.join(results_path, "dq_issues"), ["quarter_id", "batch_id"])
+        _write_batch(batch.withColumn("batch_id", F.lit(batch_id)), history_path, [snapshot_col, "batch_id"])
     finally:
         batch.unpersist()
 
