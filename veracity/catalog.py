@@ -640,6 +640,34 @@ REGISTRY["report_filter"] = (
                     f"and category in ('Logical', 'Risk')", *_fix))
 
 
+_SUMMARY_COLS = ["total_checks", "passed_checks", "warning_checks", "failed_checks", "critical_issues_count"]
+REGISTRY["summary_counts"] = (
+    lambda s, f: v5_run(s, f).score().select(*_SUMMARY_COLS),
+    O.with_fixtures(f"select {', '.join(_SUMMARY_COLS)} from ({O.score_sql(f'({_body})', POLICIES['v5'])})", *_fix))
+
+
+def q_report_summary(spark, sf):
+    run = v5_run(spark, sf)
+    return rp.summary_table(run, "2024_Q1", run.total_records())
+
+
+REGISTRY["report_summary"] = (q_report_summary, O.with_fixtures(
+    f"select '2024_Q1' as quarter_id, s.overall_score, s.status, n.n as total_records, s.total_checks, "
+    f"s.passed_checks, s.warning_checks, s.failed_checks, s.critical_issues_count "
+    f"from ({O.score_sql(f'({_body})', POLICIES['v5'])}) s, (select count(*) as n from claims_cur) n", *_fix))
+
+_LABEL_SQL = ("array_to_string(list_transform(string_split(lower(replace(category, '_', ' ')), ''), "
+              "lambda x, i: case when i = 1 or not regexp_matches(string_split(lower(replace(category, '_', ' ')), "
+              "'')[i - 1], '^[[:alpha:]]$') then upper(x) else x end), '')")
+REGISTRY["report_categories"] = (
+    lambda s, f: rp.category_table(root_run(s, f)),
+    O.with_fixtures(
+        f"select {_LABEL_SQL} as category, case when sum(points_possible) > 0 then "
+        f"sum(points_earned) / sum(points_possible) * 100.0 else 0 end as percentage, "
+        f"sum(points_earned) as points_earned, sum(points_possible) as points_possible "
+        f"from ({_rbody}) group by category", *_rfix))
+
+
 def q_score_trend(spark, sf):
     """Two runs (January without a previous snapshot, February against January) and their trend."""
     jan = run_suite(default_suite(), POLICIES["v5"], _prev(spark, sf), None, None, ["Closed"], AS_OF_YEAR)
