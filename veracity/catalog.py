@@ -604,7 +604,12 @@ def q_failed_records_json(spark, sf):
     return rp.failed_records_json(run, "6.1")
 
 
-REGISTRY["failed_records_json"] = (q_failed_records_json, None)
+REGISTRY["failed_records_json"] = (q_failed_records_json, O.with_fixtures(
+    "select '6.1' as check_id, cast(to_json(list(claim_number order by claim_number)) as varchar) "
+    "as failed_records_json from "
+    "(select claim_number from (select distinct claim_number from claims_prev where claim_number is not null "
+    "except select distinct claim_number from claims_cur) order by claim_number limit 100)",
+    "claims_cur", "claims_prev"))
 
 
 def q_existing_run(spark, sf):
