@@ -436,6 +436,7 @@ def _suite_query(name: str, policy_name: str, run_fn, prev=True, risk=True, clos
 
 _suite_query("suite_v5", "v5", v5_run)
 _suite_query("suite_v4", "v4", lambda s, f: v5_run(s, f, policy="v4"))
+_suite_query("suite_v0", "v0", lambda s, f: v5_run(s, f, policy="v0"))
 _suite_query("suite_v3", "v3", lambda s, f: v5_run(s, f, policy="v3"))
 _suite_query("suite_v1", "v1", lambda s, f: v5_run(s, f, policy="v1"))
 _suite_query("suite_v2", "v2", v2_run, closed=[" Closed ", "RE-CLOSED"])
