@@ -3,7 +3,6 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import functions as F
 
 from veracity.plans.spec import POLICIES, default_suite
 from veracity.plans.suite import run_suite

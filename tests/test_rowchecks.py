@@ -3,7 +3,6 @@ import datetime as dt
 import math
 
 import pytest
-from pyspark.sql import types as T
 
 from veracity.operators import rowchecks as rc
 from veracity.catalog import check_frame

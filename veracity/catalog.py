@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ from veracity.operators import premium as pm
 from veracity.operators import rowchecks as rc
 from veracity.plans import reports as rp
 from veracity.plans import scoring as sc
-from veracity.plans.spec import POLICIES, SCORE_CATEGORIES_ROOT, default_suite, suite_root, suite_v2
+from veracity.plans.spec import POLICIES, default_suite, suite_root, suite_v2
 from veracity.plans.suite import SuiteRun, run_suite
 from veracity.sources import fixtures as fx
 from veracity.sources import snapshots as sn
