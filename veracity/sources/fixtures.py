@@ -23,51 +23,44 @@ def _ts(text: str) -> Column:
     return F.lit(text).cast("timestamp_ntz")
 
 
-def _mod(c: str, m: int) -> Column:
-    return F.col(c) % m == 0
-
-
-def _lineitem_orders(spark: SparkSession, sf_dir: str, cols: list[str]) -> DataFrame:
+def _lineitem_orders(spark: SparkSession, sf_dir: str, cols: list[str], where: str | None = None) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem").select(*cols)
+    if where:
+        li = li.where(where)
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
+# Each view is one projection written as SQL text: the JVM parses it once, instead of Python building
+# every CASE branch through the gateway.
+_CLAIMS_SELECT = [
+    "CASE WHEN l_orderkey % 101 = 0 THEN NULL WHEN l_orderkey % 103 = 0 THEN '  ' "
+    "ELSE concat('P', CAST(o_custkey AS STRING)) END AS policy_number",
+    "CASE WHEN l_orderkey % 211 = 0 THEN NULL "
+    "ELSE concat('C', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) END AS claim_number",
+    "CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE l_shipdate END AS accident_date",
+    "CASE l_returnflag WHEN 'R' THEN ' Closed ' WHEN 'A' THEN 'RE-CLOSED' ELSE CASE WHEN l_suppkey % 7 = 0 THEN NULL "
+    "WHEN l_suppkey % 5 = 0 THEN 'Disclosed' ELSE 'Open' END END AS claim_status",
+    "CASE WHEN l_partkey % 89 = 0 THEN TIMESTAMP_NTZ '1900-01-01 00:00:00' WHEN l_partkey % 83 = 0 THEN NULL "
+    "ELSE o_orderdate END AS uw_date",
+    "o_orderdate AS policy_start_date",
+    "CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE o_orderdate + INTERVAL '1' YEAR END AS policy_end_date",
+    "CAST(CASE WHEN l_partkey % 79 = 0 THEN -1.0D ELSE {paid} + CASE WHEN l_returnflag = 'N' THEN l_linenumber "
+    "ELSE 0 END + CASE WHEN l_suppkey % 13 = 0 THEN 7.5D ELSE 0.0D END END AS DOUBLE) AS total_incurred",
+    "CAST({paid} AS DOUBLE) AS total_paid",
+    "CASE WHEN l_returnflag = 'N' THEN CAST(l_linenumber AS DOUBLE) WHEN l_partkey % 71 = 0 THEN NULL "
+    "WHEN l_partkey % 73 = 0 THEN 3.0D ELSE 0.0D END AS total_os",
+]
+
+
 def claims_snapshot(spark: SparkSession, sf_dir: str, current: bool = True) -> DataFrame:
     """One monthly claims snapshot (current = Feb 1998 cut-off, previous = Jan 1998)."""
     cutoff = CURRENT_BDX if current else PREVIOUS_BDX
-    li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
-    cond = F.col("l_shipdate") < _ts(cutoff)
-    if current:
-        cond = cond & (F.col("l_suppkey") % 50 != 0)
-    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    j = li.where(cond).join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    paid = F.col("l_quantity")
-    if current:
-        paid = F.when(_mod("l_partkey", 40), 0.5).otherwise(1.0) * F.col("l_quantity")
-    open_or = (F.when(_mod("l_suppkey", 7), None).when(_mod("l_suppkey", 5), "Disclosed").otherwise("Open"))
-    return j.select(
-        F.when(_mod("l_orderkey", 101), None).when(_mod("l_orderkey", 103), "  ")
-         .otherwise(F.concat(F.lit("P"), F.col("o_custkey").cast("string"))).alias("policy_number"),
-        F.when(_mod("l_orderkey", 211), None)
-         .otherwise(F.concat(F.lit("C"), F.col("l_orderkey").cast("string"), F.lit("-"),
-                             F.col("l_linenumber").cast("string"))).alias("claim_number"),
-        F.when(_mod("l_partkey", 97), None).otherwise(F.col("l_shipdate")).alias("accident_date"),
-        F.when(F.col("l_returnflag") == "R", " Closed ").when(F.col("l_returnflag") == "A", "RE-CLOSED")
-         .otherwise(open_or).alias("claim_status"),
-        F.when(_mod("l_partkey", 89), _ts("1900-01-01 00:00:00")).when(_mod("l_partkey", 83), None)
-         .otherwise(F.col("o_orderdate")).alias("uw_date"),
-        F.col("o_orderdate").alias("policy_start_date"),
-        F.when(_mod("l_suppkey", 11), None)
-         .otherwise(F.col("o_orderdate") + F.make_ym_interval(F.lit(1), F.lit(0))).alias("policy_end_date"),
-        F.when(_mod("l_partkey", 79), -1.0)
-         .otherwise(paid + F.when(F.col("l_returnflag") == "N", F.col("l_linenumber")).otherwise(0)
-                    + F.when(_mod("l_suppkey", 13), 7.5).otherwise(0.0)).cast("double").alias("total_incurred"),
-        paid.cast("double").alias("total_paid"),
-        F.when(F.col("l_returnflag") == "N", F.col("l_linenumber").cast("double"))
-         .when(_mod("l_partkey", 71), None).when(_mod("l_partkey", 73), 3.0).otherwise(0.0).alias("total_os"),
-    )
+    where = f"l_shipdate < TIMESTAMP_NTZ '{cutoff}'" + (" AND l_suppkey % 50 <> 0" if current else "")
+    paid = "CASE WHEN l_partkey % 40 = 0 THEN 0.5D ELSE 1.0D END * l_quantity" if current else "l_quantity"
+    j = _lineitem_orders(spark, sf_dir, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+                                         "l_returnflag", "l_shipdate"], where)
+    return j.selectExpr(*[e.format(paid=paid) for e in _CLAIMS_SELECT])
 
 
 def claims_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,57 +74,51 @@ def claims_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gross/net claims for the fixed root suite."""
     j = _lineitem_orders(spark, sf_dir, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                                          "l_tax", "l_discount", "l_shipdate"])
-    q10 = F.col("l_quantity") * 10
-    return j.select(
-        F.when(_mod("l_orderkey", 101), None)
-         .otherwise(F.concat(F.lit("P"), F.col("o_custkey").cast("string"))).alias("policy_number"),
-        F.concat(F.lit("C"), F.col("l_orderkey").cast("string"), F.lit("-"),
-                 F.col("l_linenumber").cast("string")).alias("claim_number"),
-        F.when(_mod("l_partkey", 61), None).otherwise(F.col("l_shipdate")).alias("accident_date"),
-        F.when(_mod("l_partkey", 53), 1970).when(_mod("l_partkey", 59), None)
-         .otherwise(F.year("l_shipdate")).cast("int").alias("accident_year"),
-        (F.col("o_orderdate") + F.make_dt_interval(F.lit(365))).alias("notification_date"),
-        q10.alias("gross_paid"),
-        (F.col("l_tax") * 1000).alias("gross_estimate"),
-        (q10 + F.col("l_tax") * 1000 + F.when(_mod("l_suppkey", 13), 2.5).otherwise(0.0)).alias("gross_incurred"),
-        F.when(_mod("l_partkey", 67), q10 + 1).when(_mod("l_partkey", 71), -1.0)
-         .otherwise(q10 * (1 - F.col("l_discount"))).alias("net_paid"),
-        F.when(_mod("l_partkey", 73), None).otherwise(q10).alias("net_incurred"),
+    return j.selectExpr(
+        "CASE WHEN l_orderkey % 101 = 0 THEN NULL ELSE concat('P', CAST(o_custkey AS STRING)) END AS policy_number",
+        "concat('C', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS claim_number",
+        "CASE WHEN l_partkey % 61 = 0 THEN NULL ELSE l_shipdate END AS accident_date",
+        "CAST(CASE WHEN l_partkey % 53 = 0 THEN 1970 WHEN l_partkey % 59 = 0 THEN NULL ELSE year(l_shipdate) END "
+        "AS INT) AS accident_year",
+        "o_orderdate + INTERVAL '365' DAY AS notification_date",
+        "l_quantity * 10 AS gross_paid",
+        "l_tax * 1000 AS gross_estimate",
+        "l_quantity * 10 + l_tax * 1000 + CASE WHEN l_suppkey % 13 = 0 THEN 2.5D ELSE 0.0D END AS gross_incurred",
+        "CASE WHEN l_partkey % 67 = 0 THEN l_quantity * 10 + 1 WHEN l_partkey % 71 = 0 THEN -1.0D "
+        "ELSE l_quantity * 10 * (1 - l_discount) END AS net_paid",
+        "CASE WHEN l_partkey % 73 = 0 THEN NULL ELSE l_quantity * 10 END AS net_incurred",
     )
 
 
 def risk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference policies (customers with a non-negative balance) and their written premium."""
-    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").where(F.col("c_acctbal") >= 0)
-    return c.select(
-        F.concat(F.lit("P"), F.col("c_custkey").cast("string")).alias("risk_policy_number"),
-        F.when(_mod("c_custkey", 17), 0.0).otherwise(F.col("c_acctbal") * 5).alias("gwp"),
-    )
+    c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal").where("c_acctbal >= 0")
+    return c.selectExpr("concat('P', CAST(c_custkey AS STRING)) AS risk_policy_number",
+                        "CASE WHEN c_custkey % 17 = 0 THEN 0.0D ELSE c_acctbal * 5 END AS gwp")
 
 
 def premium_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Property rating inputs, one row per part; building premium arrives as text."""
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", "p_retailprice")
-    k = F.col("p_partkey")
-    return p.select(
-        F.concat(F.lit("PC"), F.col("p_size").cast("string")).alias("postcode"),
-        F.concat(F.col("p_brand"), F.lit(" "), k.cast("string")).alias("address"),
-        (k % 10).cast("double").alias("flood_score"),
-        (k % 9).cast("double").alias("theft"),
-        F.when(_mod("p_partkey", 31), None).otherwise((k % 12).cast("double")).alias("subsidence"),
-        F.when(_mod("p_partkey", 37), "n/a").otherwise(F.col("p_retailprice").cast("string")).alias("building_prem"),
-        (F.col("p_retailprice") / 4).alias("contents_prem"),
-        (1 + (k % 7).cast("double") / 10).alias("flood_loading"),
-        (1 + (k % 5).cast("double") / 20).alias("theft_loading"),
-        (1 + (k % 3).cast("double") / 8).alias("subsidence_loading"),
+    return p.selectExpr(
+        "concat('PC', CAST(p_size AS STRING)) AS postcode",
+        "concat(p_brand, ' ', CAST(p_partkey AS STRING)) AS address",
+        "CAST(p_partkey % 10 AS DOUBLE) AS flood_score",
+        "CAST(p_partkey % 9 AS DOUBLE) AS theft",
+        "CASE WHEN p_partkey % 31 = 0 THEN NULL ELSE CAST(p_partkey % 12 AS DOUBLE) END AS subsidence",
+        "CASE WHEN p_partkey % 37 = 0 THEN 'n/a' ELSE CAST(p_retailprice AS STRING) END AS building_prem",
+        "p_retailprice / 4 AS contents_prem",
+        "1 + CAST(p_partkey % 7 AS DOUBLE) / 10 AS flood_loading",
+        "1 + CAST(p_partkey % 5 AS DOUBLE) / 20 AS theft_loading",
+        "1 + CAST(p_partkey % 3 AS DOUBLE) / 8 AS subsidence_loading",
     )
 
 
 def raw_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim dates as raw text with unparsable, empty and null values."""
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
-    return li.select(
-        F.concat(F.lit("C"), F.col("l_orderkey").cast("string")).alias("claim_number"),
-        F.when(_mod("l_partkey", 61), "bad").when(_mod("l_partkey", 47), None).when(_mod("l_partkey", 43), "")
-         .otherwise(F.date_format(F.col("l_shipdate"), "yyyy-MM-dd")).alias("accident_date_raw"),
+    return li.selectExpr(
+        "concat('C', CAST(l_orderkey AS STRING)) AS claim_number",
+        "CASE WHEN l_partkey % 61 = 0 THEN 'bad' WHEN l_partkey % 47 = 0 THEN NULL WHEN l_partkey % 43 = 0 THEN '' "
+        "ELSE date_format(l_shipdate, 'yyyy-MM-dd') END AS accident_date_raw",
     )
