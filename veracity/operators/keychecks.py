@@ -113,35 +113,37 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
     within (key, bucket), and each bucket adds the previous counts of the lower buckets of its key
     (a window over at most ``buckets`` rows per key). Exact for any key distribution.
     """
-    def reduce(df: DataFrame, side: str) -> DataFrame:
-        return (df.select(F.col(key).cast("string").alias("k"), _num(df, paid).alias("v"))
-                  .groupBy("k", "v").agg(F.count(F.lit(1)).alias(side)))
-
-    cur = reduce(current, "n_cur")
-    prev = reduce(previous, "n_prev")
-    # totals: pairs per key from per-key counts (one row per key on each side)
-    cur_k = cur.groupBy("k").agg(F.sum("n_cur").alias("c"))
-    prev_k = prev.groupBy("k").agg(F.sum("n_prev").alias("p"))
-    pairs = cur_k.join(prev_k, cur_k.k.eqNullSafe(prev_k.k), "inner").select((F.col("c") * F.col("p")).alias("pairs"))
-    # passing pairs: for each current (k, v), previous rows of k with paid <= v
-    both = (cur.withColumn("n_prev", F.lit(0)).unionByName(prev.withColumn("n_cur", F.lit(0)))
-               .where(F.col("v").isNotNull())
-               .groupBy("k", "v").agg(F.sum("n_cur").alias("n_cur"), F.sum("n_prev").alias("n_prev")))
+    # a null key matches only null keys: carry it as (k2, knull) so every join below is a plain
+    # equi-join whose partitioning the preceding window/aggregate already provides
+    def side(df: DataFrame, cur: int) -> DataFrame:
+        k = F.col(key).cast("string")
+        return df.select(F.coalesce(k, F.lit("")).alias("k2"), k.isNull().alias("knull"), _num(df, paid).alias("v"),
+                         F.lit(cur).alias("c"), F.lit(1 - cur).alias("p"))
+
+    keys = ["k2", "knull"]
+    both = (side(current, 1).unionByName(side(previous, 0))
+            .groupBy(*keys, "v").agg(F.sum("c").alias("n_cur"), F.sum("p").alias("n_prev")))
+    # all pairs per key (null paid included): product of the per-key counts, no pairs emitted
+    pairs = both.groupBy(*keys).agg((F.sum("n_cur") * F.sum("n_prev")).alias("pairs"))
     # bucket cuts from a one-column, shuffle-free sketch over the raw paid values (a tree aggregate)
     probs = [i / buckets for i in range(1, buckets)]
     values = current.select(_num(current, paid).alias("v")).unionByName(
         previous.select(_num(previous, paid).alias("v")))
     cuts = sorted(set(values.approxQuantile("v", probs, 0.001))) if probs else []
-    both = both.withColumn("b", F.expr(_bucket_sql(cuts, "v")))
-    below = (both.groupBy("k", "b").agg(F.sum("n_prev").alias("nb"))
-                 .withColumn("prev_below", F.coalesce(F.sum("nb").over(
-                     Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-                 .select(F.col("k").alias("bk"), F.col("b").alias("bb"), "prev_below"))
-    w = Window.partitionBy("k", "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ok = (both.withColumn("prev_le", F.sum("n_prev").over(w))
-              .join(below, F.col("k").eqNullSafe(F.col("bk")) & (F.col("b") == F.col("bb")))
-              .select((F.col("n_cur") * (F.col("prev_le") + F.col("prev_below"))).alias("ok")))
-    parts = pairs.withColumn("ok", F.lit(0).cast("long")).unionByName(ok.withColumn("pairs", F.lit(0).cast("long")))
+    valued = F.col("v").isNotNull()
+    b = both.withColumn("b", F.expr(_bucket_sql(cuts, "v"))) \
+        .withColumn("np", F.when(valued, F.col("n_prev")).otherwise(0))
+    below = (b.groupBy(*keys, "b").agg(F.sum("np").alias("nb"))
+              .withColumn("prev_below", F.coalesce(F.sum("nb").over(
+                  Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+              .drop("nb"))
+    w = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ok = (b.withColumn("prev_le", F.sum("np").over(w))
+           .join(below, [*keys, "b"])
+           .select(F.when(valued, F.col("n_cur") * (F.col("prev_le") + F.col("prev_below"))).otherwise(0)
+                   .alias("ok")))
+    parts = pairs.select("pairs", F.lit(0).cast("long").alias("ok")).unionByName(
+        ok.select(F.lit(0).cast("long").alias("pairs"), "ok"))
     return _result(parts, F.sum("pairs"), F.sum("ok"))
 
 
