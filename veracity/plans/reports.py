@@ -161,3 +161,45 @@ def score_trend(scores: DataFrame, line_col: str = "business_line", order_col: s
     prev = F.lag("overall_score").over(w)
     return scores.select(line_col, order_col, "overall_score", prev.alias("previous_score"),
                          (F.col("overall_score") - prev).alias("score_change"))
+
+
+# Column labels of the failing identifiers of the key checks.
+IDENTIFIER_LABELS = {
+    "missing_claims_from_prev_month": "Missing Claim Number",
+    "total_paid_non_decreasing_vs_prev": "Claim Number (Paid Decreased)",
+    "risk_policy_match": "Policy Number (Not in Risk Table)",
+}
+
+
+# A17 export (the workbook re-aimed as files): four report tables, one folder each
+def write_reports(run: SuiteRun, path: str, quarter_id: str, fmt: str = "parquet") -> None:
+    tables = {
+        "summary": summary_table(run, quarter_id, run.total_records()),
+        "category_scores": category_table(run),
+        "detailed_results": detail_table(run),
+        "failed_checks": failed_checks_table(run),
+    }
+    for name, df in tables.items():
+        w = df.write.mode("overwrite")
+        (w.option("header", True).csv if fmt == "csv" else w.parquet)(f"{path}/{name}")
+
+
+# J9 export: the failing rows (or identifiers) of every check that has failures, one folder per check
+def write_failures(run: SuiteRun, path: str, fmt: str = "parquet") -> list[str]:
+    """Writes each enabled check's failing rows with their context columns (key checks: the failing
+    identifiers under their label). Distributed writes; nothing is collected. Returns the check ids."""
+    written = []
+    for spec in run.specs:
+        if not spec.enabled:
+            continue
+        try:
+            rows = run.failing(spec.id)
+        except KeyError:
+            continue
+        label = IDENTIFIER_LABELS.get(spec.type)
+        if label and len(rows.columns) == 1:
+            rows = rows.withColumnRenamed(rows.columns[0], label)
+        w = rows.write.mode("overwrite")
+        (w.option("header", True).csv if fmt == "csv" else w.parquet)(f"{path}/check_{spec.id}")
+        written.append(spec.id)
+    return written
