@@ -674,6 +674,15 @@ REGISTRY["report_categories"] = (
         f"from ({_rbody}) group by category", *_rfix))
 
 
+_v2body, _v2fix = _suite_sql("v2", closed=[" Closed ", "RE-CLOSED"])
+REGISTRY["report_risk"] = (
+    lambda s, f: rp.risk_reconciliation(v2_run(s, f)),
+    O.with_fixtures(
+        "select check_name, case when pass_rate = 100.0 then 'PASS - Claims data matches with risk data' "
+        "else 'FAIL' end as result, printf('%.1f%%', pass_rate) as pass_rate_text, passed as matched, "
+        f"failed as unmatched from ({_v2body}) where check_type = 'risk_policy_match'", *_v2fix))
+
+
 def q_score_trend(spark, sf):
     """Two runs (January without a previous snapshot, February against January) and their trend."""
     jan = run_suite(default_suite(), POLICIES["v5"], _prev(spark, sf), None, None, ["Closed"], AS_OF_YEAR)

@@ -47,12 +47,23 @@ def category_table(run: SuiteRun) -> DataFrame:
 # A17 "Detailed Results" with the display texts (P9)
 def detail_table(run: SuiteRun) -> DataFrame:
     c = run.checks
-    return c.select("seq", "check_id", "check_name", category_label(F.col("category")).alias("category"),
+    return c.select("seq", "check_id", "check_name", "priority", category_label(F.col("category")).alias("category"),
                     pass_rate_text(F.col("pass_rate")).alias("pass_rate_text"), "passed", "failed", "total",
                     "points_earned", "points_possible",
                     points_text(F.col("points_earned"), F.col("points_possible")).alias("points_text"), "status")
 
 
+# A17 "Risk Reconciliation": the reference-table check on its own
+def risk_reconciliation(run: SuiteRun) -> DataFrame:
+    # Result texts of the reconciliation sheet.
+    ok_text, fail_text = "PASS - Claims data matches with risk data", "FAIL"
+    risk = run.checks.where(F.col("check_type") == "risk_policy_match")
+    return risk.select("check_name",
+                       F.when(F.col("pass_rate") == 100.0, ok_text).otherwise(fail_text).alias("result"),
+                       pass_rate_text(F.col("pass_rate")).alias("pass_rate_text"),
+                       F.col("passed").alias("matched"), F.col("failed").alias("unmatched"))
+
+
 # F5 / A17 "Failed Checks"
 def failed_checks_table(run: SuiteRun) -> DataFrame:
     return detail_table(run).where(F.col("points_earned") < F.col("points_possible"))
