@@ -99,3 +99,20 @@ def test_auto_disable_reasons():
     assert why["8.1"] == "Risk database not selected"
     assert {s.id for s in specs if s.enabled} == {"1.1", "1.2", "2.2", "4.1"}
     assert parse_closed_values(" Closed, ,C ,") == ["Closed", "C"]
+
+
+def test_materialize_checkpoints_into_configured_dir(spark):
+    import os
+    from veracity.catalog import v5_run
+    from veracity.session import checkpoint_dir
+    run = v5_run(spark, "/root/testdata/sf0.001")
+    before = sorted(map(tuple, run.checks.collect()))
+    folder = checkpoint_dir(spark)
+    assert folder == (spark.conf.get("spark.checkpoint.dir", None) or folder)
+    run.materialize()
+    assert sorted(map(tuple, run.checks.collect())) == before
+    path = folder[len("file:"):] if folder.startswith("file:") else folder
+    assert any(files for _, _, files in os.walk(path))
+    # reports built on the checkpointed results no longer carry the scan lineage
+    plan = run.score()._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" not in plan
