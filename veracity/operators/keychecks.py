@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions.coerce import as_double
+from veracity.session import checkpoint_dir
 
 # Reference-table key names tried when the configured one is absent.
 RISK_KEY_FALLBACKS = ("risk_policy_number", "policy_number", "PolicyNumber", "Policy_Number")
@@ -63,7 +64,7 @@ def failing_duplicates(df: DataFrame, key: str) -> DataFrame:
 
 
 # J3
-def missing_keys(current: DataFrame, previous: DataFrame, key: str, empty_rate_full: bool = True) -> DataFrame:
+def missing_keys(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
     """Distinct previous keys absent from the current snapshot. Total = distinct previous keys."""
     prev_k = _keys(previous, key)
     cur_k = _keys(current, key).withColumn("present", F.lit(True))
@@ -108,7 +109,8 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
 
     The pairs are never materialised. Both sides are first reduced to (key, paid) -> count; the
     number of pairs per key is n_cur * n_prev, and the passing pairs are counted with running sums
-    of previous counts ordered by paid. A hot key is split: paid values fall into ordered buckets
+    of previous counts ordered by paid. The reduced table is checkpointed once (it feeds three
+    passes). A hot key is split: paid values fall into ordered buckets
     cut at global quantiles (at most ``buckets`` boundaries reach the driver), running sums run
     within (key, bucket), and each bucket adds the previous counts of the lower buckets of its key
     (a window over at most ``buckets`` rows per key). Exact for any key distribution.
@@ -123,13 +125,15 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
     keys = ["k2", "knull"]
     both = (side(current, 1).unionByName(side(previous, 0))
             .groupBy(*keys, "v").agg(F.sum("c").alias("n_cur"), F.sum("p").alias("n_prev")))
+    # the reduced table feeds three passes (pair totals, bucket offsets, running sums); a reliable
+    # checkpoint in the shared folder computes it once instead of three scans and shuffles
+    checkpoint_dir(both.sparkSession)
+    both = both.checkpoint(eager=True)
     # all pairs per key (null paid included): product of the per-key counts, no pairs emitted
     pairs = both.groupBy(*keys).agg((F.sum("n_cur") * F.sum("n_prev")).alias("pairs"))
-    # bucket cuts from a one-column, shuffle-free sketch over the raw paid values (a tree aggregate)
+    # bucket cuts: a shuffle-free sketch over the reduced rows, which are exactly the window's rows
     probs = [i / buckets for i in range(1, buckets)]
-    values = current.select(_num(current, paid).alias("v")).unionByName(
-        previous.select(_num(previous, paid).alias("v")))
-    cuts = sorted(set(values.approxQuantile("v", probs, 0.001))) if probs else []
+    cuts = sorted(set(both.approxQuantile("v", probs, 0.001))) if probs else []
     valued = F.col("v").isNotNull()
     b = both.withColumn("b", F.expr(_bucket_sql(cuts, "v"))) \
         .withColumn("np", F.when(valued, F.col("n_prev")).otherwise(0))

@@ -35,12 +35,6 @@ SUPPORTED_KEY_TYPES = {"unique", "missing_claims_from_prev_month", "total_paid_n
                        "risk_policy_match"}
 
 
-def snapshot_pairs(history: DataFrame, snap: str) -> DataFrame:
-    """(snapshot, previous snapshot) for every distinct snapshot; one row per snapshot."""
-    snaps = history.select(F.col(snap).alias("snap")).where(F.col("snap").isNotNull()).distinct()
-    return snaps.withColumn("prev_snap", F.lag("snap").over(Window.orderBy("snap")))
-
-
 def _key_counts(history: DataFrame, snap: str, pairs: DataFrame, unique_keep: str) -> DataFrame:
     value: Column = kc._num(history, PAID) if PAID in history.columns else F.lit(None).cast("double")
     g = (history.select(F.col(snap).alias("snap"), F.col(CLAIM_KEY).cast("string").alias("k"), value.alias("v"))
