@@ -42,3 +42,25 @@ def test_write_reports_and_failures(spark):
     assert "3.1" in ids and "6.1" in ids
     missing = spark.read.option("header", True).csv(os.path.join(root, "errors", "check_6.1"))
     assert missing.columns == ["Missing Claim Number"]
+
+
+def test_file_source_with_text_snapshots(spark):
+    from pyspark.sql import functions as F
+
+    from veracity.plans.spec import POLICIES, default_suite
+    from veracity.plans.suite import run_suite
+    from veracity.sources import files
+    from veracity.sources import fixtures as fx
+    root = tempfile.mkdtemp(prefix="run-files-", dir="/tmp")
+    hist = fx.claims_history(spark, SF).withColumn("bdx_month", F.date_format("bdx_month", "yyyy-MM-dd"))
+    hist.write.option("header", True).csv(os.path.join(root, "claims"))
+    raw = files.read_files(spark, os.path.join(root, "claims"), "csv")
+    assert [str(r[0]) for r in files.list_file_snapshots(raw, "bdx_month").collect()] == \
+        ["1998-01-01 00:00:00", "1998-02-01 00:00:00"]
+    cur = files.load_file_snapshot(raw, "1998-02-01", "bdx_month")
+    assert cur.count() == fx.claims_snapshot(spark, SF, True).count()
+    # text columns are coerced by the suite exactly like typed ones
+    typed = run_suite(default_suite(), POLICIES["v5"], fx.claims_snapshot(spark, SF, True)).checks
+    text = run_suite(default_suite(), POLICIES["v5"], cur.drop("bdx_month")).checks
+    pick = ["check_id", "total", "passed", "failed"]
+    assert sorted(map(tuple, typed.select(*pick).collect())) == sorted(map(tuple, text.select(*pick).collect()))

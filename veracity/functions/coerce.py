@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 DATE_FORMATS = (
     "yyyy-MM-dd HH:mm:ss",
     "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss.SSS",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS",
     "yyyy-MM-dd",
     "MM/dd/yyyy",
 )

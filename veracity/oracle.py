@@ -91,8 +91,8 @@ def ts_text(col: str) -> str:
 
 def parse_ts(col: str) -> str:
     """Text or timestamp to timestamp with the engine's fixed format list; null when unparsable."""
-    return (f"try_strptime(cast({col} as varchar), ['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d', "
-            f"'%m/%d/%Y'])")
+    return (f"try_strptime(cast({col} as varchar), ['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', "
+            f"'%Y-%m-%d %H:%M:%S.%g', '%Y-%m-%dT%H:%M:%S.%g', '%Y-%m-%d', '%m/%d/%Y'])")
 
 
 def check_sql(table: str, scope: str, ok: str, empty_rate: float = 0.0) -> str:
