@@ -55,3 +55,19 @@ def test_no_python_udfs_in_suite(spark):
     prev = fx.claims_snapshot(spark, SF, False)
     plan = plan_text(run_suite(default_suite(), POLICIES["v5"], cur, prev).checks)
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
+
+
+def test_bucketed_history_needs_no_shuffle_for_the_key_profile(spark):
+    from veracity.operators import keychecks as kc
+    root = tempfile.mkdtemp(prefix="run-bucketed-", dir="/tmp")
+    hist = sn.store_history(fx.claims_history(spark, SF), "veracity_claims_bucketed", os.path.join(root, "t"),
+                            buckets=8)
+    cur = sn.load_snapshot(hist, fx.CURRENT_BDX, "bdx_month")
+    prev = sn.load_snapshot(hist, fx.PREVIOUS_BDX, "bdx_month")
+    prof = kc.key_profile(cur, prev, "claim_number", "total_paid")
+    plan = plan_text(prof)
+    assert "Exchange hashpartitioning" not in plan, plan
+    # same numbers as over the unbucketed views
+    ref = kc.key_profile(fx.claims_snapshot(spark, SF, True), fx.claims_snapshot(spark, SF, False),
+                         "claim_number", "total_paid")
+    assert tuple(prof.collect()[0]) == tuple(ref.collect()[0])

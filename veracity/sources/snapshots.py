@@ -89,3 +89,16 @@ def preview(df: DataFrame, n: int = 5, order_by: list[str] | None = None) -> Dat
     take-ordered, never a full sort)."""
     order_by = order_by or df.columns[:1]
     return df.orderBy(*order_by).limit(n)
+
+
+def store_history(df: DataFrame, table: str, path: str, snapshot_col: str = "bdx_month",
+                  key: str = "claim_number", buckets: int = 64) -> DataFrame:
+    """Store a claims history partitioned by snapshot and bucketed (and sorted) by the claim key.
+
+    Written once, it serves every later run: snapshot loads prune partitions, and the key profile's
+    per-key aggregates and their join line up with the buckets, so they need no shuffle. Size
+    ``buckets`` like the shuffle partitions of the target scale (files = partitions x buckets).
+    """
+    (df.write.mode("overwrite").partitionBy(snapshot_col).bucketBy(buckets, key).sortBy(key)
+       .option("path", path).saveAsTable(table))
+    return df.sparkSession.table(table)
