@@ -711,7 +711,17 @@ def q_results_json(spark, sf):
     return rp.results_json(v5_run(spark, sf))
 
 
-REGISTRY["results_json"] = (q_results_json, None)
+_CHECK_FIELDS = ["seq", "check_id", "check_name", "check_type", "category", "subcategory", "priority", "field",
+                 "points_possible", "total", "passed", "failed", "pass_rate", "points_earned", "skipped", "error",
+                 "status"]
+REGISTRY["results_json"] = (q_results_json, O.with_fixtures(
+    "select cast(to_json(struct_pack(overall_score := s.overall_score, total_checks := s.total_checks, "
+    "passed_checks := s.passed_checks, warning_checks := s.warning_checks, failed_checks := s.failed_checks, "
+    "critical_issues_count := s.critical_issues_count, risk_match_ok := s.risk_match_ok, checks := c.checks, "
+    "status := s.status)) as varchar) as results_json "
+    f"from ({O.score_sql(f'({_body})', POLICIES['v5'])}) s, "
+    "(select list(struct_pack(" + ", ".join(f"{c} := {c}" for c in _CHECK_FIELDS) + ") order by seq) as checks "
+    f"from ({_body})) c", *_fix))
 
 
 # ---- premium (P11, P12, F6, F7, A18) -----------------------------------------------------------------------

@@ -260,7 +260,8 @@ def suite_sql(specs: list[CheckSpec], policy: Policy, cur: str, prev: str | None
             continue
         meta = (f"{seq} as seq, '{spec.id}' as check_id, '{spec.name}' as check_name, '{spec.type}' as check_type, "
                 f"'{spec.category}' as category, '{spec.subcategory}' as subcategory, '{spec.priority}' as priority, "
-                f"{float(spec.points)}::double as points_possible")
+                f"{float(spec.points)}::double as points_possible, "
+                f"'{spec.field or ','.join(spec.fields)}' as field, null::varchar as error")
         needs = (spec.type in ("missing_claims_from_prev_month", "total_paid_non_decreasing_vs_prev") and prev is None) \
             or (spec.type in ("risk_policy_match", "loss_ratio") and risk is None)
         if needs:

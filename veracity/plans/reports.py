@@ -161,7 +161,8 @@ def results_json(run: SuiteRun) -> DataFrame:
     the list is bounded by the suite's size)."""
     doc = run.checks.agg(*sc.score_aggs(run.policy),
                          F.sort_array(F.collect_list(F.struct(*run.checks.columns))).alias("checks"))
-    return sc.with_status(doc, run.policy).select(F.to_json(F.struct("*")).alias("results_json"))
+    return sc.with_status(doc, run.policy).select(
+        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("results_json"))
 
 
 # A19
