@@ -9,7 +9,8 @@ from tools.compare import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
 QUICK = ["suite_v5", "suite_v2", "suite_root", "j_paid_inner", "k_closed_word", "premium_totals", "snap_previous",
-         "dq_scores_row", "report_detail", "score_trend", "coerce_types", "map_shared_column"]
+         "dq_scores_row", "report_detail", "score_trend", "coerce_types", "map_shared_column", "results_json",
+         "report_risk", "suite_by_snapshot", "suite_root_declared", "failed_records_json"]
 NAMES = sorted(E.oracle_sql()) if os.environ.get("VERACITY_FULL_ORACLE") else QUICK
 
 
