@@ -168,12 +168,12 @@ class SuiteRun:
         """Failing rows (row checks, with context columns) or failing keys (key checks)."""
         spec = next(s for s in self.specs if s.id == check_id and s.enabled)
         t = spec.type
-        if t in rc_types_with_rows():
+        if t in ROW_TYPES:
             check = self.row_checks.get(check_id)
             ctx = [c if c != "check_field" else spec.field for c in CONTEXT_COLUMNS.get(t, ())]
             ctx = [c for c in dict.fromkeys(ctx) if c and c in self.current.columns] or self.current.columns
             if check is None or check.missing:
-                return self.current.select(*ctx).limit(0)
+                return self.current.select(*ctx).where(F.lit(False))   # absent column: no failing rows
             return self.current.where(check.scope & ~F.coalesce(check.ok, F.lit(False))).select(*ctx)
         key = spec.field or "claim_number"
         if t == "unique":
@@ -181,7 +181,7 @@ class SuiteRun:
             return kc.failing_duplicates(self.current, key).select(*ctx)
         if t == "missing_claims_from_prev_month" and self.previous is not None:
             return kc.failing_missing_keys(self.current, self.previous, "claim_number")
-        if t == "total_paid_non_decreasing_vs_prev" and self.previous is not None:
+        if t == "total_paid_non_decreasing_vs_prev" and self.previous is not None and self.policy.paid_rule == "left":
             return kc.failing_paid_keys(self.current, self.previous, "claim_number", "total_paid").select("claim_number")
         if t == "risk_policy_match" and self.risk is not None:
             ref = kc.resolve_risk_key(self.risk, spec.risk_key or "risk_policy_number")
@@ -191,11 +191,10 @@ class SuiteRun:
         raise KeyError(f"no failing rows for check {check_id} ({t})")
 
 
-def rc_types_with_rows() -> set[str]:
-    return {"not_null", "not_null_not_year_1900", "non_negative", "non_negative_all", "valid_date",
-            "valid_dates_all", "year_in_range", "closed_os_zero", "loss_within_policy",
-            "incurred_equals_paid_plus_os", "gross_formula", "net_within_gross", "date_sequence",
-            "year_matches_date", "expression", "range"}
+ROW_TYPES = {"not_null", "not_null_not_year_1900", "non_negative", "non_negative_all", "valid_date",
+             "valid_dates_all", "year_in_range", "closed_os_zero", "loss_within_policy",
+             "incurred_equals_paid_plus_os", "gross_formula", "net_within_gross", "date_sequence",
+             "year_matches_date", "expression", "range"}
 
 
 def _key_result(spec: CheckSpec, policy: Policy, current: DataFrame, previous: DataFrame | None,
