@@ -46,7 +46,9 @@ def _key_counts(history: DataFrame, snap: str, pairs: DataFrame, unique_keep: st
     keyed = g.where(F.col("k").isNotNull())
     relabel = pairs.where(F.col("prev_snap").isNotNull()).select(F.col("snap").alias("next_snap"),
                                                                   F.col("prev_snap").alias("from_snap"))
-    prev_side = (keyed.join(relabel, keyed.snap == relabel.from_snap)
+    # the mapping has one row per snapshot (a bound set by the calendar, not the data), so it is
+    # broadcast: a shuffle join on the snapshot column alone would put a whole snapshot in one task
+    prev_side = (keyed.join(F.broadcast(relabel), keyed.snap == relabel.from_snap)
                       .select(F.col("next_snap").alias("snap"), "k", F.col("cur_paid").alias("prev_paid"),
                               F.lit(True).alias("in_prev")))
     both = keyed.join(prev_side, ["snap", "k"], "full_outer")
