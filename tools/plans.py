@@ -46,6 +46,9 @@ def main():
     print(tree(run.checks))
     print("\n== pairwise paid check ==")
     print(tree(kc.paid_not_decreasing_rows(cur, prev, "claim_number", "total_paid")))
+    from veracity.plans.history import run_suite_by_snapshot
+    print("\n== every snapshot in one job ==")
+    print(tree(run_suite_by_snapshot(default_suite(), POLICIES["v5"], claims, "bdx_month", None, ["Closed"], 2002)))
 
 
 if __name__ == "__main__":

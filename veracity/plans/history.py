@@ -41,23 +41,25 @@ def _key_counts(history: DataFrame, snap: str, pairs: DataFrame, unique_keep: st
                 .where(F.col("snap").isNotNull())
                 .groupBy("snap", "k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("cur_paid")))
     n = F.col("n")
-    uniq = g.groupBy("snap").agg(F.sum("n").alias("u_total"), F.sum(F.when(n > 1, n).otherwise(0)).alias("u_failed"),
-                                 F.count(F.lit(1)).alias("u_groups"))
-    keyed = g.where(F.col("k").isNotNull())
     relabel = pairs.where(F.col("prev_snap").isNotNull()).select(F.col("snap").alias("next_snap"),
                                                                   F.col("prev_snap").alias("from_snap"))
     # the mapping has one row per snapshot (a bound set by the calendar, not the data), so it is
-    # broadcast: a shuffle join on the snapshot column alone would put a whole snapshot in one task
-    prev_side = (keyed.join(F.broadcast(relabel), keyed.snap == relabel.from_snap)
-                      .select(F.col("next_snap").alias("snap"), "k", F.col("cur_paid").alias("prev_paid"),
-                              F.lit(True).alias("in_prev")))
-    both = keyed.join(prev_side, ["snap", "k"], "full_outer")
-    in_cur = n.isNotNull()
-    in_prev = F.coalesce(F.col("in_prev"), F.lit(False))
+    # broadcast: a shuffle join on the snapshot column alone would put a whole snapshot in one task.
+    # Both join sides read the same (count, sum) aggregate of ``g``, so its exchange is reused and
+    # the history is grouped once; a null key never matches, so uniqueness (null group included)
+    # and the continuity counts come from the same joined table.
+    prev_side = (g.join(F.broadcast(relabel), g.snap == relabel.from_snap)
+                  .select(F.col("next_snap").alias("snap"), "k", F.col("n").alias("prev_n"),
+                          F.col("cur_paid").alias("prev_paid")))
+    both = g.join(prev_side, ["snap", "k"], "full_outer")
+    in_cur = n.isNotNull() & F.col("k").isNotNull()
+    in_prev = F.col("prev_n").isNotNull() & F.col("k").isNotNull()   # unfiltered, so both sides stay identical
     ok = F.coalesce(F.col("cur_paid") >= F.coalesce(F.col("prev_paid"), F.lit(float("-inf"))), F.lit(False))
-    cont = both.groupBy("snap").agg(F.count_if(in_prev).alias("m_total"), F.count_if(in_prev & in_cur).alias("m_passed"),
-                                    F.count_if(in_cur).alias("p_total"), F.count_if(in_cur & ok).alias("p_passed"))
-    return uniq.join(cont, "snap", "left")
+    return both.groupBy("snap").agg(
+        F.sum("n").alias("u_total"), F.sum(F.when(n > 1, n).otherwise(0)).alias("u_failed"),
+        F.count("n").alias("u_groups"),
+        F.count_if(in_prev).alias("m_total"), F.count_if(in_prev & in_cur).alias("m_passed"),
+        F.count_if(in_cur).alias("p_total"), F.count_if(in_cur & ok).alias("p_passed"))
 
 
 def _risk_counts(history: DataFrame, snap: str, risk: DataFrame, ref_key: str) -> DataFrame:
