@@ -35,16 +35,20 @@ def get_spark(cpus: int | None = None, shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder for checkpoints and written intermediates.
 
-    The cluster's setting always wins. Only when it is unset (local tests) is
-    a fresh scratch folder created and registered.
+    ``spark.checkpoint.dir`` (session or context configuration) comes first, then a folder already
+    set on the context in code. With neither, a local session gets a scratch folder of its own; on
+    a cluster that would be one machine's disk, so it raises instead.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="veracity-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    spark.sparkContext.setCheckpointDir(configured)
-    return configured
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if current is None:
+        if not configured:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            configured = tempfile.mkdtemp(prefix="veracity-ckpt-")
+        sc.setCheckpointDir(configured)
+        current = sc.getCheckpointDir()
+    return configured or current
