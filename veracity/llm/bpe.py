@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT_WORD = 32  # bytes up to which pairs are scanned rather than kept in a heap
 NEVER = 1 << 62
-CACHED_WORDS = 300_000  # in each of two generations
+CACHED_WORDS = 500_000  # in each of two generations
 CACHED_LENGTH = 64
 SLICE_CHARS = 1 << 20
 
@@ -216,7 +216,7 @@ class Encoder:
         split = self.split.findall
         words, counts = [], []
         for p in pieces:
-            found = split(p)
+            found = [p] if p[1:].isalpha() and p[0] == " " else split(p)
             counts.append(len(found))
             words += found
         ids = self.bpe.encode_words([w.encode() for w in words])
