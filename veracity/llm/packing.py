@@ -32,13 +32,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from veracity.llm.words import binary
+from veracity.llm.words import Words, slices
 
 HORIZON = 32
 OPEN = 4
-CACHED_WORDS = 250_000  # in each of two generations
-CACHED_LENGTH = 64
-SLICE = 1 << 20
+SLICE = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -48,6 +46,7 @@ class Costs:
     sentence: float = 4.0
     inside: float = 16.0
     stride: int = 256
+    closest: int = 16  # of sentence ends nearer to each other one is a cut
 
 
 class Packer:
@@ -64,36 +63,41 @@ class Packer:
         self.cuts, self.from_cut, self.value = [at], [-1], [0.0]  # value: cost + position
         self.queue: deque = deque([0])
 
-    def _cut(self, position: int, penalty: float) -> None:
-        cuts, value, queue = self.cuts, self.value, self.queue
-        if position == cuts[-1]:
-            return
-        while cuts[queue[0]] < position - self.costs.length:
-            queue.popleft()
-        best = queue[0]
-        v = value[best] + self.costs.length + penalty
-        cuts.append(position)
-        from_cut = self.from_cut
-        from_cut.append(best)
-        value.append(v)
-        n = len(cuts) - 1
-        while queue and value[queue[-1]] >= v:
-            queue.pop()
-        queue.append(n)
+    def _extend(self, cuts: Iterable[tuple[int, float]]) -> None:
+        """Plans (position, penalty) cuts, in ascending order."""
+        length, at, value, from_cut, queue = self.costs.length, self.cuts, self.value, self.from_cut, self.queue
+        n = len(at)
+        for position, penalty in cuts:
+            least = position - length
+            while at[queue[0]] < least:
+                queue.popleft()
+            best = queue[0]
+            v = value[best] + length + penalty
+            at.append(position)
+            from_cut.append(best)
+            value.append(v)
+            while queue and value[queue[-1]] >= v:
+                queue.pop()
+            queue.append(n)
+            n += 1
 
     def add(self, key, ids: np.ndarray, sentence_ends: np.ndarray) -> Iterator[tuple]:
         """``sentence_ends``: token counts, ascending, after which a sentence ends."""
-        start, n, stride = self.position, len(ids), self.costs.stride
+        start, n, costs = self.position, len(ids), self.costs
         self.docs.append((key, ids, start))
-        ends = [*sentence_ends[(sentence_ends > 0) & (sentence_ends < n)].tolist(), n]
-        last = 0
-        for e in ends:
-            for k in range(last + stride, e - stride // 2, stride):
-                self._cut(start + k, self.costs.inside)
-            self._cut(start + e, 0.0 if e == n else self.costs.sentence)
-            last = e
+        ends = sentence_ends[(sentence_ends > 0) & (sentence_ends < n)]
+        ends = ends[np.diff(ends // costs.closest, prepend=-1) > 0] + start
+        borders = np.concatenate([[start], ends, [start + n]])
+        gaps = np.diff(borders)
+        penalties = [costs.sentence] * len(ends) + [0.0]
+        if gaps.max() < costs.stride + costs.stride // 2:
+            self._extend(zip(borders[1:].tolist(), penalties))
+        else:
+            for a, b, penalty in zip(borders[:-1].tolist(), borders[1:].tolist(), penalties):
+                self._extend((k, costs.inside) for k in range(a + costs.stride, b - costs.stride // 2, costs.stride))
+                self._extend([(b, penalty)])
         self.position = start + n
-        if self.position - self.cuts[0] >= HORIZON * self.costs.length:
+        if self.position - self.cuts[0] >= HORIZON * costs.length:
             yield from self._settle(OPEN)
 
     def _windows(self) -> list[int]:
@@ -119,8 +123,7 @@ class Packer:
         later = [(cuts[j], penalties[j] - penalties[self.from_cut[j]] - self.costs.length)
                  for j in range(i + 1, len(cuts))]
         self._restart(at)
-        for position, penalty in later:
-            self._cut(position, penalty)
+        self._extend(later)
 
     def _emit(self, a: int, b: int) -> Iterator[tuple]:
         sequence, self.sequence = self.sequence, self.sequence + 1
@@ -146,6 +149,63 @@ class Packer:
             at += size
 
 
+class IdTable:
+    """Ids by word hash: an open-addressing table over one pool of ids, with vectorised probes.
+    It starts anew once ``most`` words are in it, so its memory is bounded."""
+
+    def __init__(self, most: int = 2_000_000) -> None:
+        self.most, self.slots = most, 1 << (2 * most - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.entry = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
+        self.pool = np.empty(1 << 20, np.uint32)
+        self.begin, self.size = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32)
+        self.count = self.used = 0
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        out = np.full(len(hashes), -1, np.int32)
+        at = np.arange(len(hashes))
+        slot = (hashes & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(at):
+            entry = self.entry[slot]
+            hit = (entry >= 0) & (self.keys[slot] == hashes[at])
+            out[at[hit]] = entry[hit]
+            go = (entry >= 0) & ~hit
+            at, slot = at[go], (slot[go] + 1) & (self.slots - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Adds distinct new hashes, with their ids one after the other; their entries."""
+        n = len(hashes)
+        while self.count + n > len(self.size):
+            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        entries = np.arange(self.count, self.count + n, dtype=np.int32)
+        self.pool[self.used:self.used + len(ids)] = ids
+        self.begin[entries] = self.used + np.cumsum(sizes) - sizes
+        self.size[entries] = sizes
+        self.count, self.used = self.count + n, self.used + len(ids)
+        at, slot = np.arange(n), (hashes & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(at):
+            free = self.entry[slot] < 0
+            self.entry[slot[free]] = entries[at[free]]  # of several for one slot the last stays
+            lost = ~free | (self.entry[slot] != entries[at])
+            won = ~lost
+            self.keys[slot[won]] = hashes[at[won]]
+            at, slot = at[lost], (slot[lost] + 1) & (self.slots - 1)
+        return entries
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these entries one after the other, and where each ends."""
+        size = self.size[entries].astype(np.int64)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.arange(total) - np.repeat(ends - size - self.begin[entries], size)], ends
+
+
 class Tokens:
     """Ids of whole texts by the tokenizers library, word by word: this kind of vocabulary drops
     white space and neither its normaliser nor its split pattern looks across it."""
@@ -155,31 +215,58 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known = IdTable()
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.ends = np.zeros(size, bool)
+        self.ends, self.last = np.zeros(size, bool), np.zeros(size, bool)  # ends a sentence, a part of a word
         for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.removesuffix("</w>")[-1:] in (".", "!", "?") and token.endswith("</w>")
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        rows = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(r.ids, np.uint32).tobytes() for w, r in zip(words, rows)}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        words = [t.split() for t in texts]
-        wanted = set().union(*words)
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.older, self.known, new = self.known, {}, wanted
-        again = new & self.older.keys()
-        self.known.update((w, self.older[w]) for w in again)
-        found = self._learn(list(new - again))
-        long = {w: v for w, v in found.items() if len(w) > CACHED_LENGTH}
-        self.known.update((w, v) for w, v in found.items() if len(w) <= CACHED_LENGTH)
-        known = self.known if not long else {**{w: self.known[w] for w in wanted - long.keys()}, **long}
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
+            self.last[i] = token.endswith("</w>")
+            self.ends[i] = self.last[i] and token.removesuffix("</w>")[-1:] in (".", "!", "?")
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words and their counts. Words of letters, with or without one stop or comma behind,
+        go in one text: they have one or two parts, and each part ends with a token of kind ``last``."""
+        parts = []
+        for w in words:
+            low = w.lower()
+            parts.append(1 if low.isalpha() else 2 if low[-1] in ".," and low[:-1].isalpha() else 0)
+        parts = np.array(parts)
+        plain = np.flatnonzero(parts)
+        rows: list = [None] * len(words)
+        if len(plain):
+            text = " ".join([words[i] for i in plain.tolist()])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == parts.sum():
+                if len(plain) == len(words):
+                    return ids, np.diff(ends[np.cumsum(parts) - 1], prepend=0)
+                ends = ends[np.cumsum(parts[plain]) - 1].tolist()
+                for i, a, b in zip(plain.tolist(), [0, *ends], ends):
+                    rows[i] = ids[a:b]
+            else:  # a letter here that the tokenizer takes for something else
+                parts[:] = 0
+        other = np.flatnonzero(parts == 0).tolist()
+        for i, r in zip(other, self.tokenizer.encode_batch_fast([words[i] for i in other], add_special_tokens=False)):
+            rows[i] = np.array(r.ids, np.uint32)
+        return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts between ``offsets`` of ``data``, one after the other; where each text ends."""
+        words, known = Words(data, offsets), self.known
+        if not len(words):
+            return np.empty(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        hashes, first, back = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        entries = known.find(hashes)
+        new = np.flatnonzero(entries < 0)
+        if known.count + len(new) > known.most:
+            known.clear()
+            entries[:] = -1
+            new = np.arange(len(hashes))
+        if len(new):
+            raw = data.tobytes()
+            spans = zip(words.starts[first[new]].tolist(), words.ends[first[new]].tolist())
+            entries[new] = known.add(hashes[new], *self._learn([raw[a:b].decode() for a, b in spans]))
+        ids, ends = known.ids(entries[back])
+        return ids, np.append(0, ends)[words.first[1:]]
 
 
 @lru_cache(2)
@@ -197,25 +284,22 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, costs: Costs = Costs
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokens(vocabulary)
-        end = np.uint32(end_id).tobytes()
+        end = np.uint32(end_id)
         packer = Packer(costs, TaskContext.get().partitionId() << 33)
 
         def rows(pieces: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pieces)], names)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), binary(batch.column(1))
-            at = 0
-            while at < len(keys):
-                run_, size = [], 0
-                while at + len(run_) < len(keys) and size < SLICE:
-                    run_.append(texts[at + len(run_)].as_py())
-                    size += len(run_[-1])
+            keys = batch.column(0).to_pylist()
+            for lo, hi, data, offsets in slices(batch.column(1), SLICE):
                 pieces: list[tuple] = []
-                for key, row in zip(keys[at:at + len(run_)], tok.encode(run_)):
-                    ids = np.frombuffer(row + end, np.uint32)
-                    pieces.extend(packer.add(key, ids, np.flatnonzero(tok.ends[ids]) + 1))
-                at += len(run_)
+                ids, ends = tok.encode(data, offsets)
+                at = 0
+                for key, upto in zip(keys[lo:hi], ends.tolist()):
+                    row = np.append(ids[at:upto], end)
+                    pieces.extend(packer.add(key, row, np.flatnonzero(tok.ends[row]) + 1))
+                    at = upto
                 if pieces:
                     yield rows(pieces)
         if pieces := list(packer.close()):
