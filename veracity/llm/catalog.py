@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from veracity.llm import block_ann, bpe, digest_index, packing, toxicity
+from veracity.llm import block_ann, bpe, digest_index, hyperminhash, packing, passages, toxicity
 
 _ALL = {
     "op1_packing": (packing.query, None),
     "op2_exact_dedup": (digest_index.query, digest_index.SQL),
     "op4_block_ann": (block_ann.query, block_ann.SQL),
     "op5_toxicity": (toxicity.query, None),
+    "op6_substring_dedup": (passages.query, None),
+    "op7_hyperminhash": (hyperminhash.query, None),
     "op9_bpe_round_trip": (bpe.query, None),
 }
 
