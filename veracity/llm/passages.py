@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from veracity.llm.scratch import Staged
 from veracity.llm.words import Words, grams, mix64, prefix_hash, slices
@@ -235,7 +236,7 @@ def without_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
                 found += [digest(hashes[x:y]) for x, y in zip(words.first, words.first[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, _DIGEST])
     at = docs.columns.index("text")
-    out = docs.mapInArrow(run, docs.schema.add(_DIGEST, "binary")).join(change, _DIGEST, "left")
+    out = docs.mapInArrow(run, StructType(docs.schema.fields + [StructField(_DIGEST, BinaryType())])).join(change, _DIGEST, "left")
     new = {"text": F.coalesce(_KEPT, "text")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
