@@ -23,7 +23,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veracity.llm.scratch import Staged, new_path, parallelism
+from veracity.llm.scratch import Staged, new_path, parallelism, with_unique_ids, without
 
 HOT = 1024
 SPACES = " \t\n\x0b\f\r"
@@ -83,11 +83,18 @@ class DigestIndex:
                            F.coalesce(F.col("row") == F.col("keep_row"), F.lit(False)).alias("kept"), "digest", "row")
 
 
-def deduplicate(docs: DataFrame, index_path: str | None = None, buckets: int | None = None) -> DataFrame:
+def deduplicate(docs: DataFrame, index_path: str | None = None, buckets: int | None = None,
+                id_col: str = "doc_id") -> DataFrame:
     """``docs`` against the index at ``index_path`` (a fresh one in the shared folder if None)."""
     spark = docs.sparkSession
     index = DigestIndex(spark, index_path or new_path(spark, "digest-index"), buckets or parallelism(spark))
-    return index.deduplicate(docs)
+    return index.deduplicate(docs, id_col)
+
+
+def without_copies(docs: DataFrame, index_path: str | None = None) -> DataFrame:
+    """The rows of ``docs`` that stay, with their own columns."""
+    docs, id_col = with_unique_ids(docs)
+    return without(docs, id_col, deduplicate(docs, index_path, id_col=id_col).where("not kept").select("doc_id"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.llm.components import components
-from veracity.llm.scratch import Staged, parallelism
+from veracity.llm.scratch import Staged, parallelism, with_unique_ids, without
 from veracity.llm.words import Words, grams, mix64, prefix_hash, slices
 
 VALUE_BITS = 44
@@ -351,6 +351,12 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         (F.col("row") == F.col("head_row")).alias("kept"), "row")
 
 
+def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs``, with their own columns, that stay: one of each component."""
+    docs, id_col = with_unique_ids(docs)
+    return without(docs, id_col, near_duplicates(docs, settings, id_col).where("not kept").select("doc_id"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_duplicates(docs, Settings(shingle=4)).select("doc_id", "n_shingles", "component_id", "kept")

@@ -108,7 +108,7 @@ def scanned(docs: DataFrame, s: Settings) -> DataFrame:
 
 def with_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``places`` (row, doc_id, digest, places) with the text of their documents. Several rows may
-    share an id, so the digest decides; see ``_same``."""
+    share an id, so the digest decides; see ``same_texts``."""
     size = places.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
     if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_PLACES:
         places = F.broadcast(places)
@@ -116,7 +116,7 @@ def with_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
         places, F.col("id").eqNullSafe(places["doc_id"])).select("row", "digest", "places", "text")
 
 
-def _same(words: Words, hashes: np.ndarray, wanted: list[bytes]) -> Iterator[int]:
+def same_texts(words: Words, hashes: np.ndarray, wanted: list[bytes]) -> Iterator[int]:
     """Documents of a slice whose words are the ones looked for."""
     for i, d in enumerate(wanted):
         if digest(hashes[words.first[i]:words.first[i + 1]]) == d:
@@ -133,7 +133,7 @@ def extended(texts: DataFrame, s: Settings) -> DataFrame:
                 starts, at, seeds = anchors(hashes, words.counts, words.first, s)
                 repeated = np.zeros(len(words) + 1, bool)
                 places = batch.column(2).slice(lo, hi - lo).to_pylist()
-                for i in _same(words, hashes, batch.column(1).slice(lo, hi - lo).to_pylist()):
+                for i in same_texts(words, hashes, batch.column(1).slice(lo, hi - lo).to_pylist()):
                     repeated[words.first[i] + np.array(places[i], np.int64)] = True
                 pick = repeated[at]
                 starts, at = starts[pick], at[pick]
@@ -147,21 +147,30 @@ def extended(texts: DataFrame, s: Settings) -> DataFrame:
     return texts.mapInArrow(run, "anchor long, window long, row long, start int")
 
 
-def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """All rows (as ``scanned``, with representative and copies) and, for representatives with
-    repeated windows, their maximal repeats as (row, doc_id, digest, places): word borders
-    [start, end, start, end, ...]."""
-    rows = Staged(scanned(docs, s), "anchors").df
+def representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From ``scanned`` rows: (digest, rep, copies) of each text, and the rows that stand for all."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     of_text = Staged(rows.groupBy("digest").agg(first.alias("f"), F.count("*").alias("copies"))
                      .select("digest", F.col("f.row").alias("rep"), "copies"), "texts").df
-    reps = rows.join(of_text.select(F.col("rep").alias("row")), "row", "left_semi")
+    return of_text, rows.join(of_text.select(F.col("rep").alias("row")), "row", "left_semi")
+
 
+def repeated_places(reps: DataFrame) -> DataFrame:
+    """(row, doc_id, digest, places) with the places whose anchor hash occurs at other places too."""
     placed = reps.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("a")) \
         .select("row", F.col("a.hashes").alias("anchor"), F.col("a.places").alias("place"))
     again = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    seeds = placed.join(again, "anchor").groupBy("row").agg(F.collect_list("place").alias("places"))
-    seeds = Staged(seeds.join(reps.select("row", "doc_id", "digest"), "row").select("row", "doc_id", "digest", "places"), "seeds")
+    places = placed.join(again, "anchor").groupBy("row").agg(F.collect_list("place").alias("places"))
+    return places.join(reps.select("row", "doc_id", "digest"), "row").select("row", "doc_id", "digest", "places")
+
+
+def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """All rows (as ``scanned``, with representative and copies) and, for representatives with
+    repeated windows, their maximal repeats as (row, doc_id, digest, places): word borders
+    [start, end, start, end, ...]."""
+    rows = Staged(scanned(docs, s), "anchors").df
+    of_text, reps = representatives(rows)
+    seeds = Staged(repeated_places(reps), "seeds")
 
     windows = extended(with_texts(docs, seeds.df), s)
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
@@ -193,7 +202,7 @@ def _kept(docs: DataFrame, spans: DataFrame, with_text: bool) -> DataFrame:
                 words, raw = Words(data, offsets), data.tobytes()
                 places = batch.column(2).slice(lo, hi - lo).to_pylist()
                 rows, removed, out = [], [], []
-                for i in _same(words, words.hashes(), batch.column(1).slice(lo, hi - lo).to_pylist()):
+                for i in same_texts(words, words.hashes(), batch.column(1).slice(lo, hi - lo).to_pylist()):
                     covered = np.zeros(words.counts[i], bool)
                     for a, b in zip(places[i][::2], places[i][1::2]):
                         covered[a:b] = True

@@ -6,6 +6,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veracity.session import checkpoint_dir
 
@@ -29,3 +30,25 @@ class Staged:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+ROW_ID = "__row_id"
+BROADCAST_IDS = 1_000_000
+
+
+def with_unique_ids(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` and the column that names each row: ``doc_id`` where it is unique and never null, else
+    a number written with the rows."""
+    odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1)
+    if not odd.count():
+        return docs, "doc_id"
+    return Staged(docs.withColumn(ROW_ID, F.monotonically_increasing_id()), "rows").df, ROW_ID
+
+
+def without(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id is in ``dropped`` (one column, long). Ids are broadcast up to
+    ``BROADCAST_IDS`` of them, else both sides are shuffled."""
+    ids = Staged(dropped.toDF("__gone"), "dropped").df
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col].cast("long") == F.col("__gone"), "left_anti").drop(ROW_ID)
