@@ -751,7 +751,7 @@ def q_premium_referral(spark, sf):
 
 
 @register("premium_totals", O.with_fixtures(
-    f"select count(address) as addresses_selected, round(sum({_PREM}), 3) as total_building_premium, "
+    f"select count(distinct address) as addresses_selected, round(sum({_PREM}), 3) as total_building_premium, "
     f"round(sum({_CPREM}), 3) as total_contents_premium, "
     f"count(*) filter (where subsidence > 8) as referrals from premium_input", "premium_input"))
 def q_premium_totals(spark, sf):
@@ -769,11 +769,11 @@ def q_premium_postcodes(spark, sf):
 @register("premium_lookup", O.with_fixtures(
     f"select address, {_PREM} as final_building_premium, {_CPREM} as final_contents_premium, "
     f"case when subsidence > 8 then 'Referral' else 'None' end as referral_flag from premium_input "
-    f"where postcode = 'PC10' and address in (select address from premium_input where postcode = 'PC10' "
-    f"and address is not null order by address limit 3)", "premium_input"))
+    f"where postcode = 'PC10' and address is not null and cast(split_part(address, ' ', 2) as bigint) % 2 = 0",
+    "premium_input"))
 def q_premium_lookup(spark, sf):
     p = fx.premium_input(spark, sf)
-    chosen = pm.addresses(p, "PC10").limit(3)
+    chosen = pm.addresses(p, "PC10").where(F.substring_index("address", " ", -1).cast("long") % 2 == 0)
     rows = pm.select_addresses(p, "PC10", chosen)
     return pm.calculate_premiums(rows).select("address", "final_building_premium", "final_contents_premium",
                                               "referral_flag")

@@ -6,6 +6,8 @@ bad values simply become null, which is what the checks then count.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,12 +31,12 @@ _TS = (T.TimestampType, T.TimestampNTZType, T.DateType)
 _NUM = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def as_timestamp(c: Column, dtype: T.DataType) -> Column:
-    """Timestamp (NTZ) from any input type; unparsable text and numbers become null."""
+def as_timestamp(c: Column, dtype: T.DataType, formats: Sequence[str] = DATE_FORMATS) -> Column:
+    """Timestamp (NTZ) from any input type; text in none of ``formats`` and numbers become null."""
     if isinstance(dtype, _TS):
         return c.cast("timestamp_ntz")
     if isinstance(dtype, T.StringType):
-        parsed = [F.try_to_timestamp(c, F.lit(fmt)) for fmt in DATE_FORMATS]
+        parsed = [F.try_to_timestamp(c, F.lit(fmt)) for fmt in formats]
         return F.coalesce(*parsed).cast("timestamp_ntz")
     return F.lit(None).cast("timestamp_ntz")
 
@@ -50,6 +52,23 @@ def as_double(c: Column, dtype: T.DataType) -> Column:
     return F.when(~F.isnan(d), d)
 
 
+def double_sql(name: str, dtype: T.DataType) -> str:
+    """``as_double`` as SQL text, for predicates given as text."""
+    if isinstance(dtype, (*_NUM, T.StringType, T.BooleanType)):
+        return f"nullif(try_cast({name} AS DOUBLE), double('NaN'))"
+    return "CAST(NULL AS DOUBLE)"
+
+
+def timestamp_sql(name: str, dtype: T.DataType, formats: Sequence[str] = DATE_FORMATS) -> str:
+    """``as_timestamp`` as SQL text."""
+    if isinstance(dtype, _TS):
+        return f"CAST({name} AS TIMESTAMP_NTZ)"
+    if isinstance(dtype, T.StringType):
+        quoted = ", ".join("try_to_timestamp({}, '{}')".format(name, f.replace("'", "\\'")) for f in formats)
+        return f"CAST(coalesce({quoted}) AS TIMESTAMP_NTZ)"
+    return "CAST(NULL AS TIMESTAMP_NTZ)"
+
+
 def as_string(c: Column) -> Column:
     """String keeping nulls."""
     return c.cast("string")

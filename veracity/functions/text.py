@@ -24,19 +24,24 @@ def _clean_terms(values: Sequence[object], case: str | None) -> list[str]:
     return terms
 
 
+def strip(c: Column) -> Column:
+    """White space of every kind off both ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def closed_word(status: Column, closed_values: Sequence[object]) -> Column:
     """Whole-word match on upper(trim(status)); 'RE-CLOSED' matches CLOSED, 'DISCLOSED' does not."""
     terms = _clean_terms(closed_values, "upper")
     if not terms:
         return F.lit(False)
     pattern = "|".join(r"\b" + re.escape(t) + r"\b" for t in terms)
-    return F.coalesce(F.upper(F.trim(status)).rlike(pattern), F.lit(False))
+    return F.coalesce(F.upper(strip(status)).rlike(pattern), F.lit(False))
 
 
 def closed_substring(status: Column, closed_values: Sequence[object]) -> Column:
     """Substring match on lower(trim(status)); null status is never closed."""
     terms = _clean_terms(closed_values, "lower")
-    s = F.lower(F.trim(status))
+    s = F.lower(strip(status))
     hit = F.lit(False)
     for t in terms:
         hit = hit | s.contains(t)
@@ -48,7 +53,7 @@ def closed_exact(status: Column, closed_values: Sequence[object]) -> Column:
     terms = _clean_terms(closed_values, "lower")
     if not terms:
         return F.lit(False)
-    return F.coalesce(F.lower(F.trim(status)).isin(terms), F.lit(False))
+    return F.coalesce(F.lower(strip(status)).isin(terms), F.lit(False))
 
 
 def closed_case_sensitive(status: Column, closed_values: Sequence[object]) -> Column:
@@ -88,8 +93,17 @@ def category_label(c: Column) -> Column:
 
 
 def pass_rate_text(rate: Column) -> Column:
-    """'98.5%' style text of a pass rate."""
-    return F.format_string("%.1f%%", rate)
+    """'98.5%' style text of a pass rate, rounded from its exact binary value, ties to even.
+
+    Ten times the rate is the sum of eight times and twice it, both exact; ``low`` is what the sum
+    loses, and tells on which side of a tie the exact value lies."""
+    eight, two = rate * 8.0, rate * 2.0
+    tens = eight + two
+    low = two - (tens - eight)
+    half = (tens - F.floor(tens)) == 0.5
+    rounded = F.when(half & (low > 0), F.ceil(tens).cast("double")).when(half & (low < 0), F.floor(tens).cast("double")) \
+        .otherwise(F.rint(tens))
+    return F.format_string("%.1f%%", rounded / 10.0)
 
 
 def points_text(earned: Column, possible: Column) -> Column:

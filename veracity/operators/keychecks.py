@@ -18,7 +18,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions.coerce import as_double
-from veracity.session import checkpoint_dir
 
 # Reference-table key names tried when the configured one is absent.
 RISK_KEY_FALLBACKS = ("risk_policy_number", "policy_number", "PolicyNumber", "Policy_Number")
@@ -82,8 +81,16 @@ def _paid_by_key(df: DataFrame, key: str, paid: str, alias: str) -> DataFrame:
               .groupBy("k").agg(F.sum("v").alias(alias)))
 
 
-def _paid_ok() -> Column:
-    return F.coalesce(F.col("cur_paid") >= F.coalesce(F.col("prev_paid"), F.lit(float("-inf"))), F.lit(False))
+# Sums of doubles depend on the order of rows, which differs from run to run on a cluster: sums that
+# are this close, relative to their size, count as equal.
+PAID_TOLERANCE = 1e-9
+
+
+def paid_ok() -> Column:
+    """Whether a key's paid sum did not fall: true without a previous sum, false without a current one."""
+    cur, prev = F.col("cur_paid"), F.col("prev_paid")
+    slack = F.greatest(F.lit(1.0), F.abs(prev)) * PAID_TOLERANCE
+    return cur.isNotNull() & (prev.isNull() | (cur >= prev - slack))
 
 
 # J4
@@ -92,13 +99,13 @@ def paid_not_decreasing(current: DataFrame, previous: DataFrame, key: str, paid:
     sum fails. Total = current keys."""
     joined = (_paid_by_key(current, key, paid, "cur_paid")
               .join(_paid_by_key(previous, key, paid, "prev_paid"), "k", "left"))
-    return _result(joined, F.count(F.lit(1)), F.count_if(_paid_ok()))
+    return _result(joined, F.count(F.lit(1)), F.count_if(paid_ok()))
 
 
 def failing_paid_keys(current: DataFrame, previous: DataFrame, key: str, paid: str) -> DataFrame:
     return (_paid_by_key(current, key, paid, "cur_paid")
             .join(_paid_by_key(previous, key, paid, "prev_paid"), "k", "left")
-            .where(~_paid_ok()).withColumnRenamed("k", key))
+            .where(~paid_ok()).withColumnRenamed("k", key))
 
 
 # J5
@@ -109,9 +116,9 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
 
     The pairs are never materialised. Both sides are first reduced to (key, paid) -> count; the
     number of pairs per key is n_cur * n_prev, and the passing pairs are counted with running sums
-    of previous counts ordered by paid. The reduced table is checkpointed once (it feeds three
-    passes). A hot key is split: paid values fall into ordered buckets
-    cut at global quantiles (at most ``buckets`` boundaries reach the driver), running sums run
+    of previous counts ordered by paid. Planning runs no job: the cuts are a one-row subplan. A hot
+    key is split: paid values fall into ordered buckets
+    cut at global quantiles (an array of at most ``buckets`` values), running sums run
     within (key, bucket), and each bucket adds the previous counts of the lower buckets of its key
     (a window over at most ``buckets`` rows per key). Exact for any key distribution.
     """
@@ -125,17 +132,15 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
     keys = ["k2", "knull"]
     both = (side(current, 1).unionByName(side(previous, 0))
             .groupBy(*keys, "v").agg(F.sum("c").alias("n_cur"), F.sum("p").alias("n_prev")))
-    # the reduced table feeds three passes (pair totals, bucket offsets, running sums); a reliable
-    # checkpoint in the shared folder computes it once instead of three scans and shuffles
-    checkpoint_dir(both.sparkSession)
-    both = both.checkpoint(eager=True)
     # all pairs per key (null paid included): product of the per-key counts, no pairs emitted
     pairs = both.groupBy(*keys).agg((F.sum("n_cur") * F.sum("n_prev")).alias("pairs"))
-    # bucket cuts: a shuffle-free sketch over the reduced rows, which are exactly the window's rows
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(both.approxQuantile("v", probs, 0.001))) if probs else []
+    # bucket cuts: a quantile sketch over the reduced rows, which are exactly the window's rows; a
+    # scalar subquery with an array of at most ``buckets`` values
+    probs = [i / buckets for i in range(1, buckets)] or [0.5]
+    cuts = both.agg(F.percentile_approx("v", probs, 1000).alias("cuts"))
     valued = F.col("v").isNotNull()
-    b = both.withColumn("b", F.expr(_bucket_sql(cuts, "v"))) \
+    b = both.withColumn("cuts", cuts.scalar()) \
+        .withColumn("b", F.expr(_bucket(buckets))).drop("cuts") \
         .withColumn("np", F.when(valued, F.col("n_prev")).otherwise(0))
     below = (b.groupBy(*keys, "b").agg(F.sum("np").alias("nb"))
               .withColumn("prev_below", F.coalesce(F.sum("nb").over(
@@ -151,15 +156,15 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
     return _result(parts, F.sum("pairs"), F.sum("ok"))
 
 
-def _bucket_sql(cuts: list[float], col: str) -> str:
-    """Number of cuts strictly below ``col`` as a balanced CASE tree: log2(len(cuts)) comparisons per
-    row, all inside whole-stage codegen (a higher-order ``filter`` over the cuts would be interpreted)."""
+def _bucket(buckets: int) -> str:
+    """Number of cuts strictly below ``v``, as a balanced CASE tree over the array's elements: all
+    inside whole-stage codegen (a higher-order ``filter`` over the cuts would be interpreted)."""
     def node(lo: int, hi: int) -> str:
         if lo == hi:
             return str(lo)
         mid = (lo + hi) // 2
-        return f"CASE WHEN {col} > CAST({cuts[mid]!r} AS DOUBLE) THEN {node(mid + 1, hi)} ELSE {node(lo, mid)} END"
-    return node(0, len(cuts))
+        return f"CASE WHEN v > get(cuts, {mid}) THEN {node(mid + 1, hi)} ELSE {node(lo, mid)} END"
+    return node(0, max(1, buckets - 1))
 
 
 def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,
@@ -186,14 +191,28 @@ def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid:
     in_cur = F.col("k").isNotNull() & n.isNotNull()
     in_prev = F.coalesce(F.col("in_prev"), F.lit(False))
     aggs += [F.count_if(in_prev).alias("m_total"), F.count_if(in_prev & in_cur).alias("m_passed"),
-             F.count_if(in_cur).alias("p_total"), F.count_if(in_cur & _paid_ok()).alias("p_passed")]
+             F.count_if(in_cur).alias("p_total"), F.count_if(in_cur & paid_ok()).alias("p_passed")]
     return both.agg(*aggs)
 
 
-def resolve_risk_key(risk: DataFrame, wanted: str) -> str | None:
-    """The configured reference key, else the first fallback present, else None."""
+def failing_paid_rows(current: DataFrame, previous: DataFrame, key: str, paid: str) -> DataFrame:
+    """Current rows that fail against at least one previous row of their key (null keys match each
+    other): a null on either side, or a higher previous value. The previous side is one row a key."""
+    k = F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull()
+    prev = previous.select(k[0].alias("__k"), k[1].alias("__n"), _num(previous, paid).alias("v")).groupBy("__k", "__n") \
+        .agg(F.max("v").alias("__most"), F.count_if(F.col("v").isNull()).alias("__nulls"))
+    now = F.col("__now")
+    cur = current.withColumn("__k", k[0]).withColumn("__n", k[1]).withColumn("__now", _num(current, paid))
+    return cur.join(prev, ["__k", "__n"]).where(now.isNull() | (F.col("__nulls") > 0) | (now < F.col("__most"))) \
+        .select(*current.columns)
+
+
+def resolve_risk_key(risk: DataFrame, wanted: str, fallback: bool = True) -> str | None:
+    """The configured reference key, else (with ``fallback``) the first other name present, else None."""
     if wanted in risk.columns:
         return wanted
+    if not fallback:
+        return None
     for name in RISK_KEY_FALLBACKS:
         if name in risk.columns:
             return name
@@ -222,10 +241,10 @@ def loss_ratio_table(claims: DataFrame, risk: DataFrame, key: str = "policy_numb
                      premium: str = "gwp", low: float = 0.0, high: float = 1.5) -> DataFrame:
     """Incurred summed per key (null keys dropped, all-null sums read as 0), inner-joined to the
     reference rows; ``ok`` when incurred / premium lies in [low, high]. Division by zero fails."""
-    agg = (claims.select(F.col(key).alias("k"), _num(claims, incurred).alias("v"))
+    agg = (claims.select(F.col(key).cast("string").alias("k"), _num(claims, incurred).alias("v"))
                  .where(F.col("k").isNotNull())
                  .groupBy("k").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("total_incurred")))
-    ref = risk.select(F.col(ref_key).alias("k"), _num(risk, premium).alias("gwp"))
+    ref = risk.select(F.col(ref_key).cast("string").alias("k"), _num(risk, premium).alias("gwp"))
     joined = agg.join(ref, "k", "inner")
     ratio = F.try_divide(F.col("total_incurred"), F.col("gwp"))
     return (joined.withColumn("loss_ratio", ratio)

@@ -22,6 +22,22 @@ CLAIMS_ALIASES = {
     "policy": ["Policy Number", "Policy_Number", "PolicyNumber"],
 }
 
+# Physical-name aliases of the gross/net suite's logical columns.
+GROSS_NET_ALIASES = {
+    "policy_number": ["Policy Number", "Policy_Number", "PolicyNumber", "policy_number"],
+    "claim_number": ["Claim Number", "Claim_Number", "ClaimNumber", "claim_number"],
+    "accident_date": ["Accident Date", "Accident_Date", "Date of Loss", "accident_date"],
+    "accident_year": ["Accident Year", "Accident_Year", "AY", "accident_year"],
+    "notification_date": ["Notification Date", "Notification_Date", "Reported Date", "notification_date"],
+    "gross_paid": ["Gross Paid", "Gross_Paid", "gross_paid"],
+    "gross_estimate": ["Gross Estimate", "Gross_Estimate", "Gross Reserve", "gross_estimate"],
+    "gross_incurred": ["Gross Incurred", "Gross_Incurred", "gross_incurred"],
+    "net_paid": ["Net Paid", "Net_Paid", "net_paid"],
+    "net_incurred": ["Net Incurred", "Net_Incurred", "net_incurred"],
+    "risk_policy_number": ["Policy Number", "Policy_Number", "PolicyNumber", "risk_policy_number"],
+    "gwp": ["GWP", "Gross Written Premium", "Gross_Written_Premium", "gwp"],
+}
+
 # Case-insensitive substrings tried in order for each premium input.
 PREMIUM_CANDIDATES = {
     "postcode": ["postcode", "post_code", "postal"],

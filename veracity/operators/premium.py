@@ -66,7 +66,7 @@ def select_addresses(df: DataFrame, selected_postcode: str, selected: Sequence[s
 # A18
 def premium_totals(priced: DataFrame, address: str = "address") -> DataFrame:
     return priced.agg(
-        F.count(F.col(address)).alias("addresses_selected"),
+        F.count_distinct(F.col(address)).alias("addresses_selected"),
         F.sum("final_building_premium").alias("total_building_premium"),
         F.sum("final_contents_premium").alias("total_contents_premium"),
         F.count_if(F.col("referral_flag") == "Referral").alias("referrals"),

@@ -13,6 +13,7 @@ so), with the absent column named in ``error``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -20,7 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veracity.functions.coerce import DATE_COLUMNS, NUMERIC_COLUMNS, STRING_COLUMNS, as_double, as_string, as_timestamp
+from veracity.functions.coerce import (DATE_COLUMNS, NUMERIC_COLUMNS, STRING_COLUMNS, as_double, as_string,
+                                       as_timestamp, double_sql, timestamp_sql)
 from veracity.functions.text import CLOSED_MATCHERS
 
 
@@ -31,12 +33,14 @@ class RowCheck:
     empty_rate: float = 0.0
     missing: str | None = None          # absent column(s): result is a fixed zero row
     missing_scope: Column | None = None  # when set, a missing result's total is count_if(this)
+    error: str | None = None            # the check can't be planned: a zero-point row with this text
 
 
 class Cols:
     """Typed access to the logical columns of a mapped (not yet coerced) frame."""
 
-    def __init__(self, df: DataFrame, coerce: bool = True):
+    def __init__(self, df: DataFrame, coerce: str = "all"):
+        self.df = df
         self.types = {f.name: f.dataType for f in df.schema.fields}
         self.coerce = coerce
 
@@ -58,22 +62,22 @@ class Cols:
 
     def value(self, name: str) -> Column:
         """The column as the profile sees it: coerced by its logical name, or raw."""
-        if not self.coerce:
+        if self.coerce == "none":
             return self.raw(name)
         if name in DATE_COLUMNS:
             return self.ts(name)
         if name in NUMERIC_COLUMNS:
             return self.num(name)
-        if name in STRING_COLUMNS:
+        if name in STRING_COLUMNS and self.coerce == "all":
             return as_string(self.raw(name))
         return self.raw(name)
 
     def value_type(self, name: str) -> T.DataType:
-        if self.coerce and name in DATE_COLUMNS:
+        if self.coerce != "none" and name in DATE_COLUMNS:
             return T.TimestampNTZType()
-        if self.coerce and name in NUMERIC_COLUMNS:
+        if self.coerce != "none" and name in NUMERIC_COLUMNS:
             return T.DoubleType()
-        if self.coerce and name in STRING_COLUMNS:
+        if self.coerce == "all" and name in STRING_COLUMNS:
             return T.StringType()
         return self.types[name]
 
@@ -87,13 +91,13 @@ def _missing(cols: Cols, *names: str, scope: Column | None = None) -> RowCheck |
 
 def _is_blank(c: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.StringType):
-        return F.trim(c) == ""
+        return ~c.rlike(r"(?U)\S")
     return F.lit(False)
 
 
 # K1
 def not_null(cols: Cols, field: str, blank_fails: bool = True) -> RowCheck:
-    """Null fails; with ``blank_fails`` a string that is empty after trim fails too."""
+    """Null fails; with ``blank_fails`` a string of white space only fails too."""
     if (m := _missing(cols, field)):
         return m
     v = cols.value(field)
@@ -291,7 +295,47 @@ def year_matches_date(cols: Cols, year_field: str, date_field: str) -> RowCheck:
 
 
 # K14
-def expression(cols: Cols, predicate: str, scope: str | None = None, empty_rate: float = 0.0) -> RowCheck:
-    """A declared SQL predicate (e.g. ``abs(a - (b + c)) <= 1``); null counts as a failure."""
-    sc = F.coalesce(F.expr(scope), F.lit(False)) if scope else F.lit(True)
-    return RowCheck(sc, F.coalesce(F.expr(predicate), F.lit(False)), empty_rate=empty_rate)
+def expression(cols: Cols, predicate: str, scope: str | None = None, empty_rate: float = 0.0,
+               value_kind: str | None = None) -> RowCheck:
+    """A declared SQL predicate (e.g. ``abs(a - (b + c)) <= 1``); null counts as a failure.
+
+    Columns are read coerced: as the profile reads them, or all as numbers or dates with
+    ``value_kind``, so text columns compare by value and unparsable values are null. A zero divisor
+    gives null.
+    """
+    def over(text: str) -> Column:
+        return F.expr(_null_on_zero(_coerced_names(cols, text, value_kind)))
+    sc = F.coalesce(over(scope), F.lit(False)) if scope else F.lit(True)
+    return RowCheck(sc, F.coalesce(over(predicate), F.lit(False)), empty_rate=empty_rate)
+
+
+_NAME = re.compile(r"'(?:[^']|'')*'|`[^`]+`|[A-Za-z_]\w*")
+
+
+def _coerced_names(cols: Cols, text: str, kind: str | None) -> str:
+    """The predicate's text with each column name replaced by its coerced form."""
+    def one(m: re.Match) -> str:
+        name = m[0].strip("`")
+        if m[0][0] == "'" or name not in cols.types:
+            return m[0]
+        dtype, quoted = cols.types[name], f"`{name}`"
+        if kind == "number" or kind is None and cols.coerce != "none" and name in NUMERIC_COLUMNS:
+            return double_sql(quoted, dtype)
+        if kind == "date" or kind is None and cols.coerce != "none" and name in DATE_COLUMNS:
+            return timestamp_sql(quoted, dtype)
+        return quoted
+    return _NAME.sub(one, text)
+
+
+def _null_on_zero(text: str) -> str:
+    """Divisors that are a name, a number or a bracket, wrapped so that zero gives null."""
+    out, at = [], 0
+    while (k := text.find("/", at)) >= 0:
+        start = k + 1 + len(text[k + 1:]) - len(text[k + 1:].lstrip())
+        end, depth = start, 0
+        while end < len(text) and (depth or text[end] == "(" or text[end].isalnum() or text[end] in "_.`"):
+            depth += (text[end] == "(") - (text[end] == ")")
+            end += 1
+        out += [text[at:k], "/ nullif(", _null_on_zero(text[start:end]), ", 0)"]
+        at = end
+    return "".join(out) + text[at:]

@@ -13,7 +13,7 @@ select
   case when l_orderkey % 101 = 0 then null when l_orderkey % 103 = 0 then '  '
        else concat('P', cast(o_custkey as varchar)) end as policy_number,
   case when l_orderkey % 211 = 0 then null
-       else concat('C', cast(l_orderkey as varchar), '-', cast(l_linenumber as varchar)) end as claim_number,
+       else concat({mark}, cast(l_orderkey as varchar), '-', cast(l_linenumber as varchar)) end as claim_number,
   case when l_partkey % 97 = 0 then null else l_shipdate end as accident_date,
   case l_returnflag when 'R' then ' Closed ' when 'A' then 'RE-CLOSED'
        else case when l_suppkey % 7 = 0 then null when l_suppkey % 5 = 0 then 'Disclosed' else 'Open' end end
@@ -29,13 +29,13 @@ select
   case when l_returnflag = 'N' then cast(l_linenumber as double) when l_partkey % 71 = 0 then null
        when l_partkey % 73 = 0 then 3.0 else 0.0 end::double as total_os
 from lineitem join orders on l_orderkey = o_orderkey
-where l_shipdate < timestamp '{cutoff}' {extra}
+{extra}
 """
 
 FIXTURES = {
     "claims_cur": _CLAIMS.format(paid="case when l_partkey % 40 = 0 then 0.5 else 1.0 end * l_quantity",
-                                 cutoff="1998-02-01 00:00:00", extra="and l_suppkey % 50 <> 0"),
-    "claims_prev": _CLAIMS.format(paid="l_quantity", cutoff="1998-01-01 00:00:00", extra=""),
+                                 mark="case when l_suppkey % 50 = 0 then 'R' else 'C' end", extra=""),
+    "claims_prev": _CLAIMS.format(paid="l_quantity", mark="'C'", extra="where l_orderkey % 37 <> 0"),
     "claims_hist": """
 select *, timestamp '1998-01-01 00:00:00' as bdx_month from claims_prev
 union all select *, timestamp '1998-02-01 00:00:00' as bdx_month from claims_cur""",

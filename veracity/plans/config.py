@@ -56,11 +56,12 @@ def declared_spec(c: Mapping, category: str, subcategory: str, as_of_year: int)
         lhs, rhs = c["formula"].split("=", 1)
         tol = float(c.get("tolerance", 0))
         return CheckSpec(type="expression", predicate=f"abs(({lhs.strip()}) - ({rhs.strip()})) <= {tol!r}",
-                         fields=_columns(c["formula"]), tolerance=tol, **base)
+                         fields=_columns(c["formula"]), tolerance=tol, value_kind="number", **base)
     if t in ("comparison", "date_comparison"):
         preds = c.get("comparisons") or [c["comparison"]]
         return CheckSpec(type="expression", predicate=" and ".join(f"({p})" for p in preds),
-                         fields=_columns(" ".join(preds)), **base)
+                         fields=_columns(" ".join(preds)),
+                         value_kind="date" if t == "date_comparison" else "number", **base)
     if t == "range":
         bounds = (_bound(c.get("min_value"), as_of_year), _bound(c.get("max_value"), as_of_year))
         if c.get("fields"):
@@ -80,18 +81,38 @@ def declared_spec(c: Mapping, category: str, subcategory: str, as_of_year: int)
     return CheckSpec(type=str(t), **base)
 
 
+# The keys of a flat check that rename its columns, with their defaults.
+_FIELD_KEYS = {
+    "closed_os_zero": (("status_field", "claim_status"), ("os_field", "total_os")),
+    "loss_within_policy": (("loss_field", "accident_date"), ("start_field", "policy_start_date"),
+                           ("end_field", "policy_end_date")),
+    "incurred_equals_paid_plus_os": (("incurred_field", "total_incurred"), ("paid_field", "total_paid"),
+                                     ("os_field", "total_os")),
+}
+
+
+def flat_spec(c: Mapping) -> CheckSpec:
+    """One check of the flat layout, with its own columns, closed values and pass-rate limits."""
+    kind = str(c.get("type", ""))
+    fields: tuple[str, ...] = ()
+    if any(k in c for k, _ in _FIELD_KEYS.get(kind, ())):
+        fields = tuple(str(c.get(k) or default) for k, default in _FIELD_KEYS[kind])
+    closed = c.get("closed_status_values")
+    limits = {k: float(c[k]) for k in ("high_pass_rate", "mid_pass_rate", "mid_points_factor") if c.get(k) is not None}
+    return CheckSpec(
+        id=str(c.get("id", "")), name=str(c.get("name", c.get("id", ""))), type=kind,
+        category=c.get("category", "checks"), subcategory=c.get("subcategory", "general"),
+        points=float(c.get("points", 0)), field=c.get("field"), fields=fields, enabled=bool(c.get("enabled", True)),
+        tolerance=c.get("tolerance"), priority=str(c.get("priority", "medium")), risk_key=c.get("risk_policy_col"),
+        key=c.get("policy_field") if kind == "risk_policy_match" else c.get("claim_field"), paid=c.get("paid_field"),
+        closed_values=tuple(map(str, closed)) if closed else None, **limits)
+
+
 def specs_from_config(config: Mapping, as_of_year: int) -> list[CheckSpec]:
     checks = config.get("checks", config.get("validation_checks", []))
     if isinstance(checks, list):
         out = []
-        for c in checks:
-            out.append(CheckSpec(
-                id=str(c.get("id", "")), name=str(c.get("name", c.get("id", ""))), type=str(c.get("type", "")),
-                category=c.get("category", "checks"), subcategory=c.get("subcategory", "general"),
-                points=float(c.get("points", 0)), field=c.get("field"), enabled=bool(c.get("enabled", True)),
-                tolerance=c.get("tolerance"), priority=str(c.get("priority", "medium")),
-                risk_key=c.get("risk_policy_col")))
-        return out
+        return [flat_spec(c) for c in checks]
     out = []
     for category, subs in checks.items():
         for subcategory, items in subs.items():

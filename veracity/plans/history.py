@@ -54,7 +54,7 @@ def _key_counts(history: DataFrame, snap: str, pairs: DataFrame, unique_keep: st
     both = g.join(prev_side, ["snap", "k"], "full_outer")
     in_cur = n.isNotNull() & F.col("k").isNotNull()
     in_prev = F.col("prev_n").isNotNull() & F.col("k").isNotNull()   # unfiltered, so both sides stay identical
-    ok = F.coalesce(F.col("cur_paid") >= F.coalesce(F.col("prev_paid"), F.lit(float("-inf"))), F.lit(False))
+    ok = kc.paid_ok()
     return both.groupBy("snap").agg(
         F.sum("n").alias("u_total"), F.sum(F.when(n > 1, n).otherwise(0)).alias("u_failed"),
         F.count("n").alias("u_groups"),

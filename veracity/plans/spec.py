@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from pyspark.sql import DataFrame, SparkSession
+
 
 @dataclass(frozen=True)
 class CheckSpec:
@@ -34,12 +36,16 @@ class CheckSpec:
     as_of_year: int | None = None
     bounds: tuple[float | None, float | None] = (None, None)   # 'range' checks
     empty_rate: float = 0.0                                      # 'expression' checks with an empty scope
+    value_kind: str | None = None            # 'expression' checks: read columns as 'number' or 'date'
+    key: str | None = None                   # key checks: the claim or policy column, where not the default
+    paid: str | None = None                  # paid-not-decreasing: the paid column
+    closed_values: tuple[str, ...] | None = None   # closed-status checks: their own values
 
 
 @dataclass(frozen=True)
 class Policy:
     name: str
-    coerce: bool = True
+    coerce: str = "all"                      # all | dates_numbers (text stays as it is) | none
     blank_is_null: bool = True
     non_negative_null: str = "fail"          # fail | pass | drop
     valid_date_null: str = "fail"            # fail | pass
@@ -50,6 +56,7 @@ class Policy:
     unique_keep: str = "none"                # none | first
     paid_rule: str = "left"                  # left | rows
     empty_key_rate: float = 100.0            # J3/J6 with no keys
+    risk_key_fallback: bool = True           # try other key names; without any, every row fails
     paid_empty_rate: float = 0.0
     points_rule: str = "strict"              # strict | tiered | linear | all_or_nothing | threshold
     skip_rule: str = "full"                  # full | zero | warn
@@ -65,16 +72,17 @@ class Policy:
 
 V5 = Policy("v5")
 V4 = replace(V5, name="v4", blank_is_null=False, non_negative_null="pass", valid_date_null="pass",
-             closed_match="substring", closed_os_null="pass", loss_rule="row_fallback", skip_rule="zero")
+             closed_match="substring", closed_os_null="pass", loss_rule="row_fallback", skip_rule="zero",
+             risk_key_fallback=False)
 V0 = replace(V4, name="v0")
 V3 = replace(V4, name="v3", closed_match="exact", points_rule="linear")
 V1 = replace(V3, name="v1", loss_rule="no_fallback", points_rule="tiered")
-V2 = Policy("v2", coerce=False, blank_is_null=False, non_negative_null="drop", valid_date_null="fail",
+V2 = Policy("v2", coerce="dates_numbers", blank_is_null=False, non_negative_null="drop", valid_date_null="fail",
             closed_match="case_sensitive", closed_os_null="fail", loss_rule="drop_empty_full",
             formula_empty_rate=100.0, unique_keep="first", paid_rule="rows", paid_empty_rate=100.0,
             points_rule="all_or_nothing", skip_rule="warn", omit_risk_without_table=True,
             overall_rule="percent_ex_risk", summary_rule="v2")
-ROOT = Policy("root", coerce=False, blank_is_null=False, points_rule="threshold", summary_rule="root",
+ROOT = Policy("root", coerce="none", blank_is_null=False, points_rule="threshold", summary_rule="root",
               formula_empty_rate=0.0)
 
 POLICIES = {p.name: p for p in (V0, V1, V2, V3, V4, V5, ROOT)}
@@ -193,16 +201,21 @@ def auto_disable(specs: list[CheckSpec], mapped: set[str], previous_available: b
     for s in specs:
         reason = None
         if s.type in ("missing_claims_from_prev_month", "total_paid_non_decreasing_vs_prev") and not previous_available:
-            reason = "Previous bdx month not available (MoM comparisons skipped)"
+            reason = "No previous snapshot to compare with"
         elif s.type == "risk_policy_match" and not reference_available:
-            reason = "Risk database not selected"
+            reason = "No reference table given"
         else:
             need = (s.field,) if s.type in _FIELD_TYPES and s.field else _CHECK_FIELDS.get(s.type, ())
             missing = [f for f in need if f not in mapped]
             if missing:
-                reason = f"Missing/unmapped columns: {', '.join(missing)}"
+                reason = f"Columns not mapped: {', '.join(missing)}"
         if reason and s.enabled:
             reasons[s.id] = reason
             s = replace(s, enabled=False)
         out.append(s)
     return out, reasons
+
+
+def disabled_checks(spark: SparkSession, reasons: dict[str, str]) -> DataFrame:
+    """The reasons of ``auto_disable`` as rows (check_id, reason)."""
+    return spark.createDataFrame(sorted(reasons.items()), "check_id string, reason string")

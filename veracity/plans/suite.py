@@ -23,6 +23,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def row_check(spec: CheckSpec, policy: Policy, cols: rc.Cols, closed_values: Seq
         return rc.year_in_range(cols, spec.field, spec.as_of_year or as_of_year)
     if t == "closed_os_zero":
         status, os_ = spec.fields or ("claim_status", "total_os")
-        return rc.closed_os_zero(cols, status, os_, closed_values, policy.closed_match, policy.closed_os_null)
+        return rc.closed_os_zero(cols, status, os_, spec.closed_values or closed_values, policy.closed_match, policy.closed_os_null)
     if t == "loss_within_policy":
         return rc.loss_within_policy(cols, *(spec.fields or ()), rule=policy.loss_rule)
     if t == "incurred_equals_paid_plus_os":
@@ -91,7 +92,7 @@ def row_check(spec: CheckSpec, policy: Policy, cols: rc.Cols, closed_values: Seq
         if (gone := cols.absent(*spec.fields)):
             return rc.RowCheck(F.lit(True), F.lit(False), missing=gone)
         scope = spec.scope or (" and ".join(f"`{f}` is not null" for f in spec.fields) or None)
-        return rc.expression(cols, spec.predicate, scope, spec.empty_rate)
+        return rc.expression(cols, spec.predicate, scope, spec.empty_rate, spec.value_kind)
     if t == "range":
         lo, hi = spec.bounds
         if spec.fields:
@@ -100,6 +101,27 @@ def row_check(spec: CheckSpec, policy: Policy, cols: rc.Cols, closed_values: Seq
     return None
 
 
+def planned_row_check(spec: CheckSpec, policy: Policy, cols: rc.Cols, closed_values: Sequence[str],
+                      as_of_year: int) -> rc.RowCheck | None:
+    """``row_check`` on its own: what can't be built or resolved becomes an error row, and the run
+    goes on. Only declared expressions and columns of unexpected types need the analyser's word."""
+    try:
+        if spec.type in ROW_TYPES and spec.type in FIELD_TYPES and not spec.field:
+            raise ValueError(f"check {spec.id} names no field")
+        chk = row_check(spec, policy, cols, closed_values, as_of_year)
+        if chk is not None and not chk.missing and spec.type in ("expression", "range"):
+            types = cols.df.select(chk.scope.alias("s"), chk.ok.alias("o")).schema
+            if any(f.dataType.simpleString() != "boolean" for f in types):
+                raise ValueError(f"check {spec.id} isn't a condition")
+        return chk
+    except (AnalysisException, ParseException, TypeError, ValueError, KeyError) as e:
+        text = " ".join(str(e).split("\n")[0].split())[:200]
+        return rc.RowCheck(F.lit(False), F.lit(False), error=text)
+
+
+FIELD_TYPES = {"not_null", "not_null_not_year_1900", "non_negative", "valid_date", "year_in_range"}
+
+
 def _q(text: str | None) -> str:
     """A SQL string literal (or NULL)."""
     if text is None:
@@ -144,8 +166,7 @@ class SuiteRun:
     fused: DataFrame | None = None
 
     def total_records(self) -> DataFrame:
-        """One row ``n``: the current snapshot's row count, taken from the fused row-check aggregate
-        (the same subplan, so the scan is shared rather than repeated)."""
+        """One row ``n``: the current snapshot's row count, from the fused row-check aggregate."""
         if self.fused is not None:
             return self.fused.select("n")
         return self.current.agg(F.count(F.lit(1)).alias("n"))
@@ -172,20 +193,24 @@ class SuiteRun:
             check = self.row_checks.get(check_id)
             ctx = [c if c != "check_field" else spec.field for c in CONTEXT_COLUMNS.get(t, ())]
             ctx = [c for c in dict.fromkeys(ctx) if c and c in self.current.columns] or self.current.columns
-            if check is None or check.missing:
+            if check is None or check.missing or check.error:
                 return self.current.select(*ctx).where(F.lit(False))   # absent column: no failing rows
             return self.current.where(check.scope & ~F.coalesce(check.ok, F.lit(False))).select(*ctx)
         key = spec.field or "claim_number"
         if t == "unique":
             ctx = [c for c in dict.fromkeys(["claim_number", key]) if c in self.current.columns]
             return kc.failing_duplicates(self.current, key).select(*ctx)
+        claim, paid = spec.key or CLAIM_KEY, spec.paid or PAID
         if t == "missing_claims_from_prev_month" and self.previous is not None:
-            return kc.failing_missing_keys(self.current, self.previous, "claim_number")
-        if t == "total_paid_non_decreasing_vs_prev" and self.previous is not None and self.policy.paid_rule == "left":
-            return kc.failing_paid_keys(self.current, self.previous, "claim_number", "total_paid").select("claim_number")
+            return kc.failing_missing_keys(self.current, self.previous, claim)
+        if t == "total_paid_non_decreasing_vs_prev" and self.previous is not None:
+            if self.policy.paid_rule == "left":
+                return kc.failing_paid_keys(self.current, self.previous, claim, paid).select(claim)
+            return kc.failing_paid_rows(self.current, self.previous, claim, paid).select(claim, paid)
         if t == "risk_policy_match" and self.risk is not None:
-            ref = kc.resolve_risk_key(self.risk, spec.risk_key or "risk_policy_number")
-            return kc.failing_reference_keys(self.current, self.risk, "policy_number", ref)
+            ref = kc.resolve_risk_key(self.risk, spec.risk_key or "risk_policy_number", self.policy.risk_key_fallback)
+            if ref is not None:
+                return kc.failing_reference_keys(self.current, self.risk, spec.key or "policy_number", ref)
         if t == "loss_ratio" and self.risk is not None:
             return kc.loss_ratio_table(self.current, self.risk).where(~F.col("ok"))
         raise KeyError(f"no failing rows for check {check_id} ({t})")
@@ -210,12 +235,12 @@ def _key_result(spec: CheckSpec, policy: Policy, current: DataFrame, previous: D
                 0.0, f"column not found: {key}"
         return kc.uniqueness(current, key, policy.unique_keep), 0.0, None
     if t == "missing_claims_from_prev_month":
-        key = "claim_number"
+        key = spec.key or CLAIM_KEY
         if key not in current.columns or key not in previous.columns:
             return zero, 0.0, f"column not found: {key}"
         return kc.missing_keys(current, previous, key), policy.empty_key_rate, None
     if t == "total_paid_non_decreasing_vs_prev":
-        key, paid = "claim_number", "total_paid"
+        key, paid = spec.key or CLAIM_KEY, spec.paid or PAID
         for c in (key, paid):
             if c not in current.columns or c not in previous.columns:
                 return zero, 0.0, f"column not found: {c}"
@@ -223,10 +248,12 @@ def _key_result(spec: CheckSpec, policy: Policy, current: DataFrame, previous: D
             return kc.paid_not_decreasing_rows(current, previous, key, paid), policy.paid_empty_rate, None
         return kc.paid_not_decreasing(current, previous, key, paid), policy.paid_empty_rate, None
     if t == "risk_policy_match":
-        key = "policy_number"
+        key = spec.key or "policy_number"
         if key not in current.columns:
             return zero, 0.0, f"column not found: {key}"
-        ref = kc.resolve_risk_key(risk, spec.risk_key or "risk_policy_number")
+        ref = kc.resolve_risk_key(risk, spec.risk_key or "risk_policy_number", policy.risk_key_fallback)
+        if ref is None and not policy.risk_key_fallback:
+            return zero, 0.0, "reference key column not found"
         if ref is None:
             return n_rows.select(F.col("n").alias("total"), F.lit(0).alias("passed"), F.col("n").alias("failed")), \
                 0.0, "reference key column not found"
@@ -257,10 +284,12 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
         if spec.type in RISK_TYPES and risk is None and (policy.omit_risk_without_table or spec.type == "loss_ratio"):
             continue
         planned.append((seq, spec))
-        chk = row_check(spec, policy, cols, closed_values, as_of_year)
+        chk = planned_row_check(spec, policy, cols, closed_values, as_of_year)
         if chk is None:
             continue
         row_slots[seq] = (spec, chk)
+        if chk.error:
+            continue
         if chk.missing:
             if chk.missing_scope is not None:
                 aggs.append(F.count_if(chk.missing_scope).alias(f"t{seq}"))
@@ -274,6 +303,9 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
 
     structs = []
     for seq, (spec, chk) in row_slots.items():
+        if chk.error:
+            structs.append(_result_sql(spec, seq, policy, "0", "0", "0", "0", error=chk.error, earned="0"))
+            continue
         if chk.missing:
             total = f"t{seq}" if chk.missing_scope is not None else "n"
             structs.append(_result_sql(spec, seq, policy, total, "0", "0", "0", error=f"column not found: {chk.missing}"))
@@ -330,6 +362,8 @@ def _profile_part(planned, row_slots, policy: Policy, current: DataFrame,
             continue
         if spec.type == "unique" and (spec.field or CLAIM_KEY) == CLAIM_KEY:
             roles[seq] = ("u", spec)
+        elif (spec.key or CLAIM_KEY) != CLAIM_KEY or (spec.paid or PAID) != PAID:
+            continue
         elif spec.type == "missing_claims_from_prev_month" and has_prev_key:
             roles[seq] = ("m", spec)
         elif spec.type == "total_paid_non_decreasing_vs_prev" and has_paid and policy.paid_rule == "left":

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veracity.sources.tables import read_table
 
-# Snapshot cut-offs of the two claim snapshots.
+# The two claim snapshots.
 CURRENT_BDX = "1998-02-01 00:00:00"
 PREVIOUS_BDX = "1998-01-01 00:00:00"
 
@@ -37,7 +37,7 @@ _CLAIMS_SELECT = [
     "CASE WHEN l_orderkey % 101 = 0 THEN NULL WHEN l_orderkey % 103 = 0 THEN '  ' "
     "ELSE concat('P', CAST(o_custkey AS STRING)) END AS policy_number",
     "CASE WHEN l_orderkey % 211 = 0 THEN NULL "
-    "ELSE concat('C', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) END AS claim_number",
+    "ELSE concat({mark}, CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) END AS claim_number",
     "CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE l_shipdate END AS accident_date",
     "CASE l_returnflag WHEN 'R' THEN ' Closed ' WHEN 'A' THEN 'RE-CLOSED' ELSE CASE WHEN l_suppkey % 7 = 0 THEN NULL "
     "WHEN l_suppkey % 5 = 0 THEN 'Disclosed' ELSE 'Open' END END AS claim_status",
@@ -54,13 +54,15 @@ _CLAIMS_SELECT = [
 
 
 def claims_snapshot(spark: SparkSession, sf_dir: str, current: bool = True) -> DataFrame:
-    """One monthly claims snapshot (current = Feb 1998 cut-off, previous = Jan 1998)."""
-    cutoff = CURRENT_BDX if current else PREVIOUS_BDX
-    where = f"l_shipdate < TIMESTAMP_NTZ '{cutoff}'" + (" AND l_suppkey % 50 <> 0" if current else "")
+    """One monthly claims snapshot. The current one is all of ``lineitem``; the previous one lacks the
+    orders whose key is divisible by 37 (claims new this month). Claims of suppliers divisible by 50
+    were renumbered since, so their old numbers are missing from the current snapshot."""
+    where = None if current else "l_orderkey % 37 <> 0"
+    mark = "CASE WHEN l_suppkey % 50 = 0 THEN 'R' ELSE 'C' END" if current else "'C'"
     paid = "CASE WHEN l_partkey % 40 = 0 THEN 0.5D ELSE 1.0D END * l_quantity" if current else "l_quantity"
     j = _lineitem_orders(spark, sf_dir, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
                                          "l_returnflag", "l_shipdate"], where)
-    return j.selectExpr(*[e.format(paid=paid) for e in _CLAIMS_SELECT])
+    return j.selectExpr(*[e.format(paid=paid, mark=mark) for e in _CLAIMS_SELECT])
 
 
 def claims_history(spark: SparkSession, sf_dir: str) -> DataFrame:
