@@ -5,12 +5,15 @@
 2. Sketch: each shingle falls into one of ``bands * rows`` buckets; a bucket keeps its smallest value
    as a register of leading-zero count and ten mantissa bits. Empty buckets borrow from another one,
    tried in an order fixed by the bucket.
-3. Bands of registers are the candidate keys. In two rounds, candidates whose Jaccard estimate,
-   corrected for chance collisions of registers, is near the limit are verified on the full sets:
+3. Bands of registers are the candidate keys. Shingles that only one candidate has count against it:
+   a pair's Jaccard is at most m / (|A| + |B| - m), with m the smaller number of shared shingles, and
+   candidates and pairs that this bound rules out go.
+4. In two rounds, pairs whose Jaccard estimate, corrected for chance collisions of registers, is
+   near the limit are verified on the full sets:
    first each node with the best of its bands' smallest nodes; then, within bands, all pairs of
    nodes that the first round left in different components. Large bands are cut into blocks whose
    pairs are separate tasks, and pairs are filtered by sketch before they leave the task.
-4. Components of the verified links.
+5. Components of the verified links.
 
 A pair at the limit of 0.8 is missed by all 38 bands of 5 with probability 3e-7, and by the sketch
 filter (3.5 standard errors) with 2e-4. Nothing else is lost: no caps on bands, partners or links.
@@ -211,6 +214,14 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
         .select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def with_shared(sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """``sketches`` with ``shared``: how many of a node's shingles some other candidate has too."""
+    alone = sets.select("node", F.explode("set").alias("s")).groupBy("s") \
+        .agg(F.min("node").alias("node"), F.count("*").alias("k")).where("k = 1") \
+        .groupBy("node").agg(F.count("*").alias("alone"))
+    return sketches.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0))).drop("alone")
+
+
 def best_stars(members: DataFrame, sketches: DataFrame, settings: Settings) -> DataFrame:
     """(a, b): each node with the most similar of its bands' smallest nodes, where near the limit."""
     k = settings.registers
@@ -221,8 +232,11 @@ def best_stars(members: DataFrame, sketches: DataFrame, settings: Settings) -> D
             e = estimate(_registers(batch.column(4), k), _registers(batch.column(5), k), na, nb) if len(na) else np.empty(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(e, pa.float64())], ["a", "b", "e"])
     stars = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    side = [sketches.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("registers").alias("r" + c)) for c in "ab"]
-    scored = stars.join(side[0], "a").join(side[1], "b").select("a", "b", "na", "nb", "ra", "rb") \
+    side = [sketches.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("registers").alias("r" + c),
+                            F.col("shared").alias("s" + c)) for c in "ab"]
+    most = F.least("sa", "sb")
+    possible = 100 * most >= settings.percent * (F.col("na") + F.col("nb") - most)
+    scored = stars.join(side[0], "a").join(side[1], "b").where(possible).select("a", "b", "na", "nb", "ra", "rb") \
         .mapInArrow(run, "a long, b long, e double").where(F.col("e") >= settings.least_estimate)
     return scored.groupBy("b").agg(F.max(F.struct("e", (-F.col("a")).alias("a"))).alias("best")) \
         .select((-F.col("best.a")).alias("a"), "b")
@@ -243,7 +257,8 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, s
     s, k = settings, settings.registers
 
     def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, i, j, block, node, comp, n = (rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "component", "n"))
+        key, i, j, block, node, comp, n, shared = (
+            rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "component", "n", "shared"))
         regs = _registers(rows.column("registers").combine_chunks(), k)
         borders = _cells(key, i, j)
         sk = Sketcher(s)
@@ -267,8 +282,9 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, s
                 right = np.flatnonzero(block[lo:hi] == j[lo])
                 p, q = (g.ravel() for g in np.meshgrid(left, right, indexing="ij"))
             p, q = p + lo, q + lo
-            cross = comp[p] != comp[q]
-            p, q = p[cross], q[cross]
+            most = np.minimum(shared[p], shared[q])
+            open_ = (comp[p] != comp[q]) & (100 * most >= s.percent * (n[p] + n[q] - most))
+            p, q = p[open_], q[open_]
             for at in range(0, len(p), PAIRS_AT_ONCE):
                 xs.append(p[at:at + PAIRS_AT_ONCE])
                 ys.append(q[at:at + PAIRS_AT_ONCE])
@@ -299,8 +315,8 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, s
     dealt = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component") \
-        .join(sketches.select("node", "n", "registers"), "node") \
-        .select("key", "i", "j", "block", "node", "component", "n", "registers")
+        .join(sketches.select("node", "n", "shared", "registers"), "node") \
+        .select("key", "i", "j", "block", "node", "component", "n", "shared", "registers")
     parts = parallelism(members.sparkSession)
     return dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node") \
         .mapInArrow(run, "a long, b long")
@@ -318,24 +334,21 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     banded = sketches.select("node", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot")
     members = Staged(banded.join(shared, "key").select("key", "node", "pivot"), "bands").df
-    sketches = Staged(sketches.join(members.select("node").distinct(), "node", "left_semi")
-                      .select("node", "doc_id", "digest", "n", "registers"), "candidates").df
+    sketches = sketches.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest", "n", "registers")
+    sets = Staged(node_sets(docs, sketches.select("doc_id", "digest", "node"), settings, id_col, text_col), "sets")
+    sketches = Staged(with_shared(sketches, sets.df).where(100 * F.col("shared") >= settings.percent * F.col("n")), "candidates").df
+    able = sketches.select("node")
+    members = Staged(members.select("key", "node").join(able, "node", "left_semi"), "bands").df
+    members = members.join(members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
+                           .select("key", "pivot"), "key")
 
     stars = Staged(best_stars(members, sketches, settings), "stars").df
-    starred = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    sets = Staged(node_sets(docs, sketches.join(starred, "node", "left_semi").select("doc_id", "digest", "node"),
-                            settings, id_col, text_col), "sets")
     links = Staged(verified(stars, sets.df, settings), "links").df
     first = components(links)
 
     pairs = Staged(crossing_pairs(members, first, sketches, settings), "pairs").df
-    more = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct() \
-        .join(starred, "node", "left_anti")
-    rest = Staged(node_sets(docs, sketches.join(more, "node", "left_semi").select("doc_id", "digest", "node"),
-                            settings, id_col, text_col), "sets")
-    links = Staged(links.union(verified(pairs, sets.df.union(rest.df), settings)), "links").df
+    links = Staged(links.union(verified(pairs, sets.df, settings)), "links").df
     sets.drop()
-    rest.drop()
     labels = components(links)
 
     # from nodes back to rows; copies of one text follow their node
