@@ -7,7 +7,9 @@ Every query reads the given tables (through the claims-shaped views in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -234,19 +236,23 @@ _ROW_QUERIES = [
      _raw, lambda c: rc.valid_date(c, "accident_date_raw", "fail")),
     ("k_valid_date_lenient", "raw_dates", "true", f"{_PT} is not null or accident_date_raw is null", 0.0,
      _raw, lambda c: rc.valid_date(c, "accident_date_raw", "pass")),
-    ("k_valid_dates_multi", "claims_root", "true",
-     "(accident_date is not null or accident_date is null) and "
-     "(notification_date is not null or notification_date is null)", 0.0,
-     _root, lambda c: rc.valid_dates_all(c, ("accident_date", "notification_date"))),
+    ("k_valid_dates_multi", "raw_dates", "true",
+     f"({_PT} is not null or accident_date_raw is null) and "
+     f"({O.parse_ts('notification_raw')} is not null or notification_raw is null)", 0.0,
+     _raw, lambda c: rc.valid_dates_all(c, ("accident_date_raw", "notification_raw"))),
+    ("k_closed_empty_scope", "claims_cur", "claim_status = 'Nothing'", "total_os = 0", 100.0,
+     _cur, lambda c: rc.closed_os_zero(c, "claim_status", "total_os", ["Nothing"], "case_sensitive", "fail")),
+    ("k_expr_divisor", "claims_cur", "total_paid is not null", "total_incurred / nullif(total_os, 0) >= 2", 0.0,
+     _cur, lambda c: rc.expression(c, "total_incurred / total_os >= 2", "total_paid is not null")),
     ("k_year_range", "claims_root", "true", f"accident_year between {AS_OF_YEAR - 15} and {AS_OF_YEAR}", 0.0,
      _root, lambda c: rc.year_in_range(c, "accident_year", AS_OF_YEAR)),
-    ("k_closed_word", "claims_cur", O.closed_sql(POLICIES["v5"]), "total_os = 0", 100.0,
+    ("k_closed_word", "claims_cur", O.closed_sql(O.POLICIES["v5"]), "total_os = 0", 100.0,
      _cur, lambda c: rc.closed_os_zero(c, "claim_status", "total_os", ["Closed"], "word", "fail")),
-    ("k_closed_substring", "claims_cur", O.closed_sql(POLICIES["v4"]), "coalesce(total_os, 0) = 0", 100.0,
+    ("k_closed_substring", "claims_cur", O.closed_sql(O.POLICIES["v4"]), "coalesce(total_os, 0) = 0", 100.0,
      _cur, lambda c: rc.closed_os_zero(c, "claim_status", "total_os", ["Closed"], "substring", "pass")),
-    ("k_closed_exact", "claims_cur", O.closed_sql(POLICIES["v1"]), "coalesce(total_os, 0) = 0", 100.0,
+    ("k_closed_exact", "claims_cur", O.closed_sql(O.POLICIES["v1"]), "coalesce(total_os, 0) = 0", 100.0,
      _cur, lambda c: rc.closed_os_zero(c, "claim_status", "total_os", ["Closed"], "exact", "pass")),
-    ("k_closed_case_sensitive", "claims_cur", O.closed_sql(POLICIES["v2"], (" Closed ", "RE-CLOSED")),
+    ("k_closed_case_sensitive", "claims_cur", O.closed_sql(O.POLICIES["v2"], (" Closed ", "RE-CLOSED")),
      "total_os = 0", 100.0,
      _cur, lambda c: rc.closed_os_zero(c, "claim_status", "total_os", [" Closed ", "RE-CLOSED"],
                                        "case_sensitive", "fail")),
@@ -301,40 +307,40 @@ def _spec(t, field=None):
 
 
 @register("j_unique_all", O.with_fixtures(_counts_sql(O.key_check_sql(
-    _spec("unique", "claim_number"), POLICIES["v5"], "claims_cur", None, None)[0]), "claims_cur"))
+    _spec("unique", "claim_number"), O.POLICIES["v5"], "claims_cur", None, None)[0]), "claims_cur"))
 def q_j_unique_all(spark, sf):
     return kc.uniqueness(_cur(spark, sf), "claim_number", "none")
 
 
 @register("j_unique_first", O.with_fixtures(_counts_sql(O.key_check_sql(
-    _spec("unique", "claim_number"), POLICIES["v2"], "claims_cur", None, None)[0]), "claims_cur"))
+    _spec("unique", "claim_number"), O.POLICIES["v2"], "claims_cur", None, None)[0]), "claims_cur"))
 def q_j_unique_first(spark, sf):
     return kc.uniqueness(_cur(spark, sf), "claim_number", "first")
 
 
 @register("j_missing_claims", O.with_fixtures(_counts_sql(O.key_check_sql(
-    _spec("missing_claims_from_prev_month"), POLICIES["v5"], "claims_cur", "claims_prev", None)[0]),
+    _spec("missing_claims_from_prev_month"), O.POLICIES["v5"], "claims_cur", "claims_prev", None)[0]),
     "claims_cur", "claims_prev"))
 def q_j_missing_claims(spark, sf):
     return kc.missing_keys(_cur(spark, sf), _prev(spark, sf), "claim_number")
 
 
 @register("j_paid_left", O.with_fixtures(_counts_sql(O.key_check_sql(
-    _spec("total_paid_non_decreasing_vs_prev"), POLICIES["v5"], "claims_cur", "claims_prev", None)[0]),
+    _spec("total_paid_non_decreasing_vs_prev"), O.POLICIES["v5"], "claims_cur", "claims_prev", None)[0]),
     "claims_cur", "claims_prev"))
 def q_j_paid_left(spark, sf):
     return kc.paid_not_decreasing(_cur(spark, sf), _prev(spark, sf), "claim_number", "total_paid")
 
 
 @register("j_paid_inner", O.with_fixtures(_counts_sql(O.key_check_sql(
-    _spec("total_paid_non_decreasing_vs_prev"), POLICIES["v2"], "claims_cur", "claims_prev", None)[0]),
+    _spec("total_paid_non_decreasing_vs_prev"), O.POLICIES["v2"], "claims_cur", "claims_prev", None)[0]),
     "claims_cur", "claims_prev"))
 def q_j_paid_inner(spark, sf):
     return kc.paid_not_decreasing_rows(_cur(spark, sf), _prev(spark, sf), "claim_number", "total_paid")
 
 
 @register("j_risk_anti", O.with_fixtures(_counts_sql(O.key_check_sql(
-    _spec("risk_policy_match"), POLICIES["v5"], "claims_cur", None, "risk")[0]), "claims_cur", "risk"))
+    _spec("risk_policy_match"), O.POLICIES["v5"], "claims_cur", None, "risk")[0]), "claims_cur", "risk"))
 def q_j_risk_anti(spark, sf):
     return kc.keys_in_reference(_cur(spark, sf), fx.risk_table(spark, sf), "policy_number", "risk_policy_number")
 
@@ -355,7 +361,7 @@ def q_j_risk_missing_keys(spark, sf):
 
 
 @register("j_loss_ratio", O.with_fixtures(_counts_sql(O.key_check_sql(
-    _spec("loss_ratio"), POLICIES["root"], "claims_root", None, "risk")[0]), "claims_root", "risk"))
+    _spec("loss_ratio"), O.POLICIES["root"], "claims_root", None, "risk")[0]), "claims_root", "risk"))
 def q_j_loss_ratio(spark, sf):
     return kc.loss_ratio(fx.claims_root(spark, sf), fx.risk_table(spark, sf))
 
@@ -413,7 +419,7 @@ SUITE_COLS = ["check_id", "check_type", "category", "points_possible", "total",
 
 def _suite_sql(policy_name: str, prev=True, risk=True, closed=None) -> str:
     from dataclasses import replace
-    pol = POLICIES[policy_name]
+    pol = O.POLICIES[policy_name]
     if closed:
         pol = replace(pol, closed_values=tuple(closed))
     if policy_name == "v2":
@@ -462,14 +468,14 @@ SCORE_COLS = ["overall_score", "total_checks", "passed_checks", "warning_checks"
               "critical_issues_count", "risk_match_ok", "status"]
 
 _over_results("overall_sum", "v5", v5_run, lambda r: r.score().select(*SCORE_COLS),
-              lambda res: O.score_sql(res, POLICIES["v5"]))
+              lambda res: O.score_sql(res, O.POLICIES["v5"]))
 _over_results("overall_percent", "v2", v2_run, lambda r: r.score().select(*SCORE_COLS),
-              lambda res: O.score_sql(res, POLICIES["v2"]), closed=[" Closed ", "RE-CLOSED"])
+              lambda res: O.score_sql(res, O.POLICIES["v2"]), closed=[" Closed ", "RE-CLOSED"])
 _over_results("summary_counts_root", "root", root_run, lambda r: r.score().select(*SCORE_COLS),
-              lambda res: O.score_sql(res, POLICIES["root"]), prev=False)
+              lambda res: O.score_sql(res, O.POLICIES["root"]), prev=False)
 _over_results("status_bands", "v4", lambda s, f: v5_run(s, f, policy="v4"),
               lambda r: r.score().select("overall_score", "status"),
-              lambda res: f"select overall_score, status from ({O.score_sql(res, POLICIES['v4'])})")
+              lambda res: f"select overall_score, status from ({O.score_sql(res, O.POLICIES['v4'])})")
 _over_results(
     "category_scores", "v5", v5_run, lambda r: r.categories(),
     lambda res: f"select category, sum(points_earned) as points_earned, sum(points_possible) as points_possible, "
@@ -494,7 +500,7 @@ def _points_query(name: str, rule: str):
     specs = default_suite(include_risk=True)
     if rule == "threshold":
         specs = [replace(s, thresholds=((98, s.points), (95, s.points / 2), (90, 1))) for s in specs]
-    body = O.suite_sql(specs, pol, "claims_cur", "claims_prev", "risk", AS_OF_YEAR)
+    body = O.suite_sql(specs, replace(O.POLICIES["v5"], points_rule=rule), "claims_cur", "claims_prev", "risk", AS_OF_YEAR)
     sql = O.with_fixtures(f"select check_id, pass_rate, points_possible, points_earned from ({body})",
                           "claims_cur", "claims_prev", "risk")
 
@@ -511,7 +517,7 @@ for _rule in ("strict", "tiered", "linear", "all_or_nothing", "threshold"):
 
 # J9: failing rows with context columns
 @register("failed_rows", O.with_fixtures(
-    f"select claim_number, claim_status, total_os from claims_cur where {O.closed_sql(POLICIES['v5'])} "
+    f"select claim_number, claim_status, total_os from claims_cur where {O.closed_sql(O.POLICIES['v5'])} "
     f"and not coalesce(total_os = 0, false)", "claims_cur"))
 def q_failed_rows(spark, sf):
     return v5_run(spark, sf).failing("3.1")
@@ -558,67 +564,105 @@ def _v5_cats_sql(res: str) -> str:
 
 
 def _dq_scores_sql(res: str) -> str:
-    score = O.score_sql(res, POLICIES["v5"])
-    return (f"select '2024_Q1' as quarter_id, cast(s.overall_score as decimal(5,2)) as overall_score, s.status, "
+    score = O.score_sql(res, O.POLICIES["v5"])
+    return (f"select '2024_Q1' as quarter_id, '{RUN_TS}' as run_timestamp, 'claims_db' as source_database, "
+            f"'claims' as source_table, '1998-02' as bdx_month, "
+            f"cast(s.overall_score as decimal(5,2)) as overall_score, s.status, "
             f"n.n as total_records, c.*, s.total_checks, s.passed_checks, s.warning_checks, s.failed_checks, "
             f"s.critical_issues_count from ({score}) s, ({_v5_cats_sql(res)}) c, "
             f"(select count(*) as n from claims_cur) n")
 
 
+def _scores_of(run: SuiteRun, quarter: str = "2024_Q1", stamp: str = RUN_TS):
+    return rp.dq_scores_row(run, quarter, stamp, run.total_records(), source_database="claims_db", source_table="claims",
+                            bdx_month="1998-02")
+
+
 def q_dq_scores(spark, sf):
-    run = v5_run(spark, sf)
-    row = rp.dq_scores_row(run, "2024_Q1", RUN_TS, run.total_records())
-    return row.drop("run_timestamp", "source_database", "source_table", "bdx_month")
+    return ts_text(_scores_of(v5_run(spark, sf)))
 
 
 _body, _fix = _suite_sql("v5")
 REGISTRY["dq_scores_row"] = (q_dq_scores, O.with_fixtures(_dq_scores_sql(f"({_body})"), *_fix))
 
-_CHECK_RESULT_COLS = ["category", "subcategory", "check_id", "check_name", "priority", "pass_rate", "passed_count",
-                      "failed_count", "total_count", "points_possible", "points_earned", "status"]
+
+def _listed_sql(specs, policy) -> str:
+    records = O.failing_records_sql(specs, policy, "claims_cur", "claims_prev", "risk")
+    return (f"select check_id, cast(to_json(list(record order by record nulls first)[1:100]) as varchar) "
+            f"as failed_records_json from ({records}) group by check_id")
+
+
+_LISTED = _listed_sql(default_suite(include_risk=True), O.POLICIES["v5"])
 
 
 def q_dq_check_results(spark, sf):
-    run = v5_run(spark, sf)
-    return rp.dq_check_results(run, "2024_Q1", RUN_TS, with_json=False).select(*_CHECK_RESULT_COLS)
+    return ts_text(rp.dq_check_results(v5_run(spark, sf), "2024_Q1", RUN_TS))
 
 
-REGISTRY["dq_check_results"] = (q_dq_check_results, O.with_fixtures(
-    f"select category, subcategory, check_id, check_name, priority, cast(pass_rate as decimal(5,2)) as pass_rate, "
-    f"passed as passed_count, failed as failed_count, total as total_count, points_possible, points_earned, status "
-    f"from ({_body})", *_fix))
+_RESULTS_SQL = (
+    f"select '2024_Q1' as quarter_id, '{RUN_TS}' as run_timestamp, category, subcategory, check_id, check_name, priority, "
+    f"cast(pass_rate as decimal(5,2)) as pass_rate, passed as passed_count, failed as failed_count, total as total_count, "
+    f"points_possible, points_earned, status, coalesce(failed_records_json, '[]') as failed_records_json "
+    f"from ({_body}) left join ({_LISTED}) using (check_id)")
+REGISTRY["dq_check_results"] = (q_dq_check_results, O.with_fixtures(_RESULTS_SQL, *_fix))
 
 
 def q_dq_issues(spark, sf):
-    run = v5_run(spark, sf)
-    res = rp.dq_check_results(run, "2024_Q1", RUN_TS, with_json=False)
-    return rp.dq_issues(res).select("check_id", "check_name", "pass_rate", "failed_count", "total_count", "resolved")
+    return ts_text(rp.dq_issues(rp.dq_check_results(v5_run(spark, sf), "2024_Q1", RUN_TS)))
 
 
 REGISTRY["dq_issues"] = (q_dq_issues, O.with_fixtures(
-    f"select check_id, check_name, cast(pass_rate as decimal(5,2)) as pass_rate, failed as failed_count, "
-    f"total as total_count, false as resolved from ({_body}) where points_earned < points_possible", *_fix))
-
-
-def q_failed_records_json(spark, sf):
-    run = v5_run(spark, sf)
-    return rp.failed_records_json(run, "6.1")
+    f"select quarter_id, run_timestamp, category, subcategory, check_id, check_name, priority, pass_rate, failed_count, "
+    f"total_count, failed_records_json, false as resolved from ({_RESULTS_SQL}) where points_earned < points_possible", *_fix))
+REGISTRY["failed_records_json"] = (
+    lambda s, f: rp.failed_records_json(v5_run(s, f), ["6.1"]),
+    O.with_fixtures(f"select * from ({_LISTED}) where check_id = '6.1'", *_fix))
+REGISTRY["failed_records_all"] = (
+    lambda s, f: rp.failed_records(v5_run(s, f), limit=None),
+    O.with_fixtures(O.failing_records_sql(default_suite(include_risk=True), O.POLICIES["v5"], "claims_cur", "claims_prev",
+                                          "risk"), *_fix))
+REGISTRY["failed_records_v2"] = (
+    lambda s, f: rp.failed_records(v2_run(s, f), limit=None),
+    O.with_fixtures(O.failing_records_sql(
+        suite_v2(), replace(O.POLICIES["v2"], closed_values=(" Closed ", "RE-CLOSED")), "claims_cur", "claims_prev", "risk"),
+        *_fix))
+
+
+def stored_scores(spark, sf):
+    """Three runs appended to a fresh table and read back: January, February, and February run again
+    without a reference table, later."""
+    from veracity.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark).rstrip('/')}/veracity-scores-{uuid.uuid4().hex}"
+    jan = run_suite(default_suite(), POLICIES["v5"], _prev(spark, sf), None, None, ["Closed"], AS_OF_YEAR)
+    feb = run_suite(default_suite(), POLICIES["v4"], _cur(spark, sf), _prev(spark, sf), None, ["Closed"], AS_OF_YEAR)
+    again = run_suite(default_suite(), POLICIES["v5"], _cur(spark, sf), _prev(spark, sf), None, ["Closed"], AS_OF_YEAR)
+    for run, quarter, stamp in ((jan, "1998_01", "2024-01-01 00:00:00"), (again, "1998_02", "2024-02-02 00:00:00"),
+                                (feb, "1998_02", "2024-02-01 00:00:00")):
+        rp.append(_scores_of(run, quarter, stamp), path)
+    return spark.read.parquet(path)
 
 
-REGISTRY["failed_records_json"] = (q_failed_records_json, O.with_fixtures(
-    "select '6.1' as check_id, cast(to_json(list(claim_number order by claim_number)) as varchar) "
-    "as failed_records_json from "
-    "(select claim_number from (select distinct claim_number from claims_prev where claim_number is not null "
-    "except select distinct claim_number from claims_cur) order by claim_number limit 100)",
-    "claims_cur", "claims_prev"))
+def _runs_sql() -> str:
+    """(quarter_id, run_timestamp, overall_score) of the stored runs."""
+    runs = (("1998_01", "2024-01-01 00:00:00", "v5", "claims_prev", None), ("1998_02", "2024-02-01 00:00:00", "v4", "claims_cur", "claims_prev"),
+            ("1998_02", "2024-02-02 00:00:00", "v5", "claims_cur", "claims_prev"))
+    return " union all ".join(
+        f"select '{q}' as quarter_id, '{ts}' as run_timestamp, cast(sum(points_earned) as decimal(5,2)) as overall_score "
+        f"from ({O.suite_sql(default_suite(), O.POLICIES[p], cur, prev, None, AS_OF_YEAR)})" for q, ts, p, cur, prev in runs)
 
 
 def q_existing_run(spark, sf):
-    scores = q_dq_scores(spark, sf)
-    return rp.existing_run(scores, "2024_Q1")
+    scores = stored_scores(spark, sf)
+    out = [rp.existing_run(scores, q).select(F.lit(q).alias("quarter_id"), "run_exists") for q in ("1998_01", "1998_02", "2031_04")]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
-REGISTRY["existing_run"] = (q_existing_run, "select true as run_exists")
+REGISTRY["existing_run"] = (q_existing_run, O.with_fixtures(
+    f"select q.quarter_id, count(r.quarter_id) > 0 as run_exists from (values ('1998_01'), ('1998_02'), ('2031_04')) q(quarter_id) "
+    f"left join ({_runs_sql()}) r using (quarter_id) group by 1", "claims_cur", "claims_prev"))
+REGISTRY["stored_scores"] = (
+    lambda s, f: ts_text(stored_scores(s, f)).select("quarter_id", "run_timestamp", "overall_score"),
+    O.with_fixtures(_runs_sql(), "claims_cur", "claims_prev"))
 
 
 def _detail_sql(res: str) -> str:
@@ -649,7 +693,7 @@ REGISTRY["report_filter"] = (
 _SUMMARY_COLS = ["total_checks", "passed_checks", "warning_checks", "failed_checks", "critical_issues_count"]
 REGISTRY["summary_counts"] = (
     lambda s, f: v5_run(s, f).score().select(*_SUMMARY_COLS),
-    O.with_fixtures(f"select {', '.join(_SUMMARY_COLS)} from ({O.score_sql(f'({_body})', POLICIES['v5'])})", *_fix))
+    O.with_fixtures(f"select {', '.join(_SUMMARY_COLS)} from ({O.score_sql(f'({_body})', O.POLICIES['v5'])})", *_fix))
 
 
 def q_report_summary(spark, sf):
@@ -660,7 +704,7 @@ def q_report_summary(spark, sf):
 REGISTRY["report_summary"] = (q_report_summary, O.with_fixtures(
     f"select '2024_Q1' as quarter_id, s.overall_score, s.status, n.n as total_records, s.total_checks, "
     f"s.passed_checks, s.warning_checks, s.failed_checks, s.critical_issues_count "
-    f"from ({O.score_sql(f'({_body})', POLICIES['v5'])}) s, (select count(*) as n from claims_cur) n", *_fix))
+    f"from ({O.score_sql(f'({_body})', O.POLICIES['v5'])}) s, (select count(*) as n from claims_cur) n", *_fix))
 
 _LABEL_SQL = ("array_to_string(list_transform(string_split(lower(replace(category, '_', ' ')), ''), "
               "lambda x, i: case when i = 1 or not regexp_matches(string_split(lower(replace(category, '_', ' ')), "
@@ -684,44 +728,38 @@ REGISTRY["report_risk"] = (
 
 
 def q_score_trend(spark, sf):
-    """Two runs (January without a previous snapshot, February against January) and their trend."""
-    jan = run_suite(default_suite(), POLICIES["v5"], _prev(spark, sf), None, None, ["Closed"], AS_OF_YEAR)
-    feb = run_suite(default_suite(), POLICIES["v5"], _cur(spark, sf), _prev(spark, sf), None, ["Closed"], AS_OF_YEAR)
-    rows = [r.score().select(F.lit("claims").alias("business_line"), F.lit(q).alias("quarter_id"), "overall_score")
-            for r, q in ((jan, "1998_01"), (feb, "1998_02"))]
-    return rp.score_trend(rows[0].unionByName(rows[1]))
-
-
-def _trend_sql() -> str:
-    from veracity.plans.spec import default_suite as ds
-    jan = O.suite_sql(ds(), POLICIES["v5"], "claims_prev", None, None, AS_OF_YEAR)
-    feb = O.suite_sql(ds(), POLICIES["v5"], "claims_cur", "claims_prev", None, AS_OF_YEAR)
-    runs = (f"select 'claims' as business_line, '1998_01' as quarter_id, sum(points_earned) as overall_score "
-            f"from ({jan}) union all select 'claims', '1998_02', sum(points_earned) from ({feb})")
-    return O.with_fixtures(
-        f"select business_line, quarter_id, overall_score, lag(overall_score) over w as previous_score, "
-        f"overall_score - lag(overall_score) over w as score_change from ({runs}) "
-        f"window w as (partition by business_line order by quarter_id)", "claims_cur", "claims_prev")
+    """The trend over the stored runs; of February's two runs the later one counts."""
+    return rp.score_trend(stored_scores(spark, sf).withColumn("business_line", F.lit("claims")))
 
 
-REGISTRY["score_trend"] = (q_score_trend, _trend_sql())
+REGISTRY["score_trend"] = (q_score_trend, O.with_fixtures(
+    f"select 'claims' as business_line, quarter_id, overall_score, lag(overall_score) over w as previous_score, "
+    f"overall_score - lag(overall_score) over w as score_change from (select quarter_id, "
+    f"arg_max(overall_score, run_timestamp) as overall_score from ({_runs_sql()}) group by 1) "
+    f"window w as (order by quarter_id)", "claims_cur", "claims_prev"))
 
 
 def q_results_json(spark, sf):
-    return rp.results_json(v5_run(spark, sf))
+    return rp.results_json(v5_run(spark, sf), "2024_Q1", RUN_TS)
 
 
 _CHECK_FIELDS = ["seq", "check_id", "check_name", "check_type", "category", "subcategory", "priority", "field",
                  "points_possible", "total", "passed", "failed", "pass_rate", "points_earned", "skipped", "error",
                  "status"]
+_PACKED = ", ".join(f"{c} := {c}" for c in _CHECK_FIELDS)
 REGISTRY["results_json"] = (q_results_json, O.with_fixtures(
-    "select cast(to_json(struct_pack(overall_score := s.overall_score, total_checks := s.total_checks, "
-    "passed_checks := s.passed_checks, warning_checks := s.warning_checks, failed_checks := s.failed_checks, "
-    "critical_issues_count := s.critical_issues_count, risk_match_ok := s.risk_match_ok, checks := c.checks, "
-    "status := s.status)) as varchar) as results_json "
-    f"from ({O.score_sql(f'({_body})', POLICIES['v5'])}) s, "
-    "(select list(struct_pack(" + ", ".join(f"{c} := {c}" for c in _CHECK_FIELDS) + ") order by seq) as checks "
-    f"from ({_body})) c", *_fix))
+    f"""select cast(to_json(struct_pack(quarter_id := '2024_Q1', timestamp := '{RUN_TS}', total_records := n.n,
+  overall_score := s.overall_score, status := s.status, total_checks := s.total_checks, passed_checks := s.passed_checks,
+  warning_checks := s.warning_checks, failed_checks := s.failed_checks, critical_issues_count := s.critical_issues_count,
+  risk_match_ok := s.risk_match_ok, categories := c.categories)) as varchar) as results_json
+from ({O.score_sql(f'({_body})', O.POLICIES['v5'])}) s, (select count(*) as n from claims_cur) n, (
+  select list(struct_pack(category := category, percentage := percentage, points_earned := earned,
+                          points_possible := possible, subcategories := subs) order by seq) as categories from (
+    select category, min(seq) as seq, sum(earned) as earned, sum(possible) as possible,
+           case when sum(possible) > 0 then sum(earned) / sum(possible) * 100.0 else 0 end as percentage,
+           list(struct_pack(subcategory := subcategory, checks := checks) order by seq) as subs from (
+      select category, subcategory, min(seq) as seq, sum(points_earned) as earned, sum(points_possible) as possible,
+             list(struct_pack({_PACKED}) order by seq) as checks from ({_body}) group by 1, 2) group by 1)) c""", *_fix))
 
 
 # ---- premium (P11, P12, F6, F7, A18) -----------------------------------------------------------------------
@@ -797,7 +835,7 @@ def q_suite_auto_disabled(spark, sf):
 
 def _auto_disabled_sql():
     from dataclasses import replace
-    pol = replace(POLICIES["v1"], closed_values=("Closed", "RE-CLOSED"))
+    pol = replace(O.POLICIES["v1"], closed_values=("Closed", "RE-CLOSED"))
     body = O.suite_sql(_auto_disabled_specs(), pol, "claims_cur", None, "risk", AS_OF_YEAR)
     return O.with_fixtures(f"select {', '.join(SUITE_COLS)} from ({body})", "claims_cur", "risk")
 
@@ -857,11 +895,123 @@ def q_suite_root_declared(spark, sf):
     return run.checks.select(*_DECLARED_COLS)
 
 
-_decl_body = O.suite_sql(suite_root(AS_OF_YEAR), POLICIES["root"], "claims_root", None, None, AS_OF_YEAR)
+_decl_body = O.suite_sql(suite_root(AS_OF_YEAR), O.POLICIES["root"], "claims_root", None, None, AS_OF_YEAR)
 REGISTRY["suite_root_declared"] = (q_suite_root_declared, O.with_fixtures(
     f"select {', '.join(_DECLARED_COLS)} from ({_decl_body})", "claims_root"))
 
 
+# ---- text columns, isolated checks, renamed columns, reasons ---------------------------------------------
+
+def _text_run(policy: str, specs, closed):
+    def q(spark, sf):
+        run = run_suite(specs, POLICIES[policy], fx.claims_text(spark, sf, True), fx.claims_text(spark, sf, False),
+                        fx.risk_table(spark, sf), closed, AS_OF_YEAR)
+        return run.checks.select(*SUITE_COLS)
+    body = O.suite_sql(specs, replace(O.POLICIES[policy], closed_values=tuple(closed)), "text_cur", "text_prev", "risk", AS_OF_YEAR)
+    return q, O.with_fixtures(f"select {', '.join(SUITE_COLS)} from ({body})", "text_cur", "text_prev", "risk")
+
+
+REGISTRY["suite_v5_text"] = _text_run("v5", default_suite(include_risk=True), ["Closed"])
+REGISTRY["suite_v2_text"] = _text_run("v2", suite_v2(), ["RE-CLOSED"])
+
+
+def q_suite_isolated(spark, sf):
+    """Bad checks among good ones, over text columns: each bad one is a zero-point row of its own."""
+    from veracity.plans.spec import CheckSpec
+    meta = ("expression", "Rules", "Declared", 5)
+    specs = [CheckSpec("1", "Incurred covers paid", *meta, predicate="total_incurred >= total_paid"),
+             CheckSpec("2", "Zero divisor", *meta, predicate="total_paid / total_os > 1"),
+             CheckSpec("3", "Not SQL", *meta, predicate="total_paid >= >= 1"),
+             CheckSpec("4", "Unknown column", *meta, predicate="no_such_column > 1"),
+             CheckSpec("5", "No field", "not_null", "Rules", "Declared", 5),
+             CheckSpec("6", "No condition", *meta, predicate="total_paid + 1"),
+             CheckSpec("7", "Unknown type", "telepathy", "Rules", "Declared", 5),
+             CheckSpec("8", "Claim number", "not_null", "Rules", "Declared", 5, field="claim_number")]
+    run = run_suite(specs, POLICIES["v5"], fx.claims_text(spark, sf, True), as_of_year=AS_OF_YEAR)
+    return run.checks.select("check_id", "total", "passed", "failed", "points_earned", F.col("error").isNotNull().alias("has_error"))
+
+
+REGISTRY["suite_isolated"] = (q_suite_isolated, O.with_fixtures(
+    "with good as (select '1' as check_id, count(*) filter (where total_incurred >= total_paid) as passed, count(*) as total "
+    "from text_cur union all select '2', count(*) filter (where total_paid / nullif(total_os, 0) > 1), count(*) from text_cur "
+    "union all select '8', count(claim_number), count(*) from text_cur) "
+    "select check_id, total, passed, total - passed as failed, case when passed * 100.0 / total > 95 then 5.0 "
+    "when passed * 100.0 / total > 90 then 3.0 else 0.0 end::double as points_earned, false as has_error from good "
+    "union all select unnest(['3', '4', '5', '6', '7']), 0, 0, 0, 0.0, true", "text_cur").replace("with good as", ", good as", 1)
+    .replace("\n, good as", ", good as", 1))
+
+# Other names of the claims columns, and a flat configuration that uses them.
+_RENAMED = {"claim_status": "state", "total_os": "reserve", "total_incurred": "incurred", "total_paid": "paid",
+            "accident_date": "loss_day", "policy_start_date": "from_day", "policy_end_date": "to_day",
+            "claim_number": "claim_no", "policy_number": "policy_no"}
+FLAT_CONFIG = {"checks": [
+    {"id": "3.1", "name": "Closed Claim => Total OS = 0", "type": "closed_os_zero", "category": "Logical", "points": 10,
+     "status_field": "state", "os_field": "reserve", "closed_status_values": ["Closed", "RE-CLOSED"], "high_pass_rate": 99.9,
+     "mid_pass_rate": 80, "mid_points_factor": 0.5},
+    {"id": "3.2", "name": "Date of Loss within Policy Start/End", "type": "loss_within_policy", "category": "Logical",
+     "points": 10, "loss_field": "loss_day", "start_field": "from_day", "end_field": "to_day"},
+    {"id": "3.3", "name": "Total Incurred = Total Paid + Total OS", "type": "incurred_equals_paid_plus_os",
+     "category": "Logical", "points": 10, "incurred_field": "incurred", "paid_field": "paid", "os_field": "reserve",
+     "tolerance": 5},
+    {"id": "6.1", "name": "Missing Claims", "type": "missing_claims_from_prev_month", "category": "Continuity", "points": 4,
+     "claim_field": "claim_no"},
+    {"id": "7.1", "name": "Total Paid Non-Decreasing", "type": "total_paid_non_decreasing_vs_prev", "category": "Continuity",
+     "points": 4, "claim_field": "claim_no", "paid_field": "paid"},
+    {"id": "8.1", "name": "Policies in Risk Table", "type": "risk_policy_match", "category": "Risk", "points": 10,
+     "policy_field": "policy_no", "risk_policy_col": "risk_policy_number"},
+]}
+
+
+def q_suite_renamed(spark, sf):
+    """A flat configuration with its own columns, closed values and limits, over renamed columns."""
+    from veracity.plans.config import specs_from_config
+    cur, prev = (df.withColumnsRenamed(_RENAMED) for df in (_cur(spark, sf), _prev(spark, sf)))
+    run = run_suite(specs_from_config(FLAT_CONFIG, AS_OF_YEAR), POLICIES["v1"], cur, prev, fx.risk_table(spark, sf),
+                    as_of_year=AS_OF_YEAR)
+    return run.checks.select("check_id", "total", "passed", "failed", "pass_rate", "points_earned", "status")
+
+
+def _renamed_sql() -> str:
+    wanted = {"3.1", "3.2", "3.3", "6.1", "7.1", "8.1"}
+    specs = [s for s in default_suite(include_risk=True) if s.id in wanted]
+    specs = [replace(s, high_pass_rate=99.9, mid_pass_rate=80.0, mid_points_factor=0.5) if s.id == "3.1" else s for s in specs]
+    body = O.suite_sql(specs, replace(O.POLICIES["v1"], closed_values=("Closed", "RE-CLOSED")), "claims_cur", "claims_prev", "risk",
+                       AS_OF_YEAR)
+    return O.with_fixtures(f"select check_id, total, passed, failed, pass_rate, points_earned, status from ({body})",
+                           "claims_cur", "claims_prev", "risk")
+
+
+REGISTRY["suite_renamed"] = (q_suite_renamed, _renamed_sql())
+
+
+def q_suite_root_matched(spark, sf):
+    """The gross/net suite over physical column names, matched by alias."""
+    df = fx.claims_root(spark, sf)
+    df = df.select(*[F.col(c).alias(c.replace("_", " ").title()) for c in df.columns])
+    mapping = mp.auto_match(df.columns, mp.GROSS_NET_ALIASES)
+    run = run_suite(suite_root(AS_OF_YEAR), POLICIES["root"], mp.apply_mapping(df, mapping), None, fx.risk_table(spark, sf),
+                    as_of_year=AS_OF_YEAR)
+    return run.checks.select(*SUITE_COLS)
+
+
+REGISTRY["suite_root_matched"] = (q_suite_root_matched, REGISTRY["suite_root"][1])
+
+
+def q_disabled_checks(spark, sf):
+    """Which checks can't run on the current snapshot as it is, why, and how many records that leaves
+    unchecked."""
+    from veracity.plans.spec import auto_disable, disabled_checks
+    cur = _cur(spark, sf).drop("uw_date")
+    reasons = auto_disable(default_suite(include_risk=True), set(cur.columns), False, False)[1]
+    return disabled_checks(spark, reasons).withColumn("records", cur.agg(F.count(F.lit(1))).scalar())
+
+
+REGISTRY["disabled_checks"] = (q_disabled_checks, O.with_fixtures(
+    "select check_id, reason, (select count(*) from claims_cur) as records from (values ('1.5', 'Columns not mapped: uw_date'), ('5.2', 'Columns not mapped: uw_date'), "
+    "('6.1', 'No previous snapshot to compare with'), ('7.1', 'No previous snapshot to compare with'), "
+    "('8.1', 'No reference table given')) t(check_id, reason)", "claims_cur"))
+
+
 # ---- every snapshot in one job (A19 at scale) ---------------------------------------------------------
 
 def _history_checks(spark, sf):
@@ -872,8 +1022,8 @@ def _history_checks(spark, sf):
 
 def _history_sql(select: str) -> str:
     specs = default_suite(include_risk=True)
-    jan = O.suite_sql(specs, POLICIES["v5"], "claims_prev", None, "risk", AS_OF_YEAR)
-    feb = O.suite_sql(specs, POLICIES["v5"], "claims_cur", "claims_prev", "risk", AS_OF_YEAR)
+    jan = O.suite_sql(specs, O.POLICIES["v5"], "claims_prev", None, "risk", AS_OF_YEAR)
+    feb = O.suite_sql(specs, O.POLICIES["v5"], "claims_cur", "claims_prev", "risk", AS_OF_YEAR)
     runs = (f"select '1998-01-01 00:00:00' as snapshot, * from ({jan}) "
             f"union all select '1998-02-01 00:00:00' as snapshot, * from ({feb})")
     return O.with_fixtures(select.format(runs=runs), "claims_cur", "claims_prev", "risk")
@@ -884,6 +1034,31 @@ REGISTRY["suite_by_snapshot"] = (
     _history_sql("select snapshot, " + ", ".join(SUITE_COLS) + " from ({runs})"))
 
 
+def _root_history(spark, sf):
+    """The gross/net claims as two snapshots, by the parity of the order."""
+    return fx.claims_root(spark, sf).withColumn("bdx_month", F.expr(
+        "IF(CAST(split_part(substr(claim_number, 2), '-', 1) AS BIGINT) % 2 = 0, '1998-01', '1998-02')"))
+
+
+def q_suite_by_snapshot_root(spark, sf):
+    from veracity.plans.history import run_suite_by_snapshot
+    return run_suite_by_snapshot(suite_root(AS_OF_YEAR), POLICIES["root"], _root_history(spark, sf), "bdx_month",
+                                 fx.risk_table(spark, sf), as_of_year=AS_OF_YEAR).select("snapshot", *SUITE_COLS)
+
+
+def _root_history_sql() -> str:
+    parts, halves = [], []
+    for rest, month in ((0, "1998-01"), (1, "1998-02")):
+        halves.append(f"half{rest} as (select * from claims_root where "
+                      f"cast(split_part(substr(claim_number, 2), '-', 1) as bigint) % 2 = {rest})")
+        body = O.suite_sql(suite_root(AS_OF_YEAR), O.POLICIES["root"], f"half{rest}", None, "risk", AS_OF_YEAR)
+        parts.append(f"select '{month}' as snapshot, {', '.join(SUITE_COLS)} from ({body})")
+    return O.with_fixtures("@" + " union all ".join(parts), "claims_root", "risk").replace("\n@", ",\n" + ",\n".join(halves) + "\n")
+
+
+REGISTRY["suite_by_snapshot_root"] = (q_suite_by_snapshot_root, _root_history_sql())
+
+
 def q_score_by_snapshot(spark, sf):
     from veracity.plans.history import scores_by_snapshot
     s = scores_by_snapshot(_history_checks(spark, sf), POLICIES["v5"])

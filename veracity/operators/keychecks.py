@@ -55,11 +55,14 @@ def uniqueness(df: DataFrame, key: str, keep: str = "none") -> DataFrame:
 
 
 def failing_duplicates(df: DataFrame, key: str) -> DataFrame:
-    """Rows whose key occurs more than once (null-safe). Semi join against the duplicated key set:
-    the key set is deduplicated, so a hot key on the row side is split by AQE skew handling."""
-    dup = (df.groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
+    """Rows whose key occurs more than once, nulls equal to each other. Rows without a key aren't
+    shuffled: they fail together, by a count. The others are semi-joined with the duplicated keys, a
+    deduplicated set, so a hot key on the row side is split by AQE skew handling."""
+    dup = (df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n"))
              .where(F.col("__n") > 1).select("__k"))
-    return df.join(dup, F.col(key).eqNullSafe(F.col("__k")), "left_semi")
+    nulls = df.agg(F.count_if(F.col(key).isNull()).alias("n")).scalar()
+    return df.where(F.col(key).isNotNull()).join(dup, F.col(key) == F.col("__k"), "left_semi") \
+        .unionByName(df.where(F.col(key).isNull()).where(nulls > 1))
 
 
 # J3

@@ -1,12 +1,56 @@
 """DuckDB SQL twins of the registered queries (the correctness oracle).
 
-Written independently of the Spark code: fixtures as CTEs over the same
-parquet views, each check as plain SQL predicates, scoring as CASE chains.
+Fixtures as CTEs over the same parquet views, each check as plain SQL predicates, scoring as CASE
+chains. What each profile expects is written out here, apart from the engine's own policies; the
+suites' check lists are shared with it.
 """
 
 from __future__ import annotations
 
-from veracity.plans.spec import CheckSpec, Policy, POLICIES, default_suite, suite_root, suite_v2
+from dataclasses import dataclass
+
+from veracity.plans.spec import CheckSpec, default_suite, suite_root, suite_v2
+
+
+@dataclass(frozen=True)
+class Expected:
+    """What a profile is expected to do."""
+    blank_is_null: bool
+    non_negative_null: str
+    valid_date_null: str
+    closed_match: str
+    closed_os_null: str
+    loss_rule: str
+    formula_empty_rate: float
+    unique_keep: str
+    paid_rule: str
+    paid_empty_rate: float
+    points_rule: str
+    skip_rule: str
+    omit_risk_without_table: bool
+    overall_rule: str
+    summary_rule: str
+    closed_values: tuple[str, ...] = ("Closed",)
+    empty_key_rate: float = 100.0
+    status_bands: tuple[float, float, float, float] = (95.0, 85.0, 75.0, 65.0)
+
+
+# The profiles, field by field.
+POLICIES = {
+    "v5": Expected(True, "fail", "fail", "word", "fail", "v5", 0.0, "none", "left", 0.0, "strict", "full", False, "sum", "v5"),
+    "v4": Expected(False, "pass", "pass", "substring", "pass", "row_fallback", 0.0, "none", "left", 0.0, "strict", "zero",
+                   False, "sum", "v5"),
+    "v0": Expected(False, "pass", "pass", "substring", "pass", "row_fallback", 0.0, "none", "left", 0.0, "strict", "zero",
+                   False, "sum", "v5"),
+    "v3": Expected(False, "pass", "pass", "exact", "pass", "row_fallback", 0.0, "none", "left", 0.0, "linear", "zero",
+                   False, "sum", "v5"),
+    "v1": Expected(False, "pass", "pass", "exact", "pass", "no_fallback", 0.0, "none", "left", 0.0, "tiered", "zero",
+                   False, "sum", "v5"),
+    "v2": Expected(False, "drop", "fail", "case_sensitive", "fail", "drop_empty_full", 100.0, "first", "rows", 100.0,
+                   "all_or_nothing", "warn", True, "percent_ex_risk", "v2"),
+    "root": Expected(False, "fail", "fail", "word", "fail", "v5", 0.0, "none", "left", 0.0, "threshold", "full", False,
+                     "sum", "root"),
+}
 
 _CLAIMS = """
 select
@@ -67,11 +111,24 @@ from part""",
     "raw_dates": """
 select concat('C', cast(l_orderkey as varchar)) as claim_number,
   case when l_partkey % 61 = 0 then 'bad' when l_partkey % 47 = 0 then null when l_partkey % 43 = 0 then ''
-       else strftime(l_shipdate, '%Y-%m-%d') end as accident_date_raw
+       else strftime(l_shipdate, '%Y-%m-%d') end as accident_date_raw,
+  case when l_orderkey % 29 = 0 then '2024-13-45' when l_orderkey % 31 = 0 then null
+       else strftime(l_shipdate, '%m/%d/%Y') end as notification_raw
 from lineitem""",
 }
 
-_DEPS = {"claims_hist": ["claims_prev", "claims_cur"]}
+_TEXT = """
+select case when policy_number = '  ' then chr(9) || chr(10) else policy_number end as policy_number, claim_number,
+  case when total_paid in (13, 17) then null else accident_date end as accident_date,
+  case when claim_status = ' Closed ' then chr(9) || 'Closed' || chr(10) else claim_status end as claim_status,
+  uw_date, policy_start_date, policy_end_date,
+  total_incurred + 0.1 as total_incurred, case when total_paid = 23 then null else total_paid + 0.1 end as total_paid,
+  case when total_os = 3 then null else total_os end as total_os
+from """
+FIXTURES["text_cur"] = _TEXT + "claims_cur"
+FIXTURES["text_prev"] = _TEXT + "claims_prev"
+
+_DEPS = {"claims_hist": ["claims_prev", "claims_cur"], "text_cur": ["claims_cur"], "text_prev": ["claims_prev"]}
 
 
 def with_fixtures(body: str, *names: str) -> str:
@@ -104,27 +161,27 @@ from (select count(*) filter (where {scope}) as total,
 
 # ---- per-check predicates by policy ----------------------------------------------------------
 
-def closed_sql(policy: Policy, values=("Closed",)) -> str:
+def closed_sql(policy: Expected, values=("Closed",)) -> str:
     m = policy.closed_match
     if m == "word":
         pat = "|".join(f"\\b{v.strip().upper()}\\b" for v in values)
-        return f"coalesce(regexp_matches(upper(trim(claim_status)), '{pat}'), false)"
+        return f"coalesce(regexp_matches(upper(trim(claim_status, chr(9) || chr(10) || ' ')), '{pat}'), false)"
     if m == "substring":
-        ors = " or ".join(f"contains(lower(trim(claim_status)), '{v.strip().lower()}')" for v in values)
+        ors = " or ".join(f"contains(lower(trim(claim_status, chr(9) || chr(10) || ' ')), '{v.strip().lower()}')" for v in values)
         return f"coalesce({ors}, false)"
     if m == "exact":
         vals = ", ".join(f"'{v.strip().lower()}'" for v in values)
-        return f"coalesce(lower(trim(claim_status)) in ({vals}), false)"
+        return f"coalesce(lower(trim(claim_status, chr(9) || chr(10) || ' ')) in ({vals}), false)"
     vals = ", ".join(f"'{v}'" for v in values)
     return f"coalesce(claim_status in ({vals}), false)"
 
 
-def row_predicates(spec: CheckSpec, policy: Policy, as_of_year: int = 2002) -> tuple[str, str, float]:
+def row_predicates(spec: CheckSpec, policy: Expected, as_of_year: int = 2002) -> tuple[str, str, float]:
     """(scope, ok, empty_rate) SQL for a row check on a typed claims table."""
     t, f = spec.type, spec.field
     if t == "not_null":
         if policy.blank_is_null:
-            blank = f" and trim(cast({f} as varchar)) <> ''" if f in ("policy_number", "claim_number",
+            blank = f" and regexp_matches(cast({f} as varchar), '[^[:space:]]')" if f in ("policy_number", "claim_number",
                                                                         "claim_status") else ""
             return "true", f"{f} is not null{blank}", 0.0
         return "true", f"{f} is not null", 0.0
@@ -179,7 +236,7 @@ def row_predicates(spec: CheckSpec, policy: Policy, as_of_year: int = 2002) -> t
     raise KeyError(t)
 
 
-def key_check_sql(spec: CheckSpec, policy: Policy, cur: str, prev: str | None, risk: str | None) -> tuple[str, float]:
+def key_check_sql(spec: CheckSpec, policy: Expected, cur: str, prev: str | None, risk: str | None) -> tuple[str, float]:
     """(select total, passed, failed) SQL for a key check, and its empty-scope rate."""
     t = spec.type
     if t == "unique":
@@ -197,11 +254,11 @@ def key_check_sql(spec: CheckSpec, policy: Policy, cur: str, prev: str | None, r
                 f"on p.k = c.k"), policy.empty_key_rate
     if t == "total_paid_non_decreasing_vs_prev":
         if policy.paid_rule == "left":
-            ok = "coalesce(c.v >= coalesce(p.v, '-inf'::double), false)"
+            ok = "coalesce(p.v is null and c.v is not null or c.v >= p.v, false)"
             return (f"select count(*) as total, count(*) filter (where {ok}) as passed, "
                     f"count(*) - count(*) filter (where {ok}) as failed from "
-                    f"(select claim_number as k, sum(total_paid) as v from {cur} where claim_number is not null "
-                    f"group by 1) c left join (select claim_number as k, sum(total_paid) as v from {prev} "
+                    f"(select claim_number as k, sum(total_paid::decimal(28, 6)) as v from {cur} where claim_number is not null "
+                    f"group by 1) c left join (select claim_number as k, sum(total_paid::decimal(28, 6)) as v from {prev} "
                     f"where claim_number is not null group by 1) p on c.k = p.k"), policy.paid_empty_rate
         return (f"select count(*) as total, count(*) filter (where c.total_paid >= p.total_paid) as passed, "
                 f"count(*) - count(*) filter (where c.total_paid >= p.total_paid) as failed "
@@ -221,7 +278,43 @@ def key_check_sql(spec: CheckSpec, policy: Policy, cur: str, prev: str | None, r
     raise KeyError(t)
 
 
-def points_sql(spec: CheckSpec, policy: Policy, rate: str = "pass_rate") -> str:
+def failing_sql(spec: CheckSpec, policy: Expected, cur: str, prev: str | None, risk: str | None) -> str:
+    """The identifiers of a check's failing rows, as column ``record``."""
+    t = spec.type
+    try:
+        scope, ok, _ = row_predicates(spec, policy)
+        return f"select claim_number as record from {cur} where ({scope}) and not coalesce({ok}, false)"
+    except KeyError:
+        pass
+    if t == "unique":
+        return (f"select claim_number as record from (select claim_number, count(*) over (partition by claim_number) as n "
+                f"from {cur}) where n > 1")
+    if t == "missing_claims_from_prev_month":
+        return (f"select claim_number as record from {prev} where claim_number is not null "
+                f"except select claim_number from {cur}")
+    if t == "total_paid_non_decreasing_vs_prev" and policy.paid_rule == "left":
+        return (f"select c.k as record from (select claim_number as k, sum(total_paid::decimal(28, 6)) as v from {cur} "
+                f"where claim_number is not null group by 1) c left join (select claim_number as k, "
+                f"sum(total_paid::decimal(28, 6)) as v from {prev} where claim_number is not null group by 1) p on c.k = p.k "
+                f"where not coalesce(p.v is null and c.v is not null or c.v >= p.v, false)")
+    if t == "total_paid_non_decreasing_vs_prev":
+        return (f"select c.claim_number as record from {cur} c join (select claim_number, max(total_paid) as most, "
+                f"count(*) - count(total_paid) as nulls from {prev} group by 1) p "
+                f"on c.claim_number is not distinct from p.claim_number "
+                f"where c.total_paid is null or p.nulls > 0 or c.total_paid < p.most")
+    if t == "risk_policy_match":
+        return (f"select distinct policy_number as record from {cur} where policy_number is not null and policy_number "
+                f"not in (select risk_policy_number from {risk} where risk_policy_number is not null)")
+    raise KeyError(t)
+
+
+def failing_records_sql(specs: list[CheckSpec], policy: Expected, cur: str, prev: str, risk: str) -> str:
+    """(check_id, record) of all enabled checks."""
+    return " union all ".join(f"select '{s.id}' as check_id, record from ({failing_sql(s, policy, cur, prev, risk)})"
+                              for s in specs if s.enabled)
+
+
+def points_sql(spec: CheckSpec, policy: Expected, rate: str = "pass_rate") -> str:
     pp = float(spec.points)
     r = f"least(greatest(coalesce({rate}, 0), 0), 100)"
     rule = policy.points_rule
@@ -246,7 +339,7 @@ def points_sql(spec: CheckSpec, policy: Policy, rate: str = "pass_rate") -> str:
     raise KeyError(rule)
 
 
-def suite_sql(specs: list[CheckSpec], policy: Policy, cur: str, prev: str | None, risk: str | None,
+def suite_sql(specs: list[CheckSpec], policy: Expected, cur: str, prev: str | None, risk: str | None,
               as_of_year: int = 2002) -> str:
     """Per-check result rows (seq, check_id, ..., pass_rate, points_earned, status) of a whole suite."""
     parts = []
@@ -288,7 +381,7 @@ def suite_sql(specs: list[CheckSpec], policy: Policy, cur: str, prev: str | None
             f"else 'FAIL' end as status from ({union})")
 
 
-def score_sql(results: str, policy: Policy) -> str:
+def score_sql(results: str, policy: Expected) -> str:
     """One row: overall score, status and summary counts over a results relation."""
     risk = "check_type = 'risk_policy_match'"
     if policy.overall_rule == "sum":

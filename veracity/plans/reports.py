@@ -1,8 +1,7 @@
 """Run reports and result tables (scores, per-check results, issues, trend).
 
 All report frames are derived from the small per-check results of a run; the
-only wide work is the failing-identifier sample, which runs per check as a
-take-ordered top-100 (each partition keeps its own 100, nothing else moves).
+only wide work is the failing-identifier list, one pass for all row checks.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from veracity.functions.text import category_label, pass_rate_text, points_text
 from veracity.plans import scoring as sc
 from veracity.plans.spec import SCORE_CATEGORIES_V5
-from veracity.plans.suite import SuiteRun
+from veracity.plans.suite import RESULT_COLUMNS, SuiteRun
 
 FAILED_RECORDS_KEPT = 100
 
@@ -80,25 +79,43 @@ def filter_results(detail: DataFrame, statuses: Sequence[str] | None = None,
     return detail.where(cond)
 
 
-# J10: first failing identifiers of one check, sorted, as JSON text
-def failed_records_json(run: SuiteRun, check_id: str, key: str = "claim_number") -> DataFrame:
-    failing = run.failing(check_id)
-    col = key if key in failing.columns else failing.columns[0]
-    top = failing.select(F.col(col).cast("string").alias("k")).orderBy(F.col("k").asc_nulls_first()) \
-        .limit(FAILED_RECORDS_KEPT)
-    return top.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("k"))), lambda x: x["k"]))
-                   .alias("failed_records_json")).select(F.lit(check_id).alias("check_id"), "failed_records_json")
-
-
-def failed_records_all(run: SuiteRun) -> DataFrame:
-    ids = [s.id for s in run.specs if s.enabled]
-    parts = []
-    for cid in ids:
-        try:
-            parts.append(failed_records_json(run, cid))
-        except KeyError:
+# J10: failing identifiers of all checks
+def failed_records(run: SuiteRun, limit: int | None = FAILED_RECORDS_KEPT, key: str = "claim_number",
+                   check_ids: Sequence[str] | None = None) -> DataFrame:
+    """(check_id, record): the failing rows' identifiers, for each check the first ``limit`` in sorted
+    order (None: all). The row checks share one pass, which gives each row an array of the checks it
+    fails; with a limit the window keeps that many per check and task before the shuffle."""
+    entries, parts = [], []
+    for spec in run.specs:
+        if not spec.enabled or (check_ids is not None and spec.id not in check_ids):
             continue
-    return reduce(DataFrame.unionByName, parts)
+        if spec.id in run.row_checks:
+            check = run.row_checks[spec.id]
+            if check.missing or check.error:
+                continue
+            columns = run.context_columns(spec)
+            record = F.col(f"`{key if key in columns else columns[0]}`").cast("string")
+            entries.append(F.when(check.scope & ~F.coalesce(check.ok, F.lit(False)),
+                                  F.struct(F.lit(spec.id).alias("check_id"), record.alias("record"))))
+        elif (keys := run.failing_keys(spec)) is not None:
+            name = key if key in keys.columns else keys.columns[0]
+            parts.append(keys.select(F.lit(spec.id).alias("check_id"), F.col(f"`{name}`").cast("string").alias("record")))
+    if entries:
+        parts.insert(0, run.current.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*"))
+    if not parts:
+        return run.checks.sparkSession.createDataFrame([], "check_id string, record string")
+    rows = reduce(DataFrame.unionByName, parts)
+    if limit is None:
+        return rows
+    first = Window.partitionBy("check_id").orderBy(F.col("record").asc_nulls_first())
+    return rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= limit).drop("n")
+
+
+def failed_records_json(run: SuiteRun, check_ids: Sequence[str] | None = None,
+                        limit: int | None = FAILED_RECORDS_KEPT) -> DataFrame:
+    """(check_id, failed_records_json) of the checks with failing rows: sorted identifiers as JSON text."""
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("record"))), lambda x: x["record"])
+    return failed_records(run, limit, check_ids=check_ids).groupBy("check_id").agg(F.to_json(listed).alias("failed_records_json"))
 
 
 # S9
@@ -122,7 +139,9 @@ def dq_scores_row(run: SuiteRun, quarter_id: str, run_timestamp: str, total_reco
 
 
 # S10
-def dq_check_results(run: SuiteRun, quarter_id: str, run_timestamp: str, with_json: bool = True) -> DataFrame:
+def dq_check_results(run: SuiteRun, quarter_id: str, run_timestamp: str, with_json: bool = True,
+                     failed_limit: int | None = FAILED_RECORDS_KEPT) -> DataFrame:
+    """One row a check. ``failed_limit`` identifiers of failing rows are kept with it (None: all)."""
     c = run.checks
     out = c.select(
         F.lit(quarter_id).alias("quarter_id"), F.lit(run_timestamp).cast("timestamp_ntz").alias("run_timestamp"),
@@ -131,7 +150,8 @@ def dq_check_results(run: SuiteRun, quarter_id: str, run_timestamp: str, with_js
         F.col("failed").alias("failed_count"), F.col("total").alias("total_count"),
         "points_possible", "points_earned", "status")
     if with_json:
-        out = out.join(F.broadcast(failed_records_all(run)), "check_id", "left")
+        out = out.join(failed_records_json(run, limit=failed_limit), "check_id", "left") \
+            .withColumn("failed_records_json", F.coalesce("failed_records_json", F.lit("[]")))
     return out
 
 
@@ -156,19 +176,48 @@ def existing_run(scores: DataFrame, quarter_id: str) -> DataFrame:
 
 
 # S13
-def results_json(run: SuiteRun) -> DataFrame:
-    """The run as one JSON document: score fields plus the list of check results (one aggregate;
-    the list is bounded by the suite's size)."""
-    doc = run.checks.agg(*sc.score_aggs(run.policy),
-                         F.sort_array(F.collect_list(F.struct(*run.checks.columns))).alias("checks"))
-    return sc.with_status(doc, run.policy).select(
-        F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("results_json"))
+def results_json(run: SuiteRun, quarter_id: str, run_timestamp: str) -> DataFrame:
+    """The run as one JSON document: run and score fields, then categories with their scores, their
+    subcategories and checks, all in suite order (lists bounded by the suite's size)."""
+    checks = run.checks.unionByName(run.total_records(), allowMissingColumns=True)
+    score = sc.with_status(checks.agg(*sc.score_aggs(run.policy), F.max("n").alias("total_records"),
+                                      _categories().alias("categories")), run.policy)
+    head = [F.lit(quarter_id).alias("quarter_id"), F.lit(run_timestamp).alias("timestamp"), "total_records", "overall_score",
+            "status", "total_checks", "passed_checks", "warning_checks", "failed_checks", "critical_issues_count",
+            "risk_match_ok", "categories"]
+    return score.select(F.to_json(F.struct(*head), {"ignoreNullFields": "false"}).alias("results_json"))
+
+
+def _categories() -> Column:
+    """Check rows nested as category, subcategory, checks; each level in order of its first check."""
+    rows = F.sort_array(F.collect_list(F.when(F.col("check_id").isNotNull(), F.struct(*RESULT_COLUMNS))))
+
+    def under(of: Column, name: str) -> Column:
+        return F.array_distinct(F.transform(of, lambda r: r[name]))
+
+    def total(of: Column, name: str) -> Column:
+        return F.aggregate(of, F.lit(0.0), lambda a, r: a + r[name])
+
+    def subcategory(of: Column, name: Column) -> Column:
+        return F.struct(name.alias("subcategory"), F.filter(of, lambda r: r["subcategory"] == name).alias("checks"))
+
+    def category(name: Column) -> Column:
+        own = F.filter(rows, lambda r: r["category"] == name)
+        earned, possible = total(own, "points_earned"), total(own, "points_possible")
+        return F.struct(name.alias("category"),
+                        F.when(possible > 0, earned / possible * 100.0).otherwise(0.0).alias("percentage"),
+                        earned.alias("points_earned"), possible.alias("points_possible"),
+                        F.transform(under(own, "subcategory"), lambda s: subcategory(own, s)).alias("subcategories"))
+    return F.transform(under(rows, "category"), category)
 
 
 # A19
 def score_trend(scores: DataFrame, line_col: str = "business_line", order_col: str = "quarter_id") -> DataFrame:
-    """Each run against the previous run of the same line. One row per run, so a window partition
-    holds the run history of one line (bounded by calendar time, not data volume)."""
+    """Each run against the previous run of the same line. Of several runs of one quarter the latest
+    counts (``run_timestamp``, where the table has it). One row per run, so a window partition holds
+    the run history of one line (bounded by calendar time, not data volume)."""
+    if "run_timestamp" in scores.columns:
+        scores = scores.groupBy(line_col, order_col).agg(F.max_by("overall_score", "run_timestamp").alias("overall_score"))
     w = Window.partitionBy(line_col).orderBy(order_col)
     prev = F.lag("overall_score").over(w)
     return scores.select(line_col, order_col, "overall_score", prev.alias("previous_score"),
@@ -185,6 +234,8 @@ IDENTIFIER_LABELS = {
 
 # A17 export (the workbook re-aimed as files): four report tables, one folder each
 def write_reports(run: SuiteRun, path: str, quarter_id: str, fmt: str = "parquet") -> None:
+    """The run is evaluated once, then written as four tables."""
+    run.materialize()
     tables = {
         "summary": summary_table(run, quarter_id, run.total_records()),
         "category_scores": category_table(run),
@@ -202,12 +253,9 @@ def write_failures(run: SuiteRun, path: str, fmt: str = "parquet") -> list[str]:
     identifiers under their label). Distributed writes; nothing is collected. Returns the check ids."""
     written = []
     for spec in run.specs:
-        if not spec.enabled:
-            continue
-        try:
-            rows = run.failing(spec.id)
-        except KeyError:
+        if not spec.enabled or (spec.id not in run.row_checks and run.failing_keys(spec) is None):
             continue
+        rows = run.failing(spec.id)
         label = IDENTIFIER_LABELS.get(spec.type)
         if label and len(rows.columns) == 1:
             rows = rows.withColumnRenamed(rows.columns[0], label)

@@ -115,8 +115,7 @@ def planned_row_check(spec: CheckSpec, policy: Policy, cols: rc.Cols, closed_val
                 raise ValueError(f"check {spec.id} isn't a condition")
         return chk
     except (AnalysisException, ParseException, TypeError, ValueError, KeyError) as e:
-        text = " ".join(str(e).split("\n")[0].split())[:200]
-        return rc.RowCheck(F.lit(False), F.lit(False), error=text)
+        return rc.RowCheck(F.lit(False), F.lit(False), error=" ".join(str(e).split())[:200] or type(e).__name__)
 
 
 FIELD_TYPES = {"not_null", "not_null_not_year_1900", "non_negative", "valid_date", "year_in_range"}
@@ -183,37 +182,57 @@ class SuiteRun:
         from veracity.session import checkpoint_dir
         checkpoint_dir(self.checks.sparkSession)
         self.checks = self.checks.checkpoint(eager=True)
+        self.fused = self.total_records().checkpoint(eager=True)
         return self
 
+    def context_columns(self, spec: CheckSpec) -> list[str]:
+        """The columns shown with a row check's failing rows."""
+        ctx = [c if c != "check_field" else spec.field for c in CONTEXT_COLUMNS.get(spec.type, ())]
+        return [c for c in dict.fromkeys(ctx) if c and c in self.current.columns] or self.current.columns
+
     def failing(self, check_id: str) -> DataFrame:
         """Failing rows (row checks, with context columns) or failing keys (key checks)."""
         spec = next(s for s in self.specs if s.id == check_id and s.enabled)
-        t = spec.type
-        if t in ROW_TYPES:
-            check = self.row_checks.get(check_id)
-            ctx = [c if c != "check_field" else spec.field for c in CONTEXT_COLUMNS.get(t, ())]
-            ctx = [c for c in dict.fromkeys(ctx) if c and c in self.current.columns] or self.current.columns
-            if check is None or check.missing or check.error:
-                return self.current.select(*ctx).where(F.lit(False))   # absent column: no failing rows
+        if spec.id in self.row_checks:
+            check, ctx = self.row_checks[check_id], self.context_columns(spec)
+            if check.missing or check.error:
+                return self.current.select(*ctx).where(F.lit(False))   # nothing was checked: no failing rows
             return self.current.where(check.scope & ~F.coalesce(check.ok, F.lit(False))).select(*ctx)
-        key = spec.field or "claim_number"
-        if t == "unique":
-            ctx = [c for c in dict.fromkeys(["claim_number", key]) if c in self.current.columns]
-            return kc.failing_duplicates(self.current, key).select(*ctx)
+        keys = self.failing_keys(spec)
+        if keys is None:
+            raise KeyError(f"check {check_id} ({spec.type}) didn't run")
+        return keys
+
+    def failing_keys(self, spec: CheckSpec) -> DataFrame | None:
+        """Failing keys or rows of a key check; None where it didn't run (an input or column is absent,
+        or the type is unknown)."""
+        t, cur, prev, risk = spec.type, self.current, self.previous, self.risk
         claim, paid = spec.key or CLAIM_KEY, spec.paid or PAID
-        if t == "missing_claims_from_prev_month" and self.previous is not None:
-            return kc.failing_missing_keys(self.current, self.previous, claim)
-        if t == "total_paid_non_decreasing_vs_prev" and self.previous is not None:
+        if t == "unique":
+            key = spec.field or CLAIM_KEY
+            if key not in cur.columns:
+                return None
+            ctx = [c for c in dict.fromkeys([CLAIM_KEY, key]) if c in cur.columns]
+            return kc.failing_duplicates(cur, key).select(*ctx)
+        if t in PREV_TYPES:
+            needed = [claim] if t == "missing_claims_from_prev_month" else [claim, paid]
+            if prev is None or any(c not in cur.columns or c not in prev.columns for c in needed):
+                return None
+            if t == "missing_claims_from_prev_month":
+                return kc.failing_missing_keys(cur, prev, claim)
             if self.policy.paid_rule == "left":
-                return kc.failing_paid_keys(self.current, self.previous, claim, paid).select(claim)
-            return kc.failing_paid_rows(self.current, self.previous, claim, paid).select(claim, paid)
-        if t == "risk_policy_match" and self.risk is not None:
-            ref = kc.resolve_risk_key(self.risk, spec.risk_key or "risk_policy_number", self.policy.risk_key_fallback)
-            if ref is not None:
-                return kc.failing_reference_keys(self.current, self.risk, spec.key or "policy_number", ref)
-        if t == "loss_ratio" and self.risk is not None:
-            return kc.loss_ratio_table(self.current, self.risk).where(~F.col("ok"))
-        raise KeyError(f"no failing rows for check {check_id} ({t})")
+                return kc.failing_paid_keys(cur, prev, claim, paid).select(claim)
+            return kc.failing_paid_rows(cur, prev, claim, paid).select(claim, paid)
+        if t == "risk_policy_match" and risk is not None:
+            ref = kc.resolve_risk_key(risk, spec.risk_key or "risk_policy_number", self.policy.risk_key_fallback)
+            key = spec.key or "policy_number"
+            return kc.failing_reference_keys(cur, risk, key, ref) if ref is not None and key in cur.columns else None
+        if t == "loss_ratio" and risk is not None:
+            if any(c not in cur.columns for c in ("policy_number", "gross_incurred")) or \
+                    any(c not in risk.columns for c in ("risk_policy_number", "gwp")):
+                return None
+            return kc.loss_ratio_table(cur, risk).where(~F.col("ok"))
+        return None
 
 
 ROW_TYPES = {"not_null", "not_null_not_year_1900", "non_negative", "non_negative_all", "valid_date",

@@ -65,6 +65,22 @@ def claims_snapshot(spark: SparkSession, sf_dir: str, current: bool = True) -> D
     return j.selectExpr(*[e.format(paid=paid, mark=mark) for e in _CLAIMS_SELECT])
 
 
+def claims_text(spark: SparkSession, sf_dir: str, current: bool = True) -> DataFrame:
+    """A claims snapshot with every column as text, as files without a schema give it: unparsable
+    dates and numbers, tabs and line ends, amounts in tenths."""
+    day, second = "'yyyy-MM-dd'", "'yyyy-MM-dd HH:mm:ss'"
+    return claims_snapshot(spark, sf_dir, current).selectExpr(
+        "CASE WHEN policy_number = '  ' THEN '\\t\\n' ELSE policy_number END AS policy_number", "claim_number",
+        f"CASE WHEN total_paid = 13 THEN 'bad' WHEN total_paid = 17 THEN '31/31/1999' "
+        f"ELSE date_format(accident_date, {second}) END AS accident_date",
+        "CASE WHEN claim_status = ' Closed ' THEN '\\tClosed\\n' ELSE claim_status END AS claim_status",
+        f"date_format(uw_date, {day}) AS uw_date", f"date_format(policy_start_date, {second}) AS policy_start_date",
+        f"date_format(policy_end_date, {second}) AS policy_end_date",
+        "CAST(total_incurred + 0.1D AS STRING) AS total_incurred",
+        "CASE WHEN total_paid = 23 THEN 'n/a' ELSE CAST(total_paid + 0.1D AS STRING) END AS total_paid",
+        "CASE WHEN total_os = 3 THEN '' ELSE CAST(total_os AS STRING) END AS total_os")
+
+
 def claims_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both snapshots in one table with a ``bdx_month`` snapshot column."""
     prev = claims_snapshot(spark, sf_dir, current=False).withColumn("bdx_month", _ts(PREVIOUS_BDX))
@@ -123,4 +139,6 @@ def raw_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "concat('C', CAST(l_orderkey AS STRING)) AS claim_number",
         "CASE WHEN l_partkey % 61 = 0 THEN 'bad' WHEN l_partkey % 47 = 0 THEN NULL WHEN l_partkey % 43 = 0 THEN '' "
         "ELSE date_format(l_shipdate, 'yyyy-MM-dd') END AS accident_date_raw",
+        "CASE WHEN l_orderkey % 29 = 0 THEN '2024-13-45' WHEN l_orderkey % 31 = 0 THEN NULL "
+        "ELSE date_format(l_shipdate, 'MM/dd/yyyy') END AS notification_raw",
     )

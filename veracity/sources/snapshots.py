@@ -65,6 +65,23 @@ def counts_by_snapshot(df: DataFrame, col: str | None = None) -> DataFrame:
     return df.groupBy(col).agg(F.count(F.lit(1)).alias("record_count"))
 
 
+# A window over all snapshots is one task, and the mapping to previous ones is broadcast: both are bounded
+# by the number of snapshots, which this limit keeps to what a calendar gives.
+MOST_SNAPSHOTS = 10_000
+
+
+def in_order(col: str, value: Column) -> Column:
+    """``value``, a window function over the ordered snapshots; raises beyond ``MOST_SNAPSHOTS`` rows."""
+    many = F.row_number().over(Window.orderBy(col)) > MOST_SNAPSHOTS
+    text = f"more than {MOST_SNAPSHOTS} distinct values of {col}: is it a snapshot column?"
+    return F.when(many, F.raise_error(text)).otherwise(value)
+
+
+def previous_of(col: str) -> Column:
+    """The next lower snapshot of a table with one row a snapshot."""
+    return in_order(col, F.lag(col).over(Window.orderBy(col)))
+
+
 # F1
 def previous_snapshot(df: DataFrame, value, col: str | None = None) -> DataFrame:
     """The next lower existing snapshot value (one row, null when ``value`` is the first or absent)."""
@@ -80,7 +97,7 @@ def previous_snapshots(df: DataFrame, col: str | None = None) -> DataFrame:
     so the single window partition is bounded by the number of snapshots, not rows)."""
     col = col or snapshot_column(df.columns)
     snaps = df.select(col).where(F.col(col).isNotNull()).distinct()
-    return snaps.withColumn("previous_snapshot", F.lag(col).over(Window.orderBy(col)))
+    return snaps.withColumn("previous_snapshot", previous_of(col))
 
 
 # S7
