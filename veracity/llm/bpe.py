@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from veracity.llm.scratch import small_batches
+
 # The split pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SHORT_WORD = 32  # bytes up to which pairs are scanned rather than kept in a heap
@@ -285,6 +287,7 @@ def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                 values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [keys.slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
+    small_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text") \
         .mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -306,6 +309,7 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()),
                                               pa.array(of_text, pa.string())],
                                              ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    small_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text") \
         .mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

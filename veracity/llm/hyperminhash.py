@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.llm.components import components
-from veracity.llm.scratch import Staged, parallelism, with_unique_ids, without
+from veracity.llm.scratch import Staged, parallelism, small_batches, with_unique_ids, without
 from veracity.llm.words import Words, grams, mix64, prefix_hash, slices
 
 VALUE_BITS = 44
@@ -325,6 +325,7 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, s
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id of the component), kept (one row a component),
     row (a number for each row)."""
+    small_batches(docs.sparkSession)
     rows = Staged(sketched(docs, settings, id_col, text_col), "sketches").df
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("row"))
     nodes = Staged(rows.where("n > 0").groupBy("digest").agg(F.min(order).alias("first"))

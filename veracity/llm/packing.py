@@ -32,11 +32,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
+from veracity.llm.scratch import small_batches
 from veracity.llm.words import Words, slices
 
 HORIZON = 32
 OPEN = 4
-SLICE = 4 << 20
+SLICE = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -153,7 +154,7 @@ class IdTable:
     """Ids by word hash: an open-addressing table over one pool of ids, with vectorised probes.
     It starts anew once ``most`` words are in it, so its memory is bounded."""
 
-    def __init__(self, most: int = 2_000_000) -> None:
+    def __init__(self, most: int = 1_000_000) -> None:
         self.most, self.slots = most, 1 << (2 * most - 1).bit_length()
         self.clear()
 
@@ -305,6 +306,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, costs: Costs = Costs
         if pieces := list(packer.close()):
             yield rows(pieces)
 
+    small_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text") \
         .mapInArrow(run, ", ".join(f"{n} long" for n in names))
 

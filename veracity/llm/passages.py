@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from veracity.llm.scratch import Staged
+from veracity.llm.scratch import Staged, small_batches
 from veracity.llm.words import Words, grams, mix64, prefix_hash, slices
 
 BROADCAST_ROWS = 500_000   # documents whose places are broadcast; beyond that texts are shuffled
@@ -168,6 +168,7 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
     """All rows (as ``scanned``, with representative and copies) and, for representatives with
     repeated windows, their maximal repeats as (row, doc_id, digest, places): word borders
     [start, end, start, end, ...]."""
+    small_batches(docs.sparkSession)
     rows = Staged(scanned(docs, s), "anchors").df
     of_text, reps = representatives(rows)
     seeds = Staged(repeated_places(reps), "seeds")

@@ -32,6 +32,18 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python in batches of at most ``BATCH_ROWS`` rows (and Spark's byte limit), which
+    bounds what a worker and the executor's buffers hold. A lower setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 ROW_ID = "__row_id"
 BROADCAST_IDS = 1_000_000
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from veracity.llm.passages import Settings as Anchors
 from veracity.llm.passages import repeated_places, representatives, same_texts, scanned, with_texts
-from veracity.llm.scratch import Staged, parallelism
+from veracity.llm.scratch import Staged, parallelism, small_batches
 from veracity.llm.words import Words, slices
 
 
@@ -124,6 +124,7 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
     """All rows (row, doc_id, n_words, rep, copies), and (row, spans) of the texts with repeats: word
     borders [start, end, start, end, ...], merged. ``rep`` is the row that stands for all copies."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = Staged(scanned(docs, Anchors(s.least, s.seed)), "suffixes").df
     of_text, reps = representatives(rows)
     repeated = Staged(repeated_places(reps), "places")

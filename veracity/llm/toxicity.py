@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veracity.llm.scratch import small_batches
+
 # Words of insult, the prior of the lexicon.
 SEED = ("idiot", "moron", "stupid", "scum", "trash", "loser", "pathetic", "worthless", "disgusting", "clown",
         "imbecile", "dumbass", "asshole", "bastard", "bitch", "jerk", "retard")
@@ -176,6 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, settings: Settings = Settings
     exceptions = [fold(p) for p in SEED_EXCEPTIONS]
     if labels is None:
         return Lexicon(dict.fromkeys(seeds, 5.0), exceptions, 0.5)
+    small_batches(docs.sparkSession)
     sample = sample_rows(docs, labels, settings)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     sample = sample.groupBy(digest.alias("digest"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic").persist()
@@ -247,6 +250,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([m.score(t) for t in batch.column(1).to_pylist()], pa.float64())], ["doc_id", "score"])
+    small_batches(docs.sparkSession)
     return docs.selectExpr(f"cast(`{id_col}` as bigint) as doc_id", f"`{text_col}` as text") \
         .mapInArrow(run, "doc_id long, score double")
 
@@ -259,6 +263,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFra
         m = lexicon.matcher()
         for batch in batches:
             yield batch.filter(pa.array([m.score(t) < least for t in batch.column(at).to_pylist()], pa.bool_()))
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 
