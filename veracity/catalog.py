@@ -1007,9 +1007,10 @@ def q_disabled_checks(spark, sf):
 
 
 REGISTRY["disabled_checks"] = (q_disabled_checks, O.with_fixtures(
-    "select check_id, reason, (select count(*) from claims_cur) as records from (values ('1.5', 'Columns not mapped: uw_date'), ('5.2', 'Columns not mapped: uw_date'), "
-    "('6.1', 'No previous snapshot to compare with'), ('7.1', 'No previous snapshot to compare with'), "
-    "('8.1', 'No reference table given')) t(check_id, reason)", "claims_cur"))
+    "select check_id, reason, (select count(*) from claims_cur) as records from (values ('1.5', 'Missing/unmapped columns: uw_date'), ('5.2', 'Missing/unmapped columns: uw_date'), "
+    "('6.1', 'Previous bdx month not available (MoM comparisons skipped)'), "
+    "('7.1', 'Previous bdx month not available (MoM comparisons skipped)'), "
+    "('8.1', 'Risk database not selected')) t(check_id, reason)", "claims_cur"))
 
 
 # ---- every snapshot in one job (A19 at scale) ---------------------------------------------------------

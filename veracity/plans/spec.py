@@ -194,6 +194,12 @@ _CHECK_FIELDS = {
 _FIELD_TYPES = {"not_null", "not_null_not_year_1900", "non_negative", "unique", "valid_date"}
 
 
+# The reasons shown for disabled checks.
+REASON_NO_PREVIOUS = "Previous bdx month not available (MoM comparisons skipped)"
+REASON_NO_REFERENCE = "Risk database not selected"
+REASON_COLUMNS = "Missing/unmapped columns: "
+
+
 def auto_disable(specs: list[CheckSpec], mapped: set[str], previous_available: bool,
                  reference_available: bool) -> tuple[list[CheckSpec], dict[str, str]]:
     """Disable checks whose inputs are missing; returns the new suite and {check_id: reason}."""
@@ -201,14 +207,14 @@ def auto_disable(specs: list[CheckSpec], mapped: set[str], previous_available: b
     for s in specs:
         reason = None
         if s.type in ("missing_claims_from_prev_month", "total_paid_non_decreasing_vs_prev") and not previous_available:
-            reason = "No previous snapshot to compare with"
+            reason = REASON_NO_PREVIOUS
         elif s.type == "risk_policy_match" and not reference_available:
-            reason = "No reference table given"
+            reason = REASON_NO_REFERENCE
         else:
             need = (s.field,) if s.type in _FIELD_TYPES and s.field else _CHECK_FIELDS.get(s.type, ())
             missing = [f for f in need if f not in mapped]
             if missing:
-                reason = f"Columns not mapped: {', '.join(missing)}"
+                reason = REASON_COLUMNS + ", ".join(missing)
         if reason and s.enabled:
             reasons[s.id] = reason
             s = replace(s, enabled=False)
