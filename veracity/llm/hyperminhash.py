@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.llm.components import components
-from veracity.llm.scratch import Staged, parallelism, small_batches, with_unique_ids, without
+from veracity.llm.scratch import Staged, join_counted, parallelism, small_batches, with_unique_ids, without
 from veracity.llm.words import Words, grams, mix64, prefix_hash, slices
 
 VALUE_BITS = 44
@@ -333,15 +333,15 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     sketches = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi") \
         .withColumnRenamed("row", "node")
     banded = sketches.select("node", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot")
-    members = Staged(banded.join(shared, "key").select("key", "node", "pivot"), "bands").df
+    shared = Staged(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys").df
+    members = Staged(join_counted(banded, shared, ["key"]).select("key", "node"), "bands").df
     sketches = sketches.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest", "n", "registers")
     sets = Staged(node_sets(docs, sketches.select("doc_id", "digest", "node"), settings, id_col, text_col), "sets")
     sketches = Staged(with_shared(sketches, sets.df).where(100 * F.col("shared") >= settings.percent * F.col("n")), "candidates").df
     able = sketches.select("node")
     members = Staged(members.select("key", "node").join(able, "node", "left_semi"), "bands").df
-    members = members.join(members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1")
-                           .select("key", "pivot"), "key")
+    pivots = Staged(members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "pivots").df
+    members = join_counted(members, pivots, ["key"])
 
     stars = Staged(best_stars(members, sketches, settings), "stars").df
     links = Staged(verified(stars, sets.df, settings), "links").df
@@ -358,9 +358,9 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         of_digest, (rows["digest"] == of_digest["digest"]) & (rows["n"] > 0), "left") \
         .select("doc_id", "row", "n", F.coalesce("component", "row").alias("component"))
     placed = Staged(placed, "placed").df
-    heads = placed.groupBy("component").agg(F.min(order).alias("head")) \
-        .select("component", F.col("head.row").alias("head_row"), F.col("head.id").alias("head_id"))
-    return placed.join(heads, "component").select(
+    heads = Staged(placed.groupBy("component").agg(F.min(order).alias("head"), F.count("*").alias("n"))
+                   .select("component", "n", F.col("head.row").alias("head_row"), F.col("head.id").alias("head_id")), "heads").df
+    return join_counted(placed, heads, ["component"]).select(
         "doc_id", F.col("n").alias("n_shingles"), F.nullif("head_id", F.lit((1 << 63) - 1)).alias("component_id"),
         (F.col("row") == F.col("head_row")).alias("kept"), "row")
 

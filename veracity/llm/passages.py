@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from veracity.llm.scratch import Staged, small_batches
+from veracity.llm.scratch import Staged, join_counted, small_batches
 from veracity.llm.words import Words, grams, mix64, prefix_hash, slices
 
 BROADCAST_ROWS = 500_000   # documents whose places are broadcast; beyond that texts are shuffled
@@ -159,8 +159,8 @@ def repeated_places(reps: DataFrame) -> DataFrame:
     """(row, doc_id, digest, places) with the places whose anchor hash occurs at other places too."""
     placed = reps.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("a")) \
         .select("row", F.col("a.hashes").alias("anchor"), F.col("a.places").alias("place"))
-    again = placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    places = placed.join(again, "anchor").groupBy("row").agg(F.collect_list("place").alias("places"))
+    again = Staged(placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors").df
+    places = join_counted(placed, again, ["anchor"]).groupBy("row").agg(F.collect_list("place").alias("places"))
     return places.join(reps.select("row", "doc_id", "digest"), "row").select("row", "doc_id", "digest", "places")
 
 
@@ -177,8 +177,8 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
         windows = windows.distinct()  # a repeated row meets its places once each
     windows = Staged(windows, "windows")
-    equal = windows.df.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "window")
-    found = windows.df.join(equal, ["anchor", "window"]).groupBy("row").agg(F.collect_list("start").alias("starts"))
+    equal = Staged(windows.df.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1"), "equal")
+    found = join_counted(windows.df, equal.df, ["anchor", "window"]).groupBy("row").agg(F.collect_list("start").alias("starts"))
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,6 +191,7 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
     spans = found.mapInArrow(merge, "row long, places array<int>").join(reps.select("row", "doc_id", "digest"), "row")
     spans = Staged(spans.select("row", "doc_id", "digest", "places"), "repeats").df
     windows.drop()
+    equal.drop()
     seeds.drop()
     return rows.drop("hashes", "places").join(of_text, "digest"), spans
 

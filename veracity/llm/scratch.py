@@ -64,3 +64,16 @@ def without(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     return docs.join(ids, docs[id_col].cast("long") == F.col("__gone"), "left_anti").drop(ROW_ID)
+
+
+HOT = 1024
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with ``counted``: one row a key, ``n`` the number of its rows. Keys with
+    more than 1/``HOT`` of all rows, fewer than ``HOT`` of them, are broadcast, so their rows stay where
+    they are; the others are shuffled. Both inputs are read twice and should be written tables."""
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = F.broadcast(counted.where(F.col("n") > total / HOT).drop("n"))
+    cold = counted.where(F.col("n") <= total / HOT).drop("n")
+    return rows.join(hot, on).unionByName(rows.join(hot.select(*on), on, "left_anti").join(cold, on))
