@@ -16,9 +16,13 @@ from pyspark.sql import functions as F
 
 def read_table(spark: SparkSession, url: str, table: str, properties: Mapping[str, str] | None = None,
                partition_column: str | None = None, lower_bound: int | None = None,
-               upper_bound: int | None = None, num_partitions: int | None = None) -> DataFrame:
-    """A database table read in parallel: with a numeric ``partition_column`` and bounds, Spark
-    issues ``num_partitions`` range queries instead of one single-connection scan."""
+               upper_bound: int | None = None, num_partitions: int | None = None,
+               single_connection: bool = False) -> DataFrame:
+    """A database table read in parallel: Spark issues ``num_partitions`` range queries over a numeric
+    ``partition_column``. Without one the whole table would come over one connection into one task,
+    which must be asked for by name (small reference tables)."""
+    if not partition_column and not single_connection:
+        raise ValueError("name a partition_column with its bounds, or pass single_connection=True")
     props = dict(properties or {})
     if partition_column:
         return spark.read.jdbc(url, table, column=partition_column, lowerBound=lower_bound,

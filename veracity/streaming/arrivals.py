@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 from collections.abc import Sequence
 
@@ -17,15 +18,17 @@ from veracity.session import checkpoint_dir
 
 
 def _read_history(spark: SparkSession, path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no history written yet
+    """The history, or None where nothing was written yet. A fault while reading is raised: read as
+    "no history" it would give the continuity checks full points."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return None
+    return spark.read.parquet(path)
 
 
 def _write_batch(df: DataFrame, path: str, partitions: list[str]) -> None:
-    """Idempotent per micro-batch: a replayed batch (after a failure) overwrites exactly the
-    partitions it wrote before, never appends a second copy."""
+    """Overwrites exactly the partitions in ``df``: a replayed batch (after a failure) never appends a
+    second copy, and a snapshot's results are replaced when more of it arrives."""
     (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partitions).parquet(path))
 
@@ -34,7 +37,8 @@ def validate_batch(batch: DataFrame, batch_id: int, *, history_path: str, result
                    specs: Sequence[CheckSpec], policy: Policy, snapshot_col: str = "bdx_month",
                    risk: DataFrame | None = None, closed_values: Sequence[str] | None = None,
                    as_of_year: int | None = None, run_timestamp: str | None = None) -> None:
-    """Validate every snapshot in one micro-batch, append the runs, then append the batch to history."""
+    """Validate every snapshot that this micro-batch brings rows of, whole (with the rows of earlier
+    batches), store the runs, then add the batch to the history. Each run is evaluated once."""
     spark = batch.sparkSession
     batch = batch.persist()
     try:
@@ -45,21 +49,22 @@ def validate_batch(batch: DataFrame, batch_id: int, *, history_path: str, result
         if history is not None:
             history = history.where(F.col("batch_id") != batch_id).drop("batch_id")   # a replay sees no copy of itself
         everything = batch if history is None else history.unionByName(batch, allowMissingColumns=True)
-        stamp = run_timestamp or "1970-01-01 00:00:00"
+        stamp = run_timestamp or datetime.datetime.now(datetime.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
         for v in values:
-            cur = batch.where(F.col(snapshot_col) == F.lit(v))
+            cur = everything.where(F.col(snapshot_col) == F.lit(v))
             prev_v = everything.where(F.col(snapshot_col) < F.lit(v)).agg(F.max(snapshot_col)).collect()[0][0]
             prev = everything.where(F.col(snapshot_col) == F.lit(prev_v)) if prev_v is not None else None
             run = run_suite(list(specs), policy, cur.drop(snapshot_col),
                             prev.drop(snapshot_col) if prev is not None else None, risk, closed_values, as_of_year)
+            run.materialize()
             label = str(v)
             scores = rp.dq_scores_row(run, label, stamp, run.total_records(), bdx_month=label) \
                 .withColumn("batch_id", F.lit(batch_id))
-            checks = rp.dq_check_results(run, label, stamp).withColumn("batch_id", F.lit(batch_id))
-            _write_batch(scores, os.path.join(results_path, "dq_scores"), ["quarter_id", "batch_id"])
-            _write_batch(checks, os.path.join(results_path, "dq_check_results"), ["quarter_id", "batch_id"])
+            checks = rp.dq_check_results(run, label, stamp).withColumn("batch_id", F.lit(batch_id)).checkpoint(eager=True)
+            _write_batch(scores, os.path.join(results_path, "dq_scores"), ["quarter_id"])
+            _write_batch(checks, os.path.join(results_path, "dq_check_results"), ["quarter_id"])
             _write_batch(rp.dq_issues(checks).withColumn("batch_id", F.lit(batch_id)),
-                         os.path.join(results_path, "dq_issues"), ["quarter_id", "batch_id"])
+                         os.path.join(results_path, "dq_issues"), ["quarter_id"])
         _write_batch(batch.withColumn("batch_id", F.lit(batch_id)), history_path, [snapshot_col, "batch_id"])
     finally:
         batch.unpersist()
