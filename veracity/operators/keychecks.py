@@ -134,7 +134,10 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
 
     keys = ["k2", "knull"]
     both = (side(current, 1).unionByName(side(previous, 0))
-            .groupBy(*keys, "v").agg(F.sum("c").alias("n_cur"), F.sum("p").alias("n_prev")))
+            .groupBy(*keys, "v").agg(F.sum("c").alias("n_cur"), F.sum("p").alias("n_prev"))
+            .where(F.col("n_cur") + F.col("n_prev") > 0))
+    # the condition always holds; it makes every branch below need both counts, so that all of them have
+    # the same exchange under them and Spark computes it once
     # all pairs per key (null paid included): product of the per-key counts, no pairs emitted
     pairs = both.groupBy(*keys).agg((F.sum("n_cur") * F.sum("n_prev")).alias("pairs"))
     # bucket cuts: a quantile sketch over the reduced rows, which are exactly the window's rows; a
