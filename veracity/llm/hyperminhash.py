@@ -265,7 +265,7 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, s
             rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "component", "n", "shared"))
         regs = _registers(rows.column("registers").combine_chunks(), k)
         lists = rows.column("set").combine_chunks()
-        at, flat, known = lists.offsets.to_numpy(), lists.values.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+        ends, flat, known = lists.offsets.to_numpy(), lists.values.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
         parent: dict[int, int] = {}
 
         def root(c: int) -> int:
@@ -274,7 +274,7 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, s
             return c
 
         def linked(i: int, j: int) -> bool:
-            p, q = flat[at[i]:at[i + 1]], flat[at[j]:at[j + 1]]
+            p, q = flat[ends[i]:ends[i + 1]], flat[ends[j]:ends[j + 1]]
             both = len(np.intersect1d(p, q, assume_unique=True))
             return 100 * both >= s.percent * (len(p) + len(q) - both)
         borders = _cells(key, i, j)

@@ -37,7 +37,7 @@ from veracity.llm.words import Words, slices
 
 HORIZON = 32
 OPEN = 4
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 
 @dataclass(frozen=True)

@@ -76,7 +76,7 @@ def joined(words: Words, raw: bytes, doc: int, covered: np.ndarray | None = None
     return b" ".join([raw[x:y] for x, y in zip(starts.tolist(), ends.tolist())])
 
 
-def _lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
+def as_lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
     flat = np.concatenate(rows) if rows else np.empty(0, np.int64)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)).cast(kind))
@@ -98,8 +98,8 @@ def scanned(docs: DataFrame, s: Settings) -> DataFrame:
                      pa.array([digest(hashes[x:y]) for x, y in zip(words.first, words.first[1:])], pa.binary()),
                      pa.array(words.counts.astype(np.int64)),
                      pa.array([hashlib.sha256(joined(words, raw, i)).hexdigest() for i in range(hi - lo)], pa.string()),
-                     _lists([seeds[f].astype(np.int64) for f in found], pa.int64()),
-                     _lists([f - words.first[i] for i, f in enumerate(found)], pa.int32())],
+                     as_lists([seeds[f].astype(np.int64) for f in found], pa.int64()),
+                     as_lists([f - words.first[i] for i, f in enumerate(found)], pa.int32())],
                     ["doc_id", "row", "digest", "n_words", "whole_sha256", "hashes", "places"])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text") \
         .mapInArrow(run, "doc_id long, row long, digest binary, n_words long, whole_sha256 string, "
@@ -187,7 +187,7 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
                 a = np.sort(starts.values.to_numpy())
                 new = np.flatnonzero(np.diff(a, prepend=-s.window - 1) > s.window)
                 out.append(np.stack([a[new], a[np.append(new[1:], len(a)) - 1] + s.window], axis=1).ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(out, pa.int32())], ["row", "places"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), as_lists(out, pa.int32())], ["row", "places"])
     spans = found.mapInArrow(merge, "row long, places array<int>").join(reps.select("row", "doc_id", "digest"), "row")
     spans = Staged(spans.select("row", "doc_id", "digest", "places"), "repeats").df
     windows.drop()
