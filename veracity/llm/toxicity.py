@@ -270,5 +270,5 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, least: float = 0.5) -> DataFra
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     lexicon = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, lexicon).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+    return scored(docs, lexicon).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
                                         F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
