@@ -358,30 +358,36 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     """doc_id, n_shingles, component_id (smallest id of the component), kept (one row a component),
     row (a number for each row)."""
     small_batches(docs.sparkSession)
-    rows = Staged(sketched(docs, settings, id_col, text_col), "sketches").df
+    used: list[Staged] = []
+
+    def stage(df: DataFrame, what: str) -> DataFrame:
+        used.append(Staged(df, what))
+        return used[-1].df
+
+    rows = stage(sketched(docs, settings, id_col, text_col), "sketches")
     order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("id"), F.col("row"))
-    nodes = Staged(rows.where("n > 0").groupBy("digest").agg(F.min(order).alias("first"))
-                   .select("digest", F.col("first.row").alias("node")), "nodes").df
+    nodes = stage(rows.where("n > 0").groupBy("digest").agg(F.min(order).alias("first"))
+                  .select("digest", F.col("first.row").alias("node")), "nodes")
     sketches = rows.join(nodes.select(F.col("node").alias("row")), "row", "left_semi") \
         .withColumnRenamed("row", "node")
     banded = sketches.select("node", F.explode("keys").alias("key"))
-    shared = Staged(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys").df
-    members = Staged(join_counted(banded, shared, ["key"]).select("key", "node"), "bands").df
+    shared = stage(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    members = stage(join_counted(banded, shared, ["key"]).select("key", "node"), "bands")
     sketches = sketches.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest", "n", "registers")
     sets = Staged(node_sets(docs, sketches.select("doc_id", "digest", "node"), settings, id_col, text_col), "sets")
-    sketches = Staged(with_shared(sketches, sets.df).where(100 * F.col("shared") >= settings.percent * F.col("n")), "candidates").df
+    sketches = stage(with_shared(sketches, sets.df).where(100 * F.col("shared") >= settings.percent * F.col("n")), "candidates")
     able = sketches.select("node")
-    members = Staged(members.select("key", "node").join(able, "node", "left_semi"), "bands").df
-    pivots = Staged(members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "pivots").df
+    members = stage(members.select("key", "node").join(able, "node", "left_semi"), "bands")
+    pivots = stage(members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "pivots")
     members = join_counted(members, pivots, ["key"])
 
-    stars = Staged(best_stars(members, sketches, settings), "stars").df
-    links = Staged(verified(stars, sets.df, settings), "links").df
+    stars = stage(best_stars(members, sketches, settings), "stars")
+    links = stage(verified(stars, sets.df, settings), "links")
     first = components(links)
 
-    pairs = Staged(crossing_pairs(members, first, sketches, sets.df, settings), "pairs").df
-    links = Staged(links.union(pairs.where("sure").select("a", "b"))
-                   .union(verified(pairs.where("not sure").select("a", "b").distinct(), sets.df, settings)), "links").df
+    pairs = stage(crossing_pairs(members, first, sketches, sets.df, settings), "pairs")
+    links = stage(links.union(pairs.where("sure").select("a", "b"))
+                  .union(verified(pairs.where("not sure").select("a", "b").distinct(), sets.df, settings)), "links")
     sets.drop()
     labels = components(links)
 
@@ -393,6 +399,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     placed = Staged(placed, "placed").df
     heads = Staged(placed.groupBy("component").agg(F.min(order).alias("head"), F.count("*").alias("n"))
                    .select("component", "n", F.col("head.row").alias("head_row"), F.col("head.id").alias("head_id")), "heads").df
+    for table in used:
+        table.drop()
     return join_counted(placed, heads, ["component"]).select(
         "doc_id", F.col("n").alias("n_shingles"), F.nullif("head_id", F.lit((1 << 63) - 1)).alias("component_id"),
         (F.col("row") == F.col("head_row")).alias("kept"), "row")
