@@ -8,8 +8,9 @@ removed, judged on the input.
    (winnowing), so equal windows have equal anchors at equal places. Documents are joined on anchors;
    anchors that occur once are dropped.
 2. Extension: from each repeated anchor the match is extended to both sides, to every window that the
-   anchor stands for. Occurrences aren't compared in pairs: a window's hash, with its anchor's, says
-   how far to the left and right an occurrence agrees with others, and equal ones are counted.
+   anchor stands for. Occurrences aren't compared in pairs. Those that agree as far as all these
+   windows reach form a class, and are repeated whole if it has two. One of each class is compared
+   with the other classes by its windows' hashes, which tell how far to the left and right they agree.
 3. Neighbouring repeated windows are joined to maximal repeats.
 
 Texts with one word sequence are taken together first: each of two or more copies of at least a
@@ -38,6 +39,7 @@ from veracity.llm.words import Words, grams, mix64, prefix_hash, slices
 
 BROADCAST_ROWS = 500_000   # documents whose places are broadcast; beyond that texts are shuffled
 BROADCAST_PLACES = 8_000_000
+_TURNS = mix64(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
 _DIGEST, _KEPT = "__text_digest", "__kept_text"
 
 
@@ -82,6 +84,14 @@ def as_lists(rows: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)).cast(kind))
 
 
+def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Overlapping and touching ranges joined: [start, end, start, end, ...]."""
+    order = np.argsort(starts, kind="stable")
+    a, b = starts[order], np.maximum.accumulate(ends[order])
+    new = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
+    return np.stack([a[new], b[np.append(new[1:], len(a)) - 1]], axis=1).ravel()
+
+
 def scanned(docs: DataFrame, s: Settings) -> DataFrame:
     """For each row: row, doc_id, digest, n_words, whole_sha256 and its distinct anchors (hash, word)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +134,8 @@ def same_texts(words: Words, hashes: np.ndarray, wanted: list[bytes]) -> Iterato
 
 
 def extended(texts: DataFrame, s: Settings) -> DataFrame:
-    """(anchor, window, row, start) of every window whose anchor is one of the row's ``places``."""
+    """(anchor, context, row, first, windows): for each of the row's ``places``, the hashes of the windows
+    that have their anchor there, a run of starts from ``first``, and one hash for all of them."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(3)):
@@ -137,14 +148,19 @@ def extended(texts: DataFrame, s: Settings) -> DataFrame:
                     repeated[words.first[i] + np.array(places[i], np.int64)] = True
                 pick = repeated[at]
                 starts, at = starts[pick], at[pick]
-                windows = grams(hashes, s.window)
-                doc = np.searchsorted(words.first, starts, "right") - 1
+                new = np.flatnonzero(np.diff(at, prepend=-1))   # windows of one anchor follow each other
+                windows = grams(hashes, s.window)[starts] if len(starts) else np.empty(0, np.uint64)
+                size = np.diff(np.append(new, len(starts)))
+                turn = np.arange(len(starts)) - np.repeat(new, size)
+                context = mix64(np.add.reduceat(windows * _TURNS[turn], new) + size.astype(np.uint64)) if len(new) else windows
+                doc = np.searchsorted(words.first, starts[new], "right") - 1
                 rows = batch.column(0).slice(lo, hi - lo).to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(seeds[at].astype(np.int64)), pa.array(windows[starts].astype(np.int64)),
-                     pa.array(rows[doc]), pa.array((starts - words.first[doc]).astype(np.int32))],
-                    ["anchor", "window", "row", "start"])
-    return texts.mapInArrow(run, "anchor long, window long, row long, start int")
+                    [pa.array(seeds[at[new]].astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(rows[doc]),
+                     pa.array((starts[new] - words.first[doc]).astype(np.int32)),
+                     pa.ListArray.from_arrays(pa.array(np.append(new, len(starts)).astype(np.int32)), pa.array(windows.astype(np.int64)))],
+                    ["anchor", "context", "row", "first", "windows"])
+    return texts.mapInArrow(run, "anchor long, context long, row long, first int, windows array<long>")
 
 
 def representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -173,26 +189,36 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
     of_text, reps = representatives(rows)
     seeds = Staged(repeated_places(reps), "seeds")
 
-    windows = extended(with_texts(docs, seeds.df), s)
+    places = extended(with_texts(docs, seeds.df), s)
     if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        windows = windows.distinct()  # a repeated row meets its places once each
-    windows = Staged(windows, "windows")
-    equal = Staged(windows.df.groupBy("anchor", "window").agg(F.count("*").alias("n")).where("n > 1"), "equal")
-    found = join_counted(windows.df, equal.df, ["anchor", "window"]).groupBy("row").agg(F.collect_list("start").alias("starts"))
+        places = places.distinct()  # a repeated row meets its places once each
+    places = Staged(places, "contexts")
+    # occurrences that agree on all windows of the anchor: one of them stands for its class
+    classes = Staged(places.df.groupBy("anchor", "context").agg(F.min(F.struct("row", "first")).alias("rep"), F.count("*").alias("n")), "classes")
+    stand = Staged(places.df.join(classes.df.select("rep.row", "rep.first", "n"), ["row", "first"])
+                   .select("anchor", "row", "first", "windows", "n"), "classes")
+    equal = Staged(stand.df.select("anchor", "n", F.explode("windows").alias("window")).groupBy("anchor", "window")
+                   .agg(F.sum("n").alias("n")).where("n > 1"), "equal")
+    # all windows of a class of two and more are repeated; of a class of one, those that other classes hold
+    whole = join_counted(places.df.select("anchor", "context", "row", "first", F.size("windows").alias("k")),
+                         classes.df.where("n > 1").select("anchor", "context", "n"), ["anchor", "context"])
+    alone = stand.df.where("n = 1").select("anchor", "row", "first", F.posexplode("windows").alias("turn", "window"))
+    some = join_counted(alone, equal.df, ["anchor", "window"])
+    found = whole.select("row", "first", "k").unionByName(
+        some.select("row", (F.col("first") + F.col("turn")).alias("first"), F.lit(1).alias("k"))) \
+        .groupBy("row").agg(F.collect_list(F.struct("first", "k")).alias("runs"))
 
     def merge(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for starts in batch.column(1):
-                a = np.sort(starts.values.to_numpy())
-                new = np.flatnonzero(np.diff(a, prepend=-s.window - 1) > s.window)
-                out.append(np.stack([a[new], a[np.append(new[1:], len(a)) - 1] + s.window], axis=1).ravel())
+            for runs in batch.column(1):
+                first, k = (runs.values.field(i).to_numpy() for i in (0, 1))
+                out.append(merged(first, first + k - 1 + s.window))
             yield pa.RecordBatch.from_arrays([batch.column(0), as_lists(out, pa.int32())], ["row", "places"])
     spans = found.mapInArrow(merge, "row long, places array<int>").join(reps.select("row", "doc_id", "digest"), "row")
     spans = Staged(spans.select("row", "doc_id", "digest", "places"), "repeats").df
-    windows.drop()
-    equal.drop()
-    seeds.drop()
+    for table in (places, classes, stand, equal, seeds):
+        table.drop()
     return rows.drop("hashes", "places").join(of_text, "digest"), spans
 
 

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.llm.passages import Settings as Anchors
-from veracity.llm.passages import as_lists, repeated_places, representatives, same_texts, scanned, with_texts
+from veracity.llm.passages import as_lists, merged, repeated_places, representatives, same_texts, scanned, with_texts
 from veracity.llm.scratch import Staged, parallelism, small_batches
 from veracity.llm.words import Words, slices
 
@@ -149,15 +149,11 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
         for batch in batches:
             out = []
             for pairs in batch.column(1):
-                a, b = (pairs.values.field(i).to_numpy() for i in (0, 1))
-                order = np.argsort(a, kind="stable")
-                a, b = a[order], np.maximum.accumulate(b[order])
-                new = np.flatnonzero(np.append(True, a[1:] > b[:-1]))
-                out.append(np.stack([a[new], b[np.append(new[1:], len(a)) - 1]], axis=1).ravel())
+                out.append(merged(*(pairs.values.field(i).to_numpy() for i in (0, 1))))
             yield pa.RecordBatch.from_arrays([batch.column(0), as_lists(out, pa.int32())], ["row", "spans"])
-    merged = spans.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("pairs")) \
+    of_row = spans.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "end")).alias("pairs")) \
         .mapInArrow(merge, "row long, spans array<int>")
-    return rows.join(of_text, "digest").select("row", "doc_id", "n_words", "rep", "copies"), merged
+    return rows.join(of_text, "digest").select("row", "doc_id", "n_words", "rep", "copies"), of_row
 
 
 def summary(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
