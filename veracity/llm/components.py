@@ -21,20 +21,21 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (u, v), u > v, are stars: each u has one v, and no v is a u."""
+    several = edges.groupBy("u").count().where("count > 1").select("u")
+    chained = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
+    return not several.union(chained).limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (columns a, b: long): the component is its
-    smallest node. Each round is written and read again; only the edge count reaches the driver."""
+    smallest node. Each round is written and read again; nothing but one row count reaches the driver."""
     stage = Staged(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
-    while True:
+    while not _settled(stage.df):
         large = _star(stage.df, small=False)
         after = Staged(_star(large, small=True), "edges")
         stage.drop()
         stage = after
-        # done when the edges are stars around the smallest nodes and a round changes nothing
-        now = stage.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before is not None and tuple(now) == before:
-            break
-        before = tuple(now)
     return stage.df.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         stage.df.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -378,8 +378,8 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     sketches = stage(with_shared(sketches, sets.df).where(100 * F.col("shared") >= settings.percent * F.col("n")), "candidates")
     able = sketches.select("node")
     members = stage(members.select("key", "node").join(able, "node", "left_semi"), "bands")
-    pivots = stage(members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1"), "pivots")
-    members = join_counted(members, pivots, ["key"])
+    pivots = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
+    members = members.join(pivots.select("key", "pivot"), "key")
 
     stars = stage(best_stars(members, sketches, settings), "stars")
     links = stage(verified(stars, sets.df, settings), "links")
@@ -397,11 +397,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
         of_digest, (rows["digest"] == of_digest["digest"]) & (rows["n"] > 0), "left") \
         .select("doc_id", "row", "n", F.coalesce("component", "row").alias("component"))
     placed = Staged(placed, "placed").df
-    heads = Staged(placed.groupBy("component").agg(F.min(order).alias("head"), F.count("*").alias("n"))
-                   .select("component", "n", F.col("head.row").alias("head_row"), F.col("head.id").alias("head_id")), "heads").df
+    heads = placed.groupBy("component").agg(F.min(order).alias("head")) \
+        .select("component", F.col("head.row").alias("head_row"), F.col("head.id").alias("head_id"))
     for table in used:
         table.drop()
-    return join_counted(placed, heads, ["component"]).select(
+    return placed.join(heads, "component").select(
         "doc_id", F.col("n").alias("n_shingles"), F.nullif("head_id", F.lit((1 << 63) - 1)).alias("component_id"),
         (F.col("row") == F.col("head_row")).alias("kept"), "row")
 
