@@ -262,7 +262,7 @@ def without_repeats(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     copied = (F.col("copies") > 1) & (F.col("n_words") >= s.window)
     change = rows.join(kept, "rep", "left").where(copied | F.col("kept").isNotNull()) \
         .groupBy("digest").agg(F.first(F.when(copied, F.lit("")).otherwise(F.col("kept"))).alias(_KEPT))
-    change = Staged(change.withColumnRenamed("digest", _DIGEST), "changes").df
+    change = Staged(change.withColumnRenamed("digest", _DIGEST), "changes", "snappy").df
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,11 +16,14 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 
 class Staged:
-    """A DataFrame written once as Parquet; ``df`` reads it back, ``drop()`` deletes the files."""
+    """A DataFrame written once as Parquet; ``df`` reads it back, ``drop()`` deletes the files.
 
-    def __init__(self, df: DataFrame, what: str) -> None:
+    Hashes, which most of these tables hold, don't compress, and codecs take memory beside the heap, so
+    pages are only dictionary- and run-length-encoded unless ``compression`` says otherwise."""
+
+    def __init__(self, df: DataFrame, what: str, compression: str = "none") -> None:
         self.spark, self.path = df.sparkSession, new_path(df.sparkSession, what)
-        df.write.option("compression", "zstd").parquet(self.path)
+        df.write.option("compression", compression).parquet(self.path)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -54,7 +57,7 @@ def with_unique_ids(docs: DataFrame) -> tuple[DataFrame, str]:
     odd = docs.groupBy("doc_id").count().where("doc_id is null or count > 1").limit(1)
     if not odd.count():
         return docs, "doc_id"
-    return Staged(docs.withColumn(ROW_ID, F.monotonically_increasing_id()), "rows").df, ROW_ID
+    return Staged(docs.withColumn(ROW_ID, F.monotonically_increasing_id()), "rows", "snappy").df, ROW_ID
 
 
 def without(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
