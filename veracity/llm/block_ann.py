@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veracity.llm.scratch import Staged
+from veracity.llm.scratch import Staged, ship_package
 
 TILE = 2048
 MANY = 1 << 16  # pairs recomputed at once
@@ -116,6 +116,7 @@ def neighbours(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str =
                query_block: int = 2048, candidate_block: int = 16384) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every row that ``is_query`` (a condition on the
     id, named ``vec_id``) holds for."""
+    ship_package(vectors.sparkSession)
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = Staged(
         vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"),
@@ -150,6 +151,9 @@ def neighbours(vectors: DataFrame, is_query: F.Column, k: int = 5, id_col: str =
     pairs = spread(queries, "qb", q_blocks, "cb", c_blocks).groupBy("qb", "cb").cogroup(
         spread(candidates, "cb", c_blocks, "qb", q_blocks).groupBy("qb", "cb")).applyInArrow(
         cell, "query_row long, query_id long, vec_id long, at long, score double")
+    # written, k rows a query and cell: a query that needs no column of it, such as a count, would have
+    # the optimiser drop the columns that the function reads
+    pairs = Staged(pairs, "neighbours").df
     best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "at")
     return pairs.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}") \
         .select("query_id", "rank", F.nullif("vec_id", F.lit(NO_ID)).alias("vec_id"), "score")

@@ -3,7 +3,10 @@ and let later steps read only the columns they need."""
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,9 +41,25 @@ def parallelism(spark: SparkSession) -> int:
 BATCH_ROWS = 1000
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers, wherever the driver found it: a zip of its
+    modules goes out with ``addPyFile``, once a context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_veracity_shipped", False):
+        return
+    package = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="veracity-package-")) / "veracity_package.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._veracity_shipped = True
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Texts go to Python in batches of at most ``BATCH_ROWS`` rows (and Spark's byte limit), which
+    """Ships the package, and has texts go to Python in batches of at most ``BATCH_ROWS`` rows (and Spark's byte limit), which
     bounds what a worker and the executor's buffers hold. A lower setting stays."""
+    ship_package(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name, "10000"))
     if now <= 0 or now > BATCH_ROWS:
