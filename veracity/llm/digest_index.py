@@ -40,6 +40,8 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 1024) -> None:
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = "veracity_digests_" + hashlib.sha256(path.encode()).hexdigest()[:16]
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(folder)
         spark.sql(f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT) USING parquet "
                   f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'")
 
