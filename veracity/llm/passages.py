@@ -194,14 +194,13 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
         places = places.distinct()  # a repeated row meets its places once each
     places = Staged(places, "contexts")
     # occurrences that agree on all windows of the anchor: one of them stands for its class
-    classes = Staged(places.df.groupBy("anchor", "context").agg(F.min(F.struct("row", "first")).alias("rep"), F.count("*").alias("n")), "classes")
-    stand = Staged(places.df.join(classes.df.select("rep.row", "rep.first", "n"), ["row", "first"])
-                   .select("anchor", "row", "first", "windows", "n"), "classes")
+    stand = Staged(places.df.groupBy("anchor", "context").agg(F.min(F.struct("row", "first", "windows")).alias("rep"), F.count("*").alias("n"))
+                   .select("anchor", "context", "n", "rep.row", "rep.first", "rep.windows"), "classes")
     equal = Staged(stand.df.select("anchor", "n", F.explode("windows").alias("window")).groupBy("anchor", "window")
                    .agg(F.sum("n").alias("n")).where("n > 1"), "equal")
     # all windows of a class of two and more are repeated; of a class of one, those that other classes hold
     whole = join_counted(places.df.select("anchor", "context", "row", "first", F.size("windows").alias("k")),
-                         classes.df.where("n > 1").select("anchor", "context", "n"), ["anchor", "context"])
+                         stand.df.where("n > 1").select("anchor", "context", "n"), ["anchor", "context"])
     alone = stand.df.where("n = 1").select("anchor", "row", "first", F.posexplode("windows").alias("turn", "window"))
     some = join_counted(alone, equal.df, ["anchor", "window"])
     found = whole.select("row", "first", "k").unionByName(
@@ -217,7 +216,7 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), as_lists(out, pa.int32())], ["row", "places"])
     spans = found.mapInArrow(merge, "row long, places array<int>").join(reps.select("row", "doc_id", "digest"), "row")
     spans = Staged(spans.select("row", "doc_id", "digest", "places"), "repeats").df
-    for table in (places, classes, stand, equal, seeds):
+    for table in (places, stand, equal, seeds):
         table.drop()
     return rows.drop("hashes", "places").join(of_text, "digest"), spans
 
