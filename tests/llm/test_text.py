@@ -171,3 +171,57 @@ def test_licence_rules(spark, odd_docs, no_docs):
                  licences.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect())
     assert got == [(1, "MIT", 1), (2, "", 0), (3, "", 1), (4, "Apache-2.0", 2), (5, "CC-BY-NC-4.0", 2), (6, "", 0), (6, "", 1)]
     assert licences.scan(odd_docs).count() == odd_docs.count() and licences.scan(no_docs).collect() == []
+
+
+MIT = """The MIT License (MIT)
+
+Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+APACHE = """Licensed to the Foundation under one or more agreements. The Foundation licenses
+this file to You under the Apache License, Version 2.0
+(the "License"); you may not use this file except in compliance with
+the License.  You may obtain a copy of the License at
+
+   http://www.apache.org/licenses/LICENSE-2.0"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+
+You should have received a copy of the GNU General Public License
+along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+BSD = """BSD 3-Clause License
+
+Copyright (c) 2020, Some One
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:"""
+
+
+@pytest.mark.parametrize("mark,end", [("", "\n"), (" * ", "\n"), ("# ", "\r\n"), ("// ", "\n")])
+def test_wrapped_licences(spark, mark, end):
+    whole = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL, "BSD-3-Clause": BSD}
+    rows = [(i, "int x;\n" + end.join((mark + line).rstrip() for line in t.split("\n")) + "\nint y;") for i, t in enumerate(whole.values())]
+    rows += [(10, 'Licensed under the Apache License, Version 2.0 (the "License");'), (11, "This is not released under the MIT License."),
+             (12, MIT.replace("\n", " ")), (13, "It is the MIT" + end * 2 + "License"), (14, "no full stop" + end + mark + "Licensed under CC BY 4.0")]
+    got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(whole)) | {10: "Apache-2.0", 11: "", 12: "MIT", 13: "", 14: "CC-BY-4.0"}
