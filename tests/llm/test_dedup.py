@@ -1,5 +1,6 @@
 """Exact, near and substring dedup, and the sparse suffix array, against brute force."""
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -153,6 +154,32 @@ def test_suffix_array_against_brute_force(odd_docs, odd_texts):
         assert sum(mine) == r.n_repeated and mine in by_key[r.doc_id, r.n_words]
 
 
+@pytest.mark.parametrize("settings", [suffixes.Settings(), suffixes.Settings(held=4)])
+def test_suffix_array_finds_repeats_whose_end_is_common(spark, settings):
+    """Two documents share a passage whose last words stand in many others, which sort between them."""
+    rng = random.Random(11)
+    texts = []
+    for case in range(60):
+        def prose(n):
+            return [f"{case}x{rng.randrange(10**6)}" for _ in range(n)]
+        size = rng.randint(50, 80)
+        passage = prose(size)
+        texts += [prose(rng.randint(0, 30)) + passage + prose(rng.randint(0, 80)) for _ in range(2)]
+        for _ in range(10):
+            tail = rng.randint(20, 49) if case % 2 else 40
+            texts.append(prose(rng.randint(0, 80)) + passage[-tail:] + prose(rng.randint(0, 80)))
+    texts = [" ".join(t) for t in texts]
+    texts += ["p " + texts[0], "p q " + texts[0]]   # more of the same place
+    expected = covered(texts, 50)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for r in suffixes.summary(df, settings).collect():
+        mine = [False] * r.n_words
+        for span in filter(None, r.spans.split(",")):
+            a, b = map(int, span.split("-"))
+            mine[a:b] = [True] * (b - a)
+        assert mine == expected[r.doc_id]
+
+
 def test_empty_tables(no_docs):
     for df in (digest_index.deduplicate(no_docs), hyperminhash.near_duplicates(no_docs), passages.summary(no_docs),
                suffixes.summary(no_docs), passages.without_repeats(no_docs), hyperminhash.keep_one(no_docs),
