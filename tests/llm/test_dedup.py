@@ -104,6 +104,14 @@ def test_near_duplicates_within_a_large_band(spark):
     assert {r.component_id for r in got} == {0, 10_000} and sum(r.kept for r in got) == 2
 
 
+def test_near_duplicates_of_small_sets(spark):
+    """Four of five shingles shared, which the sketch of these pairs estimates far below 0.8."""
+    pairs = [53, 308, 454, 627, 773, 1226, 2119, 2761, 2796, 2846, 3728, 3980, 4067, 4276, 4411, 4640, 4828]
+    rows = [(2 * i + cut, " ".join(f"a{i}b{k}" for k in range(9 - cut))) for i in pairs for cut in (0, 1)]
+    got = hyperminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {2 * i + cut: 2 * i for i in pairs for cut in (0, 1)}
+
+
 def test_sketch_estimates():
     import numpy as np
     rng = np.random.default_rng(1)

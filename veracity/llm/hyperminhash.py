@@ -9,7 +9,7 @@
    a pair's Jaccard is at most m / (|A| + |B| - m), with m the smaller number of shared shingles, and
    candidates and pairs that this bound rules out go.
 4. In two rounds, pairs whose Jaccard estimate, corrected for chance collisions of registers, is
-   near the limit are verified on the full sets:
+   near the limit (in the second, all pairs with a small set) are verified on the full sets:
    first each node with the best of its bands' smallest nodes; then, within bands, all pairs of
    nodes that the first round left in different components. Large bands are cut into blocks whose
    pairs are separate cells. Within a cell pairs are filtered by sketch, then verified on the full
@@ -17,8 +17,13 @@
    than it has nodes. Only pairs with a set above ``CELL_SET`` shingles leave unverified.
 5. Components of the verified links.
 
-A pair at the limit of 0.8 is missed by all 38 bands of 5 with probability 3e-7, and by the sketch
-filter (3.5 standard errors) with 2e-4. Nothing else is lost: no caps on bands, partners or links.
+A pair at the limit of 0.8 is missed by all 38 bands of 5 with probability 3e-7. The sketch filter (3.5
+standard errors of a binomial) would miss more pairs of small sets, whose shingles collide in buckets and
+are then copied to others: measured at 0.8, 50 of 20,000 (4 of 5 shingles shared), 27 of 20,000 (8 of 10),
+8 of 12,000 (40 of 50), 3 of 12,000 (80 of 100), 5 of 12,000 (160 of 200), 0 of 12,000 (320 of 400) and 0
+of 6,000 (800 of 1000). So pairs with a set of at most ``SMALL_SET`` shingles are verified whatever the
+estimate; for others the binomial gives 2e-4. The first round only chooses: what it leaves, the second
+sees again. Nothing else is lost: no caps on bands, partners or links.
 
 Defined results: null or empty texts have an empty set and link with nothing, each its own component;
 texts with fewer words than a shingle have their whole sequence as one; of rows with a repeated id
@@ -44,6 +49,7 @@ VALUE_BITS = 44
 MANTISSA_BITS = 10
 BLOCK = 512             # members of a band that are compared in one task
 CELL_SET = 2_000        # shingles up to which sets travel with the members of a band
+SMALL_SET = 400         # shingles up to which the estimate rejects no pair; at most CELL_SET
 PAIRS_AT_ONCE = 1 << 14
 BROADCAST_ROWS = 1_000_000  # node ids; beyond that they are shuffled
 
@@ -253,7 +259,7 @@ def _cells(key: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """(a, b, sure): pairs within a band, in different components, whose estimate is near the limit.
+    """(a, b, sure): pairs within a band, in different components, of a small set or with an estimate near the limit.
     ``sure`` ones are verified links, enough to join all that the cell's links join.
 
     A band of more than ``BLOCK`` nodes is dealt into blocks; each pair of blocks is a cell of its own.
@@ -287,7 +293,8 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, s
             e = estimate(regs[x], regs[y], n[x], n[y])
             band = same.reshape(len(x), s.bands, s.rows).all(axis=2)
             first = sk.keys(regs[x])[np.arange(len(x)), band.argmax(axis=1)].astype(np.int64)
-            ok = np.flatnonzero((e >= s.least_estimate) & (first == key[x]))
+            near = (e >= s.least_estimate) | (np.minimum(n[x], n[y]) <= SMALL_SET)
+            ok = np.flatnonzero(near & (first == key[x]))
             found, sure = [], []
             for o in ok[np.argsort(-e[ok], kind="stable")].tolist():
                 i, j = x[o], y[o]
