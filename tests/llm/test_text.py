@@ -163,6 +163,24 @@ def test_toxicity_learns(spark, odd_docs, no_docs):
     assert none.matcher().score("you idiot") >= 0.5 and none.matcher().score("fine") == 0
 
 
+def test_toxicity_keeps_the_ratio_of_the_labels(spark):
+    """A word in 9 of 10 toxic and 1 of 10 clean texts is not precise at 1 toxic to 20 clean, sampled or not."""
+    rows, labels = [], []
+    for i in range(2100):
+        toxic = i % 21 == 0
+        w = [f"n{i}"] + (["meh"] if ((i // 21) % 10 > 0 if toxic else i % 10 == 3) else []) + (["grumbled"] if toxic else [])
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame(labels, "doc_id long, toxic int")
+    for sample in (20_000, 70):
+        assert set(toxicity.fit(docs, marks, toxicity.Settings(sample=sample)).weights) & {"meh", "grumbled"} == {"grumbled"}
+    texts = [("bad", 1)] * 3 + [("bad", 0)] * 2 + [("fine", 0)] * 10
+    sample, lexicon = spark.createDataFrame(texts, "text string, toxic int"), toxicity.Lexicon({"bad": 2.0})
+    x = lexicon.matcher().x("bad")
+    assert toxicity._best_cut(sample, lexicon, (1.0, 1.0)) < x < toxicity._best_cut(sample, lexicon, (8.0, 1.0))
+
+
 def test_licence_rules(spark, odd_docs, no_docs):
     texts = [(1, "Some code.\nReleased under the MIT License.\nmore"), (2, None), (3, "Apache License, Version 2.0."),
              (4, "Apache License, Version 2.0.\nfoo. You may not use this file except in compliance with the License."),

@@ -10,7 +10,8 @@ Weights of words and stems are smoothed log odds of occurring in a toxic against
 texts, so that copies count once. Words of the fixed seed list take part even where no labels exist.
 Exception phrases are pairs of neighbouring words with a lexicon word that the sample shows mostly in
 clean texts. The score is x / (x + t), where x is the normalised sum and t the cut between the
-classes in the sample.
+classes in the sample. Where a class has more labelled rows than the sample takes, its rows count for as
+many as they stand for, so that the precision of entries, exceptions and the cut keep the labels' ratio.
 
 Defined results: null counts as empty; an empty text scores 0; whole texts of any length are scanned;
 every row gives one row; labels of null or unknown documents are ignored; several labels of one
@@ -139,12 +140,23 @@ def held_out(id_col: F.Column) -> F.Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def learning_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) of the documents that may be learned from."""
+    return labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
+        .where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))) \
+        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def class_weights(labels: DataFrame, settings: Settings) -> tuple[float, float]:
+    """How many labelled rows a clean and a toxic row of the sample stand for."""
+    totals = {r.toxic: r.n for r in learning_labels(labels).groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    return tuple(max(1.0, totals.get(c, 0) / settings.sample) for c in (0, 1))
+
+
 def sample_rows(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
     """(text, toxic) of the learning sample. The sample's ids are at most 2 * ``sample`` rows, so they
     are broadcast and no text is shuffled."""
-    of = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")) \
-        .where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))) \
-        .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    of = learning_labels(labels)
     order = F.xxhash64("doc_id")
     picked = of.where("toxic = 1").orderBy(order, "doc_id").limit(settings.sample).unionByName(
         of.where("toxic = 0").orderBy(order, "doc_id").limit(settings.sample))
@@ -180,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame | None, settings: Settings = Settings
         return Lexicon(dict.fromkeys(seeds, 5.0), exceptions, 0.5)
     small_batches(docs.sparkSession)
     sample = sample_rows(docs, labels, settings)
+    w0, w1 = class_weights(labels, settings)
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     sample = sample.groupBy(digest.alias("digest"), "toxic").agg(F.first("text").alias("text")).select("text", "toxic").persist()
     try:
@@ -188,7 +201,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, settings: Settings = Settings
         odds = F.log((F.col("a") + 0.5) / (n1 + 1)) - F.log((F.col("b") + 0.5) / (n0 + 1))
         counts = _counted(sample, _entries(settings.stems)).persist()
         least = max(settings.least_texts, settings.least_share * n1)
-        precise = F.col("a") >= settings.least_precision * (F.col("a") + F.col("b"))
+        a, b = F.col("a") * F.lit(w1), F.col("b") * F.lit(w0)
+        precise = a >= F.lit(settings.least_precision) * (a + b)
         learned = counts.where(~F.col("unit").isin(*seeds)) \
             .where((F.col("a") >= least) & (odds >= settings.least_odds) & precise) \
             .orderBy(odds.desc(), "unit").limit(settings.lexicon).collect()
@@ -200,8 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame | None, settings: Settings = Settings
 
         weights = {r.unit: weight(r.a, r.b) for r in learned}
         for w in seeds:
-            a, b = of_seeds.get(w, (0, 0))
-            value = weight(a + settings.prior, b) if n1 else 5.0
+            toxic, clean = of_seeds.get(w, (0, 0))
+            value = weight(toxic + settings.prior, clean) if n1 else 5.0
             if value > 0:
                 weights[w] = min(value, 8.0)
         vocabulary = frozenset(weights)
@@ -210,18 +224,18 @@ def fit(docs: DataFrame, labels: DataFrame | None, settings: Settings = Settings
             ws = _WORD.findall(text)
             return {f"{x} {y}" for x, y in zip(ws, ws[1:]) if x in vocabulary or y in vocabulary}
 
-        harmless = _counted(sample, pairs).where("b >= 3 and a * 4 <= b").orderBy(F.desc("b"), "unit") \
+        harmless = _counted(sample, pairs).where((F.col("b") >= 3) & (a * 4 <= b)).orderBy(F.desc("b"), "unit") \
             .limit(settings.lexicon).collect()
         lexicon = Lexicon(weights, exceptions + [r.unit for r in harmless])
-        lexicon.cut = _best_cut(sample, lexicon)
+        lexicon.cut = _best_cut(sample, lexicon, (w0, w1))
         return lexicon
     finally:
         sample.unpersist()
 
 
-def _best_cut(sample: DataFrame, lexicon: Lexicon, step: float = 0.01, top: float = 100.0) -> float:
-    """The x that errs least on the sample, from a histogram of at most ``top / step`` bins; in the
-    middle of the best stretch."""
+def _best_cut(sample: DataFrame, lexicon: Lexicon, weights: tuple[float, float] = (1.0, 1.0), step: float = 0.01, top: float = 100.0) -> float:
+    """The x that errs least on the rows that the sample stands for (``weights`` of a clean and a toxic row),
+    from a histogram of at most ``top / step`` bins; in the middle of the best stretch."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = lexicon.matcher()
         for batch in batches:
@@ -237,7 +251,7 @@ def _best_cut(sample: DataFrame, lexicon: Lexicon, step: float = 0.01, top: floa
     best, low, high, keys = None, 0, 0, sorted(bins)
     for k, after in zip(keys, [*keys[1:], keys[-1] + 1]):  # cut above bin k
         clean_above, toxic_below = clean_above - bins[k][0], toxic_below + bins[k][1]
-        errors = clean_above + toxic_below
+        errors = weights[0] * clean_above + weights[1] * toxic_below
         if best is None or errors < best:
             best, low, high = errors, k + 1, after
     return max(step, (low + high) / 2 * step)
