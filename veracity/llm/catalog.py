@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from veracity.llm import block_ann, bpe, digest_index, hyperminhash, licences, packing, passages, suffixes, toxicity, url_lists
+from veracity.llm import (block_ann, bpe, digest_index, hyperminhash, importance, licences, mixing, packing, passages, suffixes, toxicity,
+                          url_lists, variants)
 
 _ALL = {
     "op1_packing": (packing.query, None),
@@ -15,6 +16,9 @@ _ALL = {
     "op8_suffix_array": (suffixes.query, None),
     "op9_bpe_round_trip": (bpe.query, None),
     "op10_licences": (licences.query, licences.SQL),
+    "op11_importance": (importance.query, importance.SQL),
+    "op12_mixing": (mixing.query, mixing.SQL),
+    "op13_variants": (variants.query, variants.SQL),
 }
 
 
