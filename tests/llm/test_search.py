@@ -93,7 +93,7 @@ def test_queries_equal_their_sql(spark, name):
 
 
 def test_names():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.queries()) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in catalog.queries()) == list(range(1, 14))
 
 
 def test_pipeline(spark):
