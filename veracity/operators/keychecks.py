@@ -185,14 +185,22 @@ def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid:
 
     cur = (current.select(F.col(key).cast("string").alias("k"), value(current).alias("v"))
                   .groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("cur_paid")))
-    n = F.col("n")
-    aggs = [F.sum("n").alias("u_total"), F.sum(F.when(n > 1, n).otherwise(0)).alias("u_failed"),
-            F.count("n").alias("u_groups")]
     if previous is None:
-        return cur.agg(*aggs)
+        return profile_counts(cur, None)
     prev = (previous.select(F.col(key).cast("string").alias("k"), value(previous).alias("v"))
                     .where(F.col("k").isNotNull())
                     .groupBy("k").agg(F.sum("v").alias("prev_paid"), F.lit(True).alias("in_prev")))
+    return profile_counts(cur, prev)
+
+
+def profile_counts(cur: DataFrame, prev: DataFrame | None) -> DataFrame:
+    """The counts of ``key_profile`` from one row a key: (k, n, cur_paid) of the current snapshot and
+    (k, prev_paid, in_prev) of the previous one, which has no null key."""
+    n = F.col("n")
+    aggs = [F.sum("n").alias("u_total"), F.sum(F.when(n > 1, n).otherwise(0)).alias("u_failed"),
+            F.count("n").alias("u_groups")]
+    if prev is None:
+        return cur.agg(*aggs)
     both = cur.join(prev, "k", "full_outer")
     in_cur = F.col("k").isNotNull() & n.isNotNull()
     in_prev = F.coalesce(F.col("in_prev"), F.lit(False))
@@ -201,6 +209,13 @@ def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid:
     return both.agg(*aggs)
 
 
+def key_state(claims: DataFrame, key: str, paid: str) -> DataFrame:
+    """One row a key (text; nulls are one key): its rows ``n`` and its paid sum."""
+    value = _num(claims, paid) if paid in claims.columns else F.lit(None).cast("double")
+    return claims.select(F.col(key).cast("string").alias(key), value.alias("v")) \
+        .groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias(paid))
+
+
 def failing_paid_rows(current: DataFrame, previous: DataFrame, key: str, paid: str) -> DataFrame:
     """Current rows that fail against at least one previous row of their key (null keys match each
     other): a null on either side, or a higher previous value. The previous side is one row a key."""

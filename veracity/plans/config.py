@@ -8,8 +8,9 @@ Two layouts are accepted:
   "scoring": {98: 3, 95: 2, "default": 0}}]}}}`` whose declarative check types are translated:
   ``formula`` ("a = b + c" within a tolerance) and ``comparison`` / ``date_comparison``
   ("a <= b") become SQL predicates that Spark's parser evaluates; ``range`` becomes a range check
-  whose bounds may say ``current_year - 15``; ``duplicates``, ``date_format``, ``not_null`` and
-  ``custom`` functions map to the built-in checks.
+  whose bounds may say ``current_year - 15``; ``duplicates``, ``date_format`` and ``not_null`` map to the
+  built-in checks. A ``custom`` check names a function: a built-in check, or a SQL function registered in the
+  session (``CREATE TEMPORARY FUNCTION``), called with the check's ``fields`` and inlined by the optimiser.
 """
 
 from __future__ import annotations
@@ -76,6 +77,11 @@ def declared_spec(c: Mapping, category: str, subcategory: str, as_of_year: int)
     if t == "custom" and c.get("function") in _CUSTOM:
         kind, fields = _CUSTOM[c["function"]]
         return CheckSpec(type=kind, fields=fields, **base)
+    if t == "custom" and re.fullmatch(r"[A-Za-z_]\w*(\.\w+){0,2}", str(c.get("function", ""))):
+        fields = tuple(c.get("fields") or ([c["field"]] if c.get("field") else ()))
+        args = ", ".join(f"`{f}`" for f in fields)
+        return CheckSpec(type="expression", predicate=f"{c['function']}({args})", fields=fields,
+                         scope=None if c.get("skip_nulls", True) else "true", value_kind=c.get("values"), **base)
     if t == "reconciliation":
         return CheckSpec(type="loss_ratio", **base)
     return CheckSpec(type=str(t), **base)

@@ -263,3 +263,74 @@ def write_failures(run: SuiteRun, path: str, fmt: str = "parquet") -> list[str]:
         (w.option("header", True).csv if fmt == "csv" else w.parquet)(f"{path}/check_{spec.id}")
         written.append(spec.id)
     return written
+
+
+# J9 in one pass
+def failing_rows(run: SuiteRun, check_ids: Sequence[str] | None = None) -> DataFrame:
+    """The failing rows of all checks: check_id, the context columns of any row check (null where a check
+    doesn't show them), identifier_label and identifier (of checks on keys).
+
+    One pass over the current snapshot tags each row with the checks it fails. Where the run has key states, the
+    rows of duplicated keys are tagged in that pass too, by a join with those keys, and the other claim-keyed checks read
+    states only; without them, each key check adds its own failing keys."""
+    chosen = [s for s in run.specs if s.enabled and (check_ids is None or s.id in check_ids)]
+    tags: list[tuple[str, Column]] = []
+    shown: dict[str, list[str]] = {}
+    parts: list[DataFrame] = []
+    rows = run.current
+    for spec in chosen:
+        if spec.id in run.row_checks:
+            check = run.row_checks[spec.id]
+            if check.missing or check.error:
+                continue
+            tags.append((spec.id, check.scope & ~F.coalesce(check.ok, F.lit(False))))
+            columns = run.context_columns(spec)
+        elif spec.type == "unique" and run.keys is not None and (spec.field or run.keys.key) == run.keys.key:
+            rows, failed = _with_duplicates(rows, run.keys.duplicated(), run.keys.key)
+            tags.append((spec.id, failed))
+            columns = [run.keys.key]
+        elif (keys := run.failing_keys(spec)) is not None:
+            if len(keys.columns) == 1 and spec.type != "unique":
+                label = IDENTIFIER_LABELS.get(spec.type, keys.columns[0])
+                parts.append(keys.select(F.lit(spec.id).alias("check_id"), F.lit(label).alias("identifier_label"),
+                                         F.col(f"`{keys.columns[0]}`").cast("string").alias("identifier")))
+            else:
+                parts.append(keys.select(F.lit(spec.id).alias("check_id"), *(F.col(f"`{c}`") for c in keys.columns)))
+            continue
+        else:
+            continue
+        for c in columns:
+            shown.setdefault(c, []).append(spec.id)
+    if tags:
+        failed = F.array_compact(F.array(*(F.when(cond, F.lit(i)) for i, cond in tags)))
+        tagged = rows.select(F.explode(failed).alias("__check"), *(F.col(f"`{c}`") for c in shown))
+        parts.insert(0, tagged.select(F.col("__check").alias("check_id"), *(
+            F.when(F.col("__check").isin(ids), F.col(f"`{c}`")).alias(c) for c, ids in shown.items())))
+    if not parts:
+        return run.checks.sparkSession.createDataFrame([], "check_id string, identifier_label string, identifier string")
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    for c in ("identifier_label", "identifier"):
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("string"))
+    return out
+
+
+NULL_SALTS = 1024
+
+
+def _with_duplicates(rows: DataFrame, duplicated: DataFrame, key: str) -> tuple[DataFrame, Column]:
+    """``rows`` and the condition that their key is among ``duplicated``, the null key included. Rows without a key are
+    spread over ``NULL_SALTS`` join keys that match nothing, so they don't meet in one task."""
+    known = duplicated.where(F.col(key).isNotNull()).select(F.col(key).alias("__duplicated"))
+    nulls = duplicated.agg(F.count_if(F.col(key).isNull()).alias("n")).scalar()
+    k = F.col(f"`{key}`").cast("string")
+    salt = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in rows.columns)), F.lit(NULL_SALTS)).cast("string"))
+    joined = rows.join(known, (F.coalesce(k, salt) == F.col("__duplicated")) & k.isNotNull(), "left")
+    return joined, F.when(k.isNull(), nulls > 0).otherwise(F.col("__duplicated").isNotNull())
+
+
+def write_failing_rows(run: SuiteRun, path: str, fmt: str = "parquet") -> None:
+    """All failing rows in one write, a folder ``check=check_<id>`` a check."""
+    rows = failing_rows(run).withColumn("check", F.concat(F.lit("check_"), "check_id"))
+    w = rows.write.mode("overwrite").partitionBy("check")
+    (w.option("header", True).csv if fmt == "csv" else w.parquet)(path)

@@ -24,12 +24,13 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException, ParseException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from veracity.operators import keychecks as kc
 from veracity.operators import rowchecks as rc
 from veracity.plans import scoring
+from veracity.plans.keystate import ArrivedKeys
 from veracity.plans.spec import CheckSpec, Policy
 
 KEY_TYPES = {"unique", "missing_claims_from_prev_month", "total_paid_non_decreasing_vs_prev",
@@ -163,6 +164,7 @@ class SuiteRun:
     risk: DataFrame | None
     row_checks: dict[str, rc.RowCheck]
     fused: DataFrame | None = None
+    keys: ArrivedKeys | None = None
 
     def total_records(self) -> DataFrame:
         """One row ``n``: the current snapshot's row count, from the fused row-check aggregate."""
@@ -214,6 +216,9 @@ class SuiteRun:
                 return None
             ctx = [c for c in dict.fromkeys([CLAIM_KEY, key]) if c in cur.columns]
             return kc.failing_duplicates(cur, key).select(*ctx)
+        if t in PREV_TYPES and self.keys is not None and self.keys.previous is not None \
+                and (claim, paid) == (self.keys.key, self.keys.paid) and self.policy.paid_rule == "left":
+            return self.keys.missing() if t == "missing_claims_from_prev_month" else self.keys.decreased()
         if t in PREV_TYPES:
             needed = [claim] if t == "missing_claims_from_prev_month" else [claim, paid]
             if prev is None or any(c not in cur.columns or c not in prev.columns for c in needed):
@@ -288,8 +293,12 @@ def _key_result(spec: CheckSpec, policy: Policy, current: DataFrame, previous: D
 
 def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, previous: DataFrame | None = None,
               risk: DataFrame | None = None, closed_values: Sequence[str] | None = None,
-              as_of_year: int | None = None) -> SuiteRun:
-    """Plan a suite over a mapped current snapshot (and optional previous snapshot / reference table)."""
+              as_of_year: int | None = None, keys: ArrivedKeys | None = None, store_to: str | None = None) -> SuiteRun:
+    """Plan a suite over a mapped current snapshot (and optional previous snapshot / reference table).
+    ``keys``: the snapshot's key state and the previous one's, which serve the claim-keyed checks instead of the
+    claims; the previous snapshot itself is then only needed by checks on other keys or on pairs of rows.
+    ``store_to``: the current snapshot is written there as Parquet (a new folder) and the row checks are counted by that
+    very write; everything else reads the stored snapshot."""
     spark = current.sparkSession
     closed_values = list(closed_values or policy.closed_values)
     as_of_year = as_of_year or policy.as_of_year or _dt.date.today().year
@@ -316,7 +325,11 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
             aggs.append(F.count_if(chk.scope).alias(f"t{seq}"))
             aggs.append(F.count_if(chk.scope & F.coalesce(chk.ok, F.lit(False))).alias(f"p{seq}"))
 
-    fused = current.agg(*aggs)
+    if store_to is None:
+        fused = current.agg(*aggs)
+    else:
+        fused = _observed_write(current, aggs, store_to)
+        current = spark.read.schema(current.schema).parquet(store_to)
     n_rows = fused.select("n")
     parts: list[DataFrame] = []
 
@@ -335,7 +348,7 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
     if structs:
         parts.append(_rows(fused, structs))
 
-    profiled = _profile_part(planned, row_slots, policy, current, previous)
+    profiled = _profile_part(planned, row_slots, policy, current, previous, keys)
     if profiled is not None:
         part, done = profiled
         parts.append(part)
@@ -361,20 +374,30 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
     checks = reduce(DataFrame.unionByName, parts)
     checks = checks.withColumn("status", scoring.check_status(F.col("points_earned"), F.col("points_possible")))
     return SuiteRun(checks.select(*RESULT_COLUMNS), policy, list(specs), current, previous, risk,
-                    {spec.id: chk for spec, chk in row_slots.values()}, fused)
+                    {spec.id: chk for spec, chk in row_slots.values()}, fused, keys)
+
+
+def _observed_write(df: DataFrame, aggs: list[Column], path: str) -> DataFrame:
+    """Writes ``df`` and returns, as one row, the counts that the write observed on the way."""
+    seen = Observation()
+    df.observe(seen, *aggs).write.parquet(path)
+    counts = {k: int(v) for k, v in seen.get.items()}
+    return df.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
 
 
 CLAIM_KEY, PAID = "claim_number", "total_paid"
 
 
-def _profile_part(planned, row_slots, policy: Policy, current: DataFrame,
-                  previous: DataFrame | None) -> tuple[DataFrame, set[int]] | None:
+def _profile_part(planned, row_slots, policy: Policy, current: DataFrame, previous: DataFrame | None,
+                  arrived: ArrivedKeys | None = None) -> tuple[DataFrame, set[int]] | None:
     """Serve the claim-keyed checks (unique, missing, paid) from one key profile: one grouping
-    per snapshot on the claim key instead of one shuffle per check."""
+    per snapshot on the claim key instead of one shuffle per check, or the stored key states."""
     if CLAIM_KEY not in current.columns:
         return None
-    has_prev_key = previous is not None and CLAIM_KEY in previous.columns
-    has_paid = has_prev_key and PAID in current.columns and PAID in previous.columns
+    if arrived is not None and (arrived.key, arrived.paid) != (CLAIM_KEY, PAID):
+        arrived = None
+    has_prev_key = previous is not None and CLAIM_KEY in previous.columns if arrived is None else arrived.previous is not None
+    has_paid = has_prev_key and PAID in current.columns and (arrived is not None or PAID in previous.columns)
     roles: dict[int, tuple[str, CheckSpec]] = {}
     for seq, spec in planned:
         if seq in row_slots:
@@ -390,7 +413,7 @@ def _profile_part(planned, row_slots, policy: Policy, current: DataFrame,
     if not roles:
         return None
     kinds = {r for r, _ in roles.values()}
-    prof = kc.key_profile(current, previous if kinds & {"m", "p"} else None, CLAIM_KEY,
+    prof = arrived.profile() if arrived is not None else kc.key_profile(current, previous if kinds & {"m", "p"} else None, CLAIM_KEY,
                           PAID if "p" in kinds else None, policy.unique_keep)
     structs = []
     for seq, (role, spec) in roles.items():

@@ -142,3 +142,18 @@ def raw_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN l_orderkey % 29 = 0 THEN '2024-13-45' WHEN l_orderkey % 31 = 0 THEN NULL "
         "ELSE date_format(l_shipdate, 'MM/dd/yyyy') END AS notification_raw",
     )
+
+
+def dates_as_entered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim dates as people type them: day-first with some ISO, month-first with some day-first, a column whose days
+    are all below 13, ISO with time, and one that holds no date."""
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    return li.selectExpr(
+        "concat('C', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS claim_number",
+        "CASE WHEN l_partkey % 61 = 0 THEN 'bad' WHEN l_partkey % 47 = 0 THEN NULL WHEN l_partkey % 43 = 0 THEN ' ' "
+        "WHEN l_partkey % 5 = 0 THEN date_format(l_shipdate, 'yyyy-MM-dd') ELSE date_format(l_shipdate, 'dd/MM/yyyy') END AS accident_date",
+        "CASE WHEN l_suppkey % 4 = 0 THEN date_format(l_shipdate, 'dd/MM/yyyy') "
+        "ELSE concat(' ', date_format(l_shipdate, 'MM/dd/yyyy')) END AS uw_date",
+        "date_format(date_trunc('MONTH', l_shipdate) + make_interval(0, 0, 0, CAST(l_linenumber AS INT)), 'dd/MM/yyyy') AS policy_start_date",
+        "date_format(l_shipdate, 'yyyy-MM-dd HH:mm:ss') AS policy_end_date",
+        "CASE WHEN l_partkey % 2 = 0 THEN 'soon' END AS bdx_month")
