@@ -240,3 +240,19 @@ def test_custom_functions_by_name(spark):
     assert (rows["0"].total, rows["0"].passed, rows["0"].error) == (2, 1, None)
     assert rows["1"].error and rows["2"].error
     assert "PythonUDF" not in plan_text(run.checks) and "veracity_positive" not in plan_text(run.checks)
+
+
+def test_a_month_from_arrival_to_stored_run(spark, folder):
+    from veracity.plans.arrival import Arrivals
+    arrivals = Arrivals(spark, f"{folder}/a", buckets=4)
+    feb = fx.claims_snapshot(spark, SF, True)
+    for month, quarter, df in (("1998-01", "q1", fx.claims_snapshot(spark, SF, False)), ("1998-02", "q2", feb.limit(10)), ("1998-02", "q2", feb)):
+        run = arrivals.receive(month, df, default_suite(), POLICIES["v5"], quarter, "2024-01-01 00:00:00", None, ["Closed"], 2002, f"{folder}/f-{month}")
+    usual = run_suite(default_suite(), POLICIES["v5"], feb, fx.claims_snapshot(spark, SF, False), None, ["Closed"], 2002)
+    assert sorted(map(str, run.checks.collect())) == sorted(map(str, usual.checks.collect()))
+    stored = {r.check_id: r.failed_count for r in arrivals.runs.read("dq_check_results", "q2").collect()}
+    assert stored == {r.check_id: r.failed for r in usual.checks.collect()}
+    assert [(r.snapshot, r.record_count, r.previous_snapshot) for r in arrivals.snapshots().orderBy("snapshot").collect()] == \
+        [("1998-01", fx.claims_snapshot(spark, SF, False).count(), None), ("1998-02", feb.count(), "1998-01")]
+    assert arrivals.claims("1998-02").schema == feb.schema and arrivals.claims("1998-02").count() == feb.count()
+    assert spark.read.parquet(f"{folder}/f-1998-02").count() == rp.failing_rows(usual).count()

@@ -4,16 +4,18 @@ file sets, metadata counts and checks counted while loading."""
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity import catalog as base
 from veracity import oracle as O
-from veracity.catalog import AS_OF_YEAR, CLAIM_COLS, CLAIM_SQL_COLS, SUITE_COLS, register, ts_text
+from veracity.catalog import AS_OF_YEAR, CLAIM_COLS, CLAIM_SQL_COLS, RUN_TS, SUITE_COLS, register, ts_text
 from veracity.functions import elect
 from veracity.operators import keychecks as kc
 from veracity.plans import reports as rp
+from veracity.plans.arrival import Arrivals
 from veracity.plans.config import specs_from_config
 from veracity.plans.keystate import ArrivedKeys, KeyStates
 from veracity.plans.runstore import RunStore
@@ -150,6 +152,28 @@ def q_runs_existing(spark, sf):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# ---- a month from arrival to stored run ---------------------------------------------------------------------------
+
+def received(spark, sf) -> Arrivals:
+    arrivals = Arrivals(spark, fresh_folder(spark, "arrivals"), buckets=8)
+    for month, quarter, current in ((fx.PREVIOUS_BDX, "1998_01", False), (fx.CURRENT_BDX, "1998_02", True)):
+        arrivals.receive(month, fx.claims_snapshot(spark, sf, current), default_suite(include_risk=True), POLICIES["v5"], quarter, RUN_TS,
+                         fx.risk_table(spark, sf), ["Closed"], AS_OF_YEAR)
+    return arrivals
+
+
+@register("arrival_results", base.REGISTRY["dq_check_results"][1].replace("'2024_Q1'", "'1998_02'"))
+def q_arrival_results(spark, sf):
+    return ts_text(received(spark, sf).runs.read("dq_check_results", "1998_02"))
+
+
+@register("arrival_snapshots", O.with_fixtures(
+    f"select {O.ts_text('bdx_month')} as snapshot, record_count, {O.ts_text('lag(bdx_month) over (order by bdx_month)')} as previous_snapshot "
+    f"from (select bdx_month, count(*) as record_count from claims_hist group by bdx_month)", "claims_hist"))
+def q_arrival_snapshots(spark, sf):
+    return received(spark, sf).snapshots()
+
+
 # ---- J9: failing rows of all checks in one pass ---------------------------------------------------------------
 
 _SHOWN = [c for c in CLAIM_COLS if any(c in cols or "check_field" in cols for cols in CONTEXT_COLUMNS.values())]
@@ -268,6 +292,21 @@ def file_sets(spark, sf) -> list[tuple[str, str]]:
     return out
 
 
+@register("snap_files", O.with_fixtures(
+    f"select {O.ts_text('bdx_month')} as snapshot, count(*) as n_claims, count(distinct policy_number) as n_policies from claims_hist "
+    f"group by 1", "claims_hist"))
+def q_snap_files(spark, sf):
+    """An upload whose snapshot column is found by its name and holds text (S8 in file mode): each listed month is loaded by its value."""
+    path = fresh_folder(spark, "upload")
+    history = ts_text(fx.claims_history(spark, sf)).select("claim_number", "policy_number", F.col("bdx_month").alias("BDX Month"), "accident_date")
+    history.write.option("header", True).options(**_KEEP_SPACES).csv(path)
+    upload = files.read_files(spark, path, "csv", "claim_number string, policy_number string, `BDX Month` string, accident_date string")
+    months = [str(r.snapshot) for r in files.list_file_snapshots(upload).collect()]                # a row a month
+    parts = [files.load_file_snapshot(upload, m).agg(F.lit(m).alias("snapshot"), F.count(F.lit(1)).alias("n_claims"),
+                                                     F.count_distinct("policy_number").alias("n_policies")) for m in months]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @register("files_united", O.with_fixtures(f"select {CLAIM_SQL_COLS} from claims_cur", "claims_cur"))
 def q_files_united(spark, sf):
     return ts_text(files.read_file_sets(spark, file_sets(spark, sf), options={"csv": _KEEP_SPACES})).select(*CLAIM_COLS)

@@ -19,7 +19,7 @@ write or checkpoint the results.
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -293,10 +293,12 @@ def _key_result(spec: CheckSpec, policy: Policy, current: DataFrame, previous: D
 
 def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, previous: DataFrame | None = None,
               risk: DataFrame | None = None, closed_values: Sequence[str] | None = None,
-              as_of_year: int | None = None, keys: ArrivedKeys | None = None, store_to: str | None = None) -> SuiteRun:
+              as_of_year: int | None = None, keys: ArrivedKeys | Callable[[DataFrame], ArrivedKeys] | None = None,
+              store_to: str | None = None) -> SuiteRun:
     """Plan a suite over a mapped current snapshot (and optional previous snapshot / reference table).
     ``keys``: the snapshot's key state and the previous one's, which serve the claim-keyed checks instead of the
-    claims; the previous snapshot itself is then only needed by checks on other keys or on pairs of rows.
+    claims; the previous snapshot itself is then only needed by checks on other keys or on pairs of rows. Or a
+    function that gives them of the current snapshot, once that is stored.
     ``store_to``: the current snapshot is written there as Parquet (a new folder) and the row checks are counted by that
     very write; everything else reads the stored snapshot."""
     spark = current.sparkSession
@@ -330,6 +332,8 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
     else:
         fused = _observed_write(current, aggs, store_to)
         current = spark.read.schema(current.schema).parquet(store_to)
+    if callable(keys):
+        keys = keys(current)
     n_rows = fused.select("n")
     parts: list[DataFrame] = []
 
