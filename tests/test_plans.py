@@ -71,3 +71,22 @@ def test_bucketed_history_needs_no_shuffle_for_the_key_profile(spark):
     ref = kc.key_profile(fx.claims_snapshot(spark, SF, True), fx.claims_snapshot(spark, SF, False),
                          "claim_number", "total_paid")
     assert tuple(prof.collect()[0]) == tuple(ref.collect()[0])
+
+
+def test_loss_ratio_filters_claims_by_reference_keys(spark):
+    from veracity.operators import keychecks as kc
+    from veracity.session import filter_joins_at_runtime
+    root = tempfile.mkdtemp(prefix="run-plans-", dir="/tmp")
+    fx.claims_root(spark, SF).write.parquet(f"{root}/claims")
+    fx.risk_table(spark, SF).write.parquet(f"{root}/risk")
+    own = spark.newSession()
+    claims, risk = own.read.parquet(f"{root}/claims"), own.read.parquet(f"{root}/risk")
+    expected = kc.loss_ratio(claims, risk).first()
+    own.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")             # as with a reference table of any size
+    filter_joins_at_runtime(own, "10MB", "1")
+    filtered = kc.loss_ratio(claims, risk)
+    plan = plan_text(filtered)
+    assert "might_contain" in plan and "bloom_filter_agg" in plan
+    below = plan[plan.index("partial_sum"):]                               # the filter lies under the first aggregate of the claims
+    assert "might_contain" in below[:below.index("FileScan")]
+    assert filtered.first() == expected

@@ -629,16 +629,17 @@ REGISTRY["failed_records_v2"] = (
 
 
 def stored_scores(spark, sf):
-    """Three runs appended to a fresh table and read back: January, February, and February run again
+    """Three runs appended to a fresh table at once and read back: January, February, and February run again
     without a reference table, later."""
     from veracity.session import checkpoint_dir
     path = f"{checkpoint_dir(spark).rstrip('/')}/veracity-scores-{uuid.uuid4().hex}"
     jan = run_suite(default_suite(), POLICIES["v5"], _prev(spark, sf), None, None, ["Closed"], AS_OF_YEAR)
     feb = run_suite(default_suite(), POLICIES["v4"], _cur(spark, sf), _prev(spark, sf), None, ["Closed"], AS_OF_YEAR)
     again = run_suite(default_suite(), POLICIES["v5"], _cur(spark, sf), _prev(spark, sf), None, ["Closed"], AS_OF_YEAR)
-    for run, quarter, stamp in ((jan, "1998_01", "2024-01-01 00:00:00"), (again, "1998_02", "2024-02-02 00:00:00"),
-                                (feb, "1998_02", "2024-02-01 00:00:00")):
-        rp.append(_scores_of(run, quarter, stamp), path)
+    rows = [_scores_of(run, quarter, stamp) for run, quarter, stamp in
+            ((jan, "1998_01", "2024-01-01 00:00:00"), (again, "1998_02", "2024-02-02 00:00:00"), (feb, "1998_02", "2024-02-01 00:00:00"))]
+    # one plan and one append: the runs of one snapshot share the exchanges of its claim keys
+    rp.append(rows[0].unionByName(rows[1]).unionByName(rows[2]), path)
     return spark.read.parquet(path)
 
 

@@ -265,7 +265,9 @@ def loss_ratio_table(claims: DataFrame, risk: DataFrame, key: str = "policy_numb
     agg = (claims.select(F.col(key).cast("string").alias("k"), _num(claims, incurred).alias("v"))
                  .where(F.col("k").isNotNull())
                  .groupBy("k").agg(F.coalesce(F.sum("v"), F.lit(0.0)).alias("total_incurred")))
-    ref = risk.select(F.col(ref_key).cast("string").alias("k"), _num(risk, premium).alias("gwp"))
+    # every key is at least '': the condition drops none, and tells the optimiser that this side restricts the
+    # other, so it may filter the claims by a Bloom filter of these keys before they are grouped and shuffled
+    ref = risk.select(F.col(ref_key).cast("string").alias("k"), _num(risk, premium).alias("gwp")).where(F.col("k") >= "")
     joined = agg.join(ref, "k", "inner")
     ratio = F.try_divide(F.col("total_incurred"), F.col("gwp"))
     return (joined.withColumn("loss_ratio", ratio)

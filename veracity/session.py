@@ -52,3 +52,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(configured)
         current = sc.getCheckpointDir()
     return configured or current
+
+
+def filter_joins_at_runtime(spark: SparkSession, reference_bytes: str = "1GB", scanned_bytes: str = "10GB", keys: int = 100_000_000) -> None:
+    """Has Spark filter the large side of shuffle joins by a Bloom filter over the keys of the other side, where that side is filtered
+    and at most ``reference_bytes`` and the large side's scans are at least ``scanned_bytes``. The loss-ratio check (J8) then
+    drops claims of policies that the reference table lacks before they are grouped and shuffled. ``keys`` bounds the filter (about
+    one byte a key)."""
+    name = "spark.sql.optimizer.runtime.bloomFilter"
+    for key, value in (("enabled", "true"), ("creationSideThreshold", reference_bytes), ("applicationSideScanSizeThreshold", scanned_bytes),
+                       ("maxNumItems", str(keys)), ("maxNumBits", str(8 * keys))):
+        spark.conf.set(f"{name}.{key}", value)
