@@ -21,12 +21,9 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _rng = np.random.default_rng(20240229)
 _BYTES = _rng.integers(1, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTES[_SPACE] = 0
 _LOWER = _BYTES.copy()
 _LOWER[ord("A"):ord("Z") + 1] = _BYTES[ord("a"):ord("z") + 1]
-_POWERS = np.empty(1 << 16, np.uint64)
-_POWERS[0] = 1
-np.multiply.accumulate(np.full(_POWERS.size - 1, 0x9E3779B97F4A7C15 | 1, np.uint64), out=_POWERS[1:])
+_PLACE = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = _rng.integers(1, 2**63, 4096, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -66,17 +63,21 @@ class Words:
         return len(self.starts)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
-        """A 64-bit hash of each word's bytes (``lower``: A-Z counted as a-z)."""
+        """A 64-bit hash of each word's bytes (``lower``: A-Z counted as a-z): the sum of a mixed value of each
+        byte and its place, however far it is. A polynomial would give regular words equal sums."""
         if not len(self.starts):
             return np.empty(0, np.uint64)
-        lo, n = self.starts[0], len(self.data)
-        gaps = np.diff(self.starts, append=n)
-        pos = np.arange(lo, n, dtype=np.int64)
-        pos -= np.repeat(self.starts, gaps)
-        pos &= len(_POWERS) - 1
-        value = (_LOWER if lower else _BYTES)[self.data[lo:]]
-        value *= _POWERS[pos]
-        sums = np.add.reduceat(value, self.starts - lo)
+        lo, hi = self.starts[0], self.ends[-1]
+        gaps = np.diff(self.starts, append=hi)
+        value = np.arange(lo, hi, dtype=np.uint64)
+        value -= np.repeat(self.starts.astype(np.uint64), gaps)
+        value *= _PLACE
+        value += (_LOWER if lower else _BYTES)[self.data[lo:hi]]
+        value ^= value >> np.uint64(32)
+        value *= np.uint64(0xD6E8FEB86659FD93)
+        value ^= value >> np.uint64(29)
+        borders = np.stack([self.starts, self.ends], 1).ravel()[:-1] - lo       # each word, then what follows it
+        sums = np.add.reduceat(value, borders)[::2]
         return mix64(sums + (self.ends - self.starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def docs(self) -> np.ndarray:
