@@ -34,6 +34,8 @@ from veracity.llm.scratch import small_batches
 
 # The split pattern of byte-level BPE files.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+# The same pattern over given classes of letters, numbers and white space.
+EXACT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 SHORT_WORD = 32  # bytes up to which pairs are scanned rather than kept in a heap
 NEVER = 1 << 62
 CACHED_WORDS = 500_000  # in each of two generations
@@ -195,6 +197,31 @@ class Bpe:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _ranges(chars: str) -> str:
+    """Characters in ascending order as ranges of a character class."""
+    points = np.array([ord(c) for c in chars])
+    cut = np.flatnonzero(np.diff(points) > 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(points[np.append(0, cut + 1)], points[np.append(cut, -1)]))
+
+
+@lru_cache(maxsize=1)
+def exact_split() -> tuple[re.Pattern, re.Pattern]:
+    """The tokenizers library has a Unicode version of its own. The split pattern with its letters, numbers and white space, and
+    a pattern for the code points that this process's modules class otherwise; both found by asking the library, once a process."""
+    from tokenizers import Regex, pre_tokenizers
+    # planes 4 to 13, 15 and 16 have no letters, numbers or spaces
+    every = "".join(chr(c) for c in (*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE1000)))
+    classes, odd = {}, set()
+    for name, own in (("L", r"\p{L}"), ("N", r"\p{N}"), ("S", r"\s")):
+        runs = pre_tokenizers.Split(Regex(f"{own}+"), "removed", invert=True).pre_tokenize_str(every)
+        theirs = "".join(run for run, _ in runs)
+        classes[name] = _ranges(theirs)
+        odd |= set(theirs) ^ set("".join(regex.findall(f"{own}+", every)))
+        odd |= set(theirs) ^ set(filter(str.isalpha, every)) if name == "L" else set()
+        odd |= set(theirs) ^ set("".join(re.findall(r"\s+", every))) if name == "S" else set()
+    return regex.compile(EXACT.format(**classes)), re.compile(f"[{_ranges(''.join(sorted(odd)))}]" if odd else r"(?!)")
+
+
 class Encoder:
     """Encodes whole texts; remembers pieces between texts, within a bound."""
 
@@ -204,8 +231,11 @@ class Encoder:
 
     def __init__(self, bpe: Bpe) -> None:
         self.bpe, self.split, self.known, self.older = bpe, regex.compile(PATTERN), {}, {}
+        self.exact, self.odd = exact_split()
 
     def _pieces(self, text: str) -> list[str]:
+        if not text.isascii() and self.odd.search(text):
+            return self.exact.findall(text)
         if self._run.search(text):
             return self.split.findall(text)
         first, *rest = text.split(" ")
@@ -218,7 +248,10 @@ class Encoder:
         split = self.split.findall
         words, counts = [], []
         for p in pieces:
-            found = [p] if p[1:].isalpha() and p[0] == " " else split(p)
+            if not p.isascii() and self.odd.search(p):
+                found = self.exact.findall(p)
+            else:
+                found = [p] if p[1:].isalpha() and p[0] == " " else split(p)
             counts.append(len(found))
             words += found
         ids = self.bpe.encode_words([w.encode() for w in words])
