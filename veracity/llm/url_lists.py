@@ -42,12 +42,18 @@ def keys(url: F.Column) -> F.Column:
         .otherwise(F.array_distinct(F.concat(parents, prefixes)))
 
 
+def folded(pattern: F.Column) -> F.Column:
+    """A pattern with its host in lower case; a path keeps its case, as in the keys of captures."""
+    name = F.substring_index(pattern, "/", 1)
+    return F.concat(F.lower(name), F.substring(pattern, F.length(name) + 1, F.length(pattern)))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, allow, key, since, until): until is the day of the pattern's next entry, or null."""
     complete = entries.where("list is not null and kind is not null and pattern is not null and day is not null "
                              "and action in ('add', 'remove')")
     by_day = complete.groupBy("list", F.coalesce("allow", F.lit(False)).alias("allow"),
-                              F.concat_ws(":", "kind", F.lower("pattern")).alias("key"), F.col("day").cast("date").alias("since")) \
+                              F.concat_ws(":", "kind", folded(F.col("pattern"))).alias("key"), F.col("day").cast("date").alias("since")) \
         .agg(F.max("action").alias("action"))
     later = Window.partitionBy("list", "allow", "key").orderBy("since")
     return by_day.withColumn("until", F.lead("since").over(later)).where("action = 'add'").drop("action")
