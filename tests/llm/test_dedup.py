@@ -4,7 +4,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from veracity.llm import digest_index, hyperminhash, passages, suffixes
 from veracity.llm.components import components
@@ -59,6 +61,58 @@ def test_digest_index_persists(spark, odd_docs):
     assert {k: stored[k] for k in before} == before and len(stored) == len(before) + 1
 
 
+def test_digest_index_keeps_its_bucket_count(spark):
+    path = new_path(spark, "index")
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    assert digest_index.deduplicate(docs, path, 4).where("kept").count() == 200
+    other = spark.newSession()
+    again = digest_index.DigestIndex(other, path, 8)
+    assert again.buckets == 4
+    assert again.deduplicate(other.createDataFrame(docs.collect(), docs.schema)).where("kept").count() == 0
+    assert again.read().count() == 200 and not [t for t in spark.catalog.listTables() if t.name.startswith("veracity_digests")]
+    plan = again.absent(docs.select(F.unhex(F.sha2("text", 256)).alias("digest"), "doc_id"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1        # of the candidates, not of the index
+
+
+def test_digest_index_gives_a_repeated_batch_the_same_result(spark):
+    path = new_path(spark, "index")
+    index = digest_index.DigestIndex(spark, path, 4)
+
+    def kept(batch, ids):
+        docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+        return sorted(r.doc_id for r in index.deduplicate(docs, batch=batch).where("kept").collect())
+    assert kept("a", range(50)) == list(range(50))
+    for _ in range(2):
+        assert kept("b", range(40, 60)) == list(range(50, 60))
+    assert kept("a", range(50)) == list(range(50))                       # run again after another batch
+    for n in range(digest_index.MOST_PARTS + 1):
+        assert kept(f"c{n}", [100 + n, 0]) == [100 + n]
+    assert len(index.parts()) <= digest_index.MOST_PARTS and index.read().count() == 60 + digest_index.MOST_PARTS + 1
+    assert kept("a", range(50)) == list(range(50)) and kept("d", range(50)) == []
+
+
+def test_regular_words_have_hashes_of_their_own(spark):
+    from veracity.llm.words import Words
+    turns = [bin(i).count("1") & 1 for i in range(1024)]
+    one, two = ("".join(pair[t] for t in turns) for pair in ("ab", "ba"))      # Thue-Morse and its complement
+    far = ["c" * 5 + x + "c" * 65_535 + y + "c" * 9 for x, y in ("ab", "ba")]
+    data = " ".join([one, two, *far]).encode()
+    words = Words(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(set(words.hashes().tolist())) == len(set(words.hashes(lower=True).tolist())) == 4
+    rest = [f"w{i}" for i in range(40)]
+    texts = [" ".join([x, *rest[:34]]) for x in (one, two)] + [" ".join([x] * 6) for x in (one, two, *far)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    near = {r.doc_id: r.component_id for r in hyperminhash.near_duplicates(docs.where("doc_id > 1"), hyperminhash.Settings(shingle=4)).collect()}
+    assert near == {i: i for i in range(2, 6)}
+    assert all(r.n_removed == 0 for r in passages.summary(docs).collect())
+
+
+def test_a_users_own_row_id_stays(spark):
+    docs = spark.createDataFrame([(1, "a", 7), (2, "a", 8), (3, "b", 9)], "doc_id long, text string, __row_id int")
+    kept = digest_index.without_copies(docs)
+    assert kept.columns == docs.columns and sorted(r["__row_id"] for r in kept.collect()) == [7, 9]
+
+
 def test_exact_dedup_runs_no_python(odd_docs):
     plan = digest_index.deduplicate(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)

@@ -70,6 +70,9 @@ def test_url_lists_against_brute_force(spark):
     assert got == [(1, False, ""), (2, True, "bad"), (3, True, "bad"), (4, False, ""), (5, True, "bad"), (6, False, "bad,good"),
                    (7, True, "legal"), (8, False, ""), (9, False, ""), (10, False, ""), (11, False, ""), (12, False, ""),
                    (13, False, ""), (13, True, "bad")]
+    cased = spark.createDataFrame([("shop", False, "prefix", "EX.com/Products", day(0), "add")], "list string, allow boolean, kind string, pattern string, day date, action string")
+    asked = spark.createDataFrame([(1, "http://ex.com/Products/a", day(1)), (2, "http://Ex.com/products/a", day(1))], "id long, url string, day date")
+    assert {r.id: r.blocked for r in url_lists.judge(asked, cased).collect()} == {1: True, 2: False}
     none = spark.createDataFrame([], "list string, allow boolean, kind string, pattern string, day date, action string")
     assert not any(r.blocked for r in url_lists.judge(
         spark.createDataFrame(captures, "id long, url string, day date"), none).collect())

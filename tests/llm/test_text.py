@@ -42,6 +42,18 @@ def test_bpe_decodes_any_ids(byte_tokenizer):
         assert table.decode(ids) == byte_tokenizer.decode(ids, skip_special_tokens=False)
 
 
+def test_bpe_splits_every_code_point_like_the_library(byte_tokenizer):
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}'ll" for c in every[i:i + 200]) for i in range(0, len(every), 200)]
+    enc = bpe.encoder(P.path("byte_bpe_50k.json"))
+    mine = [ids.tolist() for _, run in bpe.text_slices(texts) for ids in enc.encode(run)]
+    assert mine == [r.ids for r in byte_tokenizer.encode_batch(texts, add_special_tokens=False)]
+    some = ["\u0558", "\u058b", "\U00010940", "\U000187f8", "\u180e", "\x1c", "\u200b", "\u2028"]
+    texts = [f"x {c}{c} 1{c}  {c}\n{c} 's{c}'s" for c in some]
+    mine = [ids.tolist() for _, run in bpe.text_slices(texts) for ids in enc.encode(run)]
+    assert mine == [r.ids for r in byte_tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_bpe_speculation_needs_the_check():
     """Greedy proposals do fail, and the check finds exactly the failing words."""
     table = bpe.encoder(P.path("byte_bpe_50k.json")).bpe

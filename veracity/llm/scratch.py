@@ -66,7 +66,7 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
-ROW_ID = "__row_id"
+ROW_ID = "__veracity_row_id"
 BROADCAST_IDS = 1_000_000
 
 
@@ -82,10 +82,12 @@ def with_unique_ids(docs: DataFrame) -> tuple[DataFrame, str]:
 def without(docs: DataFrame, id_col: str, dropped: DataFrame) -> DataFrame:
     """``docs`` without the rows whose id is in ``dropped`` (one column, long). Ids are broadcast up to
     ``BROADCAST_IDS`` of them, else both sides are shuffled."""
-    ids = Staged(dropped.toDF("__gone"), "dropped").df
+    gone = "__veracity_gone"
+    ids = Staged(dropped.toDF(gone), "dropped").df
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    return docs.join(ids, docs[id_col].cast("long") == F.col("__gone"), "left_anti").drop(ROW_ID)
+    kept = docs.join(ids, docs[id_col].cast("long") == F.col(gone), "left_anti")
+    return kept.drop(ROW_ID) if id_col == ROW_ID else kept
 
 
 HOT = 1024
