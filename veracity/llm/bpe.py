@@ -232,9 +232,22 @@ class Encoder:
     def __init__(self, bpe: Bpe) -> None:
         self.bpe, self.split, self.known, self.older = bpe, regex.compile(PATTERN), {}, {}
         self.exact, self.odd = exact_split()
+        self.latin = not self.odd.search("".join(map(chr, range(0x80, 0x100))))
+
+    def _is_odd(self, text: str) -> bool:
+        """Whether a text has a code point that this process's modules class unlike the library."""
+        if text.isascii():
+            return False
+        if self.latin:
+            try:
+                text.encode("latin-1")
+                return False
+            except UnicodeEncodeError:
+                pass
+        return self.odd.search(text) is not None
 
     def _pieces(self, text: str) -> list[str]:
-        if not text.isascii() and self.odd.search(text):
+        if self._is_odd(text):
             return self.exact.findall(text)
         if self._run.search(text):
             return self.split.findall(text)
@@ -248,7 +261,7 @@ class Encoder:
         split = self.split.findall
         words, counts = [], []
         for p in pieces:
-            if not p.isascii() and self.odd.search(p):
+            if self._is_odd(p):
                 found = self.exact.findall(p)
             else:
                 found = [p] if p[1:].isalpha() and p[0] == " " else split(p)
