@@ -5,11 +5,12 @@ words, whose ``seed`` words hash smallest. Equal passages have minimisers at equ
 passage of at least ``least`` words that occurs twice has suffixes in the array whose beginnings agree.
 
 1. Suffixes whose first words (those that a repeat's suffix must share) occur once are dropped.
-2. The rest are sorted by their next ``reach`` words, then by the words before them, nearest first:
-   range partitions, sorted within. Words are ordered by hash, which is as good an order as any.
+2. The rest are sorted by their next ``least`` words, then by the ``least - seed`` words before them, nearest
+   first: range partitions, sorted within. No window whose minimiser they are goes further. Words are ordered
+   by hash, which is as good an order as any. Contexts aren't written: range partitioning reads them twice.
 3. Suffixes with the same first ``seed`` words follow each other. Two are compared, to the right by
    common prefix, then to the left: a match of at least ``least`` words gives the span of the maximal
-   repeat around them, as far as ``reach`` words on either side.
+   repeat around them, as far as their contexts go.
 4. Of three or more, the one that agrees most in both directions need not be a neighbour, so all windows
    of ``least`` words around the minimiser are counted by hash. So they are where a group may go on in
    another partition or is larger than ``held``: then each partition gives each distinct window once,
@@ -53,13 +54,17 @@ _TURNS = mix64(np.arange(1, 4097, dtype=np.uint64))
 class Settings:
     least: int = 50   # words of a reported repeat
     seed: int = 20
-    reach: int = 64   # words compared on either side of a suffix
     held: int = 20_000  # suffixes of one minimiser whose windows are counted at once
 
+    @property
+    def back(self) -> int:
+        """Words before a minimiser that a window around it may have."""
+        return self.least - self.seed
+
 
 def contexts(texts: DataFrame, s: Settings) -> DataFrame:
-    """(after, before, row, place) of the suffixes at the rows' places, with up to ``reach`` words on
-    either side as big-endian 32-bit hashes (``before`` nearest first)."""
+    """(after, before, row, place) of the suffixes at the rows' places, with up to ``least`` words from there
+    on and ``back`` words before as big-endian 32-bit hashes (``before`` nearest first)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(3)):
@@ -74,8 +79,8 @@ def contexts(texts: DataFrame, s: Settings) -> DataFrame:
                     for p in wanted[i]:
                         rows.append(row)
                         places.append(p)
-                        after.append(letters[a + p:min(b, a + p + s.reach)].tobytes())
-                        before.append(letters[max(a, a + p - s.reach):a + p][::-1].tobytes())
+                        after.append(letters[a + p:min(b, a + p + s.least)].tobytes())
+                        before.append(letters[max(a, a + p - s.back):a + p][::-1].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(after, pa.binary()), pa.array(before, pa.binary()),
                                                   pa.array(rows, pa.int64()), pa.array(places, pa.int32())],
                                                  ["after", "before", "row", "place"])
@@ -103,7 +108,7 @@ def _spans(rows: list[tuple], s: Settings) -> list[tuple[int, int, int]]:
 def window_hashes(after: list[bytes], before: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix the hashes of the windows that start 0, 1, ... ``least - seed`` words before it, and
     which of them lie within the document."""
-    left = s.least - s.seed
+    left = s.back
 
     def sums(contexts: list[bytes], n: int, turn: int) -> np.ndarray:
         letters = np.frombuffer(b"".join([c[:4 * n].ljust(4 * n, b"\0") for c in contexts]), np.uint32).reshape(len(contexts), n)
@@ -234,12 +239,10 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
     rows = Staged(scanned(docs, Anchors(s.least, s.seed)), "suffixes").df
     of_text, reps = representatives(rows)
     repeated = Staged(repeated_places(reps), "places")
-    array = Staged(contexts(with_texts(docs, repeated.df), s), "suffixes")
-    repeated.drop()
-    ordered = array.df.repartitionByRange(parallelism(spark), "after", "before", "row", "place") \
+    ordered = contexts(with_texts(docs, repeated.df), s).repartitionByRange(parallelism(spark), "after", "before", "row", "place") \
         .sortWithinPartitions("after", "before", "row", "place")
     found = Staged(group_spans(ordered, s), "spans")
-    array.drop()
+    repeated.drop()
 
     spans = found.df.where("window is null").select("row", "start", "end").union(windows_across(found.df, s))
 
