@@ -40,6 +40,7 @@ from veracity.llm.words import Words, grams, mix64, prefix_hash, slices
 BROADCAST_ROWS = 500_000   # documents whose places are broadcast; beyond that texts are shuffled
 BROADCAST_PLACES = 8_000_000
 _TURNS = mix64(np.arange(1, 4097, dtype=np.uint64)) | np.uint64(1)
+KEYS = ("row", "doc_id", "text_hash", "digest")
 _DIGEST, _KEPT = "__text_digest", "__kept_text"
 
 
@@ -93,7 +94,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def scanned(docs: DataFrame, s: Settings) -> DataFrame:
-    """For each row: row, doc_id, digest, n_words, whole_sha256 and its distinct anchors (hash, word)."""
+    """For each row: row, doc_id, text_hash, digest, n_words, whole_sha256 and its distinct anchors (hash, word)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(2)):
@@ -104,26 +105,28 @@ def scanned(docs: DataFrame, s: Settings) -> DataFrame:
                 cut = np.searchsorted(at, words.first)
                 found = [at[x:y] for x, y in zip(cut, cut[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
+                    [*(batch.column(c).slice(lo, hi - lo) for c in (0, 1, 3)),
                      pa.array([digest(hashes[x:y]) for x, y in zip(words.first, words.first[1:])], pa.binary()),
                      pa.array(words.counts.astype(np.int64)),
                      pa.array([hashlib.sha256(joined(words, raw, i)).hexdigest() for i in range(hi - lo)], pa.string()),
                      as_lists([seeds[f].astype(np.int64) for f in found], pa.int64()),
                      as_lists([f - words.first[i] for i, f in enumerate(found)], pa.int32())],
-                    ["doc_id", "row", "digest", "n_words", "whole_sha256", "hashes", "places"])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text") \
-        .mapInArrow(run, "doc_id long, row long, digest binary, n_words long, whole_sha256 string, "
+                    ["doc_id", "row", "text_hash", "digest", "n_words", "whole_sha256", "hashes", "places"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text",
+                       F.xxhash64("text").alias("text_hash")) \
+        .mapInArrow(run, "doc_id long, row long, text_hash long, digest binary, n_words long, whole_sha256 string, "
                          "hashes array<long>, places array<int>")
 
 
 def with_texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``places`` (row, doc_id, digest, places) with the text of their documents. Several rows may
-    share an id, so the digest decides; see ``same_texts``."""
+    """``places`` (row, doc_id, text_hash, digest, places) with the text of their documents. Rows that share
+    an id, or have none, meet those of their own text alone; the digest decides, see ``same_texts``."""
     size = places.agg(F.count("*"), F.coalesce(F.sum(F.size("places")), F.lit(0))).first()
     if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_PLACES:
         places = F.broadcast(places)
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(
-        places, F.col("id").eqNullSafe(places["doc_id"])).select("row", "digest", "places", "text")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"), "text").join(
+        places, F.col("id").eqNullSafe(places["doc_id"]) & (F.col("hash") == places["text_hash"])) \
+        .select("row", "digest", "places", "text")
 
 
 def same_texts(words: Words, hashes: np.ndarray, wanted: list[bytes]) -> Iterator[int]:
@@ -133,9 +136,10 @@ def same_texts(words: Words, hashes: np.ndarray, wanted: list[bytes]) -> Iterato
             yield i
 
 
-def extended(texts: DataFrame, s: Settings) -> DataFrame:
-    """(anchor, context, row, first, windows): for each of the row's ``places``, the hashes of the windows
-    that have their anchor there, a run of starts from ``first``, and one hash for all of them."""
+def extended(texts: DataFrame, s: Settings, with_windows: bool) -> DataFrame:
+    """(anchor, context, row, place, first, k) and, ``with_windows``, their hashes: for each of the row's
+    ``places``, the ``k`` windows that have their anchor there, a run of starts from ``first``, and one hash
+    for all of them."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(3)):
@@ -155,12 +159,15 @@ def extended(texts: DataFrame, s: Settings) -> DataFrame:
                 context = mix64(np.add.reduceat(windows * _TURNS[turn], new) + size.astype(np.uint64)) if len(new) else windows
                 doc = np.searchsorted(words.first, starts[new], "right") - 1
                 rows = batch.column(0).slice(lo, hi - lo).to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(seeds[at[new]].astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(rows[doc]),
-                     pa.array((starts[new] - words.first[doc]).astype(np.int32)),
-                     pa.ListArray.from_arrays(pa.array(np.append(new, len(starts)).astype(np.int32)), pa.array(windows.astype(np.int64)))],
-                    ["anchor", "context", "row", "first", "windows"])
-    return texts.mapInArrow(run, "anchor long, context long, row long, first int, windows array<long>")
+                cells = {"anchor": pa.array(seeds[at[new]].astype(np.int64)), "context": pa.array(context.astype(np.int64)),
+                         "row": pa.array(rows[doc]), "place": pa.array((at[new] - words.first[doc]).astype(np.int32)),
+                         "first": pa.array((starts[new] - words.first[doc]).astype(np.int32)), "k": pa.array(size.astype(np.int32))}
+                if with_windows:
+                    cells["windows"] = pa.ListArray.from_arrays(pa.array(np.append(new, len(starts)).astype(np.int32)),
+                                                                pa.array(windows.astype(np.int64)))
+                yield pa.RecordBatch.from_pydict(cells)
+    kinds = "anchor long, context long, row long, place int, first int, k int"
+    return texts.mapInArrow(run, kinds + ", windows array<long>" * with_windows)
 
 
 def representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -172,37 +179,46 @@ def representatives(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def repeated_places(reps: DataFrame) -> DataFrame:
-    """(row, doc_id, digest, places) with the places whose anchor hash occurs at other places too."""
+    """(row, doc_id, text_hash, digest, places) with the places whose anchor hash occurs at other places too."""
     placed = reps.select("row", F.explode(F.arrays_zip("hashes", "places")).alias("a")) \
         .select("row", F.col("a.hashes").alias("anchor"), F.col("a.places").alias("place"))
     again = Staged(placed.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "anchors").df
     places = join_counted(placed, again, ["anchor"]).groupBy("row").agg(F.collect_list("place").alias("places"))
-    return places.join(reps.select("row", "doc_id", "digest"), "row").select("row", "doc_id", "digest", "places")
+    return places.join(reps.select(*KEYS), "row").select(*KEYS, "places")
 
 
 def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """All rows (as ``scanned``, with representative and copies) and, for representatives with
-    repeated windows, their maximal repeats as (row, doc_id, digest, places): word borders
+    repeated windows, their maximal repeats as (row, doc_id, text_hash, digest, places): word borders
     [start, end, start, end, ...]."""
     small_batches(docs.sparkSession)
     rows = Staged(scanned(docs, s), "anchors").df
     of_text, reps = representatives(rows)
     seeds = Staged(repeated_places(reps), "seeds")
 
-    places = extended(with_texts(docs, seeds.df), s)
-    if rows.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        places = places.distinct()  # a repeated row meets its places once each
-    places = Staged(places, "contexts")
+    ids_repeat = rows.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+
+    def occurrences(wanted: DataFrame, with_windows: bool) -> DataFrame:
+        found = extended(with_texts(docs, wanted), s, with_windows)
+        return found.distinct() if ids_repeat else found  # a repeated row meets its places once each
+    places = Staged(occurrences(seeds.df, False), "contexts")
+    seeds.drop()
     # occurrences that agree on all windows of the anchor: one of them stands for its class
-    stand = Staged(places.df.groupBy("anchor", "context").agg(F.min(F.struct("row", "first", "windows")).alias("rep"), F.count("*").alias("n"))
-                   .select("anchor", "context", "n", "rep.row", "rep.first", "rep.windows"), "classes")
-    equal = Staged(stand.df.select("anchor", "n", F.explode("windows").alias("window")).groupBy("anchor", "window")
-                   .agg(F.sum("n").alias("n")).where("n > 1"), "equal")
+    stand = Staged(places.df.groupBy("anchor", "context").agg(F.min(F.struct("row", "place")).alias("rep"), F.count("*").alias("n"))
+                   .select("anchor", "context", "n", "rep.row", "rep.place"), "classes")
+    # classes are compared where an anchor has several: only their windows are looked at
+    several = Staged(stand.df.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"), "several")
+    wanted = join_counted(stand.df.select("anchor", "row", "place"), several.df, ["anchor"]) \
+        .groupBy("row").agg(F.collect_list("place").alias("places"))
+    wanted = Staged(wanted.join(reps.select(*KEYS), "row").select(*KEYS, "places"), "wanted")
+    shown = Staged(occurrences(wanted.df, True), "windows")
+    equal = Staged(shown.df.select("anchor", F.explode("windows").alias("window")).groupBy("anchor", "window")
+                   .agg(F.count("*").alias("n")).where("n > 1"), "equal")
     # all windows of a class of two and more are repeated; of a class of one, those that other classes hold
-    whole = join_counted(places.df.select("anchor", "context", "row", "first", F.size("windows").alias("k")),
+    whole = join_counted(places.df.select("anchor", "context", "row", "first", "k"),
                          stand.df.where("n > 1").select("anchor", "context", "n"), ["anchor", "context"])
-    alone = stand.df.where("n = 1").select("anchor", "row", "first", F.posexplode("windows").alias("turn", "window"))
-    some = join_counted(alone, equal.df, ["anchor", "window"])
+    some = join_counted(shown.df.select("anchor", "row", "first", F.posexplode("windows").alias("turn", "window")),
+                        equal.df, ["anchor", "window"])
     found = whole.select("row", "first", "k").unionByName(
         some.select("row", (F.col("first") + F.col("turn")).alias("first"), F.lit(1).alias("k"))) \
         .groupBy("row").agg(F.collect_list(F.struct("first", "k")).alias("runs"))
@@ -214,9 +230,9 @@ def repeats(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataF
                 first, k = (runs.values.field(i).to_numpy() for i in (0, 1))
                 out.append(merged(first, first + k - 1 + s.window))
             yield pa.RecordBatch.from_arrays([batch.column(0), as_lists(out, pa.int32())], ["row", "places"])
-    spans = found.mapInArrow(merge, "row long, places array<int>").join(reps.select("row", "doc_id", "digest"), "row")
-    spans = Staged(spans.select("row", "doc_id", "digest", "places"), "repeats").df
-    for table in (places, stand, equal, seeds):
+    spans = found.mapInArrow(merge, "row long, places array<int>").join(reps.select(*KEYS), "row")
+    spans = Staged(spans.select(*KEYS, "places"), "repeats").df
+    for table in (places, stand, several, wanted, shown, equal):
         table.drop()
     return rows.drop("hashes", "places").join(of_text, "digest"), spans
 
