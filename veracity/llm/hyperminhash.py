@@ -17,12 +17,12 @@
    than it has nodes. Only pairs with a set above ``CELL_SET`` shingles leave unverified.
 5. Components of the verified links.
 
-A pair at the limit of 0.8 is missed by all 38 bands of 5 with probability 3e-7. The sketch filter (3.5
-standard errors of a binomial) would miss more pairs of small sets, whose shingles collide in buckets and
-are then copied to others: measured at 0.8, 50 of 20,000 (4 of 5 shingles shared), 27 of 20,000 (8 of 10),
+A pair at the limit of 0.8 is missed by all 38 bands of 5 with probability 3e-7. The sketch filter (5.5
+standard errors of a binomial) could miss more pairs of small sets, whose shingles collide in buckets and
+are then copied to others: measured at 0.8 with 3.5 standard errors, 50 of 20,000 (4 of 5 shingles shared), 27 of 20,000 (8 of 10),
 8 of 12,000 (40 of 50), 3 of 12,000 (80 of 100), 5 of 12,000 (160 of 200), 0 of 12,000 (320 of 400) and 0
 of 6,000 (800 of 1000). So pairs with a set of at most ``SMALL_SET`` shingles are verified whatever the
-estimate; for others the binomial gives 2e-4. The first round only chooses: what it leaves, the second
+estimate; for others the binomial gives less than the bands' 3e-7. The first round only chooses: what it leaves, the second
 sees again. Nothing else is lost: no caps on bands, partners or links.
 
 Defined results: null or empty texts have an empty set and link with nothing, each its own component;
@@ -68,7 +68,7 @@ class Settings:
     @property
     def least_estimate(self) -> float:
         j = self.percent / 100
-        return j - 3.5 * (j * (1 - j) / self.registers) ** 0.5
+        return j - 5.5 * (j * (1 - j) / self.registers) ** 0.5
 
 
 def shingle_sets(words: Words, k: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -165,45 +165,47 @@ def _registers(column: pa.Array, k: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, settings: Settings, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, digest, n (set size), registers and band keys (empty for an empty set)."""
+    """doc_id, row, text_hash, digest, n (set size) and band keys (empty for an empty set)."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sk = Sketcher(settings)
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(2)):
                 sets, digests = shingle_sets(Words(data, offsets), settings.shingle)
                 n = np.fromiter(map(len, sets), np.int64, len(sets))
-                regs = sk.registers(sets)
-                keys = sk.keys(regs)[n > 0].astype(np.int64)
+                keys = sk.keys(sk.registers(sets))[n > 0].astype(np.int64)
                 ends = np.concatenate([[0], np.cumsum((n > 0) * settings.bands)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
+                    [*(batch.column(c).slice(lo, hi - lo) for c in (0, 1, 3)),
                      pa.array([d.tobytes() for d in digests], pa.binary()), pa.array(n),
-                     pa.array([r.tobytes() for r in regs], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))],
-                    ["doc_id", "row", "digest", "n", "registers", "keys"])
+                    ["doc_id", "row", "text_hash", "digest", "n", "keys"])
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"),
-                       F.col(text_col).alias("text")) \
-        .mapInArrow(run, "doc_id long, row long, digest binary, n long, registers binary, keys array<long>")
+                       F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")) \
+        .mapInArrow(run, "doc_id long, row long, text_hash long, digest binary, n long, keys array<long>")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, settings: Settings, id_col: str, text_col: str) -> DataFrame:
-    """(node, set) of the given nodes (columns doc_id, digest, node), read again from the texts."""
+    """(node, set, registers) of the given nodes (columns doc_id, text_hash, digest, node), read again from the
+    texts. Rows with equal id and text give a node several times."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sk = Sketcher(settings)
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(2)):
                 sets, digests = shingle_sets(Words(data, offsets), settings.shingle)
                 wanted = batch.column(1).slice(lo, hi - lo).to_pylist()
                 same = [i for i, d in enumerate(digests) if d.tobytes() == wanted[i]]
-                ends = np.cumsum([0, *(len(sets[i]) for i in same)]).astype(np.int32)
-                flat = np.concatenate([sets[i] for i in same]) if same else np.empty(0, np.uint64)
+                sets = [sets[i] for i in same]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo).take(pa.array(same, pa.int64())),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64)))], ["node", "set"])
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.astype(np.int64))),
+                     pa.array([r.tobytes() for r in sk.registers(sets)], pa.binary())], ["node", "set", "registers"])
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"))
     if nodes.count() <= BROADCAST_ROWS:
         nodes = F.broadcast(nodes)
-    return texts.join(nodes, F.col("id").eqNullSafe(nodes["doc_id"])).select("node", "digest", "text") \
-        .mapInArrow(run, "node long, set array<long>").dropDuplicates(["node"])
+    return texts.join(nodes, F.col("id").eqNullSafe(nodes["doc_id"]) & (F.col("hash") == nodes["text_hash"])) \
+        .select("node", "digest", "text").mapInArrow(run, "node long, set array<long>, registers binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -380,21 +382,26 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: st
     banded = sketches.select("node", F.explode("keys").alias("key"))
     shared = stage(banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     members = stage(join_counted(banded, shared, ["key"]).select("key", "node"), "bands")
-    sketches = sketches.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "digest", "n", "registers")
-    sets = Staged(node_sets(docs, sketches.select("doc_id", "digest", "node"), settings, id_col, text_col), "sets")
-    sketches = stage(with_shared(sketches, sets.df).where(100 * F.col("shared") >= settings.percent * F.col("n")), "candidates")
+    sketches = sketches.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash", "digest", "n")
+    sets = node_sets(docs, sketches.select("doc_id", "text_hash", "digest", "node"), settings, id_col, text_col)
+    if rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        sets = sets.dropDuplicates(["node"])
+    sets = Staged(sets, "sets")
+    sketches = sketches.select("node", "n").join(sets.df.select("node", "registers"), "node")
+    full = sets.df.select("node", "set")
+    sketches = stage(with_shared(sketches, full).where(100 * F.col("shared") >= settings.percent * F.col("n")), "candidates")
     able = sketches.select("node")
     members = stage(members.select("key", "node").join(able, "node", "left_semi"), "bands")
     pivots = members.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).where("n > 1")
     members = members.join(pivots.select("key", "pivot"), "key")
 
     stars = stage(best_stars(members, sketches, settings), "stars")
-    links = stage(verified(stars, sets.df, settings), "links")
+    links = stage(verified(stars, full, settings), "links")
     first = components(links)
 
-    pairs = stage(crossing_pairs(members, first, sketches, sets.df, settings), "pairs")
+    pairs = stage(crossing_pairs(members, first, sketches, full, settings), "pairs")
     links = stage(links.union(pairs.where("sure").select("a", "b"))
-                  .union(verified(pairs.where("not sure").select("a", "b").distinct(), sets.df, settings)), "links")
+                  .union(verified(pairs.where("not sure").select("a", "b").distinct(), full, settings)), "links")
     sets.drop()
     labels = components(links)
 
