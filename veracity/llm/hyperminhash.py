@@ -220,8 +220,9 @@ def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 keep.append(100 * both >= settings.percent * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    ends = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node", "left_semi")  # else all sets are shuffled
     return pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a") \
-        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b") \
+        .join(ends.select(F.col("node").alias("b"), F.col("set").alias("y")), "b") \
         .select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
