@@ -255,3 +255,49 @@ def test_wrapped_licences(spark, mark, end):
              (12, MIT.replace("\n", " ")), (13, "It is the MIT" + end * 2 + "License"), (14, "no full stop" + end + mark + "Licensed under CC BY 4.0")]
     got = {r.doc_id: r.licences for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == dict(enumerate(whole)) | {10: "Apache-2.0", 11: "", 12: "MIT", 13: "", 14: "CC-BY-4.0"}
+
+
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+ENDORSE = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission.
+"""
+DISCLAIMER = "\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES"
+GNU_GRANT = ("This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\n"
+             "License as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.")
+
+
+@pytest.mark.parametrize("text,licences_", [
+    ("no longer released under the MIT License", ""),
+    ("This isn't licensed under the MIT license.", ""),
+    ("Neither the code nor its manuals are licensed under CC BY 4.0.", ""),
+    ("It is not, and never was, licensed under the Apache License, Version 2.0.", ""),
+    ("not not not was was licensed under CC BY 4.0", ""),
+    ("It is not for sale. It is licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("If not otherwise stated, text is licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("It is not only licensed under CC BY 4.0.", "CC-BY-4.0"),
+    ("Not licensed under CC BY 4.0 but released under the MIT License", "MIT"),
+    ("neither " * 3000 + "licensed under CC BY 4.0", ""),
+    ("not " + "was " * 20_000, ""),
+    (BSD2 + DISCLAIMER, "BSD-2-Clause"),
+    (BSD2 + ENDORSE + DISCLAIMER, "BSD-3-Clause"),
+    (BSD2.split("\n\n")[0], ""),
+    (GNU_GRANT.replace("Foundation; either", "Foundation, either"), "LGPL-2.1-or-later"),
+    ("// SPDX-License-Identifier: MIT", "MIT"),
+    ("# SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0-or-later"),
+    ("# SPDX-License-Identifier: MIT-0", "MIT-0"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with\n"
+     "this file, You can obtain one at http://mozilla.org/MPL/2.0/.", "MPL-2.0"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", "0BSD"),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided "
+     "that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+])
+def test_denied_and_further_licences(spark, text, licences_):
+    [row] = licences.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.licences == licences_
