@@ -173,24 +173,47 @@ def _bucket(buckets: int) -> str:
     return node(0, max(1, buckets - 1))
 
 
-def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,
-                unique_keep: str = "none") -> DataFrame:
-    """Uniqueness (J1/J2), missing keys (J3) and paid-not-decreasing (J4) from ONE grouping per
-    snapshot on the key: each snapshot is shuffled once (after map-side partial aggregation), and
-    the two per-key aggregates are already hash-partitioned on the key, so their full outer join
-    adds no exchange. One row out with the counts of all three checks.
-    """
+def key_sides(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None) -> tuple[DataFrame, DataFrame | None]:
+    """One row a key: (k, n, cur_paid) of the current snapshot and (k, prev_paid, in_prev) of the previous one,
+    which has no null key."""
     def value(df: DataFrame) -> Column:
         return _num(df, paid) if paid and paid in df.columns else F.lit(None).cast("double")
 
     cur = (current.select(F.col(key).cast("string").alias("k"), value(current).alias("v"))
                   .groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("cur_paid")))
     if previous is None:
-        return profile_counts(cur, None)
+        return cur, None
     prev = (previous.select(F.col(key).cast("string").alias("k"), value(previous).alias("v"))
                     .where(F.col("k").isNotNull())
                     .groupBy("k").agg(F.sum("v").alias("prev_paid"), F.lit(True).alias("in_prev")))
-    return profile_counts(cur, prev)
+    return cur, prev
+
+
+def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,
+                unique_keep: str = "none") -> DataFrame:
+    """Uniqueness (J1/J2), missing keys (J3) and paid-not-decreasing (J4) from ONE grouping per
+    snapshot on the key: each snapshot is shuffled once (after map-side partial aggregation), and
+    the two per-key aggregates are already hash-partitioned on the key, so their full outer join
+    adds no exchange. One row out with the counts of all three checks.
+    """
+    return profile_counts(*key_sides(current, previous, key, paid))
+
+
+def failing_records(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,
+                    unique: Sequence[str], missing: Sequence[str], decreased: Sequence[str], limit: int) -> DataFrame:
+    """(check_id, record): the failing keys of the checks named in ``unique`` (one record a row of the key, at most
+    ``limit``), ``missing`` and ``decreased``, from the groupings that ``key_profile`` makes: in one plan with it,
+    each snapshot is shuffled once for both."""
+    cur, prev = key_sides(current, previous, key, paid)
+    n, one = F.col("n"), F.lit(1)
+    fails = [(i, n > 1, F.least(n, F.lit(limit)).cast("int")) for i in unique]
+    if prev is not None:
+        cur = cur.join(prev, "k", "full_outer")
+        fails += [(i, F.coalesce("in_prev", F.lit(False)) & n.isNull(), one) for i in missing]
+        fails += [(i, F.col("k").isNotNull() & n.isNotNull() & ~paid_ok(), one) for i in decreased]
+    entries = [F.when(failed, F.struct(F.lit(check_id).alias("check_id"), rows.alias("rows"))) for check_id, failed, rows in fails]
+    return cur.select("k", F.explode(F.array_compact(F.array(*entries))).alias("e")) \
+        .select("e.check_id", F.explode(F.array_repeat("k", F.col("e.rows"))).alias("record"))
 
 
 def profile_counts(cur: DataFrame, prev: DataFrame | None) -> DataFrame:

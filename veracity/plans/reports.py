@@ -13,9 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracity.functions.text import category_label, pass_rate_text, points_text
+from veracity.operators import keychecks as kc
 from veracity.plans import scoring as sc
 from veracity.plans.spec import SCORE_CATEGORIES_V5
-from veracity.plans.suite import RESULT_COLUMNS, SuiteRun
+from veracity.plans.suite import CLAIM_KEY, PAID, RESULT_COLUMNS, SuiteRun
 
 FAILED_RECORDS_KEPT = 100
 
@@ -84,8 +85,9 @@ def failed_records(run: SuiteRun, limit: int | None = FAILED_RECORDS_KEPT, key:
                    check_ids: Sequence[str] | None = None) -> DataFrame:
     """(check_id, record): the failing rows' identifiers, for each check the first ``limit`` in sorted
     order (None: all). The row checks share one pass, which gives each row an array of the checks it
-    fails; with a limit the window keeps that many per check and task before the shuffle."""
-    entries, parts = [], []
+    fails; with a limit the checks on claim numbers share the groupings of the key profile, and the window keeps that many
+    per check and task before the shuffle."""
+    entries, parts, by_key = [], [], {}
     for spec in run.specs:
         if not spec.enabled or (check_ids is not None and spec.id not in check_ids):
             continue
@@ -97,11 +99,16 @@ def failed_records(run: SuiteRun, limit: int | None = FAILED_RECORDS_KEPT, key:
             record = F.col(f"`{key if key in columns else columns[0]}`").cast("string")
             entries.append(F.when(check.scope & ~F.coalesce(check.ok, F.lit(False)),
                                   F.struct(F.lit(spec.id).alias("check_id"), record.alias("record"))))
+        elif limit is not None and key == CLAIM_KEY and (role := run.claim_key_role(spec)) is not None:
+            by_key.setdefault(role, []).append(spec.id)
         elif (keys := run.failing_keys(spec)) is not None:
             name = key if key in keys.columns else keys.columns[0]
             parts.append(keys.select(F.lit(spec.id).alias("check_id"), F.col(f"`{name}`").cast("string").alias("record")))
     if entries:
         parts.insert(0, run.current.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*"))
+    if by_key:
+        parts.append(kc.failing_records(run.current, run.previous if by_key.keys() & {"m", "p"} else None, CLAIM_KEY,
+                                        PAID if "p" in by_key else None, *(by_key.get(r, ()) for r in "ump"), limit))
     if not parts:
         return run.checks.sparkSession.createDataFrame([], "check_id string, record string")
     rows = reduce(DataFrame.unionByName, parts)
@@ -150,7 +157,8 @@ def dq_check_results(run: SuiteRun, quarter_id: str, run_timestamp: str, with_js
         F.col("failed").alias("failed_count"), F.col("total").alias("total_count"),
         "points_possible", "points_earned", "status")
     if with_json:
-        out = out.join(failed_records_json(run, limit=failed_limit), "check_id", "left") \
+        kept = run.listed if failed_limit == FAILED_RECORDS_KEPT else None
+        out = out.join(failed_records_json(run, limit=failed_limit) if kept is None else kept, "check_id", "left") \
             .withColumn("failed_records_json", F.coalesce("failed_records_json", F.lit("[]")))
     return out
 

@@ -165,6 +165,7 @@ class SuiteRun:
     row_checks: dict[str, rc.RowCheck]
     fused: DataFrame | None = None
     keys: ArrivedKeys | None = None
+    listed: DataFrame | None = None
 
     def total_records(self) -> DataFrame:
         """One row ``n``: the current snapshot's row count, from the fused row-check aggregate."""
@@ -178,12 +179,18 @@ class SuiteRun:
     def score(self) -> DataFrame:
         return scoring.run_score(self.checks, self.policy)
 
-    def materialize(self) -> SuiteRun:
+    def materialize(self, listed: DataFrame | None = None) -> SuiteRun:
         """Cut the lineage of the (small) results with a reliable checkpoint in the shared
-        checkpoint folder, so several reports reuse one evaluation of the scans."""
+        checkpoint folder, so several reports reuse one evaluation of the scans. ``listed``: the run's
+        (check_id, failed_records_json), evaluated in one plan with the checks and kept as ``self.listed``."""
         from veracity.session import checkpoint_dir
         checkpoint_dir(self.checks.sparkSession)
-        self.checks = self.checks.checkpoint(eager=True)
+        if listed is None:
+            self.checks = self.checks.checkpoint(eager=True)
+        else:
+            both = self.checks.join(listed, "check_id", "left").checkpoint(eager=True)
+            self.checks = both.select(*self.checks.columns)
+            self.listed = both.where(F.col("failed_records_json").isNotNull()).select(*listed.columns).dropDuplicates(["check_id"])
         self.fused = self.total_records().checkpoint(eager=True)
         return self
 
@@ -205,6 +212,21 @@ class SuiteRun:
             raise KeyError(f"check {check_id} ({spec.type}) didn't run")
         return keys
 
+    def claim_key_role(self, spec: CheckSpec) -> str | None:
+        """'u', 'm' or 'p' where the failing claim numbers of a key check (J1, J3, J4) can be read off the groupings of
+        the key profile; None where they can't."""
+        t, cur, prev = spec.type, self.current, self.previous
+        if self.keys is not None or CLAIM_KEY not in cur.columns:
+            return None
+        if t == "unique":
+            text = cur.schema[CLAIM_KEY].dataType.simpleString() == "string"
+            return "u" if (spec.field or CLAIM_KEY) == CLAIM_KEY and text else None
+        if t not in PREV_TYPES or prev is None or (spec.key or CLAIM_KEY, spec.paid or PAID) != (CLAIM_KEY, PAID) or CLAIM_KEY not in prev.columns:
+            return None
+        if t == "missing_claims_from_prev_month":
+            return "m"
+        return "p" if self.policy.paid_rule == "left" and PAID in cur.columns and PAID in prev.columns else None
+
     def failing_keys(self, spec: CheckSpec) -> DataFrame | None:
         """Failing keys or rows of a key check; None where it didn't run (an input or column is absent,
         or the type is unknown)."""
@@ -384,7 +406,7 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
 def _observed_write(df: DataFrame, aggs: list[Column], path: str) -> DataFrame:
     """Writes ``df`` and returns, as one row, the counts that the write observed on the way."""
     seen = Observation()
-    df.observe(seen, *aggs).write.parquet(path)
+    df.observe(seen, *aggs).write.option("compression", "zstd").parquet(path)
     counts = {k: int(v) for k, v in seen.get.items()}
     return df.sparkSession.createDataFrame([tuple(counts.values())], ", ".join(f"{k} long" for k in counts))
 
