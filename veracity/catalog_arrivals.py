@@ -91,10 +91,14 @@ def stored_runs(spark, sf) -> RunStore:
     store = RunStore(spark, fresh_folder(spark, "runs"))
     cur, prev = fx.claims_snapshot(spark, sf, True), fx.claims_snapshot(spark, sf, False)
 
-    def run(policy: str, current: DataFrame, previous: DataFrame | None) -> SuiteRun:
-        return run_suite(default_suite(), POLICIES[policy], current, previous, None, ["Closed"], AS_OF_YEAR)
-    store.save(run("v5", prev, None), "1998_01", "2024-01-01 00:00:00")
-    first = run("v4", cur, prev)
+    def run(policy: str, current: DataFrame, previous: DataFrame | None, store_to: str | None = None) -> SuiteRun:
+        return run_suite(default_suite(), POLICIES[policy], current, previous, None, ["Closed"], AS_OF_YEAR, store_to=store_to)
+    # each snapshot is stored by its first run and read from there by all that follows
+    january = run("v5", prev, None, fresh_folder(spark, "snapshot"))
+    prev = january.current
+    store.save(january, "1998_01", "2024-01-01 00:00:00")
+    first = run("v4", cur, prev, fresh_folder(spark, "snapshot"))
+    cur = first.current
     store.save(first, "1998_02", "2024-02-01 00:00:00")
     results = rp.dq_check_results(first, "1998_03", "2024-03-01 00:00:00", with_json=False)
     store.stage("killed", "1998_03", {"dq_check_results": results, "dq_issues": rp.dq_issues(results)})

@@ -55,7 +55,7 @@ class RunStore:
         run_id = run_id or uuid.uuid4().hex
         if self.committed(run_id):
             return run_id
-        run.materialize()
+        run.materialize(reports.failed_records_json(run))
         results = reports.dq_check_results(run, quarter_id, run_timestamp)
         scores = reports.dq_scores_row(run, quarter_id, run_timestamp, run.total_records(), **details)
         schemas = self.stage(run_id, quarter_id, {"dq_scores": scores, "dq_check_results": results})
