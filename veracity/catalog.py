@@ -633,9 +633,11 @@ def stored_scores(spark, sf):
     without a reference table, later."""
     from veracity.session import checkpoint_dir
     path = f"{checkpoint_dir(spark).rstrip('/')}/veracity-scores-{uuid.uuid4().hex}"
-    jan = run_suite(default_suite(), POLICIES["v5"], _prev(spark, sf), None, None, ["Closed"], AS_OF_YEAR)
-    feb = run_suite(default_suite(), POLICIES["v4"], _cur(spark, sf), _prev(spark, sf), None, ["Closed"], AS_OF_YEAR)
-    again = run_suite(default_suite(), POLICIES["v5"], _cur(spark, sf), _prev(spark, sf), None, ["Closed"], AS_OF_YEAR)
+    # each snapshot is stored by its first run, whose row checks the write counts, and read from there by the others
+    stored = [f"{checkpoint_dir(spark).rstrip('/')}/veracity-snapshot-{uuid.uuid4().hex}" for _ in range(2)]
+    jan = run_suite(default_suite(), POLICIES["v5"], _prev(spark, sf), None, None, ["Closed"], AS_OF_YEAR, store_to=stored[0])
+    feb = run_suite(default_suite(), POLICIES["v4"], _cur(spark, sf), jan.current, None, ["Closed"], AS_OF_YEAR, store_to=stored[1])
+    again = run_suite(default_suite(), POLICIES["v5"], feb.current, jan.current, None, ["Closed"], AS_OF_YEAR)
     rows = [_scores_of(run, quarter, stamp) for run, quarter, stamp in
             ((jan, "1998_01", "2024-01-01 00:00:00"), (again, "1998_02", "2024-02-02 00:00:00"), (feb, "1998_02", "2024-02-01 00:00:00"))]
     # one plan and one append: the runs of one snapshot share the exchanges of its claim keys
