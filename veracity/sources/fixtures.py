@@ -9,7 +9,7 @@ back the correctness oracle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veracity.sources.tables import read_table
@@ -19,50 +19,57 @@ CURRENT_BDX = "1998-02-01 00:00:00"
 PREVIOUS_BDX = "1998-01-01 00:00:00"
 
 
-def _ts(text: str) -> Column:
-    return F.lit(text).cast("timestamp_ntz")
-
-
-def _lineitem_orders(spark: SparkSession, sf_dir: str, cols: list[str], where: str | None = None) -> DataFrame:
-    li = read_table(spark, sf_dir, "lineitem").select(*cols)
-    if where:
-        li = li.where(where)
+def _with_orders(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
+    """``lines`` with the order of each. An order has few columns and several lines, so tasks hold the orders of their
+    partition in a hash table and don't sort the lines."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.join(o.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 # Each view is one projection written as SQL text: the JVM parses it once, instead of Python building
-# every CASE branch through the gateway.
+# every CASE branch through the gateway. What follows from a line alone is projected before the join with
+# its order, so the shuffle moves flags instead of part and supplier keys.
+_LINES_SELECT = [
+    "l_orderkey", "l_linenumber", "l_quantity",
+    "l_suppkey % 50 = 0 AS renumbered", "l_partkey % 40 = 0 AS halved",
+    "CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE l_shipdate END AS accident_date",
+    "CASE l_returnflag WHEN 'R' THEN ' Closed ' WHEN 'A' THEN 'RE-CLOSED' ELSE CASE WHEN l_suppkey % 7 = 0 THEN NULL "
+    "WHEN l_suppkey % 5 = 0 THEN 'Disclosed' ELSE 'Open' END END AS claim_status",
+    "CASE WHEN l_partkey % 89 = 0 THEN 1 WHEN l_partkey % 83 = 0 THEN 2 ELSE 0 END AS uw_case",
+    "l_suppkey % 11 = 0 AS endless", "l_partkey % 79 = 0 AS negative", "l_suppkey % 13 = 0 AS raised",
+    "CASE WHEN l_returnflag = 'N' THEN l_linenumber ELSE 0 END AS estimate",
+    "CASE WHEN l_returnflag = 'N' THEN CAST(l_linenumber AS DOUBLE) WHEN l_partkey % 71 = 0 THEN NULL "
+    "WHEN l_partkey % 73 = 0 THEN 3.0D ELSE 0.0D END AS total_os",
+]
+_MARK = "CASE WHEN renumbered THEN 'R' ELSE 'C' END"
+_PAID = "CASE WHEN halved THEN 0.5D ELSE 1.0D END * l_quantity"
 _CLAIMS_SELECT = [
     "CASE WHEN l_orderkey % 101 = 0 THEN NULL WHEN l_orderkey % 103 = 0 THEN '  ' "
     "ELSE concat('P', CAST(o_custkey AS STRING)) END AS policy_number",
     "CASE WHEN l_orderkey % 211 = 0 THEN NULL "
     "ELSE concat({mark}, CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) END AS claim_number",
-    "CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE l_shipdate END AS accident_date",
-    "CASE l_returnflag WHEN 'R' THEN ' Closed ' WHEN 'A' THEN 'RE-CLOSED' ELSE CASE WHEN l_suppkey % 7 = 0 THEN NULL "
-    "WHEN l_suppkey % 5 = 0 THEN 'Disclosed' ELSE 'Open' END END AS claim_status",
-    "CASE WHEN l_partkey % 89 = 0 THEN TIMESTAMP_NTZ '1900-01-01 00:00:00' WHEN l_partkey % 83 = 0 THEN NULL "
-    "ELSE o_orderdate END AS uw_date",
+    "accident_date", "claim_status",
+    "CASE uw_case WHEN 1 THEN TIMESTAMP_NTZ '1900-01-01 00:00:00' WHEN 2 THEN NULL ELSE o_orderdate END AS uw_date",
     "o_orderdate AS policy_start_date",
-    "CASE WHEN l_suppkey % 11 = 0 THEN NULL ELSE o_orderdate + INTERVAL '1' YEAR END AS policy_end_date",
-    "CAST(CASE WHEN l_partkey % 79 = 0 THEN -1.0D ELSE {paid} + CASE WHEN l_returnflag = 'N' THEN l_linenumber "
-    "ELSE 0 END + CASE WHEN l_suppkey % 13 = 0 THEN 7.5D ELSE 0.0D END END AS DOUBLE) AS total_incurred",
-    "CAST({paid} AS DOUBLE) AS total_paid",
-    "CASE WHEN l_returnflag = 'N' THEN CAST(l_linenumber AS DOUBLE) WHEN l_partkey % 71 = 0 THEN NULL "
-    "WHEN l_partkey % 73 = 0 THEN 3.0D ELSE 0.0D END AS total_os",
+    "CASE WHEN endless THEN NULL ELSE o_orderdate + INTERVAL '1' YEAR END AS policy_end_date",
+    "CAST(CASE WHEN negative THEN -1.0D ELSE {paid} + estimate + CASE WHEN raised THEN 7.5D ELSE 0.0D END END AS DOUBLE) "
+    "AS total_incurred",
+    "CAST({paid} AS DOUBLE) AS total_paid", "total_os",
 ]
 
 
+def _claim_lines(spark: SparkSession, sf_dir: str, where: str | None = None) -> DataFrame:
+    li = read_table(spark, sf_dir, "lineitem")
+    return _with_orders(spark, sf_dir, (li.where(where) if where else li).selectExpr(*_LINES_SELECT))
+
+
 def claims_snapshot(spark: SparkSession, sf_dir: str, current: bool = True) -> DataFrame:
     """One monthly claims snapshot. The current one is all of ``lineitem``; the previous one lacks the
     orders whose key is divisible by 37 (claims new this month). Claims of suppliers divisible by 50
     were renumbered since, so their old numbers are missing from the current snapshot."""
-    where = None if current else "l_orderkey % 37 <> 0"
-    mark = "CASE WHEN l_suppkey % 50 = 0 THEN 'R' ELSE 'C' END" if current else "'C'"
-    paid = "CASE WHEN l_partkey % 40 = 0 THEN 0.5D ELSE 1.0D END * l_quantity" if current else "l_quantity"
-    j = _lineitem_orders(spark, sf_dir, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                                         "l_returnflag", "l_shipdate"], where)
-    return j.selectExpr(*[e.format(paid=paid, mark=mark) for e in _CLAIMS_SELECT])
+    mark, paid = (_MARK, _PAID) if current else ("'C'", "l_quantity")
+    lines = _claim_lines(spark, sf_dir, None if current else "l_orderkey % 37 <> 0")
+    return lines.selectExpr(*[e.format(paid=paid, mark=mark) for e in _CLAIMS_SELECT])
 
 
 def claims_text(spark: SparkSession, sf_dir: str, current: bool = True) -> DataFrame:
@@ -82,16 +89,19 @@ def claims_text(spark: SparkSession, sf_dir: str, current: bool = True) -> DataF
 
 
 def claims_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both snapshots in one table with a ``bdx_month`` snapshot column."""
-    prev = claims_snapshot(spark, sf_dir, current=False).withColumn("bdx_month", _ts(PREVIOUS_BDX))
-    cur = claims_snapshot(spark, sf_dir, current=True).withColumn("bdx_month", _ts(CURRENT_BDX))
-    return prev.unionByName(cur)
+    """Both snapshots in one table with a ``bdx_month`` snapshot column. Lines and orders are joined once; each
+    joined row gives its claim in every snapshot that has it."""
+    lines = _claim_lines(spark, sf_dir).withColumn("current", F.explode(F.array(F.lit(False), F.lit(True)))) \
+        .where("current OR l_orderkey % 37 <> 0")
+    mark, paid = f"IF(current, {_MARK}, 'C')", f"IF(current, {_PAID}, l_quantity)"
+    return lines.selectExpr(*[e.format(paid=paid, mark=mark) for e in _CLAIMS_SELECT],
+                            f"CAST(IF(current, '{CURRENT_BDX}', '{PREVIOUS_BDX}') AS TIMESTAMP_NTZ) AS bdx_month")
 
 
 def claims_root(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gross/net claims for the fixed root suite."""
-    j = _lineitem_orders(spark, sf_dir, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                                         "l_tax", "l_discount", "l_shipdate"])
+    j = _with_orders(spark, sf_dir, read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_tax", "l_discount", "l_shipdate"))
     return j.selectExpr(
         "CASE WHEN l_orderkey % 101 = 0 THEN NULL ELSE concat('P', CAST(o_custkey AS STRING)) END AS policy_number",
         "concat('C', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS claim_number",
