@@ -112,6 +112,9 @@ def failing_paid_keys(current: DataFrame, previous: DataFrame, key: str, paid: s
 
 
 # J5
+HOT_KEYS = 128      # a key with more than 1/HOT_KEYS of the reduced rows is split into value buckets
+
+
 def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str, paid: str,
                              buckets: int = 128) -> DataFrame:
     """Row-level pairs: every current row against every previous row of the same key (null keys
@@ -119,47 +122,46 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
 
     The pairs are never materialised. Both sides are first reduced to (key, paid) -> count; the
     number of pairs per key is n_cur * n_prev, and the passing pairs are counted with running sums
-    of previous counts ordered by paid. Planning runs no job: the cuts are a one-row subplan. A hot
-    key is split: paid values fall into ordered buckets
-    cut at global quantiles (an array of at most ``buckets`` values), running sums run
-    within (key, bucket), and each bucket adds the previous counts of the lower buckets of its key
-    (a window over at most ``buckets`` rows per key). Exact for any key distribution.
+    of previous counts ordered by paid. Planning runs no job: cuts and hot keys are a one-row subplan. A hot
+    key is split: its paid values fall into ordered buckets cut at global quantiles (an array of at most
+    ``buckets`` values), running sums run within (key, bucket), and each bucket adds the previous counts of the
+    lower buckets of its key, from one row per bucket of the hot keys alone. Any other key is one bucket. Which
+    keys are split changes the work of a task, not the counts: exact for any key distribution.
     """
-    # a null key matches only null keys: carry it as (k2, knull) so every join below is a plain
-    # equi-join whose partitioning the preceding window/aggregate already provides
     def side(df: DataFrame, cur: int) -> DataFrame:
-        k = F.col(key).cast("string")
-        return df.select(F.coalesce(k, F.lit("")).alias("k2"), k.isNull().alias("knull"), _num(df, paid).alias("v"),
-                         F.lit(cur).alias("c"), F.lit(1 - cur).alias("p"))
+        return df.select(F.col(key).cast("string").alias("k"), _num(df, paid).alias("v"), F.lit(cur).alias("c"), F.lit(1 - cur).alias("p"))
 
-    keys = ["k2", "knull"]
     both = (side(current, 1).unionByName(side(previous, 0))
-            .groupBy(*keys, "v").agg(F.sum("c").alias("n_cur"), F.sum("p").alias("n_prev"))
+            .groupBy("k", "v").agg(F.sum("c").alias("n_cur"), F.sum("p").alias("n_prev"))
             .where(F.col("n_cur") + F.col("n_prev") > 0))
     # the condition always holds; it makes every branch below need both counts, so that all of them have
     # the same exchange under them and Spark computes it once
-    # all pairs per key (null paid included): product of the per-key counts, no pairs emitted
-    pairs = both.groupBy(*keys).agg((F.sum("n_cur") * F.sum("n_prev")).alias("pairs"))
-    # bucket cuts: a quantile sketch over the reduced rows, which are exactly the window's rows; a
-    # scalar subquery with an array of at most ``buckets`` values
+    # bucket cuts: a quantile sketch over the reduced rows, which are exactly the window's rows; hot keys: a frequency
+    # sketch whose error is far below their share. The null key counts as hot
     probs = [i / buckets for i in range(1, buckets)] or [0.5]
-    cuts = both.agg(F.percentile_approx("v", probs, 1000).alias("cuts"))
+    spread = both.agg(F.percentile_approx("v", probs, 1000).alias("cuts"), F.expr(f"approx_top_k(k, {HOT_KEYS}, {32 * HOT_KEYS})").alias("top"),
+                      F.count(F.lit(1)).alias("n")) \
+        .select(F.struct("cuts", F.expr(f"transform(filter(top, x -> x.count > n / {HOT_KEYS}), x -> x.item)").alias("hot")).alias("s"))
     valued = F.col("v").isNotNull()
-    b = both.withColumn("cuts", cuts.scalar()) \
-        .withColumn("b", F.expr(_bucket(buckets))).drop("cuts") \
-        .withColumn("np", F.when(valued, F.col("n_prev")).otherwise(0))
-    below = (b.groupBy(*keys, "b").agg(F.sum("np").alias("nb"))
-              .withColumn("prev_below", F.coalesce(F.sum("nb").over(
-                  Window.partitionBy(*keys).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-              .drop("nb"))
-    w = Window.partitionBy(*keys, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ok = (b.withColumn("prev_le", F.sum("np").over(w))
-           .join(below, [*keys, "b"])
-           .select(F.when(valued, F.col("n_cur") * (F.col("prev_le") + F.col("prev_below"))).otherwise(0)
-                   .alias("ok")))
-    parts = pairs.select("pairs", F.lit(0).cast("long").alias("ok")).unionByName(
-        ok.select(F.lit(0).cast("long").alias("pairs"), "ok"))
-    return _result(parts, F.sum("pairs"), F.sum("ok"))
+    b = both.withColumn("s", spread.scalar()).withColumn("cuts", F.col("s.cuts")) \
+        .withColumn("hot", F.col("k").isNull() | F.coalesce(F.array_contains("s.hot", F.col("k")), F.lit(False))) \
+        .withColumn("b", F.when(F.col("hot"), F.expr(_bucket(buckets))).otherwise(0)) \
+        .select("k", "hot", "b", "v", "n_cur", "n_prev", F.when(valued, F.col("n_prev")).otherwise(0).alias("np"))
+    group = Window.partitionBy("k", "b").orderBy("v")
+    run = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.lead(F.lit(1)).over(group).isNull()
+    within = b.select("hot", "v", "n_cur", last.alias("last"), F.sum("np").over(run).alias("prev_le"),
+                      F.sum("n_cur").over(run).alias("all_cur"), F.sum("n_prev").over(run).alias("all_prev")) \
+        .select(F.when(F.col("last") & ~F.col("hot"), F.col("all_cur") * F.col("all_prev")).otherwise(0).alias("pairs"),
+                F.when(valued, F.col("n_cur") * F.col("prev_le")).otherwise(0).alias("ok"))
+    # hot keys: at most ``buckets`` rows each
+    lower = Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    across = b.where("hot").groupBy("k", "b") \
+        .agg(F.sum("n_cur").alias("c"), F.sum("n_prev").alias("p"), F.sum(F.when(valued, F.col("n_cur")).otherwise(0)).alias("vc"),
+             F.sum("np").alias("np")) \
+        .select((F.col("c") * F.sum("p").over(Window.partitionBy("k"))).alias("pairs"),
+                (F.col("vc") * F.coalesce(F.sum("np").over(lower), F.lit(0))).alias("ok"))
+    return _result(within.unionByName(across), F.sum("pairs"), F.sum("ok"))
 
 
 def _bucket(buckets: int) -> str:
@@ -173,63 +175,66 @@ def _bucket(buckets: int) -> str:
     return node(0, max(1, buckets - 1))
 
 
-def key_sides(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None) -> tuple[DataFrame, DataFrame | None]:
-    """One row a key: (k, n, cur_paid) of the current snapshot and (k, prev_paid, in_prev) of the previous one,
-    which has no null key."""
+def key_rows(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None) -> DataFrame:
+    """One row a key: (k, n, cur_paid) and, with a previous snapshot, (prev_paid, in_prev). ``n`` is null for keys of the
+    previous snapshot alone, whose null key doesn't count.
+
+    Both snapshots go through ONE grouping, so a task holds one hash map of keys, and neither two of them nor the
+    sorted sides of a join."""
     def value(df: DataFrame) -> Column:
         return _num(df, paid) if paid and paid in df.columns else F.lit(None).cast("double")
 
-    cur = (current.select(F.col(key).cast("string").alias("k"), value(current).alias("v"))
-                  .groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("cur_paid")))
+    cur = current.select(F.col(key).cast("string").alias("k"), value(current).alias("v"))
     if previous is None:
-        return cur, None
-    prev = (previous.select(F.col(key).cast("string").alias("k"), value(previous).alias("v"))
-                    .where(F.col("k").isNotNull())
-                    .groupBy("k").agg(F.sum("v").alias("prev_paid"), F.lit(True).alias("in_prev")))
-    return cur, prev
+        return cur.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("cur_paid"))
+    prev = previous.select(F.col(key).cast("string").alias("k"), value(previous).alias("v")).where(F.col("k").isNotNull())
+    both = cur.withColumn("old", F.lit(False)).unionByName(prev.withColumn("old", F.lit(True)))
+    return both.groupBy("k").agg(
+        F.nullif(F.count_if(~F.col("old")), F.lit(0)).alias("n"), F.sum(F.when(~F.col("old"), F.col("v"))).alias("cur_paid"),
+        F.sum(F.when(F.col("old"), F.col("v"))).alias("prev_paid"), F.max("old").alias("in_prev"))
 
 
 def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,
                 unique_keep: str = "none") -> DataFrame:
-    """Uniqueness (J1/J2), missing keys (J3) and paid-not-decreasing (J4) from ONE grouping per
-    snapshot on the key: each snapshot is shuffled once (after map-side partial aggregation), and
-    the two per-key aggregates are already hash-partitioned on the key, so their full outer join
-    adds no exchange. One row out with the counts of all three checks.
+    """Uniqueness (J1/J2), missing keys (J3) and paid-not-decreasing (J4) from ONE grouping of both
+    snapshots on the key, after map-side partial aggregation. One row out with the counts of all three checks.
     """
-    return profile_counts(*key_sides(current, previous, key, paid))
+    rows = key_rows(current, previous, key, paid)
+    return _profile(rows, previous is not None)
 
 
 def failing_records(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,
                     unique: Sequence[str], missing: Sequence[str], decreased: Sequence[str], limit: int) -> DataFrame:
     """(check_id, record): the failing keys of the checks named in ``unique`` (one record a row of the key, at most
-    ``limit``), ``missing`` and ``decreased``, from the groupings that ``key_profile`` makes: in one plan with it,
-    each snapshot is shuffled once for both."""
-    cur, prev = key_sides(current, previous, key, paid)
+    ``limit``), ``missing`` and ``decreased``, from the grouping that ``key_profile`` makes: in one plan with it,
+    both snapshots are shuffled once for both."""
+    keys = key_rows(current, previous, key, paid)
     n, one = F.col("n"), F.lit(1)
     fails = [(i, n > 1, F.least(n, F.lit(limit)).cast("int")) for i in unique]
-    if prev is not None:
-        cur = cur.join(prev, "k", "full_outer")
+    if previous is not None:
         fails += [(i, F.coalesce("in_prev", F.lit(False)) & n.isNull(), one) for i in missing]
         fails += [(i, F.col("k").isNotNull() & n.isNotNull() & ~paid_ok(), one) for i in decreased]
     entries = [F.when(failed, F.struct(F.lit(check_id).alias("check_id"), rows.alias("rows"))) for check_id, failed, rows in fails]
-    return cur.select("k", F.explode(F.array_compact(F.array(*entries))).alias("e")) \
+    return keys.select("k", F.explode(F.array_compact(F.array(*entries))).alias("e")) \
         .select("e.check_id", F.explode(F.array_repeat("k", F.col("e.rows"))).alias("record"))
 
 
 def profile_counts(cur: DataFrame, prev: DataFrame | None) -> DataFrame:
     """The counts of ``key_profile`` from one row a key: (k, n, cur_paid) of the current snapshot and
     (k, prev_paid, in_prev) of the previous one, which has no null key."""
+    return _profile(cur if prev is None else cur.join(prev, "k", "full_outer"), prev is not None)
+
+
+def _profile(rows: DataFrame, with_previous: bool) -> DataFrame:
     n = F.col("n")
     aggs = [F.sum("n").alias("u_total"), F.sum(F.when(n > 1, n).otherwise(0)).alias("u_failed"),
             F.count("n").alias("u_groups")]
-    if prev is None:
-        return cur.agg(*aggs)
-    both = cur.join(prev, "k", "full_outer")
-    in_cur = F.col("k").isNotNull() & n.isNotNull()
-    in_prev = F.coalesce(F.col("in_prev"), F.lit(False))
-    aggs += [F.count_if(in_prev).alias("m_total"), F.count_if(in_prev & in_cur).alias("m_passed"),
-             F.count_if(in_cur).alias("p_total"), F.count_if(in_cur & paid_ok()).alias("p_passed")]
-    return both.agg(*aggs)
+    if with_previous:
+        in_cur = F.col("k").isNotNull() & n.isNotNull()
+        in_prev = F.coalesce(F.col("in_prev"), F.lit(False))
+        aggs += [F.count_if(in_prev).alias("m_total"), F.count_if(in_prev & in_cur).alias("m_passed"),
+                 F.count_if(in_cur).alias("p_total"), F.count_if(in_cur & paid_ok()).alias("p_passed")]
+    return rows.agg(*aggs)
 
 
 def key_state(claims: DataFrame, key: str, paid: str) -> DataFrame:
