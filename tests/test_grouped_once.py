@@ -22,9 +22,10 @@ def test_key_profile_groups_both_snapshots_once(spark):
     assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
     # all rows, rows of repeated keys, keys; previous keys and those still there; current keys and those not fallen
     assert tuple(prof.first()) == (7, 4, 5, 5, 3, 4, 2)
-    failing = kc.failing_records(cur, prev, "claim_number", "total_paid", ["u"], ["m"], ["p"], 100)
-    assert sorted(map(tuple, failing.collect()), key=str) == sorted(
-        [("u", None), ("u", None), ("u", "b"), ("u", "b"), ("m", "x"), ("m", "y"), ("p", "b"), ("p", "c")], key=str)
+    for shared in (False, True):
+        failing = kc.failing_records(cur, prev, "claim_number", "total_paid", ["u"], ["m"], ["p"], 100, shared)
+        assert sorted(map(tuple, failing.collect()), key=str) == sorted(
+            [("u", None), ("u", None), ("u", "b"), ("u", "b"), ("m", "x"), ("m", "y"), ("p", "b"), ("p", "c")], key=str)
 
 
 def test_pairs_of_hot_warm_and_null_keys_without_a_join(spark):

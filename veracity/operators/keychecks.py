@@ -204,11 +204,17 @@ def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid:
 
 
 def failing_records(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,
-                    unique: Sequence[str], missing: Sequence[str], decreased: Sequence[str], limit: int) -> DataFrame:
+                    unique: Sequence[str], missing: Sequence[str], decreased: Sequence[str], limit: int,
+                    with_profile: bool = False) -> DataFrame:
     """(check_id, record): the failing keys of the checks named in ``unique`` (one record a row of the key, at most
-    ``limit``), ``missing`` and ``decreased``, from the grouping that ``key_profile`` makes: in one plan with it,
-    both snapshots are shuffled once for both."""
-    keys = key_rows(current, previous, key, paid)
+    ``limit``), ``missing`` and ``decreased``. ``with_profile``: from the grouping that ``key_profile`` makes, so in one
+    plan with it both snapshots are shuffled once for both; else each snapshot is grouped by itself, and their keys are joined."""
+    if with_profile or previous is None:
+        keys = key_rows(current, previous, key, paid)
+    else:
+        prev = key_rows(previous, None, key, paid).where(F.col("k").isNotNull()) \
+            .select("k", F.col("cur_paid").alias("prev_paid"), F.lit(True).alias("in_prev"))
+        keys = key_rows(current, None, key, paid).join(prev, "k", "full_outer")
     n, one = F.col("n"), F.lit(1)
     fails = [(i, n > 1, F.least(n, F.lit(limit)).cast("int")) for i in unique]
     if previous is not None:

@@ -82,11 +82,12 @@ def filter_results(detail: DataFrame, statuses: Sequence[str] | None = None,
 
 # J10: failing identifiers of all checks
 def failed_records(run: SuiteRun, limit: int | None = FAILED_RECORDS_KEPT, key: str = "claim_number",
-                   check_ids: Sequence[str] | None = None) -> DataFrame:
+                   check_ids: Sequence[str] | None = None, with_checks: bool = False) -> DataFrame:
     """(check_id, record): the failing rows' identifiers, for each check the first ``limit`` in sorted
     order (None: all). The row checks share one pass, which gives each row an array of the checks it
-    fails; with a limit the checks on claim numbers share the groupings of the key profile, and the window keeps that many
-    per check and task before the shuffle."""
+    fails; with a limit the checks on claim numbers share one grouping a snapshot, and the window keeps that many
+    per check and task before the shuffle. ``with_checks``: the list is evaluated in one plan with the check rows, so it
+    takes the key profile's grouping."""
     entries, parts, by_key = [], [], {}
     for spec in run.specs:
         if not spec.enabled or (check_ids is not None and spec.id not in check_ids):
@@ -108,7 +109,7 @@ def failed_records(run: SuiteRun, limit: int | None = FAILED_RECORDS_KEPT, key:
         parts.insert(0, run.current.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*"))
     if by_key:
         parts.append(kc.failing_records(run.current, run.previous if by_key.keys() & {"m", "p"} else None, CLAIM_KEY,
-                                        PAID if "p" in by_key else None, *(by_key.get(r, ()) for r in "ump"), limit))
+                                        PAID if "p" in by_key else None, *(by_key.get(r, ()) for r in "ump"), limit, with_checks))
     if not parts:
         return run.checks.sparkSession.createDataFrame([], "check_id string, record string")
     rows = reduce(DataFrame.unionByName, parts)
@@ -122,7 +123,7 @@ def failed_records_json(run: SuiteRun, check_ids: Sequence[str] | None = None,
                         limit: int | None = FAILED_RECORDS_KEPT) -> DataFrame:
     """(check_id, failed_records_json) of the checks with failing rows: sorted identifiers as JSON text."""
     listed = F.transform(F.sort_array(F.collect_list(F.struct("record"))), lambda x: x["record"])
-    return failed_records(run, limit, check_ids=check_ids).groupBy("check_id").agg(F.to_json(listed).alias("failed_records_json"))
+    return failed_records(run, limit, check_ids=check_ids, with_checks=True).groupBy("check_id").agg(F.to_json(listed).alias("failed_records_json"))
 
 
 # S9
