@@ -12,8 +12,8 @@
    near the limit (in the second, all pairs with a small set) are verified on the full sets:
    first each node with the best of its bands' smallest nodes; then, within bands, all pairs of
    nodes that the first round left in different components. Large bands are cut into blocks whose
-   pairs are separate cells. Within a cell pairs are filtered by sketch, then verified on the full
-   sets, most alike first, skipping nodes that its links already join; so a cell gives fewer links
+   pairs are separate cells. Within a cell pairs are filtered by sketch; sets go to the cells of
+   the members that this leaves, which are compared again there and verified on the full sets, most alike first, skipping nodes that its links already join; so a cell gives fewer links
    than it has nodes. Only pairs with a set above ``CELL_SET`` shingles leave unverified.
 5. Components of the verified links.
 
@@ -33,7 +33,7 @@ ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -269,51 +269,24 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, s
     Cells, not bands, are the unit of work, and a pair leaves only from the first band it shares."""
     s, k = settings, settings.registers
 
-    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, i, j, block, node, comp, n, shared = (
-            rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "component", "n", "shared"))
+    def near(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Row numbers and estimates of the pairs that the sketches leave, each in the first band it shares."""
+        key, i, j, block, comp, n, shared = (
+            rows.column(c).to_numpy() for c in ("key", "i", "j", "block", "component", "n", "shared"))
         regs = _registers(rows.column("registers").combine_chunks(), k)
-        lists = rows.column("set").combine_chunks()
-        ends, flat, known = lists.offsets.to_numpy(), lists.values.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
-        parent: dict[int, int] = {}
-
-        def root(c: int) -> int:
-            while (up := parent.get(c, c)) != c:
-                parent[c] = c = parent.get(up, up)
-            return c
-
-        def linked(i: int, j: int) -> bool:
-            p, q = flat[ends[i]:ends[i + 1]], flat[ends[j]:ends[j + 1]]
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            return 100 * both >= s.percent * (len(p) + len(q) - both)
         borders = _cells(key, i, j)
         sk = Sketcher(s)
         xs, ys, waiting = [], [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             x, y = np.concatenate(xs), np.concatenate(ys)
             same = regs[x] == regs[y]
             e = estimate(regs[x], regs[y], n[x], n[y])
             band = same.reshape(len(x), s.bands, s.rows).all(axis=2)
             first = sk.keys(regs[x])[np.arange(len(x)), band.argmax(axis=1)].astype(np.int64)
-            near = (e >= s.least_estimate) | (np.minimum(n[x], n[y]) <= SMALL_SET)
-            ok = np.flatnonzero(near & (first == key[x]))
-            found, sure = [], []
-            for o in ok[np.argsort(-e[ok], kind="stable")].tolist():
-                i, j = x[o], y[o]
-                ci, cj = root(int(comp[i])), root(int(comp[j]))
-                if ci == cj:
-                    continue
-                verify = bool(known[i] and known[j])
-                if verify and not linked(i, j):
-                    continue
-                if verify:
-                    parent[max(ci, cj)] = min(ci, cj)
-                found.append(o)
-                sure.append(verify)
-            a, b = node[x[found]], node[y[found]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure, pa.bool_())],
-                                              ["a", "b", "sure"])
+            close = (e >= s.least_estimate) | (np.minimum(n[x], n[y]) <= SMALL_SET)
+            ok = close & (first == key[x])
+            return x[ok], y[ok], e[ok]
 
         for lo, hi in zip(borders[:-1].tolist(), borders[1:].tolist()):
             if i[lo] == j[lo]:
@@ -336,18 +309,61 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, s
         if waiting:
             yield flush()
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []  # rows of the last, maybe unfinished cell
-        for batch in batches:
-            rows = pa.Table.from_batches([*held, batch])
-            if not rows.num_rows:
-                continue
-            last = int(_cells(*(rows.column(c).to_numpy() for c in ("key", "i", "j")))[-2])
-            if last:
-                yield from compare(rows.slice(0, last))
-            held = rows.slice(last).combine_chunks().to_batches()
-        if held:
-            yield from compare(pa.Table.from_batches(held))
+    def paired(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        """The members of a cell that are in any of its pairs."""
+        found = np.zeros(rows.num_rows, bool)
+        for x, y, _ in near(rows):
+            found[x] = found[y] = True
+        yield from rows.select(["key", "i", "j", "block", "node", "component"]).filter(pa.array(found)).combine_chunks().to_batches()
+
+    def compare(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, comp = rows.column("node").to_numpy(), rows.column("component").to_numpy()
+        lists = rows.column("set").combine_chunks()
+        ends, flat, known = lists.offsets.to_numpy(), lists.values.to_numpy(), lists.is_valid().to_numpy(zero_copy_only=False)
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+
+        def linked(i: int, j: int) -> bool:
+            p, q = flat[ends[i]:ends[i + 1]], flat[ends[j]:ends[j + 1]]
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            return 100 * both >= s.percent * (len(p) + len(q) - both)
+
+        for x, y, e in near(rows):
+            found, sure = [], []
+            for o in np.argsort(-e, kind="stable").tolist():
+                i, j = x[o], y[o]
+                ci, cj = root(int(comp[i])), root(int(comp[j]))
+                if ci == cj:
+                    continue
+                verify = bool(known[i] and known[j])
+                if verify and not linked(i, j):
+                    continue
+                if verify:
+                    parent[max(ci, cj)] = min(ci, cj)
+                found.append(o)
+                sure.append(verify)
+            a, b = node[x[found]], node[y[found]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(sure, pa.bool_())],
+                                             ["a", "b", "sure"])
+
+    def whole_cells(of: Callable[[pa.Table], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []  # rows of the last, maybe unfinished cell
+            for batch in batches:
+                rows = pa.Table.from_batches([*held, batch])
+                if not rows.num_rows:
+                    continue
+                last = int(_cells(*(rows.column(c).to_numpy() for c in ("key", "i", "j")))[-2])
+                if last:
+                    yield from of(rows.slice(0, last))
+                held = rows.slice(last).combine_chunks().to_batches()
+            if held:
+                yield from of(pa.Table.from_batches(held))
+        return run
 
     labelled = members.select("key", "node").join(labels, "node", "left") \
         .select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -355,13 +371,18 @@ def crossing_pairs(members: DataFrame, labels: DataFrame, sketches: DataFrame, s
         .where("x <> y").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     dealt = labelled.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component") \
-        .join(sketches.select("node", "n", "shared", "registers"), "node") \
-        .join(sets.where(F.size("set") <= CELL_SET), "node", "left") \
-        .select("key", "i", "j", "block", "node", "component", "n", "shared", "registers", "set")
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component")
     parts = parallelism(members.sparkSession)
-    return dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node") \
-        .mapInArrow(run, "a long, b long, sure boolean")
+
+    def in_cells(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
+
+    sketched_rows = sketches.select("node", "n", "shared", "registers")
+    # sets are many times larger than registers, and nodes share many bands: a set goes only to the cells that verify it
+    pairing = in_cells(dealt.join(sketched_rows, "node")) \
+        .mapInArrow(whole_cells(paired), "key long, i int, j int, block int, node long, component long")
+    return in_cells(pairing.join(sketched_rows, "node").join(sets.where(F.size("set") <= CELL_SET), "node", "left")) \
+        .mapInArrow(whole_cells(compare), "a long, b long, sure boolean")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
