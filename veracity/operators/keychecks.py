@@ -181,17 +181,23 @@ def key_rows(current: DataFrame, previous: DataFrame | None, key: str, paid: str
 
     Both snapshots go through ONE grouping, so a task holds one hash map of keys, and neither two of them nor the
     sorted sides of a join."""
+    sides = [current] if previous is None else [current, previous]
+    sums = bool(paid) and any(paid in df.columns for df in sides)      # else no task holds sums that are null for every key
+
     def value(df: DataFrame) -> Column:
-        return _num(df, paid) if paid and paid in df.columns else F.lit(None).cast("double")
+        return _num(df, paid) if sums and paid in df.columns else F.lit(None).cast("double")
+
+    def total(v: Column) -> Column:
+        return F.sum(v) if sums else F.lit(None).cast("double")
 
     cur = current.select(F.col(key).cast("string").alias("k"), value(current).alias("v"))
     if previous is None:
-        return cur.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("cur_paid"))
+        return cur.groupBy("k").agg(F.count(F.lit(1)).alias("n"), total(F.col("v")).alias("cur_paid"))
     prev = previous.select(F.col(key).cast("string").alias("k"), value(previous).alias("v")).where(F.col("k").isNotNull())
     both = cur.withColumn("old", F.lit(False)).unionByName(prev.withColumn("old", F.lit(True)))
     return both.groupBy("k").agg(
-        F.nullif(F.count_if(~F.col("old")), F.lit(0)).alias("n"), F.sum(F.when(~F.col("old"), F.col("v"))).alias("cur_paid"),
-        F.sum(F.when(F.col("old"), F.col("v"))).alias("prev_paid"), F.max("old").alias("in_prev"))
+        F.nullif(F.count_if(~F.col("old")), F.lit(0)).alias("n"), total(F.when(~F.col("old"), F.col("v"))).alias("cur_paid"),
+        total(F.when(F.col("old"), F.col("v"))).alias("prev_paid"), F.max("old").alias("in_prev"))
 
 
 def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,

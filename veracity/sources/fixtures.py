@@ -21,9 +21,11 @@ PREVIOUS_BDX = "1998-01-01 00:00:00"
 
 def _with_orders(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     """``lines`` with the order of each. An order has few columns and several lines, so tasks hold the orders of their
-    partition in a hash table and don't sort the lines."""
+    partition in a hash table and don't sort the lines. Lines are narrow and compress well: partitions merged by their size in
+    bytes would give a task many orders and, in the same task, many claim keys, so all shuffle partitions stay apart."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return lines.join(o.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    apart = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return lines.repartition(apart, "l_orderkey").join(o.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 # Each view is one projection written as SQL text: the JVM parses it once, instead of Python building
