@@ -81,7 +81,7 @@ def test_url_lists_against_brute_force(spark):
 def _oracle(sql):
     import duckdb
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
