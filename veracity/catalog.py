@@ -336,7 +336,7 @@ def q_j_paid_left(spark, sf):
     _spec("total_paid_non_decreasing_vs_prev"), O.POLICIES["v2"], "claims_cur", "claims_prev", None)[0]),
     "claims_cur", "claims_prev"))
 def q_j_paid_inner(spark, sf):
-    return kc.paid_not_decreasing_rows(_cur(spark, sf), _prev(spark, sf), "claim_number", "total_paid")
+    return kc.paid_not_decreasing_rows(_cur(spark, sf), _prev(spark, sf), "claim_number", "total_paid", parts=fx.claim_parts(spark, sf))
 
 
 @register("j_risk_anti", O.with_fixtures(_counts_sql(O.key_check_sql(
@@ -400,17 +400,18 @@ def v5_run(spark, sf, include_risk=True, with_prev=True, policy="v5") -> SuiteRu
     cur = _cur(spark, sf)
     prev = _prev(spark, sf) if with_prev else None
     risk = fx.risk_table(spark, sf) if include_risk else None
-    return run_suite(default_suite(include_risk=True), POLICIES[policy], cur, prev, risk, ["Closed"], AS_OF_YEAR)
+    return run_suite(default_suite(include_risk=True), POLICIES[policy], cur, prev, risk, ["Closed"], AS_OF_YEAR,
+                     key_parts=fx.claim_parts(spark, sf))
 
 
 def v2_run(spark, sf) -> SuiteRun:
     return run_suite(suite_v2(), POLICIES["v2"], _cur(spark, sf), _prev(spark, sf), fx.risk_table(spark, sf),
-                     [" Closed ", "RE-CLOSED"], AS_OF_YEAR)
+                     [" Closed ", "RE-CLOSED"], AS_OF_YEAR, key_parts=fx.claim_parts(spark, sf))
 
 
 def root_run(spark, sf) -> SuiteRun:
     return run_suite(suite_root(AS_OF_YEAR), POLICIES["root"], fx.claims_root(spark, sf), None,
-                     fx.risk_table(spark, sf), as_of_year=AS_OF_YEAR)
+                     fx.risk_table(spark, sf), as_of_year=AS_OF_YEAR, key_parts=fx.claim_parts(spark, sf))
 
 
 SUITE_COLS = ["check_id", "check_type", "category", "points_possible", "total", "passed", "failed", "pass_rate",
@@ -506,7 +507,7 @@ def _points_query(name: str, rule: str):
 
     def q(spark, sf):
         run = run_suite(specs, pol, _cur(spark, sf), _prev(spark, sf), fx.risk_table(spark, sf), ["Closed"],
-                        AS_OF_YEAR)
+                        AS_OF_YEAR, key_parts=fx.claim_parts(spark, sf))
         return run.checks.select("check_id", "pass_rate", "points_possible", "points_earned")
     REGISTRY[name] = (q, sql)
 
@@ -635,9 +636,12 @@ def stored_scores(spark, sf):
     path = f"{checkpoint_dir(spark).rstrip('/')}/veracity-scores-{uuid.uuid4().hex}"
     # each snapshot is stored by its first run, whose row checks the write counts, and read from there by the others
     stored = [f"{checkpoint_dir(spark).rstrip('/')}/veracity-snapshot-{uuid.uuid4().hex}" for _ in range(2)]
-    jan = run_suite(default_suite(), POLICIES["v5"], _prev(spark, sf), None, None, ["Closed"], AS_OF_YEAR, store_to=stored[0])
-    feb = run_suite(default_suite(), POLICIES["v4"], _cur(spark, sf), jan.current, None, ["Closed"], AS_OF_YEAR, store_to=stored[1])
-    again = run_suite(default_suite(), POLICIES["v5"], feb.current, jan.current, None, ["Closed"], AS_OF_YEAR)
+    parts = fx.claim_parts(spark, sf)
+    jan = run_suite(default_suite(), POLICIES["v5"], _prev(spark, sf), None, None, ["Closed"], AS_OF_YEAR, store_to=stored[0],
+                    key_parts=parts)
+    feb = run_suite(default_suite(), POLICIES["v4"], _cur(spark, sf), jan.current, None, ["Closed"], AS_OF_YEAR, store_to=stored[1],
+                    key_parts=parts)
+    again = run_suite(default_suite(), POLICIES["v5"], feb.current, jan.current, None, ["Closed"], AS_OF_YEAR, key_parts=parts)
     rows = [_scores_of(run, quarter, stamp) for run, quarter, stamp in
             ((jan, "1998_01", "2024-01-01 00:00:00"), (again, "1998_02", "2024-02-02 00:00:00"), (feb, "1998_02", "2024-02-01 00:00:00"))]
     # one plan and one append: the runs of one snapshot share the exchanges of its claim keys
@@ -834,7 +838,8 @@ def q_suite_auto_disabled(spark, sf):
     checks 1.5, 5.2, 6.1 and 7.1 are disabled before planning; the rest run on the data."""
     cur = _cur(spark, sf).drop("uw_date")
     closed = TX.parse_closed_values("Closed, RE-CLOSED")
-    run = run_suite(_auto_disabled_specs(), POLICIES["v1"], cur, None, fx.risk_table(spark, sf), closed, AS_OF_YEAR)
+    run = run_suite(_auto_disabled_specs(), POLICIES["v1"], cur, None, fx.risk_table(spark, sf), closed, AS_OF_YEAR,
+                    key_parts=fx.claim_parts(spark, sf))
     return run.checks.select(*SUITE_COLS)
 
 
@@ -910,7 +915,7 @@ REGISTRY["suite_root_declared"] = (q_suite_root_declared, O.with_fixtures(
 def _text_run(policy: str, specs, closed):
     def q(spark, sf):
         run = run_suite(specs, POLICIES[policy], fx.claims_text(spark, sf, True), fx.claims_text(spark, sf, False),
-                        fx.risk_table(spark, sf), closed, AS_OF_YEAR)
+                        fx.risk_table(spark, sf), closed, AS_OF_YEAR, key_parts=fx.claim_parts(spark, sf))
         return run.checks.select(*SUITE_COLS)
     body = O.suite_sql(specs, replace(O.POLICIES[policy], closed_values=tuple(closed)), "text_cur", "text_prev", "risk", AS_OF_YEAR)
     return q, O.with_fixtures(f"select {', '.join(SUITE_COLS)} from ({body})", "text_cur", "text_prev", "risk")
@@ -972,7 +977,7 @@ def q_suite_renamed(spark, sf):
     from veracity.plans.config import specs_from_config
     cur, prev = (df.withColumnsRenamed(_RENAMED) for df in (_cur(spark, sf), _prev(spark, sf)))
     run = run_suite(specs_from_config(FLAT_CONFIG, AS_OF_YEAR), POLICIES["v1"], cur, prev, fx.risk_table(spark, sf),
-                    as_of_year=AS_OF_YEAR)
+                    as_of_year=AS_OF_YEAR, key_parts=fx.claim_parts(spark, sf))
     return run.checks.select("check_id", "total", "passed", "failed", "pass_rate", "points_earned", "status")
 
 
@@ -995,7 +1000,7 @@ def q_suite_root_matched(spark, sf):
     df = df.select(*[F.col(c).alias(c.replace("_", " ").title()) for c in df.columns])
     mapping = mp.auto_match(df.columns, mp.GROSS_NET_ALIASES)
     run = run_suite(suite_root(AS_OF_YEAR), POLICIES["root"], mp.apply_mapping(df, mapping), None, fx.risk_table(spark, sf),
-                    as_of_year=AS_OF_YEAR)
+                    as_of_year=AS_OF_YEAR, key_parts=fx.claim_parts(spark, sf))
     return run.checks.select(*SUITE_COLS)
 
 

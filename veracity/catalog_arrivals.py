@@ -90,9 +90,11 @@ def stored_runs(spark, sf) -> RunStore:
     last with its own id, which is stored once."""
     store = RunStore(spark, fresh_folder(spark, "runs"))
     cur, prev = fx.claims_snapshot(spark, sf, True), fx.claims_snapshot(spark, sf, False)
+    parts = fx.claim_parts(spark, sf)
 
     def run(policy: str, current: DataFrame, previous: DataFrame | None, store_to: str | None = None) -> SuiteRun:
-        return run_suite(default_suite(), POLICIES[policy], current, previous, None, ["Closed"], AS_OF_YEAR, store_to=store_to)
+        return run_suite(default_suite(), POLICIES[policy], current, previous, None, ["Closed"], AS_OF_YEAR, store_to=store_to,
+                         key_parts=parts)
     # each snapshot is stored by its first run and read from there by all that follows
     january = run("v5", prev, None, fresh_folder(spark, "snapshot"))
     prev = january.current

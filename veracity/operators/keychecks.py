@@ -3,7 +3,7 @@
 Every function returns a one-row DataFrame ``(total, passed, failed)`` of
 longs. Keys are always reduced first (``groupBy``/``distinct`` use partial
 aggregation, so a hot key, null included, collapses map-side before the
-shuffle); the joins then run between deduplicated key sets, one row per key on
+shuffle, unless ``parts`` deals the rows to more partitions); the joins then run between deduplicated key sets, one row per key on
 each side, so no join here can multiply a hot key.
 
 ``failing_*`` companions return the failing keys (or rows) as DataFrames; they
@@ -39,6 +39,14 @@ def _keys(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("string").alias("k")).where(F.col("k").isNotNull()).distinct()
 
 
+def _dealt(df: DataFrame, parts: int | None, *cols: str) -> DataFrame:
+    """``df`` dealt by ``cols`` into ``parts`` partitions where the session's shuffle partitions are fewer, else ``df``. What a task
+    then holds of a grouping by ``cols`` doesn't grow with the input; rows of a repeated value meet in one task before they
+    are reduced, and it holds one of them."""
+    few = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartition(parts, *cols) if parts is not None and parts > few else df
+
+
 # J1 / J2
 def uniqueness(df: DataFrame, key: str, keep: str = "none") -> DataFrame:
     """Duplicate keys, nulls equal to each other.
@@ -116,7 +124,7 @@ HOT_KEYS = 128      # a key with more than 1/HOT_KEYS of the reduced rows is spl
 
 
 def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str, paid: str,
-                             buckets: int = 128) -> DataFrame:
+                             buckets: int = 128, parts: int | None = None) -> DataFrame:
     """Row-level pairs: every current row against every previous row of the same key (null keys
     match each other), pass when current paid >= previous paid; null paid fails.
 
@@ -126,13 +134,17 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
     key is split: its paid values fall into ordered buckets cut at global quantiles (an array of at most
     ``buckets`` values), running sums run within (key, bucket), and each bucket adds the previous counts of the
     lower buckets of its key, from one row per bucket of the hot keys alone. Any other key is one bucket. Which
-    keys are split changes the work of a task, not the counts: exact for any key distribution.
+    keys are split changes the work of a task, not the counts: exact for any key distribution. With ``parts`` above the
+    session's shuffle partitions the groupings and windows get that many.
     """
     def side(df: DataFrame, cur: int) -> DataFrame:
         return df.select(F.col(key).cast("string").alias("k"), _num(df, paid).alias("v"), F.lit(cur).alias("c"), F.lit(1 - cur).alias("p"))
 
-    both = (side(current, 1).unionByName(side(previous, 0))
-            .groupBy("k", "v").agg(F.sum("c").alias("n_cur"), F.sum("p").alias("n_prev"))
+    # rows are dealt by a hash of ``v``, the same for all that group as one (0.0 and -0.0); Spark shuffles again for a double itself
+    rows = side(current, 1).unionByName(side(previous, 0)).withColumn("h", F.xxhash64(F.col("v") + F.lit(0.0)))
+    dealt = _dealt(rows, parts, "k", "h")
+    both = (dealt.groupBy("k", "v", *(["h"] if dealt is not rows else []))
+            .agg(F.sum("c").alias("n_cur"), F.sum("p").alias("n_prev"))
             .where(F.col("n_cur") + F.col("n_prev") > 0))
     # the condition always holds; it makes every branch below need both counts, so that all of them have
     # the same exchange under them and Spark computes it once
@@ -150,7 +162,7 @@ def paid_not_decreasing_rows(current: DataFrame, previous: DataFrame, key: str,
     group = Window.partitionBy("k", "b").orderBy("v")
     run = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.lead(F.lit(1)).over(group).isNull()
-    within = b.select("hot", "v", "n_cur", last.alias("last"), F.sum("np").over(run).alias("prev_le"),
+    within = _dealt(b, parts, "k", "b").select("hot", "v", "n_cur", last.alias("last"), F.sum("np").over(run).alias("prev_le"),
                       F.sum("n_cur").over(run).alias("all_cur"), F.sum("n_prev").over(run).alias("all_prev")) \
         .select(F.when(F.col("last") & ~F.col("hot"), F.col("all_cur") * F.col("all_prev")).otherwise(0).alias("pairs"),
                 F.when(valued, F.col("n_cur") * F.col("prev_le")).otherwise(0).alias("ok"))
@@ -175,12 +187,12 @@ def _bucket(buckets: int) -> str:
     return node(0, max(1, buckets - 1))
 
 
-def key_rows(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None) -> DataFrame:
+def key_rows(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None, parts: int | None = None) -> DataFrame:
     """One row a key: (k, n, cur_paid) and, with a previous snapshot, (prev_paid, in_prev). ``n`` is null for keys of the
     previous snapshot alone, whose null key doesn't count.
 
     Both snapshots go through ONE grouping, so a task holds one hash map of keys, and neither two of them nor the
-    sorted sides of a join."""
+    sorted sides of a join; with ``parts`` above the session's shuffle partitions, the keys of one of that many."""
     sides = [current] if previous is None else [current, previous]
     sums = bool(paid) and any(paid in df.columns for df in sides)      # else no task holds sums that are null for every key
 
@@ -192,35 +204,36 @@ def key_rows(current: DataFrame, previous: DataFrame | None, key: str, paid: str
 
     cur = current.select(F.col(key).cast("string").alias("k"), value(current).alias("v"))
     if previous is None:
-        return cur.groupBy("k").agg(F.count(F.lit(1)).alias("n"), total(F.col("v")).alias("cur_paid"))
+        return _dealt(cur, parts, "k").groupBy("k").agg(F.count(F.lit(1)).alias("n"), total(F.col("v")).alias("cur_paid"))
     prev = previous.select(F.col(key).cast("string").alias("k"), value(previous).alias("v")).where(F.col("k").isNotNull())
     both = cur.withColumn("old", F.lit(False)).unionByName(prev.withColumn("old", F.lit(True)))
-    return both.groupBy("k").agg(
+    return _dealt(both, parts, "k").groupBy("k").agg(
         F.nullif(F.count_if(~F.col("old")), F.lit(0)).alias("n"), total(F.when(~F.col("old"), F.col("v"))).alias("cur_paid"),
         total(F.when(F.col("old"), F.col("v"))).alias("prev_paid"), F.max("old").alias("in_prev"))
 
 
 def key_profile(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,
-                unique_keep: str = "none") -> DataFrame:
+                unique_keep: str = "none", parts: int | None = None) -> DataFrame:
     """Uniqueness (J1/J2), missing keys (J3) and paid-not-decreasing (J4) from ONE grouping of both
-    snapshots on the key, after map-side partial aggregation. One row out with the counts of all three checks.
+    snapshots on the key, after map-side partial aggregation, or dealt into ``parts`` partitions where the session's shuffle
+    partitions are fewer. One row out with the counts of all three checks.
     """
-    rows = key_rows(current, previous, key, paid)
+    rows = key_rows(current, previous, key, paid, parts)
     return _profile(rows, previous is not None)
 
 
 def failing_records(current: DataFrame, previous: DataFrame | None, key: str, paid: str | None,
                     unique: Sequence[str], missing: Sequence[str], decreased: Sequence[str], limit: int,
-                    with_profile: bool = False) -> DataFrame:
+                    with_profile: bool = False, parts: int | None = None) -> DataFrame:
     """(check_id, record): the failing keys of the checks named in ``unique`` (one record a row of the key, at most
     ``limit``), ``missing`` and ``decreased``. ``with_profile``: from the grouping that ``key_profile`` makes, so in one
     plan with it both snapshots are shuffled once for both; else each snapshot is grouped by itself, and their keys are joined."""
     if with_profile or previous is None:
-        keys = key_rows(current, previous, key, paid)
+        keys = key_rows(current, previous, key, paid, parts)
     else:
-        prev = key_rows(previous, None, key, paid).where(F.col("k").isNotNull()) \
+        prev = key_rows(previous, None, key, paid, parts).where(F.col("k").isNotNull()) \
             .select("k", F.col("cur_paid").alias("prev_paid"), F.lit(True).alias("in_prev"))
-        keys = key_rows(current, None, key, paid).join(prev, "k", "full_outer")
+        keys = key_rows(current, None, key, paid, parts).join(prev, "k", "full_outer")
     n, one = F.col("n"), F.lit(1)
     fails = [(i, n > 1, F.least(n, F.lit(limit)).cast("int")) for i in unique]
     if previous is not None:

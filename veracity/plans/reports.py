@@ -109,7 +109,8 @@ def failed_records(run: SuiteRun, limit: int | None = FAILED_RECORDS_KEPT, key:
         parts.insert(0, run.current.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*"))
     if by_key:
         parts.append(kc.failing_records(run.current, run.previous if by_key.keys() & {"m", "p"} else None, CLAIM_KEY,
-                                        PAID if "p" in by_key else None, *(by_key.get(r, ()) for r in "ump"), limit, with_checks))
+                                        PAID if "p" in by_key else None, *(by_key.get(r, ()) for r in "ump"), limit, with_checks,
+                                        run.key_parts))
     if not parts:
         return run.checks.sparkSession.createDataFrame([], "check_id string, record string")
     rows = reduce(DataFrame.unionByName, parts)

@@ -166,6 +166,7 @@ class SuiteRun:
     fused: DataFrame | None = None
     keys: ArrivedKeys | None = None
     listed: DataFrame | None = None
+    key_parts: int | None = None
 
     def total_records(self) -> DataFrame:
         """One row ``n``: the current snapshot's row count, from the fused row-check aggregate."""
@@ -269,7 +270,7 @@ ROW_TYPES = {"not_null", "not_null_not_year_1900", "non_negative", "non_negative
 
 
 def _key_result(spec: CheckSpec, policy: Policy, current: DataFrame, previous: DataFrame | None,
-                risk: DataFrame | None, n_rows: DataFrame) -> tuple[DataFrame, float, str | None]:
+                risk: DataFrame | None, n_rows: DataFrame, key_parts: int | None = None) -> tuple[DataFrame, float, str | None]:
     """One-row (total, passed, failed) frame for a key check, its empty-scope rate and an error text."""
     t = spec.type
     spark = current.sparkSession
@@ -291,7 +292,7 @@ def _key_result(spec: CheckSpec, policy: Policy, current: DataFrame, previous: D
             if c not in current.columns or c not in previous.columns:
                 return zero, 0.0, f"column not found: {c}"
         if policy.paid_rule == "rows":
-            return kc.paid_not_decreasing_rows(current, previous, key, paid), policy.paid_empty_rate, None
+            return kc.paid_not_decreasing_rows(current, previous, key, paid, parts=key_parts), policy.paid_empty_rate, None
         return kc.paid_not_decreasing(current, previous, key, paid), policy.paid_empty_rate, None
     if t == "risk_policy_match":
         key = spec.key or "policy_number"
@@ -316,13 +317,14 @@ def _key_result(spec: CheckSpec, policy: Policy, current: DataFrame, previous: D
 def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, previous: DataFrame | None = None,
               risk: DataFrame | None = None, closed_values: Sequence[str] | None = None,
               as_of_year: int | None = None, keys: ArrivedKeys | Callable[[DataFrame], ArrivedKeys] | None = None,
-              store_to: str | None = None) -> SuiteRun:
+              store_to: str | None = None, key_parts: int | None = None) -> SuiteRun:
     """Plan a suite over a mapped current snapshot (and optional previous snapshot / reference table).
     ``keys``: the snapshot's key state and the previous one's, which serve the claim-keyed checks instead of the
     claims; the previous snapshot itself is then only needed by checks on other keys or on pairs of rows. Or a
     function that gives them of the current snapshot, once that is stored.
     ``store_to``: the current snapshot is written there as Parquet (a new folder) and the row checks are counted by that
-    very write; everything else reads the stored snapshot."""
+    very write; everything else reads the stored snapshot.
+    ``key_parts``: partitions for the groupings of claim keys, where the session's shuffle partitions are fewer."""
     spark = current.sparkSession
     closed_values = list(closed_values or policy.closed_values)
     as_of_year = as_of_year or policy.as_of_year or _dt.date.today().year
@@ -374,7 +376,7 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
     if structs:
         parts.append(_rows(fused, structs))
 
-    profiled = _profile_part(planned, row_slots, policy, current, previous, keys)
+    profiled = _profile_part(planned, row_slots, policy, current, previous, keys, key_parts)
     if profiled is not None:
         part, done = profiled
         parts.append(part)
@@ -393,14 +395,14 @@ def run_suite(specs: Sequence[CheckSpec], policy: Policy, current: DataFrame, pr
         if needs_prev or needs_risk:
             parts.append(_skipped(spark, spec, seq, policy, "previous snapshot" if needs_prev else "reference table"))
             continue
-        res, empty_rate, error = _key_result(spec, policy, current, previous, risk, n_rows)
+        res, empty_rate, error = _key_result(spec, policy, current, previous, risk, n_rows, key_parts)
         rate = "0" if error else scoring.pass_rate_sql("total", "passed", empty_rate)
         parts.append(_rows(res, [_result_sql(spec, seq, policy, "total", "passed", "failed", rate, error=error)]))
 
     checks = reduce(DataFrame.unionByName, parts)
     checks = checks.withColumn("status", scoring.check_status(F.col("points_earned"), F.col("points_possible")))
     return SuiteRun(checks.select(*RESULT_COLUMNS), policy, list(specs), current, previous, risk,
-                    {spec.id: chk for spec, chk in row_slots.values()}, fused, keys)
+                    {spec.id: chk for spec, chk in row_slots.values()}, fused, keys, key_parts=key_parts)
 
 
 def _observed_write(df: DataFrame, aggs: list[Column], path: str) -> DataFrame:
@@ -415,7 +417,7 @@ CLAIM_KEY, PAID = "claim_number", "total_paid"
 
 
 def _profile_part(planned, row_slots, policy: Policy, current: DataFrame, previous: DataFrame | None,
-                  arrived: ArrivedKeys | None = None) -> tuple[DataFrame, set[int]] | None:
+                  arrived: ArrivedKeys | None = None, key_parts: int | None = None) -> tuple[DataFrame, set[int]] | None:
     """Serve the claim-keyed checks (unique, missing, paid) from one key profile: one grouping
     per snapshot on the claim key instead of one shuffle per check, or the stored key states."""
     if CLAIM_KEY not in current.columns:
@@ -440,7 +442,7 @@ def _profile_part(planned, row_slots, policy: Policy, current: DataFrame, previo
         return None
     kinds = {r for r, _ in roles.values()}
     prof = arrived.profile() if arrived is not None else kc.key_profile(current, previous if kinds & {"m", "p"} else None, CLAIM_KEY,
-                          PAID if "p" in kinds else None, policy.unique_keep)
+                          PAID if "p" in kinds else None, policy.unique_keep, key_parts)
     structs = []
     for seq, (role, spec) in roles.items():
         if role == "u":

@@ -19,13 +19,24 @@ CURRENT_BDX = "1998-02-01 00:00:00"
 PREVIOUS_BDX = "1998-01-01 00:00:00"
 
 
+# Rows of ``lineitem`` that one task takes, with their orders and claim keys.
+LINES_A_TASK = 1_000_000
+
+
+def claim_parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions for the claims and for groupings of their keys: the session's shuffle partitions or, where those would give a
+    task more than ``LINES_A_TASK`` lines, as many as the lines need. The count reads the files' footers alone."""
+    lines = read_table(spark, sf_dir, "lineitem").count()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-lines // LINES_A_TASK))
+
+
 def _with_orders(spark: SparkSession, sf_dir: str, lines: DataFrame) -> DataFrame:
     """``lines`` with the order of each. An order has few columns and several lines, so tasks hold the orders of their
-    partition in a hash table and don't sort the lines. Lines are narrow and compress well: partitions merged by their size in
-    bytes would give a task many orders and, in the same task, many claim keys, so all shuffle partitions stay apart."""
+    partition in a hash table, which can't spill, and don't sort the lines. Lines are narrow and compress well: partitions merged
+    by their size in bytes would give a task many orders and, in the same task, many claim keys, so all partitions stay apart,
+    and there are more of them as the lines grow."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    apart = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return lines.repartition(apart, "l_orderkey").join(o.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return lines.repartition(claim_parts(spark, sf_dir), "l_orderkey").join(o.hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
 
 
 # Each view is one projection written as SQL text: the JVM parses it once, instead of Python building
